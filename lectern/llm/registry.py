@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from lectern.llm.minhash_dedup import op10_minhash_dedup
-from lectern.llm.substring_dedup import op7_substring_dedup
+from lectern.llm import bit_sliced, chat_format, language_id, minhash_dedup, packing, quality_rules, sentence_pieces, substring_dedup, toxicity, url_filters
 
 QUERIES = {
-    "op7_substring_dedup": op7_substring_dedup,
-    "op10_minhash_dedup": op10_minhash_dedup,
+    "op1_chat_format": chat_format.op1_chat_format,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_url_filters": url_filters.op3_url_filters,
+    "op4_exact_top_k": bit_sliced.op4_exact_top_k,
+    "op5_language_id": language_id.op5_language_id,
+    "op6_sentencepiece": sentence_pieces.op6_sentencepiece,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_quality_rules": quality_rules.ORACLE,
+    "op3_url_filters": url_filters.ORACLE,
+    "op4_exact_top_k": bit_sliced.ORACLE,
+}
