@@ -184,7 +184,7 @@ def exact_top_k(rows: DataFrame, every: int, k: int = 5, bits: int = BITS, block
     layout = "block long, ids binary, width int, numbers binary"
     index = scratch.materialize(source.select(deal(blocks), "vec_id", "vector").groupBy("block").applyInArrow(_gather, layout), "slices")
     asked = source.where(F.col("vec_id") % every == 0).select(deal(queries), "vec_id", "vector").groupBy("block").applyInArrow(_gather, layout)
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), F.col("block").alias("part"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("numbers").alias("q_numbers"))
+    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.col("block").alias("part"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("numbers").alias("q_numbers"))
     tiles = max(1, min(blocks * queries, 4096))
     met = asked.join(index, "block").repartition(tiles, "block", "part").select("block", "ids", "width", "numbers", "q_ids", "q_width", "q_numbers")
     found = met.mapInArrow(_tiles(k, bits), "query_id long, vec_id long, score long")
@@ -198,7 +198,7 @@ def op4_exact_top_k(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 with v as (select vec_id, [floor(256 * x::double)::bigint for x in embedding] as v from embeddings
-           where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.vec_id as query_id, c.vec_id, list_sum([a[1] * a[2] for a in list_zip(q.v, c.v)])::bigint as score
       from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)

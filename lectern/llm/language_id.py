@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm import kernels as kn
 from lectern.llm import scratch
@@ -138,7 +139,7 @@ def language_id(pages: DataFrame, model: Model, url_col: str = "url", html_col:
         none = F.lit(None)
         return source.drop("_lx_page").withColumns({"text_lang": none.cast("string"), "lang": none.cast("string"), "probability": none.cast("double")})
     langs = range(len(model.languages))
-    schema = type(source.schema)(list(source.schema.fields[1:])).add("_lx_text", "array<double>")
+    schema = T.StructType([*source.schema.fields[1:], T.StructField("_lx_text", T.ArrayType(T.DoubleType()))])
     seen = scratch.materialize(source.mapInArrow(_likelihoods(model), schema), "likelihoods")
     own = _softmax([F.get("_lx_text", F.lit(i)) for i in langs])
     seen = seen.withColumn("_lx_domain", F.substring_index("host", ".", -2)).withColumns({f"_lx_p{i}": p for i, p in zip(langs, own, strict=True)})

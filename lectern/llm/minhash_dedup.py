@@ -6,11 +6,12 @@
    share T of K pairs but for a chance below 1e-5, so pairs that occur once are skipped,
    classes with fewer than T shared pairs are left out, and of the rest only a prefix is
    joined: of the pairs in order of frequency, all but the T - 1 most frequent.
-3. Inside a posting list nobody meets everybody. A leader meets each member, links that
-   hold join components, and only members outside a list's main component go on: to
-   further leaders, and in the end to every member of another component.
-4. Met pairs count their collisions over the whole signature; those with T or more are
-   confirmed on the full shingle sets. Confirmed links give the components.
+3. Inside a posting list nobody meets everybody. Its most typical member leads it and meets
+   the others: pairs count their collisions over the whole signature, and those with T or
+   more are confirmed on the full shingle sets. Confirmed links give components.
+4. Lists that lie in one component are done. In the others the members outside the main
+   component meet the rest, in tiles, on their full sets; sets that share too few shingles
+   with all others of such lists to be similar to any are skipped.
 
 A pair of one component needs no link of its own, so no component is lost by not meeting.
 
@@ -37,10 +38,8 @@ SHINGLE = 5
 #: Coordinates, and how many of them two sets must share to be compared in full:
 #: a pair with similarity 0.75 shares fewer with a chance of 4e-6 (binomial).
 COORDINATES, MATCHES = 48, 22
-#: Leader rounds before the members that are still apart all meet.
-LEADER_ROUNDS = 4
-#: Pairs for each posting up to which all members that are still apart meet at once.
-MEETING_FACTOR = 4
+#: Outsiders and members of a posting list that meet in one tile, on average.
+TILE = (256, 2048)
 RESULT = ("n_shingles", "component_id", "kept")
 
 _A = kn.mix(np.arange(1, 257, dtype=np.uint64)) | kn.U64(1)
@@ -164,49 +163,118 @@ def _attach(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
 
 
+def _deal(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(1)]
+            if not len(ids):
+                continue
+            shingle, doc = np.concatenate(sets), np.repeat(ids, [len(x) for x in sets])
+            bucket = shingle % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+            there = [(k, order[i:j]) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in there], pa.int64()), pa.array([shingle[at].tobytes() for _, at in there], pa.binary()), pa.array([doc[at].tobytes() for _, at in there], pa.binary())], names=["bucket", "shingles", "docs"])
+
+    return run
+
+
+def _count_shared(table: pa.Table) -> pa.Table:
+    shingle = np.frombuffer(b"".join(table.column("shingles").to_pylist()), dtype=np.uint64)
+    doc = np.frombuffer(b"".join(table.column("docs").to_pylist()), dtype=np.int64)
+    _, at, n = np.unique(shingle, return_inverse=True, return_counts=True)
+    ids, counts = np.unique(doc[n[at] > 1], return_counts=True)
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "shared": pa.array(counts, pa.int64())})
+
+
+def _meet(percent: int):
+    """Links between the outsiders and the members of a tile, no more than join its components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = table.column("outside").to_numpy(zero_copy_only=False).astype(bool)
+        ids, own = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("shingles").combine_chunks()] if table.num_rows else []
+        there = np.flatnonzero(~out)
+        size = np.array([len(sets[i]) for i in there], dtype=np.int64)
+        shingle = np.concatenate([sets[i] for i in there]) if len(there) else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(shingle, kind="stable")
+        shingle, place = shingle[order], np.repeat(np.arange(len(there)), size)[order]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        a, b = [], []
+        for i in np.flatnonzero(out):
+            x = sets[i]
+            low, high = np.searchsorted(shingle, x, "left"), np.searchsorted(shingle, x, "right")
+            n = high - low
+            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            shared = np.bincount(place[at], minlength=len(there))
+            for j in np.flatnonzero((shared > 0) & (100 * shared >= percent * (len(x) + size - shared))):
+                u, v = find(int(own[i])), find(int(own[there[j]]))
+                if u != v:
+                    root[max(u, v)] = min(u, v)
+                    a.append(int(ids[i]))
+                    b.append(int(ids[there[j]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def met_apart(prefix: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one posting list that are still in different components.
+
+    In each list the members outside its main component meet the others, in tiles. Only
+    those do whose set can reach the similarity at all: the shingles that a set shares with
+    any other set here bound every intersection from above.
+    """
+    labelled = prefix.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    labelled = scratch.materialize(labelled, "labelled")
+    by_component = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
+    apart = by_component.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = scratch.materialize(labelled.join(apart, "key").withColumn("outside", F.col("component") != F.col("main")).drop("main"), "members")
+    few = members.select("doc_id").distinct()
+    own = scratch.materialize(sets.join(few, "doc_id", "left_semi"), "sets-apart")
+    shared = own.mapInArrow(_deal(scratch.parts(own, 1 << 20, most=4096)), "bucket long, shingles binary, docs binary").groupBy("bucket").applyInArrow(_count_shared, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    facts = own.select("doc_id", (F.length("shingles") / 8).cast("long").alias("n")).join(shared, "doc_id")
+    members = scratch.materialize(members.join(facts, "doc_id"), "members")
+    # |x and y| >= p (|x| + |y|) / (100 + p), and a partner has at least p % of the size
+    reaches = lambda least: F.expr(f"{100 + percent} * shared >= {percent} * (n + greatest({least}, ceil({percent} * n / 100)))")
+    smallest = members.groupBy("key").agg(F.min("n").alias("least"))
+    outside = members.where("outside").join(smallest, "key").where(reaches("least")).drop("least")
+    lists = outside.groupBy("key").agg(F.count("*").alias("n_out"), F.min("n").alias("least_out"))
+    inside = members.join(lists, "key").where(reaches("least_out"))
+    sizes = inside.groupBy("key").agg(F.first("n_out").alias("n_out"), F.count("*").alias("n_in"))
+    sizes = sizes.select("key", F.ceil(F.col("n_out") / TILE[0]).alias("tiles_out"), F.ceil(F.col("n_in") / TILE[1]).alias("tiles_in"))
+    salt = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rows = outside.join(sizes, "key").select("key", salt("tiles_out").alias("i"), every("tiles_in").alias("j"), "doc_id", "component", F.lit(True).alias("outside"))
+    rows = rows.union(inside.join(sizes, "key").select("key", every("tiles_out").alias("i"), salt("tiles_in").alias("j"), "doc_id", "component", F.lit(False).alias("outside")))
+    return rows.join(own, "doc_id").groupBy("key", "i", "j").applyInArrow(_meet(percent), "a long, b long")
+
+
 def near_links(docs: DataFrame, reps: DataFrame, k: int, least: int, percent: int) -> DataFrame:
     """Links between classes: (a, b) confirmed at percent or more, enough of them to connect every component."""
     posted = reps.select("doc_id", "sig").mapInArrow(_post(k), "doc_id long, key long")
     often = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = posted.join(often, "key").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("pairs")).where(F.size("pairs") >= least)
-    prefix = shared.select("doc_id", F.explode(F.slice("pairs", F.lit(1), F.size("pairs") - (least - 1))).alias("p")).select("doc_id", F.col("p.key").alias("key"))
+    shared = posted.join(often, "key").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("pairs"), F.sum("n").alias("weight")).where(F.size("pairs") >= least)
+    prefix = shared.select("doc_id", "weight", F.explode(F.slice("pairs", F.lit(1), F.size("pairs") - (least - 1))).alias("p")).select("doc_id", "weight", F.col("p.key").alias("key"))
     prefix = scratch.materialize(prefix, "prefix")
-    wanted = prefix.select("doc_id").distinct()
-    signed = scratch.materialize(reps.join(wanted, "doc_id", "left_semi").select("doc_id", "sig"), "signed")
-
-    def check(pairs: DataFrame) -> DataFrame:
-        met = scratch.materialize(_attach(pairs, signed, "sig").mapInArrow(_collide(k, least), "a long, b long"), "met")
-        ids = met.select(F.col("a").alias("doc_id")).union(met.select("b")).distinct()
-        texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-        sets = scratch.materialize(texts.mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
-        return scratch.materialize(_attach(met, sets, "shingles").mapInArrow(_confirm(percent), "a long, b long"), "links")
-
-    lists = prefix.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    pairs = prefix.join(lists, "key").where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    tested = scratch.materialize(pairs, "pairs")
-    links = check(tested)
-    postings = prefix.count()
-    for turn in range(LEADER_ROUNDS + 1):
-        labels = components(links)
-        labelled = prefix.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        labelled = scratch.materialize(labelled, "labelled")
-        sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
-        apart = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("most < all")
-        apart = scratch.materialize(apart, "apart")
-        to_meet = apart.agg(F.sum(F.expr("(`all` - most) * `all`"))).first()[0]
-        if not to_meet:
-            break
-        last = to_meet <= MEETING_FACTOR * postings or turn == LEADER_ROUNDS
-        outside = labelled.join(apart, "key").where("component <> main").select("key", F.col("doc_id").alias("x"), F.col("component").alias("own"))
-        if not last:  # one more leader for each list: the smallest member outside its main component
-            outside = outside.groupBy("key").agg(F.min(F.struct("x", "own")).alias("lead")).select("key", "lead.x", "lead.own")
-        pairs = outside.join(labelled, "key").where("own <> component").select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
-        pairs = scratch.materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = scratch.materialize(links.union(check(pairs)), "links")
-        if last:
-            break
-        tested = scratch.materialize(tested.union(pairs), "pairs")
-    return links
+    # the member whose pairs are the most frequent is the likeliest to be near all others
+    lists = prefix.groupBy("key").agg(F.max_by("doc_id", F.struct(F.col("weight"), -F.col("doc_id"))).alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
+    listed = scratch.materialize(prefix.join(lists, "key").select("key", "doc_id", "lead"), "listed")
+    wanted = listed.select("doc_id").distinct()
+    signed = reps.join(wanted, "doc_id", "left_semi").select("doc_id", "sig")
+    sets = scratch.materialize(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
+    pairs = listed.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    met = scratch.materialize(_attach(pairs, signed, "sig").mapInArrow(_collide(k, least), "a long, b long"), "met")
+    links = scratch.materialize(_attach(met, sets, "shingles").mapInArrow(_confirm(percent), "a long, b long"), "links")
+    return scratch.materialize(links.union(met_apart(listed.select("key", "doc_id"), components(links), sets, percent)), "links")
 
 
 def minhash_dedup(docs: DataFrame, percent: int = 75, k: int = COORDINATES, least: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

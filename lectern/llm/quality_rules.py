@@ -133,7 +133,7 @@ _SQL_STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
 ORACLE = f"""
 with t as (select doc_id, coalesce(text, '') as t from documents),
 w as (select doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as ws,
-        list_filter(string_split(t, chr(10)), l -> regexp_matches(l, '[^\\x20\\x09-\\x0D]')) as ls from t),
+        list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) as ls from t),
 g as (select doc_id, i, list_slice(ws, i, i + {WINDOW - 1}) as gram from (select doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) as i from w)),
 r as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, gram) as n from g) where n > 1),
 c as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + {WINDOW})) as p from r) group by doc_id),
@@ -141,9 +141,9 @@ m as (select w.doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''
         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
         (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words,
         len(ls) as lines, length(regexp_replace(t, '[^!]', '', 'g')) as bangs,
-        len(list_filter(ws, x -> x in ({_SQL_STOPS}))) as stops,
-        len(list_filter(ls, l -> rtrim(l, ' ') like '%...' or rtrim(l, ' ') like '%…')) as ellipses,
-        len(list_filter(ls, l -> ltrim(l, ' ') like '- %' or ltrim(l, ' ') like '* %' or ltrim(l, ' ') like '•%')) as bullets
+        len(list_filter(ws, lambda x: x in ({_SQL_STOPS}))) as stops,
+        len(list_filter(ls, lambda l: rtrim(l, ' ') like '%...' or rtrim(l, ' ') like '%…')) as ellipses,
+        len(list_filter(ls, lambda l: ltrim(l, ' ') like '- %' or ltrim(l, ' ') like '* %' or ltrim(l, ' ') like '•%')) as bullets
       from w left join c using (doc_id)),
 b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm import kernels as kn
 from lectern.llm import scratch
@@ -196,7 +197,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFram
     """docs with the score of every whole text in column `score`."""
     quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
     plain = docs.select(*[quoted(c).cast("string").alias(c) if c == text_col else quoted(c) for c in docs.columns if c != "score"])
-    schema = type(plain.schema)(list(plain.schema.fields)).add("score", "double")
+    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
     return plain.mapInArrow(_score(machine, plain.columns.index(text_col), schema.names), schema)
 
 

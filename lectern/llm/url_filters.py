@@ -94,7 +94,7 @@ def url_filters(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_hi
 
 
 def op3_url_filters(spark, sf_dir: str) -> DataFrame:
-    return url_filters(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+    return url_filters(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")).drop("url")
 
 
 def _sql_hits(terms) -> str:
