@@ -2,7 +2,8 @@
 
 Measures are Catalyst expressions over one text; a rule bounds one measure from below or
 above. `compiled` turns a table of rules into a single column, so the whole verdict runs
-inside one scan without a shuffle and without user functions.
+inside one scan without a shuffle and without user functions. Shared parts are bound as
+lambda variables, so that a filter on the verdict, pushed into the scan, stays one pass.
 
 Words are `[^\\x20\\x09-\\x0D]+`. A text fails the base with fewer than 10 words, or when
 more than 20 % of its words lie in 5-word windows that the text holds twice or more.
@@ -40,16 +41,16 @@ class Rule:
     high: float | None = None
 
 
-#: Measure -> SQL over the columns of `measured`.
+#: Measure -> SQL over the counts c of one text.
 MEASURES = {
-    "words": "n_words",
-    "mean_word_chars": "word_chars / nullif(n_words, 0)",
-    "symbols_per_word": "n_symbols / nullif(n_words, 0)",
-    "exclamations_per_word": "_lx_bangs / nullif(n_words, 0)",
-    "stop_word_ratio": "_lx_stops / nullif(n_words, 0)",
-    "duplicate_line_ratio": "n_dup_lines / nullif(_lx_lines, 0)",
-    "ellipsis_line_ratio": "_lx_ellipses / nullif(_lx_lines, 0)",
-    "bullet_line_ratio": "_lx_bullets / nullif(_lx_lines, 0)",
+    "words": "c.n_words",
+    "mean_word_chars": "c.word_chars / nullif(c.n_words, 0)",
+    "symbols_per_word": "c.n_symbols / nullif(c.n_words, 0)",
+    "exclamations_per_word": "c.bangs / nullif(c.n_words, 0)",
+    "stop_word_ratio": "c.stops / nullif(c.n_words, 0)",
+    "duplicate_line_ratio": "c.n_dup_lines / nullif(c.lines, 0)",
+    "ellipsis_line_ratio": "c.ellipses / nullif(c.lines, 0)",
+    "bullet_line_ratio": "c.bullets / nullif(c.lines, 0)",
 }
 
 RULES = (
@@ -67,60 +68,56 @@ RULES = (
 
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken_rules")
 
-_WORD_SPACE = "[\\\\x20\\\\x09-\\\\x0D]"
+_SPACE = "[\\\\x20\\\\x09-\\\\x0D]"
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL for body with name bound to value, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 #: Words under windows that occur twice or more: windows sorted by hash stand beside their like;
 #: the starts of those with a like cover WINDOW words each, less what the next start covers.
-_REPEATS = f"""
-case when size(array_distinct(_lx_windows)) = size(_lx_windows) then 0L else
-  transform(array(sort_array(transform(_lx_windows, (w, i) -> struct(w as w, i as i)))), s ->
-    transform(array(sort_array(transform(
-      filter(s, (p, j) -> p.w = get(s, j - 1).w or p.w = get(s, j + 1).w), p -> p.i))), a ->
-        aggregate(transform(a, (p, j) -> least({WINDOW}, coalesce(get(a, j + 1) - p, {WINDOW}))), 0L, (t, x) -> t + x))[0])[0]
-end"""
-
-
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the counts that rules are made of; helper columns begin with _lx_."""
-    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    out = docs.select(*[quoted(c) for c in docs.columns if c not in RESULT and not c.startswith("_lx_")])
-    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
-    out = out.withColumn("_lx_text", text)
-    out = out.withColumn("_lx_words", F.expr(f"filter(split(_lx_text, '{_WORD_SPACE}+'), w -> w <> '')"))
-    out = out.withColumn("_lx_rows", F.expr(f"filter(split(_lx_text, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"))
-    out = out.withColumn("_lx_hashes", F.expr("transform(_lx_words, w -> xxhash64(w))"))
-    grams = ", ".join(f"get(_lx_hashes, i + {j})" for j in range(WINDOW))
-    out = out.withColumn("_lx_windows", F.expr(f"case when size(_lx_hashes) < {WINDOW} then cast(array() as array<bigint>) else transform(sequence(0, size(_lx_hashes) - {WINDOW}), i -> xxhash64({grams})) end"))
-    return out.withColumns({
-        "n_words": F.expr("cast(size(_lx_words) as long)"),
-        "word_chars": F.expr("cast(length(array_join(_lx_words, '')) as long)"),
-        "n_symbols": F.expr("cast(length(_lx_text) - length(regexp_replace(_lx_text, '[#*$%&|<>]', '')) as long)"),
-        "n_dup_lines": F.expr("cast(size(_lx_rows) - size(array_distinct(_lx_rows)) as long)"),
-        "n_repeat_words": F.expr(_REPEATS),
-        "_lx_lines": F.expr("size(_lx_rows)"),
-        "_lx_bangs": F.expr("length(_lx_text) - length(replace(_lx_text, '!', ''))"),
-        "_lx_stops": F.expr(f"size(filter(_lx_words, w -> w in ({_STOPS})))"),
-        "_lx_ellipses": F.expr("size(filter(_lx_rows, l -> rtrim(l) like '%...' or rtrim(l) like '%…'))"),
-        "_lx_bullets": F.expr("size(filter(_lx_rows, l -> ltrim(l) like '- %' or ltrim(l) like '* %' or ltrim(l) like '•%'))"),
-    })
-
-
-def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
-    """The names of the rules that a measured row breaks."""
+_SORTED = "sort_array(transform(windows, (w, i) -> named_struct('w', w, 'i', i)))"
+_STARTS = "sort_array(transform(filter(s, (p, j) -> p.w = get(s, j - 1).w or p.w = get(s, j + 1).w), p -> p.i))"
+_COVERED = f"aggregate(transform(a, (p, j) -> least({WINDOW}, coalesce(get(a, j + 1) - p, {WINDOW}))), 0L, (t, x) -> t + x)"
+_REPEATS = f"case when size(array_distinct(windows)) = size(windows) then 0L else {let('s', _SORTED, let('a', _STARTS, _COVERED))} end"
+_WINDOWS = f"case when size(hashes) < {WINDOW} then cast(array() as array<bigint>) else transform(sequence(0, size(hashes) - {WINDOW}), i -> xxhash64({', '.join(f'get(hashes, i + {j})' for j in range(WINDOW))})) end"
+_COUNTS = f"""named_struct(
+  'n_words', cast(size(words) as long),
+  'word_chars', cast(length(array_join(words, '')) as long),
+  'n_symbols', cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '')) as long),
+  'n_dup_lines', cast(size(rows) - size(array_distinct(rows)) as long),
+  'n_repeat_words', {let('hashes', 'transform(words, w -> xxhash64(w))', let('windows', _WINDOWS, _REPEATS))},
+  'lines', size(rows),
+  'bangs', length(t) - length(replace(t, '!', '')),
+  'stops', size(filter(words, w -> w in ({_STOPS}))),
+  'ellipses', size(filter(rows, l -> rtrim(l) like '%...' or rtrim(l) like '%…')),
+  'bullets', size(filter(rows, l -> ltrim(l) like '- %' or ltrim(l) like '* %' or ltrim(l) like '•%')))"""
+
+
+def compiled(rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> Column:
+    """The whole judgement as one expression: a struct of the counts, broken_rules, base_failed and kept."""
     broken = []
     for rule in rules:
         value = f"({MEASURES[rule.measure]})"
         sides = [f"{value} < {rule.low}"] * (rule.low is not None) + [f"{value} > {rule.high}"] * (rule.high is not None)
         broken.append(f"case when {' or '.join(sides)} then '{rule.name}' end")
-    return F.expr(f"filter(array({', '.join(broken)}), r -> r is not null)")
+    failed = f"(c.n_words < {MIN_WORDS} or 100 * c.n_repeat_words > {MAX_REPEAT_PERCENT} * c.n_words)"
+    names = ", ".join(f"'{n}', c.{n}" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+    verdict = let("b", f"filter(array({', '.join(broken) or 'cast(null as string)'}), r -> r is not null)", f"named_struct({names}, 'base_failed', {failed}, 'kept', not {failed} and size(b) = 0, 'broken_rules', b)")
+    words = f"filter(split(t, '{_SPACE}+'), w -> w <> '')"
+    rows = "filter(split(t, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
+    text = "`" + text_col.replace("`", "``") + "`"
+    return F.expr(let("t", f"coalesce(cast({text} as string), '')", let("words", words, let("rows", rows, let("c", _COUNTS, verdict)))))
 
 
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """docs with the counts, base_failed, kept, and the names of broken rules."""
-    out = measured(docs, text_col)
-    out = out.withColumn("broken_rules", compiled(rules)).withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"))
-    out = out.withColumn("kept", F.expr("not base_failed and size(broken_rules) = 0"))
-    return out.select(*["`" + c.replace("`", "``") + "`" for c in out.columns if not c.startswith("_lx_")])
+    plain = docs.select(*["`" + c.replace("`", "``") + "`" for c in docs.columns if c not in RESULT])
+    judged = plain.withColumn("_lx_verdict", compiled(rules, text_col))
+    return judged.select(*["`" + c.replace("`", "``") + "`" for c in plain.columns], "_lx_verdict.*")
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
