@@ -47,7 +47,8 @@ MEASURES = {
     "mean_word_chars": "c.word_chars / nullif(c.n_words, 0)",
     "symbols_per_word": "c.n_symbols / nullif(c.n_words, 0)",
     "exclamations_per_word": "c.bangs / nullif(c.n_words, 0)",
-    "stop_word_ratio": "c.stops / nullif(c.n_words, 0)",
+    # one more than there are: a short text can lack them by chance
+    "stop_word_ratio": "(c.stops + 1) / nullif(c.n_words, 0)",
     "duplicate_line_ratio": "c.n_dup_lines / nullif(c.lines, 0)",
     "ellipsis_line_ratio": "c.ellipses / nullif(c.lines, 0)",
     "bullet_line_ratio": "c.bullets / nullif(c.lines, 0)",
@@ -146,7 +147,7 @@ b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERC
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not (n_words < 10 or n_words > 100000
     or word_chars < 2 * n_words or word_chars > 20 * n_words or n_symbols > 0.3 * n_words
-    or bangs > 0.5 * n_words or stops < 0.02 * n_words or n_dup_lines > 0.5 * lines
+    or bangs > 0.5 * n_words or stops + 1 < 0.02 * n_words or n_dup_lines > 0.5 * lines
     or ellipses > 0.5 * lines or bullets > 0.9 * lines) as kept
 from b
 """
