@@ -42,34 +42,39 @@ def tokenizer_paths() -> tuple[str, str]:
 
 
 @lru_cache(maxsize=2)
-def encoder(json_path: str, ranks_path: str):
-    """text -> ids as the tokenizer in json_path gives them.
+def tokenizer(json_path: str):
+    from tokenizers import Tokenizer
 
-    Texts within Latin-1 go through the same vocabulary as ranks, which is several times
-    faster; others go to the tokenizer itself, whose Unicode tables may differ.
-    """
+    return Tokenizer.from_file(json_path)
+
+
+@lru_cache(maxsize=2)
+def ranked(json_path: str, ranks_path: str):
+    """The same vocabulary as ranks, with the special tokens of json_path."""
     import base64
     import json
 
     import tiktoken
     from public_tokenizers import PATTERN
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(json_path)
     with open(json_path, encoding="utf-8") as f:
         special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
 
-    def encode(text: str) -> np.ndarray:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        return fast.encode_to_numpy(text, allowed_special="all")
+def encode(text: str, paths: tuple[str, str]) -> np.ndarray:
+    """Ids as the tokenizer in paths[0] gives them.
 
-    return encode
+    Texts within Latin-1 go through the same vocabulary as ranks, which is several times
+    faster; others go to the tokenizer itself, whose Unicode tables may differ.
+    """
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return np.array(tokenizer(paths[0]).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    return ranked(*paths).encode_to_numpy(text, allowed_special="all")
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -77,11 +82,10 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 def _pieces(limit: int, end_id: int, paths: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(*paths)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), kn.as_strings(batch.column(1)), strict=True):
-                ids = np.append(encode(text.as_py()).astype("<u4"), np.uint32(end_id))
+                ids = np.append(encode(text.as_py(), paths).astype("<u4"), np.uint32(end_id))
                 at = 0
                 for piece in range(-(-len(ids) // limit)):
                     to = at + ((len(ids) - 1) % limit + 1 if piece == 0 else limit)
