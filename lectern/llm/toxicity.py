@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are letter runs, lower-cased in A-Z, and their first 4, 5 and 6 bytes, hashed into
+Terms are letter runs, lower-cased in A-Z, and their first 4 to 10 bytes, hashed into
 2^20 buckets; a text is the set of its buckets. The machine adds a weight for each bucket
 and the inner product of two factor vectors for each pair, so a pair of terms can count
 for more, or less, than its parts. It is fitted on a bounded sample of labelled texts, over
@@ -27,12 +27,14 @@ from lectern.llm import kernels as kn
 from lectern.llm import scratch
 
 BITS = 20
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8, 9, 10)
 #: Labelled rows of each class that the machine is fitted on at most; those with the lowest hash of the id.
 SAMPLE_ROWS = 6000
 #: Buckets that the machine has weights for at most, and the least distance from independence, in deviations.
-FEATURES, LEAST_Z, LEAST_DOCS = 4096, 5.0, 5
-FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 30, 512, 0.1, 1e-4
+FEATURES, LEAST_Z, LEAST_DOCS = 4096, 5.0, 3
+FACTORS, UPDATES, BATCH, RATE, DECAY = 8, 1500, 512, 0.2, 1e-5
+#: Share of a text's terms that an update sees: terms that mostly come together learn to count alone too.
+KEEP = 0.7
 #: A text is toxic from this score on.
 TOXIC = 0.7
 
@@ -84,7 +86,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit_machine(sets: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, seed: int = 7) -> Machine:
+def fit_machine(sets: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, keep: float = KEEP, seed: int = 7) -> Machine:
     """Logistic loss, AdaGrad over fixed batches; sets hold indices into buckets."""
     rng = np.random.default_rng(seed)
     n = len(buckets)
@@ -100,22 +102,22 @@ def fit_machine(sets: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray,
         feature = np.concatenate([sets[r] for r in rows]).astype(np.int64)
         doc = np.repeat(np.arange(len(rows)), sizes)
         by = np.argsort(feature, kind="stable")
-        feature, doc = feature[by], doc[by]
-        head = np.flatnonzero(np.append(True, feature[1:] != feature[:-1])) if len(feature) else np.zeros(0, int)
-        batches.append((feature, doc, head, labels[rows]))
-    for _ in range(EPOCHS):
-        for feature, doc, head, y in batches:
+        batches.append((feature[by], doc[by], labels[rows]))
+    for _ in range(-(-UPDATES // len(batches))):
+        for feature, doc, y in batches:
             m = len(y)
+            seen = rng.random(len(feature)) < keep
+            feature, doc = feature[seen], doc[seen]
             x = v[feature]
             sums = np.stack([np.bincount(doc, c, m) for c in x.T], 1)
-            squares = np.bincount(doc, (x * x).sum(1), m)
-            raw = bias + np.bincount(doc, w[feature], m) + 0.5 * ((sums**2).sum(1) - squares)
+            raw = bias + np.bincount(doc, w[feature], m) + 0.5 * ((sums**2).sum(1) - np.bincount(doc, (x * x).sum(1), m))
             off = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y) / m
             g = off.sum()
             gb += g * g
             bias -= RATE * g / np.sqrt(gb)
-            if not len(head):
+            if not len(feature):
                 continue
+            head = np.flatnonzero(np.append(True, feature[1:] != feature[:-1]))
             touched = feature[head]
             d = np.add.reduceat(off[doc], head) + DECAY * w[touched]
             gw[touched] += d * d
