@@ -68,7 +68,7 @@ def read_training(spark: SparkSession, path: str) -> DataFrame:
 def training_series(rows: DataFrame, *columns: str) -> DataFrame:
     """(series, step, value): the sparse columns of a log as one long frame."""
     pairs = ", ".join(f"'{c}', `{c}`" for c in columns)
-    return rows.selectExpr("step", f"stack({len(columns)}, {pairs}) as (series, value)").where("value is not null")
+    return rows.selectExpr("step", f"stack({len(columns)}, {pairs}) as (series, value)").where("value is not null").select("series", "step", "value")
 
 
 def read_trainer_state(spark: SparkSession, run_dir: str, key: str) -> DataFrame:
