@@ -9,7 +9,10 @@ Factors of one document that touch or overlap across blocks are then joined, whi
 the windows at factor borders, and every word under a factor goes.
 
 Windows that repeat within one map task are settled there and only their earliest place
-is sent on, so a text copied many times costs a block one entry for each task.
+is sent on, so a text copied many times costs a block one entry for each task. An anchor
+that many different windows share, such as a common line's, would still fill one block;
+a first pass counts anchors, and those of the few that are that frequent are salted with
+the window's own hash, which deals them out evenly and keeps equal windows together.
 
 Defined results: null or empty texts have no words and stay as they are; texts with fewer
 words than a window are never cut; rows with a null id are left alone and cut nothing;
@@ -32,9 +35,11 @@ from lectern.llm import kernels as kn
 from lectern.llm import scratch
 
 #: Windows that a map task holds before it sends them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Input bytes whose places share a bucket of reference blocks.
 BLOCK_BYTES = 2 << 20
+#: Share of all anchors, and least count, from which an anchor is frequent. At most 2 / SHARE can be.
+SHARE, LEAST_FREQUENT = 1 / (1 << 14), 256
 RESULT = ("n_words", "n_removed", "kept_sha256")
 
 _ENTRIES = "bucket long, base long, anchor binary, doc binary, start binary, shape binary, windows binary"
@@ -109,6 +114,24 @@ def factors(doc, start, count, repeated) -> tuple[np.ndarray, np.ndarray, np.nda
     return d[begin], s[begin], s[last] - s[begin] + 1 if len(begin) else s[begin]
 
 
+def salted(found: tuple[np.ndarray, ...], frequent: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Entries of frequent anchors as one entry for each window, under an anchor of the window's own."""
+    anchor, doc, start, count, offset, windows = found
+    if not len(frequent):
+        return found
+    at = np.minimum(np.searchsorted(frequent, anchor), len(frequent) - 1)
+    often = frequent[at] == anchor
+    if not often.any():
+        return found
+    times = np.where(often, count, 1)
+    entry = np.repeat(np.arange(len(anchor)), times)
+    within = np.arange(len(entry)) - np.repeat(np.cumsum(times) - times, times)
+    own = windows[(np.cumsum(count) - count)[entry] + within]
+    offset = offset[entry] - within
+    key = kn.mix(anchor[entry] ^ kn.mix(own + offset.astype(np.uint64)))
+    return np.where(often[entry], key, anchor[entry]), doc[entry], start[entry] + within, np.where(often[entry], 1, count[entry]), offset, windows
+
+
 def _five(windows: np.ndarray) -> bytes:
     return np.ascontiguousarray(windows).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
@@ -131,14 +154,14 @@ def _unpack(raw: bytes, base: int, n: int) -> np.ndarray:
 class _Sender:
     """Collects a task's entries and sends them to the buckets of their anchors."""
 
-    def __init__(self, buckets: int, schema: pa.Schema, seed: int):
-        self.buckets, self.schema, self.turn = buckets, schema, seed
+    def __init__(self, buckets: int, schema: pa.Schema, seed: int, frequent: np.ndarray):
+        self.buckets, self.schema, self.turn, self.frequent = buckets, schema, seed, frequent
         self.held: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
     def add(self, found: tuple[np.ndarray, ...] | None, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         if found is not None:
-            anchor, doc, start, count, offset, windows = found
+            anchor, doc, start, count, offset, windows = salted(found, self.frequent)
             self.held.append((anchor, ids[doc], start, count, offset, windows & kn.U64((1 << 40) - 1)))
             self.size += len(windows)
         if self.size >= FLUSH:
@@ -179,13 +202,45 @@ _ENTRY_SCHEMA = pa.schema([("bucket", pa.int64()), ("base", pa.int64()), *((c, p
 _FACTOR_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
 
-def _entries(n: int, k: int, buckets: int):
+def _count_anchors(n: int, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            anchors, counts = np.unique(np.concatenate(held), return_counts=True)
+            # what a task leaves out is less than half of what makes an anchor frequent
+            often = counts >= max(2, size * SHARE / 2)
+            return pa.RecordBatch.from_arrays([pa.array([None, *anchors[often].view(np.int64).tolist()], pa.int64()), pa.array([size, *counts[often].tolist()], pa.int64())], names=["anchor", "n"])
+
+        for batch in batches:
+            for _, _, data, bounds in kn.slices(batch.column(0)):
+                if (found := anchored(kn.split_words(data, bounds), n, k)) is not None:
+                    held.append(found[0])
+                    size += len(found[0])
+                if size >= FLUSH:
+                    yield counted()
+                    held, size = [], 0
+        if size:
+            yield counted()
+
+    return run
+
+
+def frequent_anchors(texts: DataFrame, n: int, k: int) -> np.ndarray:
+    """Anchors with at least SHARE of all places, ascending: no more than 2 / SHARE of them."""
+    counts = scratch.materialize(texts.select("text").mapInArrow(_count_anchors(n, k), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(f"anchor is null or n >= {LEAST_FREQUENT}"), "anchors")
+    total = counts.where("anchor is null").agg(F.sum("n")).first()[0] or 0
+    rows = counts.where(f"anchor is not null and n >= {max(LEAST_FREQUENT, total * SHARE / 2)}").collect()
+    return np.sort(np.array([r["anchor"] for r in rows], dtype=np.int64).view(np.uint64))
+
+
+def _entries(n: int, k: int, buckets: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = None
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             if sender is None and len(ids):
-                sender = _Sender(buckets, _ENTRY_SCHEMA, int(ids[0]) & 0xFFFFFFFF)
+                sender = _Sender(buckets, _ENTRY_SCHEMA, int(ids[0]) & 0xFFFFFFFF, frequent)
             for low, high, data, bounds in kn.slices(batch.column(1)):
                 yield from sender.add(anchored(kn.split_words(data, bounds), n, k), ids[low:high])
         if sender is not None:
@@ -217,7 +272,8 @@ def repeated_windows(docs: DataFrame, n: int = 20, k: int = 8, id_col: str = "do
         raise ValueError("need 0 < k <= n < 256")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     buckets = scratch.parts(docs, BLOCK_BYTES)
-    return source.mapInArrow(_entries(n, k, buckets), _ENTRIES).groupBy("bucket").applyInArrow(_settle, _FACTORS)
+    frequent = frequent_anchors(source, n, k)
+    return source.mapInArrow(_entries(n, k, buckets, frequent), _ENTRIES).groupBy("bucket").applyInArrow(_settle, _FACTORS)
 
 
 def _cut(n: int, at: int, runs_at: int, text_at: int, out: pa.Schema):
