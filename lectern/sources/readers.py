@@ -81,11 +81,11 @@ def read_trainer_state(spark: SparkSession, run_dir: str, key: str) -> DataFrame
     return state.select(F.explode("log_history").alias("h")).select("h.step", F.col(f"h.`{key}`").alias("value")).where("value is not null")
 
 
-def read_utterances(spark: SparkSession, path: str, split: str, limit: int | None = None) -> DataFrame:
+def read_utterances(spark: SparkSession, path: str, split: str, limit: int | None = None, corpus: str = "utt") -> DataFrame:
     """(segment_id, text, ord) of a parquet corpus with a `sentence` column, named by place."""
     rows = spark.read.parquet(path).select(F.monotonically_increasing_id().alias("ord"), F.col("sentence").alias("text"))
     rows = rows.orderBy("ord").limit(limit) if limit else rows
-    return rows.select(F.format_string("vivos_%s_%05d", F.lit(split), F.col("ord")).alias("segment_id"), "text", "ord")
+    return rows.select(F.format_string("%s_%s_%05d", F.lit(corpus), F.lit(split), F.col("ord")).alias("segment_id"), "text", "ord")
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:

@@ -141,7 +141,7 @@ def test_tables(spark, tmp_path):
     (tmp_path / "urls.txt").write_text(" https://a\n# no\nhttp://b \n")
     assert sorted(r.url for r in readers.read_urls(spark, str(tmp_path / "urls.txt")).collect()) == ["http://b", "https://a"]
     spark.createDataFrame([("Xin",), ("Chào",)], "sentence string").coalesce(1).write.parquet(str(tmp_path / "v"))
-    assert [r.segment_id for r in readers.read_utterances(spark, str(tmp_path / "v"), "test", 1).collect()] == ["vivos_test_00000"]
+    assert [r.segment_id for r in readers.read_utterances(spark, str(tmp_path / "v"), "test", 1).collect()] == ["utt_test_00000"]
     (tmp_path / "m1.json").write_text(json.dumps({"segments": [{"start": 0, "end": 1.5, "text": "a", "speaker": "x"}]}))
     assert [(r.meeting_id, r.end) for r in readers.read_draft_segments(spark, str(tmp_path / "m1.json")).collect()] == [("m1", 1.5)]
 
