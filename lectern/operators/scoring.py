@@ -76,11 +76,24 @@ def missing_tokens(tokens: DataFrame, top: int | None = None) -> DataFrame:
     return lost.orderBy(F.desc("missing"), "token").limit(top) if top else lost
 
 
-def paired(base: DataFrame, candidate: DataFrame, *slices: str) -> DataFrame:
-    """(slices, pos, base, candidate): rows of either side by position in their slice, where both have as many."""
+def paired(base: DataFrame, candidate: DataFrame, *slices: str, by: str | None = None) -> DataFrame:
+    """(slices, pos, base, candidate): rows of either side by position in their slice, where both have as many.
+
+    With `by`, a key that both sides share in each slice, rows meet on it, and no slice has to be
+    sorted as a whole; slices of unlike sizes drop out all the same.
+    """
+    counts = F.struct("char_edits", "char_ref_len")
+    if by is not None:
+        side = lambda frame, name: frame.select(*slices, F.col(by).alias("pos"), counts.alias(name))
+        size = lambda frame, name: frame.groupBy(*slices).agg(F.count("*").alias(name))
+        joined = side(base, "base").join(side(candidate, "candidate"), [*slices, "pos"])
+        if not slices:
+            return joined
+        alike = size(base, "n_base").join(size(candidate, "n_candidate"), list(slices)).where("n_base = n_candidate").select(*slices)
+        return joined.join(alike, list(slices), "left_semi")
     place = Window.partitionBy(*slices).orderBy("ord")
     all_of = Window.partitionBy(*slices)
-    side = lambda frame, name: frame.select(*slices, (F.row_number().over(place) - 1).alias("pos"), F.count("*").over(all_of).alias(f"n_{name}"), F.struct("char_edits", "char_ref_len").alias(name))
+    side = lambda frame, name: frame.select(*slices, (F.row_number().over(place) - 1).alias("pos"), F.count("*").over(all_of).alias(f"n_{name}"), counts.alias(name))
     return side(base, "base").join(side(candidate, "candidate"), [*slices, "pos"]).where("n_base = n_candidate").drop("n_base", "n_candidate")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -50,11 +51,14 @@ def _interval(resampled: DataFrame, slices: list[str], alpha: float) -> DataFram
 def _resampled(rows: DataFrame, slices: list[str], values: list[str], resamples: int, seed: int) -> DataFrame:
     """(slices, b, values): the sums of each resample. rows: (slices, pos, values).
 
-    Slices of up to EXACT_SEGMENTS rows meet in one group and get the exact draws. Larger ones are
-    weighted where they lie, and only their sums are shuffled.
+    Slices of up to EXACT_SEGMENTS rows meet in one group and get the exact draws, in order of pos.
+    Larger ones are weighted where they lie, and only their sums are shuffled, so a slice that holds
+    a third of all rows is no task's burden.
     """
     keys = [F.col(c) for c in slices]
-    sized = rows.withColumn("_k", F.count("*").over(Window.partitionBy(*slices)))
+    sizes = rows.groupBy(*[F.col(c).alias(f"_s_{c}") for c in slices]).agg(F.count("*").alias("_k"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in slices], F.lit(True))
+    sized = rows.join(sizes, same, "inner").select(*rows.columns, "_k")
     schema = T.StructType([*(rows.schema[c] for c in slices), T.StructField("b", T.IntegerType()), *(T.StructField(v, T.DoubleType()) for v in values)])
 
     def exact(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -85,7 +89,7 @@ def _sums_frame(key: dict, sums: np.ndarray, values: list[str]) -> pd.DataFrame:
 def bootstrap_ci(counts: DataFrame, *slices: str, resamples: int = RESAMPLES, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
     """(slices, lo, hi) of the corpus rate. counts: (slices, ord, char_edits, char_ref_len)."""
     keys = list(slices)
-    placed = counts.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("ord")) - 1).cast("long").alias("pos"), F.col("char_edits").alias("e"), F.col("char_ref_len").alias("n"))
+    placed = counts.select(*keys, F.col("ord").cast("long").alias("pos"), F.col("char_edits").alias("e"), F.col("char_ref_len").alias("n"))
     sums = _resampled(placed, keys, ["e", "n"], resamples, seed)
     return _interval(sums.withColumn("value", F.when(F.col("n") > 0, F.col("e") / F.col("n"))), keys, alpha)
 

@@ -419,7 +419,7 @@ def bootstrap_ci(spark, sf_dir):
 @query()
 def bootstrap_delta(spark, sf_dir):
     rows = segments(spark, sf_dir)
-    pairs = scoring.paired(scoring.counted(rows.withColumn("hyp", F.col("base")), words=False), scoring.counted(rows, words=False), "source")
+    pairs = scoring.paired(scoring.counted(rows.withColumn("hyp", F.col("base")), words=False), scoring.counted(rows, words=False), "source", by="ord")
     out = stats.bootstrap_delta_ci(pairs, "source")
     return out.withColumn("verdict", stats.verdict(F.col("lo"), F.col("hi"))).withColumns({"lo": r6("lo"), "hi": r6("hi")})
 

@@ -99,6 +99,8 @@ def test_paired_verdicts(spark):
     for a, b, want in ((base, better, "IMPROVED"), (better, base, "REGRESSED"), (base, base, "INCONCLUSIVE")):
         d = stats.bootstrap_delta_ci(scoring.paired(a, b))
         assert d.select(stats.verdict(F.col("lo"), F.col("hi"))).first()[0] == want
+        keyed = stats.bootstrap_delta_ci(scoring.paired(a.withColumn("s", F.lit(1)), b.withColumn("s", F.lit(1)), "s", by="ord"), "s").first()
+        assert (keyed.lo, keyed.hi) == tuple(d.first())
     assert scoring.paired(base, counts(spark, [1] * 29, [10] * 29)).count() == 0
 
 
