@@ -14,22 +14,22 @@ from lectern.llm import minhash_dedup, packing, quality_rules, scratch, substrin
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity bound, by a machine fitted on the labels of this corpus."""
     machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, machine).where(f"score < {toxicity.TOXIC}").select(*docs.columns)
+    return toxicity.score(docs, machine, name="_lx_score").where(f"_lx_score < {toxicity.TOXIC}").drop("_lx_score")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base and every quality rule keep."""
-    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+    return docs.withColumn("_lx_verdict", quality_rules.compiled()).where("_lx_verdict.kept").drop("_lx_verdict")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
-    return minhash_dedup.minhash_dedup(docs).where("kept").select(*docs.columns)
+    return minhash_dedup.minhash_dedup(docs, prefix="_lx_").where("_lx_kept").select(*[substring_dedup.quoted(c) for c in docs.columns])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; n_chars follows the text."""
-    cut = substring_dedup.substring_dedup(docs)
+    cut = substring_dedup.substring_dedup(docs, prefix="_lx_")
     return cut.selectExpr(*["cast(length(text) as long) as n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns])
 
 
