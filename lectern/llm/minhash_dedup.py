@@ -39,7 +39,7 @@ SHINGLE = 5
 #: a pair with similarity 0.75 shares fewer with a chance of 4e-6 (binomial).
 COORDINATES, MATCHES = 48, 22
 #: Outsiders and members of a posting list that meet in one tile, on average.
-TILE = (256, 2048)
+TILE = (128, 512)
 RESULT = ("n_shingles", "component_id", "kept")
 
 _A = kn.mix(np.arange(1, 257, dtype=np.uint64)) | kn.U64(1)
@@ -269,7 +269,7 @@ def near_links(docs: DataFrame, reps: DataFrame, k: int, least: int, percent: in
     lists = prefix.groupBy("key").agg(F.max_by("doc_id", F.struct(F.col("weight"), -F.col("doc_id"))).alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
     listed = scratch.materialize(prefix.join(lists, "key").select("key", "doc_id", "lead"), "listed")
     wanted = listed.select("doc_id").distinct()
-    signed = reps.join(wanted, "doc_id", "left_semi").select("doc_id", "sig")
+    signed = scratch.materialize(reps.join(wanted, "doc_id", "left_semi").select("doc_id", "sig"), "signed")
     sets = scratch.materialize(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
     pairs = listed.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     met = scratch.materialize(_attach(pairs, signed, "sig").mapInArrow(_collide(k, least), "a long, b long"), "met")
@@ -277,8 +277,10 @@ def near_links(docs: DataFrame, reps: DataFrame, k: int, least: int, percent: in
     return scratch.materialize(links.union(met_apart(listed.select("key", "doc_id"), components(links), sets, percent)), "links")
 
 
-def minhash_dedup(docs: DataFrame, percent: int = 75, k: int = COORDINATES, least: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with n_shingles, component_id (the smallest id that it is linked with, over any number of links) and kept."""
+def minhash_dedup(docs: DataFrame, percent: int = 75, k: int = COORDINATES, least: int = MATCHES, id_col: str = "doc_id", text_col: str = "text", prefix: str = "") -> DataFrame:
+    """docs with n_shingles, component_id (the smallest id that it is linked with, over any number of links)
+    and kept, whose names begin with prefix."""
+    names = [prefix + r for r in RESULT]
     quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
     source = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     signed = scratch.materialize(source.mapInArrow(_sign(k), "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "signed")
@@ -288,11 +290,11 @@ def minhash_dedup(docs: DataFrame, percent: int = 75, k: int = COORDINATES, leas
     labels = components(near_links(source.where("doc_id is not null"), reps, k, least, percent))
     classes = reps.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("n_shingles", "h1", "h2", F.coalesce("component", "doc_id").alias("component_id"))
     result = full.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["n_shingles", "h1", "h2"]).groupBy(F.col("doc_id").alias("_lx_id")).agg(F.min(F.struct("component_id", "n_shingles")).alias("_lx"))
-    plain = docs.select(*[quoted(c) for c in docs.columns if c not in RESULT])
+    plain = docs.select(*[quoted(c) for c in docs.columns if c not in names])
     joined = plain.join(result, quoted(id_col).cast("long") == F.col("_lx_id"), "left")
     own = quoted(id_col).cast("long")
     component = F.coalesce(F.col("_lx.component_id"), own)
-    return joined.select(*[quoted(c) for c in plain.columns], F.coalesce(F.col("_lx.n_shingles"), F.lit(0)).alias("n_shingles"), component.alias("component_id"), F.coalesce(component == own, F.lit(True)).alias("kept"))
+    return joined.select(*[quoted(c) for c in plain.columns], F.coalesce(F.col("_lx.n_shingles"), F.lit(0)).alias(names[0]), component.alias(names[1]), F.coalesce(component == own, F.lit(True)).alias(names[2]))
 
 
 def op10_minhash_dedup(spark, sf_dir: str) -> DataFrame:
