@@ -1,10 +1,12 @@
 """SentencePiece encoding and decoding through a table of distinct chunks.
 
 No piece of the model has a whitespace marker after another character, so no merge
-crosses from a word into the marker that follows it. A text is therefore its marked
-chunks (markers, then characters up to the next marker) segmented one by one. Each task
+crosses from a word into the marker that follows it; nor does one hold a line break. A
+text is therefore its chunks (markers, then characters up to the next marker or break)
+segmented one by one. Each worker
 keeps a table of the distinct chunks it has met, segments each once, and joins ids and
-decoded text back by position. The table is cleared when it is full.
+decoded text back by position. When the table is full, further chunks are segmented once
+for each batch of texts.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; the marker
 character itself counts as a space, as in the library; rows that repeat give equal rows.
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm import kernels as kn
 
-#: Distinct chunks that a task keeps, and the longest text of one that is kept.
-TABLE_ROWS, TABLE_CHARS = 200_000, 128
+#: Distinct chunks that a worker keeps, and the longest text of one that is kept.
+TABLE_ROWS, TABLE_CHARS = 400_000, 128
 #: Characters of text whose chunks are looked up together.
 BATCH_CHARS = 1 << 20
 MARK = "▁"
@@ -42,43 +44,63 @@ def processor(path: str):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    if any(MARK in sp.id_to_piece(i).lstrip(MARK) for i in range(sp.get_piece_size())):
-        raise ValueError("a piece of this model crosses a whitespace marker")
+    pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+    if any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces):
+        raise ValueError("a piece of this model crosses a whitespace marker or a line break")
     return sp
 
 
 def chunks(text: str) -> list[str]:
-    """The text's chunks, each without its first marker; the marker before the text is the library's own."""
+    """The text's chunks: marked ones without their first marker, and at line breaks unmarked ones that begin
+    with the break. The marker before the text is the library's own."""
     if not text:
         return []
     if MARK in text:
         text = text.replace(MARK, " ")
     if "  " in text or text[0] == " " or text[-1] == " ":
-        return [c[1:] for c in _CHUNK.findall(" " + text)]
-    return text.split(" ")
+        out: list[str] = []
+        for c in _CHUNK.findall(" " + text):
+            first, *rest = c[1:].split("\n")
+            out += [first, *["\n" + r for r in rest]]
+        return out
+    return text.replace("\n", " \n").split(" ")
 
 
 class ChunkTable(dict):
-    """chunk -> (its ids as decimal text, its decoded text)."""
+    """chunk -> (its ids as decimal text, its decoded text with the marker as a space)."""
 
     def __init__(self, path: str):
         super().__init__()
         self.sp = processor(path)
+        self.bare = self.sp.encode("a ")[len(self.sp.encode("a")) :]  # a marker with nothing to merge with
 
-    def learn(self, wanted: set[str]) -> None:
+    def learn(self, wanted: set[str]) -> list[str]:
+        """The wanted chunks that were not there yet."""
         new = list(wanted.difference(self))
         if not new:
-            return
-        for chunk, ids in zip(new, self.sp.encode(new, num_threads=1), strict=True):
-            if not chunk:  # a marker with nothing after it, at the end of a text or before more
-                ids = self.sp.encode("a ")[len(self.sp.encode("a")) :]
-            self[chunk] = ",".join(map(str, ids)).encode(), self.sp.decode(ids).encode()
-
-    def trim(self) -> None:
-        if len(self) > TABLE_ROWS:
-            self.clear()
-        for chunk in [c for c in self if len(c) > TABLE_CHARS]:
-            del self[chunk]
+            return new
+        ids = self.sp.encode(new, num_threads=1)
+        for i, chunk in enumerate(new):
+            if not chunk:
+                ids[i] = self.bare
+            elif chunk[0] == "\n":  # the library put its marker in front
+                ids[i] = ids[i][len(self.bare) :]
+        for chunk, own, text in zip(new, ids, self.sp.decode(ids), strict=True):
+            self[chunk] = ",".join(map(str, own)).encode(), (text if chunk[:1] == "\n" else " " + text).encode()
+        return new
+
+    def trim(self, new: list[str]) -> None:
+        """Keep of the new chunks those that may stay: none once the table is full, as frequent ones come early."""
+        full = len(self) > TABLE_ROWS
+        for chunk in new:
+            if full or len(chunk) > TABLE_CHARS:
+                del self[chunk]
+
+
+@lru_cache(maxsize=1)
+def table_of(path: str) -> ChunkTable:
+    """This worker's table; later tasks of the worker go on with it."""
+    return ChunkTable(path)
 
 
 def _groups(texts: pa.Array) -> Iterator[list[str]]:
@@ -98,16 +120,16 @@ def encoded(texts: pa.Array, table: ChunkTable) -> Iterator[tuple[bytes, bytes]]
     """(ids as decimal text joined by commas, decoded text) of each text."""
     for group in _groups(texts):
         cut = [chunks(t) for t in group]
-        table.learn(set().union(*cut))
+        new = table.learn(set().union(*cut))
         for found in cut:
             got = [table[c] for c in found]
-            yield b",".join([g[0] for g in got]), b" ".join([g[1] for g in got])
-        table.trim()
+            yield b",".join([g[0] for g in got]), b"".join([g[1] for g in got])[1:]
+        table.trim(new)
 
 
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(path)
+        table = table_of(path)
         for batch in batches:
             n, ids, text = [], [], []
             for joined, decoded in encoded(batch.column(1), table):
@@ -121,7 +143,7 @@ def _digests(path: str):
 
 def _ids(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(path)
+        table = table_of(path)
         for batch in batches:
             ids = [list(map(int, joined.split(b","))) if joined else [] for joined, _ in encoded(batch.column(1), table)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
