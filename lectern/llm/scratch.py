@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables written by this process, oldest first.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; where it is unset (tests on one machine), a temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,9 +30,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point in time for `release`."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Delete the tables written since a mark; results that still read them have to be stored before.
+
+    keep_last: the newest stays, as it holds what the others were for.
+    """
+    stay = _written[-1:] if keep_last and len(_written) > since else []
+    for path in _written[since : len(_written) - len(stay)]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written[since:] = stay
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of df (file sizes for tables); it only sets how finely work is dealt out."""
     try:

@@ -57,6 +57,14 @@ def test_pipeline_against_brute_force(spark):
     assert n <= -(-total // 1024) * 1.05 + 1
 
 
+def test_stages_keep_columns_that_clash(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "doc_id as kept", "doc_id as score", "doc_id as n_words", "doc_id as component_id", "cast(doc_id as string) as bucket").limit(60)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.where("kept <> doc_id or score <> doc_id or n_words <> doc_id or component_id <> doc_id").count() == 0
+    assert docs.count() > 20 and corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
+
+
 def test_stages_of_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES[:-1]:
@@ -64,6 +72,23 @@ def test_stages_of_an_empty_table(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
 
 
+def test_scratch_tables_are_released(spark):
+    from lectern.llm import scratch
+
+    since = scratch.mark()
+    frames = [scratch.materialize(spark.range(n), "t") for n in (3, 4, 5)]
+    scratch.release(spark, since, keep_last=True)
+    assert frames[2].count() == 5 and scratch.mark() == since + 1
+    scratch.release(spark, since)
+    assert scratch.mark() == since
+    spark.catalog.clearCache()
+    for frame in frames:
+        try:
+            assert frame.count() == 0  # the files are gone
+        except Exception as e:
+            assert "FILE_NOT_EXIST" in str(e) or "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e)
+
+
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}

@@ -117,11 +117,12 @@ def test_sentence_pieces_equal_the_library(spark):
 
 def test_chunk_table_stays_bounded(monkeypatch):
     monkeypatch.setattr(sentence_pieces, "TABLE_ROWS", 10)
+    monkeypatch.setattr(sentence_pieces, "BATCH_CHARS", 20)
     table = sentence_pieces.ChunkTable(sentence_pieces.model_path())
     import pyarrow as pa
 
-    assert len(list(sentence_pieces.encoded(pa.array(["a b c " * 3, "long" * 100, " ".join(map(str, range(50)))]), table))) == 3
-    assert len(table) <= 10 and not any(len(c) > sentence_pieces.TABLE_CHARS for c in table)
+    assert len(list(sentence_pieces.encoded(pa.array(["a b c " * 3, "long" * 100, " ".join(map(str, range(50))), "a z"]), table))) == 4
+    assert len(table) <= 10 and "a" in table and not any(len(c) > sentence_pieces.TABLE_CHARS for c in table)
 
 
 def check_packing(rows, texts, limit):
