@@ -51,8 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over documents, each written and read again."""
+    """The stages one after another over documents, each written and read again; what a stage wrote besides goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = scratch.mark()
     for name, stage in STAGES[:-1]:
         docs = scratch.materialize(stage(spark, docs, sf_dir), name)
+        scratch.release(spark, since, keep_last=True)
     return STAGES[-1][1](spark, docs, sf_dir)
