@@ -32,9 +32,9 @@ PREFIXES = (4, 5, 6, 7, 8, 9, 10)
 SAMPLE_ROWS = 6000
 #: Buckets that the machine has weights for at most, and the least distance from independence, in deviations.
 FEATURES, LEAST_Z, LEAST_DOCS = 4096, 5.0, 3
-FACTORS, UPDATES, BATCH, RATE, DECAY = 8, 1500, 512, 0.2, 1e-5
+FACTORS, UPDATES, BATCH, RATE, DECAY = 8, 1500, 512, 0.2, 1e-4
 #: Share of a text's terms that an update sees: terms that mostly come together learn to count alone too.
-KEEP = 0.7
+KEEP = 0.8
 #: A text is toxic from this score on.
 TOXIC = 0.7
 
@@ -195,11 +195,11 @@ def _score(machine: Machine, at: int, fields: list[str]):
     return run
 
 
-def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
-    """docs with the score of every whole text in column `score`."""
+def score(docs: DataFrame, machine: Machine, text_col: str = "text", name: str = "score") -> DataFrame:
+    """docs with the score of every whole text in column `name`; one of that name is replaced."""
     quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    plain = docs.select(*[quoted(c).cast("string").alias(c) if c == text_col else quoted(c) for c in docs.columns if c != "score"])
-    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
+    plain = docs.select(*[quoted(c).cast("string").alias(c) if c == text_col else quoted(c) for c in docs.columns if c != name])
+    schema = T.StructType([*plain.schema.fields, T.StructField(name, T.DoubleType())])
     return plain.mapInArrow(_score(machine, plain.columns.index(text_col), schema.names), schema)
 
 
