@@ -1,12 +1,15 @@
 """Scans. `ord` is the place in file order, `src_file` the file a row came from.
 
-A row's place is its file's name and its place inside the file, so ord needs no sort over
-the data: it combines the file's rank, from a listing of names, with Spark's row position.
+Spark deals files out by size, so order is made explicit: ord is the rank of the row's file
+by name, and the row's number inside the file, from its split's offset and its place in
+the split. Numbering works on one file at a time; nothing is sorted across files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.sources import schemas
@@ -20,17 +23,28 @@ def _paths(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in found or [])
 
 
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """A scan with ord and src_file."""
+    files = sorted(re.sub("^([a-z0-9]+):/+", r"\1:/", f) for f in rows.inputFiles())
+    ranks = rows.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "_path string, _rank long")
+    path = F.regexp_replace("_metadata.file_path", "^([a-z0-9]+):/+", "$1:/")
+    scan = rows.withColumns({"_path": path, "_block": F.col("_metadata.file_block_start"), "_seen": F.monotonically_increasing_id(), "src_file": F.col("_metadata.file_name")})
+    number = F.row_number().over(Window.partitionBy("_path").orderBy("_block", "_seen")) - 1
+    ranked = scan.withColumn("_number", number).join(ranks, "_path", "left")
+    return ranked.withColumn("ord", F.coalesce("_rank", F.lit(0)) * (1 << 32) + F.col("_number")).drop("_path", "_block", "_seen", "_number", "_rank")
+
+
 def read_manifests(spark: SparkSession, folder: str, pattern: str = "manifest.*.jsonl", schema: str = schemas.SEGMENT) -> DataFrame:
     """All manifests of a folder in name order; blank lines are passed over, no file is an error."""
     files = _paths(spark, f"{folder}/{pattern}")
     if not files:
         raise FileNotFoundError(f"no {pattern} in {folder}")
     rows = spark.read.schema(schema).json(files)
-    return rows.withColumn("src_file", F.col("_metadata.file_name")).withColumn("ord", F.monotonically_increasing_id())
+    return in_file_order(rows)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = schemas.SEGMENT) -> DataFrame:
-    return spark.read.schema(schema).json(path).withColumn("ord", F.monotonically_increasing_id())
+    return in_file_order(spark.read.schema(schema).json(path))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
@@ -41,7 +55,7 @@ def read_csv(spark: SparkSession, path: str, schema: str, strict: bool = True) -
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """(segment_id, meeting_id, ref, hyp, ord); empty texts stay empty, not null."""
     rows = read_csv(spark, path, schemas.PREDICTION)
-    return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("ref", "hyp")}).withColumn("ord", F.monotonically_increasing_id())
+    return in_file_order(rows).withColumns({c: F.coalesce(c, F.lit("")) for c in ("ref", "hyp")}).drop("src_file")
 
 
 def last_of_key(rows: DataFrame, *keys: str) -> DataFrame:
@@ -83,9 +97,14 @@ def read_trainer_state(spark: SparkSession, run_dir: str, key: str) -> DataFrame
 
 def read_utterances(spark: SparkSession, path: str, split: str, limit: int | None = None, corpus: str = "utt") -> DataFrame:
     """(segment_id, text, ord) of a parquet corpus with a `sentence` column, named by place."""
-    rows = spark.read.parquet(path).select(F.monotonically_increasing_id().alias("ord"), F.col("sentence").alias("text"))
+    rows = in_file_order(spark.read.parquet(path)).select("ord", F.col("sentence").alias("text"))
     rows = rows.orderBy("ord").limit(limit) if limit else rows
-    return rows.select(F.format_string("%s_%s_%05d", F.lit(corpus), F.lit(split), F.col("ord")).alias("segment_id"), "text", "ord")
+    # numbers run over files: the rows of a file start after those of the files before it
+    sizes = rows.groupBy(F.shiftright("ord", 32).alias("_file")).agg(F.count("*").alias("_n"))
+    starts = sizes.select("_file", F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # one row for each file
+    number = F.col("_start") + F.col("ord").bitwiseAND((1 << 32) - 1)
+    joined = rows.join(starts, F.shiftright("ord", 32) == F.col("_file")).withColumn("_number", number)
+    return joined.select(F.format_string("%s_%s_%05d", F.lit(corpus), F.lit(split), F.col("_number")).alias("segment_id"), "text", "ord")
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:

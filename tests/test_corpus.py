@@ -106,6 +106,12 @@ def test_manifest_files(spark, tmp_path):
     (tmp_path / "manifest.jsonl").write_text('{"segment_id":"zz"}\n')
     got = readers.read_manifests(spark, str(tmp_path))
     assert sorted((r.src_file, r.segment_id) for r in got.collect()) == [("manifest.a.jsonl", "a0"), ("manifest.b.jsonl", "b0"), ("manifest.b.jsonl", "b1")]
+    assert [r.segment_id for r in got.orderBy("ord").collect()] == ["a0", "b0", "b1"]  # by name, though b is larger
+    (tmp_path / "order of").mkdir()
+    for name, n in (("a", 2), ("b", 300), ("c", 5)):
+        (tmp_path / "order of" / f"manifest.{name} x.jsonl").write_text("".join(f'{{"segment_id":"{name}{i}"}}\n' for i in range(n)))
+    many = readers.read_manifests(spark, str(tmp_path / "order of")).orderBy("ord").collect()
+    assert [r.segment_id for r in many] == [f"{n}{i}" for n, k in (("a", 2), ("b", 300), ("c", 5)) for i in range(k)]
     with pytest.raises(FileNotFoundError):
         readers.read_manifests(spark, str(tmp_path / "none"))
     writers.write_by_meeting(records(spark, ROWS), str(tmp_path / "by"))
@@ -142,6 +148,7 @@ def test_tables(spark, tmp_path):
     assert sorted(r.url for r in readers.read_urls(spark, str(tmp_path / "urls.txt")).collect()) == ["http://b", "https://a"]
     spark.createDataFrame([("Xin",), ("Chào",)], "sentence string").coalesce(1).write.parquet(str(tmp_path / "v"))
     assert [r.segment_id for r in readers.read_utterances(spark, str(tmp_path / "v"), "test", 1).collect()] == ["utt_test_00000"]
+    assert sorted(r.segment_id for r in readers.read_utterances(spark, str(tmp_path / "v"), "test").collect()) == ["utt_test_00000", "utt_test_00001"]
     (tmp_path / "m1.json").write_text(json.dumps({"segments": [{"start": 0, "end": 1.5, "text": "a", "speaker": "x"}]}))
     assert [(r.meeting_id, r.end) for r in readers.read_draft_segments(spark, str(tmp_path / "m1.json")).collect()] == [("m1", 1.5)]
 
