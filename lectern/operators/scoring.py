@@ -127,8 +127,10 @@ def top_segment_share(frame: DataFrame) -> DataFrame:
 
 def loanword_dropped(frame: DataFrame) -> DataFrame:
     """Segments with foreign tokens in ref, with whether any of them is missing from hyp."""
-    candidates = F.filter(tx.tokens(F.col("ref")), tx.is_foreign_token)
-    return frame.withColumn("candidates", candidates).withColumn("there", tx.tokens(F.col("hyp"))).where(F.size("candidates") > 0).withColumn("dropped", F.exists("candidates", lambda c: ~F.array_contains("there", c))).drop("candidates", "there")
+    # bound once as a lambda variable: a column of tokens would be computed anew inside each use
+    both = F.array(F.struct(F.array_distinct(F.filter(tx.tokens(F.col("ref")), tx.is_foreign_token)).alias("wanted"), tx.tokens(F.col("hyp")).alias("there")))
+    dropped = F.get(F.transform(both, lambda p: F.when(F.size(p["wanted"]) > 0, F.size(F.array_except(p["wanted"], p["there"])) > 0)), F.lit(0))
+    return frame.withColumn("dropped", dropped).where(F.col("dropped").isNotNull())
 
 
 def digit_mismatch(frame: DataFrame) -> DataFrame:
