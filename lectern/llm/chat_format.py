@@ -151,3 +151,17 @@ def op1_chat_format(spark, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     return format_digests(turns.union(more))
+
+
+_HARD = "</s>[INST] ok [/INST]"
+ORACLE = rf"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as t from conversations
+  union all select * from (values (-1, 0, 'user', '{_HARD}'), (-1, 1, 'assistant', '{_HARD}'))),
+e as (select *, 17 + length(role) + length(t) + len(regexp_extract_all(t, '<s>|</s>|\[INST\]|\[/INST\]'))
+    + length(array_to_string(regexp_extract_all(t, '(\\*)(?:<s>|</s>|\[INST\]|\[/INST\])', 1), '')) + length(regexp_extract(t, '(\\*)$', 1)) as chars from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' order by turn, role, t)) as turns_sha256,
+  sum(case when role = 'assistant' then length(t) else 0 end)::bigint as loss_chars,
+  sha256(coalesce(string_agg(t, '' order by turn, role, t) filter (role = 'assistant'), '')) as loss_sha256,
+  (3 + sum(chars))::bigint as formatted_chars
+from e group by conv_id
+"""

@@ -300,3 +300,19 @@ def minhash_dedup(docs: DataFrame, percent: int = 75, k: int = COORDINATES, leas
 def op10_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return minhash_dedup(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, g from (
+  select doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from w where len(ws) >= 5)
+  union all select doc_id, array_to_string(ws, ' ') from w where len(ws) between 1 and 4)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id as id, doc_id as low from documents union select e.b, r.low from r join e on r.id = e.a where r.low < e.b),
+m as (select id, min(low) as component_id from r group by id)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d left join n on n.doc_id = d.doc_id join m on m.id = d.doc_id
+"""

@@ -18,7 +18,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_chat_format": chat_format.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
     "op3_url_filters": url_filters.ORACLE,
     "op4_exact_top_k": bit_sliced.ORACLE,
+    "op7_substring_dedup": substring_dedup.ORACLE,
+    "op10_minhash_dedup": minhash_dedup.ORACLE,
 }

@@ -319,18 +319,20 @@ def _cut(n: int, at: int, runs_at: int, text_at: int, out: pa.Schema):
     return run
 
 
-def substring_dedup(docs: DataFrame, n: int = 20, k: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the words of repeated n-word windows cut out of the text, and n_words, n_removed, kept_sha256.
+def substring_dedup(docs: DataFrame, n: int = 20, k: int = 8, id_col: str = "doc_id", text_col: str = "text", prefix: str = "") -> DataFrame:
+    """docs with the words of repeated n-word windows cut out of the text, and n_words, n_removed, kept_sha256,
+    whose names begin with prefix.
 
     The first place of a window, by id and then start, keeps its words. Separators of kept
     words stay as they are; kept_sha256 is that of the kept words joined by one space.
     """
     runs = repeated_windows(docs, n, k, id_col, text_col).groupBy(F.col("doc_id").alias("_lx_id")).agg(F.collect_list(F.struct("start", "n")).alias("_lx_runs"))
-    plain = docs.select(*[quoted(c) for c in docs.columns if c not in RESULT])
+    result = [prefix + r for r in RESULT]
+    plain = docs.select(*[quoted(c) for c in docs.columns if c not in result])
     joined = plain.join(runs, quoted(id_col).cast("long") == F.col("_lx_id"), "left").drop("_lx_id")
     names = joined.columns
     fields = [f for f in joined.schema.fields if f.name != "_lx_runs"]
-    schema = T.StructType([*(T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in fields), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
+    schema = T.StructType([*(T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in fields), *(T.StructField(r, kind) for r, kind in zip(result, (T.LongType(), T.LongType(), T.StringType()), strict=True))])
     joined = joined.withColumn(text_col, quoted(text_col).cast("string"))
     return joined.mapInArrow(_cut(n, names.index(id_col), names.index("_lx_runs"), names.index(text_col), [f.name for f in schema.fields]), schema)
 
@@ -342,3 +344,15 @@ def quoted(name: str) -> Column:
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (select doc_id, s, array_to_string(list_slice(ws, s, s + 19), ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as s from w)),
+f as (select doc_id, s, row_number() over (partition by g order by doc_id, s) as rn from g),
+c as (select distinct doc_id, p from (select doc_id, unnest(range(s, s + 20)) as p from f where rn > 1)),
+o as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as p from w),
+k as (select o.doc_id, count(*) as n, string_agg(word, ' ' order by o.p) as kept from o left join c on o.doc_id = c.doc_id and o.p = c.p where c.p is null group by o.doc_id)
+select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join k on w.doc_id = k.doc_id
+"""
