@@ -213,6 +213,42 @@ def test_machine_learns_an_interaction():
     assert np.mean((scores > 0.5) == np.array(labels)) > 0.95
 
 
+def test_toxicity_learns_pairs_of_neutral_terms(spark):
+    """Half of the texts with any one of the four words is toxic; only who meets what tells. In the second table
+    an insult is told by itself, and a neutral neighbour takes it back."""
+    rng = random.Random(3)
+    plain = [f"{a}{b}" for a in ("mel", "tor", "vin", "sab", "qui", "dor") for b in ("ano", "ixe", "ulo", "ebi", "ost", "yma")]
+
+    def texts(kind):
+        for i in range(1500):
+            group, deed, insult = rng.choice(("harvon", "belkish")), rng.choice(("greeted", "expelled")), rng.random() < 0.5
+            words = rng.choices(plain, k=10) + ([group, deed] if kind == "neutral" else [group] + ["wretch"] * insult)
+            rng.shuffle(words)
+            yield i, " ".join(words), int((group == "harvon") == (deed == "expelled")) if kind == "neutral" else int(insult and group == "harvon")
+
+    for kind in ("neutral", "insult"):
+        rows = list(texts(kind))
+        docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+        scored = toxicity.score(docs, toxicity.fit(docs, labels)).where(toxicity.held_out(F.col("doc_id"))).collect()
+        assert len(scored) > 300 and np.mean([(r.score >= 0.5) == bool(rows[r.doc_id][2]) for r in scored]) > 0.98, kind
+
+
+def test_pair_screen_equals_brute_force():
+    rng = np.random.default_rng(0)
+    sets = [np.flatnonzero(rng.random(12) < 0.4).astype(np.int32) for _ in range(200)]
+    left, variance = rng.choice([-0.5, 0.5], 200), np.full(200, 0.25)
+    for least in (1.0, 1.5, 2.0):
+        want = set()
+        for a in range(12):
+            for b in range(a):
+                both = np.array([a in s and b in s for s in sets])
+                if abs(left[both].sum()) >= least * variance[both].sum() ** 0.5:
+                    want |= {a, b}
+        assert set(toxicity.paired(sets, left, variance, 12, least)) == want
+        assert set(np.concatenate([toxicity.paired(sets, left, variance, 12, least, i, 5) for i in range(5)])) == want
+
+
 def test_toxicity_edge_tables(spark):
     docs = spark.createDataFrame([(i, t, 0.5) for i, t in [(0, "you idiot"), (2, None), (3, ""), (None, "x"), (4, "calm words"), (4, "calm words")]], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(0, 1, None), (4, 0, 1), (2, None, 0), (None, 1, 1)], "doc_id long, toxic int, quality int")
