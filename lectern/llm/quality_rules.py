@@ -56,7 +56,6 @@ MEASURES = {
 
 RULES = (
     Rule("too few words", "words", low=10),
-    Rule("too many words", "words", high=100_000),
     Rule("short words", "mean_word_chars", low=2),
     Rule("long words", "mean_word_chars", high=20),
     Rule("symbols", "symbols_per_word", high=0.3),

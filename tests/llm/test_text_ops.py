@@ -57,6 +57,20 @@ def test_quality_counts_against_brute_force(spark):
     assert quality_rules.quality_rules(frame.where("false")).count() == 0
 
 
+def test_quality_keeps_clean_texts_of_any_length(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    words = ["the", "of", *(a + b + c for a in ("ma", "to", "li") for b in ("ren", "sol", "dik") for c in ("ta", "vo", "ne"))]
+    clean = "\n".join(" ".join(rng.choices(words, k=20)) for _ in range(6000))  # 120,000 words
+    cut = "\n".join(line + "..." for line in clean.split("\n"))
+    frame = spark.createDataFrame([(1, clean), (2, cut), (3, "x " * 120_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(frame).collect()}
+    assert got[1].n_words == 120_000 and got[1].kept and got[1].broken_rules == []
+    assert got[2].broken_rules == ["cut lines"] and not got[2].kept and got[3].base_failed
+    assert [r.doc_id for r in corpus_pipeline.drop_low_quality(spark, frame, "").collect()] == [1]
+
+
 def test_quality_keeps_good_labels_and_has_no_udf(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     out = quality_rules.quality_rules(docs)
