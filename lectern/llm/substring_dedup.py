@@ -1,10 +1,12 @@
-"""Substring deduplication by relative Lempel-Ziv factors over an index of reference blocks.
+"""Substring deduplication by grouping equal windows over an index of reference blocks.
 
-Every document is parsed against the whole corpus. The corpus is cut into reference
+This stands in place of a relative Lempel-Ziv parse: there is no greedy longest match and a
+factor has no reference position, for what is cut depends only on which windows occur earlier.
+Every document is held against the whole corpus. The corpus is cut into reference
 blocks, each an index of the places where an anchor (an 8-word run) occurs; a block
 holds all places of its anchors. The anchor of a 20-word window is its smallest-hashed
-8-word run, so equal windows always meet in the same block. In a block each place is
-factored greedily: the longest runs of windows that also start earlier become factors.
+8-word run, so equal windows always meet in the same block. In a block the
+windows that also start earlier are found, and runs of adjacent ones become factors.
 Factors of one document that touch or overlap across blocks are then joined, which checks
 the windows at factor borders, and every word under a factor goes.
 
