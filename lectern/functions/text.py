@@ -162,8 +162,10 @@ def char_edits(ref: Column, hyp: Column) -> Column:
     return F.when(ref == hyp, 0).otherwise(F.levenshtein(ref, hyp)).cast("long")
 
 
-#: Distinct words that a pair of texts can hold: one code point each from 0x4E00 up to the surrogates.
-MAX_PAIR_WORDS = 0xD800 - 0x4E00
+#: Words of a pair with one UTF-16 unit each, from 0x4E00 up to the surrogates; further ones take a surrogate pair.
+UNIT_WORDS = 0xD800 - 0x4E00
+#: Distinct words that a pair of texts can hold: one code point each.
+MAX_PAIR_WORDS = UNIT_WORDS + (1 << 20)
 
 
 def word_edits(ref: Column, hyp: Column) -> Column:
@@ -172,8 +174,10 @@ def word_edits(ref: Column, hyp: Column) -> Column:
     vocabulary = lambda r, h: F.array_distinct(F.concat(r, h))
 
     def coded(words: Column, known: Column) -> Column:
-        number = lambda w: F.hex((F.array_position(known, w) + (0x4E00 - 1)).cast("long"))
-        return F.decode(F.unhex(F.array_join(F.transform(words, number), "")), "UTF-16BE")
+        above = lambda n: n - (UNIT_WORDS + 1)
+        units = lambda n: F.when(n <= UNIT_WORDS, n + (0x4E00 - 1)).otherwise(F.lit(0xD800DC00) + F.shiftright(above(n), 10) * 0x10000 + above(n).bitwiseAND(0x3FF))
+        places = F.transform(words, lambda w: F.array_position(known, w).cast("long"))
+        return F.decode(F.unhex(F.array_join(F.transform(places, lambda n: F.hex(units(n))), "")), "UTF-16BE")
 
     def distance(p: Column) -> Column:
         known = F.when(F.size(p["v"]) > MAX_PAIR_WORDS, F.raise_error(F.lit("too many distinct words in one pair")).cast("array<string>")).otherwise(p["v"])

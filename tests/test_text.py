@@ -93,3 +93,12 @@ def test_edit_distances_match_a_table(spark):
     for i, chars, words in rows:
         assert chars == edit_distance(*pairs[i])
         assert words == edit_distance(pairs[i][0].split(), pairs[i][1].split())
+
+
+def test_word_edits_of_many_distinct_words(spark):
+    n = 36_500  # more than there are code points below the surrogates
+    words = [f"w{i}" for i in range(n)]
+    rows = [(0, " ".join(words), "w35326 w35327 w35328 w36400 x"), (1, "a b", "a c"), (2, " ".join(words), f"w{n - 1}")]
+    frame = spark.createDataFrame(rows, "i int, ref string, hyp string")
+    got = {r.i: r.e for r in frame.select("i", tx.word_edits(F.col("ref"), F.col("hyp")).alias("e")).collect()}
+    assert got == {0: n - 4, 1: 1, 2: n - 1}
