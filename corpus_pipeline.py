@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns documents with the columns that came
 in; the last returns the pieces of packed sequences.
+
+Defined results: null ids pass every stage, never as a duplicate of anything; null and empty
+texts fail the quality base; of rows that repeat id and text each is judged alike, so all of
+them stay or go; rows that repeat an id with other texts are judged by their own text, but
+near-duplicate groups know an id by one of its texts; texts of any length are read whole;
+columns whose names clash with results pass through.
 """
 
 from __future__ import annotations
@@ -51,10 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over documents, each written and read again; what a stage wrote besides goes."""
+    """The stages one after another over documents, each written and read again; what a stage wrote besides goes,
+    and so does its input once its result is stored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    since = scratch.mark()
+    before: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = scratch.materialize(stage(spark, docs, sf_dir), name)
-        scratch.release(spark, since, keep_last=True)
+        with scratch.scope() as used:
+            docs = scratch.materialize(stage(spark, docs, sf_dir), name)
+        scratch.release(spark, before + used[:-1])
+        before = used[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,18 +6,33 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The innermost open scope's tables, oldest first; None outside any scope.
+_scope: ContextVar[list[str] | None] = ContextVar("lectern_scratch", default=None)
 
-#: Tables written by this process, oldest first.
-_written: list[str] = []
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The paths of what this context writes inside the block, for `release`. Scopes nest, and other threads have their own."""
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield paths
+    finally:
+        _scope.reset(token)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (tests on one machine), a temporary folder."""
+    """The cluster's spark.checkpoint.dir; where it is unset, a temporary folder for a local master, and an error for others."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
         where = tempfile.mkdtemp(prefix="lectern-")
         atexit.register(shutil.rmtree, where, True)
         where = f"file://{where}"
@@ -25,30 +40,35 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def app_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/lectern-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back, so that a lost executor costs a re-read only."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{app_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
+    if (paths := _scope.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """A point in time for `release`."""
-    return len(_written)
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
 
+def release(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete these tables; results that still read them have to be stored before."""
+    for path in paths:
+        _delete(spark, path)
 
-def release(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
-    """Delete the tables written since a mark; results that still read them have to be stored before.
 
-    keep_last: the newest stays, as it holds what the others were for.
-    """
-    stay = _written[-1:] if keep_last and len(_written) > since else []
-    for path in _written[since : len(_written) - len(stay)]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _written[since:] = stay
+def release_all(spark: SparkSession) -> None:
+    """Delete whatever this application wrote here, for its end."""
+    _delete(spark, app_dir(spark))
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -59,6 +79,6 @@ def input_bytes(df: DataFrame) -> int:
         return 1 << 30
 
 
-def parts(df: DataFrame, per: int, least: int = 16, most: int = 1 << 22) -> int:
-    """How many buckets of about `per` input bytes each."""
-    return max(least, min(most, input_bytes(df) // per))
+def parts(df: DataFrame, per: int, least: int = 16) -> int:
+    """How many buckets of about `per` input bytes each, however many that are."""
+    return max(least, input_bytes(df) // per)

@@ -1,25 +1,36 @@
-"""Substring deduplication by grouping equal windows over an index of reference blocks.
-
-This stands in place of a relative Lempel-Ziv parse: there is no greedy longest match and a
-factor has no reference position, for what is cut depends only on which windows occur earlier.
-Every document is held against the whole corpus. The corpus is cut into reference
-blocks, each an index of the places where an anchor (an 8-word run) occurs; a block
-holds all places of its anchors. The anchor of a 20-word window is its smallest-hashed
-8-word run, so equal windows always meet in the same block. In a block the
-windows that also start earlier are found, and runs of adjacent ones become factors.
-Factors of one document that touch or overlap across blocks are then joined, which checks
-the windows at factor borders, and every word under a factor goes.
-
-Windows that repeat within one map task are settled there and only their earliest place
-is sent on, so a text copied many times costs a block one entry for each task. An anchor
-that many different windows share, such as a common line's, would still fill one block;
-a first pass counts anchors, and those of the few that are that frequent are salted with
-the window's own hash, which deals them out evenly and keeps equal windows together.
-
-Defined results: null or empty texts have no words and stay as they are; texts with fewer
-words than a window are never cut; rows with a null id are left alone and cut nothing;
-rows that repeat an id and text get the same result, for neither starts earlier; other
-columns pass through, but for those with a result column's name, which are replaced.
+"""Substring deduplication by relative Lempel-Ziv parsing over an index of reference blocks.
+
+Every document is parsed against the whole corpus. Its text is read as a sequence of n-word
+windows, since only factors of n words or more cut anything: a factor of m windows is a run
+of n + m - 1 words that stands, word for word, at one earlier place, its reference.
+
+* Index. An anchor is the smallest-hashed k-word run of a window. Reference blocks hold all
+  places of their anchors, with document, start and the hashes of the windows around them,
+  so equal windows always meet in one block, and a block never grows with one document.
+* Greedy parse. In a block each fragment of a document (consecutive windows of one anchor) is
+  parsed from left to right: a window that stands earlier opens a factor at its earliest
+  place, and the factor takes in window after window as long as the reference goes on alike.
+* Boundaries. A fragment ends where the anchor changes, so factors are cut there. All factors
+  of a document are brought together, and one that begins where another ends, in document
+  and reference alike, is the same factor. Each window lies in one fragment, so those across
+  a factor's borders have been judged too.
+
+Windows that repeat within one map task are settled there and only their earliest place is
+sent on, so a text copied many times costs a block one entry for each task. An anchor that
+many different windows share, such as a common line's, would still fill one block; a first
+pass finds such anchors, and they are salted with the window's own hash, which deals them
+out evenly and keeps equal windows together.
+
+A window is told apart by 120 bits: its anchor's 64-bit hash and 56 bits of its own. Anchors
+of 2^20 places or more are salted, so of 10^13 words of distinct text the chance of one false
+repeat is in the order of 1e-4 for ordinary text.
+
+Defined results: a document is a row's id and text. Null or empty texts have no words and
+stay as they are; texts with fewer words than a window are never cut; rows with a null id
+are left alone and cut nothing; rows that repeat id and text count once and get the same
+result; of rows that repeat an id with other texts, the one whose text has the smaller
+64-bit hash starts earlier; other columns pass through, but for those with a result
+column's name, which are replaced.
 """
 
 from __future__ import annotations
@@ -42,10 +53,14 @@ FLUSH = 1 << 19
 BLOCK_BYTES = 2 << 20
 #: Share of all anchors, and least count, from which an anchor is frequent. At most 2 / SHARE can be.
 SHARE, LEAST_FREQUENT = 1 / (1 << 14), 256
+#: Places from which an anchor is frequent whatever its share, found by counting every SAMPLED-th place.
+MOST_PLACES, SAMPLED = 1 << 20, 1 << 10
+#: Bytes of a window's hash that are sent.
+HASH_BYTES = 7
 RESULT = ("n_words", "n_removed", "kept_sha256")
 
-_ENTRIES = "bucket long, base long, anchor binary, doc binary, start binary, shape binary, windows binary"
-_FACTORS = "doc_id long, start int, n int"
+_ENTRIES = "bucket long, base long, anchor binary, doc binary, text binary, start binary, shape binary, windows binary"
+_FACTORS = "doc_id long, text long, start int, n int, ref_id long, ref_text long, ref_start int"
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -78,9 +93,9 @@ def anchored(words: kn.Words, n: int, k: int) -> tuple[np.ndarray, ...] | None:
     return short[at[begin]], doc, first - words.first[doc], count, at[begin] - first, whole[valid]
 
 
-def later(anchor, doc, start, count, offset, windows) -> np.ndarray:
-    """For each window of these entries: does an equal one among them start earlier?"""
-    out = np.zeros(len(windows), dtype=bool)
+def earliest(anchor, doc, text, start, count, offset, windows) -> np.ndarray:
+    """For each window of these entries, the place here of the equal one that starts earliest: its own if none is earlier."""
+    out = np.arange(len(windows))
     order = np.argsort(anchor, kind="stable")
     same = anchor[order][1:] == anchor[order][:-1]
     often = np.zeros(len(anchor), dtype=bool)
@@ -93,27 +108,42 @@ def later(anchor, doc, start, count, offset, windows) -> np.ndarray:
     within = here - (np.cumsum(count) - count)[entry]
     a, d, s = anchor[entry], doc[entry], start[entry] + within
     w = (windows[here] << kn.U64(8)) | (offset[entry] - within).astype(np.uint64)
-    order = np.lexsort((s, d, w, a))
-    a, d, s, w = a[order], d[order], s[order], w[order]
+    order = np.lexsort((s, text[entry], d, w, a) if text.any() else (s, d, w, a))
+    a, w = a[order], w[order]
     head = np.ones(len(a), dtype=bool)
     head[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1])
-    lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-    out[here[order]] = (d != d[lead]) | (s != s[lead])
+    here = here[order]
+    out[here] = here[np.flatnonzero(head)[np.cumsum(head) - 1]]
     return out
 
 
-def factors(doc, start, count, repeated) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The repeated windows as maximal runs (document, first window, windows), across entries."""
-    at = np.flatnonzero(repeated)
-    entry = np.repeat(np.arange(len(count)), count)[at]
-    d, s = doc[entry], start[entry] + at - (np.cumsum(count) - count)[entry]
-    order = np.lexsort((s, d))
-    d, s = d[order], s[order]
-    head = np.ones(len(d), dtype=bool)
-    head[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)
-    begin = np.flatnonzero(head)
-    last = np.append(begin[1:], len(d)) - 1
-    return d[begin], s[begin], s[last] - s[begin] + 1 if len(begin) else s[begin]
+def parsed(count: np.ndarray, windows: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors (first window, windows, reference's first window) of entries, each parsed greedily from left to right:
+    a factor opens at its window's earliest place and goes on as long as the reference does."""
+    begin = np.cumsum(count) - count
+    last = np.repeat(begin + count - 1, count)
+    ref = np.where(lead != np.arange(len(lead)), lead, -1)
+    opens = ref >= 0
+    if not opens.any():
+        return (np.zeros(0, dtype=np.int64),) * 3
+    for step in range(1, int(count.max(initial=0))):
+        at = begin[count > step] + step
+        before = ref[at - 1]
+        follows = (before >= 0) & (before < last[before])
+        at, before = at[follows], before[follows]
+        alike = windows[before + 1] == windows[at]
+        ref[at[alike]], opens[at[alike]] = before[alike] + 1, False
+    at, inside = np.flatnonzero(opens), np.flatnonzero(ref >= 0)
+    n = np.diff(np.append(np.searchsorted(inside, at), len(inside)))
+    return at, n, ref[at]
+
+
+def factors(doc, text, start, count, windows, lead) -> tuple[np.ndarray, ...]:
+    """The parse of these entries as rows of _FACTORS."""
+    at, n, ref = parsed(count, windows, lead)
+    entry = np.repeat(np.arange(len(count)), count)
+    word = start[entry] + np.arange(len(entry)) - (np.cumsum(count) - count)[entry]
+    return doc[entry[at]], text[entry[at]], word[at], n, doc[entry[ref]], text[entry[ref]], word[ref]
 
 
 def salted(found: tuple[np.ndarray, ...], frequent: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -134,13 +164,13 @@ def salted(found: tuple[np.ndarray, ...], frequent: np.ndarray) -> tuple[np.ndar
     return np.where(often[entry], key, anchor[entry]), doc[entry], start[entry] + within, np.where(often[entry], 1, count[entry]), offset, windows
 
 
-def _five(windows: np.ndarray) -> bytes:
-    return np.ascontiguousarray(windows).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _short(windows: np.ndarray) -> bytes:
+    return np.ascontiguousarray(windows).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
 
 
-def _unfive(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
+def _long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // HASH_BYTES, 8), dtype=np.uint8)
+    out[:, :HASH_BYTES] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, HASH_BYTES)
     return out.reshape(-1).view(np.uint64)
 
 
@@ -153,18 +183,27 @@ def _unpack(raw: bytes, base: int, n: int) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.uint32 if len(raw) == 4 * n else np.uint64).astype(np.int64) + base
 
 
+def _text(text: np.ndarray) -> bytes | None:
+    """Hashes of texts, which are sent only where ids repeat."""
+    return text.tobytes() if text.any() else None
+
+
+def _of_text(raw: bytes | None, n: int) -> np.ndarray:
+    return np.zeros(n, dtype=np.int64) if raw is None else np.frombuffer(raw, dtype=np.int64)
+
+
 class _Sender:
-    """Collects a task's entries and sends them to the buckets of their anchors."""
+    """Collects a task's entries and sends them to the blocks of their anchors."""
 
-    def __init__(self, buckets: int, schema: pa.Schema, seed: int, frequent: np.ndarray):
-        self.buckets, self.schema, self.turn, self.frequent = buckets, schema, seed, frequent
+    def __init__(self, buckets: int, seed: int, frequent: np.ndarray):
+        self.buckets, self.turn, self.frequent = buckets, seed, frequent
         self.held: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, found: tuple[np.ndarray, ...] | None, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, found: tuple[np.ndarray, ...] | None, ids: np.ndarray, texts: np.ndarray) -> Iterator[pa.RecordBatch]:
         if found is not None:
             anchor, doc, start, count, offset, windows = salted(found, self.frequent)
-            self.held.append((anchor, ids[doc], start, count, offset, windows & kn.U64((1 << 40) - 1)))
+            self.held.append((anchor, ids[doc], texts[doc], start, count, offset, windows & kn.U64((1 << 8 * HASH_BYTES) - 1)))
             self.size += len(windows)
         if self.size >= FLUSH:
             yield from self.flush()
@@ -172,36 +211,38 @@ class _Sender:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        anchor, doc, start, count, offset, windows = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        anchor, doc, text, start, count, offset, windows = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.size = [], 0
-        repeated = later(anchor, doc, start, count, offset, windows)
-        settled = np.logical_and.reduceat(repeated, np.cumsum(count) - count)
+        lead = earliest(anchor, doc, text, start, count, offset, windows)
+        begin = np.cumsum(count) - count
+        settled = np.logical_and.reduceat(lead != np.arange(len(lead)), begin)
         base = int(doc.min())
         rows: list[tuple] = []
         if settled.any():
-            d, s, n = factors(doc, start, count, np.repeat(settled, count))
+            # what these entries refer to is sent on; the others' windows wait for their block
+            lead = np.where(np.repeat(settled, count), lead, np.arange(len(lead)))
+            own = factors(doc, text, start, count, windows, lead)
             self.turn += 1
             bucket = int(kn.mix(np.array([self.turn], dtype=np.uint64))[0] % np.uint64(self.buckets))
-            rows.append((bucket, base, None, _pack(d, base), s.astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes(), None))
+            rows.append((bucket, base, None, None, None, None, None, np.stack(own).astype(np.int64).tobytes()))
         keep = np.flatnonzero(~settled)
         bucket = (anchor[keep] % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         keep, bucket = keep[order], bucket[order]
-        begin = (np.cumsum(count) - count)[keep]
         sizes = count[keep]
         to = np.cumsum(sizes)
-        take = np.arange(int(to[-1]) if len(to) else 0) - np.repeat(to - sizes, sizes) + np.repeat(begin, sizes)
+        take = np.arange(int(to[-1]) if len(to) else 0) - np.repeat(to - sizes, sizes) + np.repeat(begin[keep], sizes)
         moved = windows[take]
-        anchor, doc, start, shape = anchor[keep], doc[keep], start[keep], np.stack([sizes, offset[keep]], 1).astype(np.uint8)
+        anchor, doc, text, start, shape = anchor[keep], doc[keep], text[keep], start[keep], np.stack([sizes, offset[keep]], 1).astype(np.uint8)
         cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, int), len(bucket))
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             low = int(to[i - 1]) if i else 0
-            rows.append((int(bucket[i]), base, anchor[i:j].tobytes(), _pack(doc[i:j], base), start[i:j].astype(np.uint32).tobytes(), shape[i:j].tobytes(), _five(moved[low : int(to[j - 1])])))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), self.schema, strict=True)], schema=self.schema)
+            rows.append((int(bucket[i]), base, anchor[i:j].tobytes(), _pack(doc[i:j], base), _text(text[i:j]), start[i:j].astype(np.uint32).tobytes(), shape[i:j].tobytes(), _short(moved[low : int(to[j - 1])])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ENTRY_SCHEMA, strict=True)], schema=_ENTRY_SCHEMA)
 
 
-_ENTRY_SCHEMA = pa.schema([("bucket", pa.int64()), ("base", pa.int64()), *((c, pa.binary()) for c in ("anchor", "doc", "start", "shape", "windows"))])
-_FACTOR_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+_ENTRY_SCHEMA = pa.schema([("bucket", pa.int64()), ("base", pa.int64()), *((c, pa.binary()) for c in ("anchor", "doc", "text", "start", "shape", "windows"))])
+_FACTOR_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("ref_id", pa.int64()), ("ref_text", pa.int64()), ("ref_start", pa.int32())])
 
 
 def _count_anchors(n: int, k: int):
@@ -209,10 +250,15 @@ def _count_anchors(n: int, k: int):
         held, size = [], 0
 
         def counted() -> pa.RecordBatch:
-            anchors, counts = np.unique(np.concatenate(held), return_counts=True)
-            # what a task leaves out is less than half of what makes an anchor frequent
+            places = np.concatenate(held)
+            anchors, counts = np.unique(places, return_counts=True)
+            # what a task leaves out is less than half of what makes an anchor's share frequent
             often = counts >= max(2, size * SHARE / 2)
-            return pa.RecordBatch.from_arrays([pa.array([None, *anchors[often].view(np.int64).tolist()], pa.int64()), pa.array([size, *counts[often].tolist()], pa.int64())], names=["anchor", "n"])
+            sampled = places[::SAMPLED]
+            ids = [None, *anchors[often].view(np.int64).tolist(), *sampled.view(np.int64).tolist()]
+            n = [size, *counts[often].tolist(), *[0] * len(sampled)]
+            seen = [0] * (1 + int(often.sum())) + [1] * len(sampled)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(seen, pa.int64())], names=["anchor", "n", "sampled"])
 
         for batch in batches:
             for _, _, data, bounds in kn.slices(batch.column(0)):
@@ -229,10 +275,12 @@ def _count_anchors(n: int, k: int):
 
 
 def frequent_anchors(texts: DataFrame, n: int, k: int) -> np.ndarray:
-    """Anchors with at least SHARE of all places, ascending: no more than 2 / SHARE of them."""
-    counts = scratch.materialize(texts.select("text").mapInArrow(_count_anchors(n, k), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(f"anchor is null or n >= {LEAST_FREQUENT}"), "anchors")
+    """Anchors with at least SHARE of all places or about MOST_PLACES, ascending: no more than 2 / SHARE, and two
+    for each MOST_PLACES places of the corpus. They only set how entries are dealt out."""
+    counts = texts.select("text").mapInArrow(_count_anchors(n, k), "anchor long, n long, sampled long").groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("sampled").alias("sampled"))
+    counts = scratch.materialize(counts.where(f"anchor is null or n >= {LEAST_FREQUENT} or sampled >= {max(1, MOST_PLACES // SAMPLED // 2)}"), "anchors")
     total = counts.where("anchor is null").agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(f"anchor is not null and n >= {max(LEAST_FREQUENT, total * SHARE / 2)}").collect()
+    rows = counts.where(f"anchor is not null and (n >= {max(LEAST_FREQUENT, total * SHARE / 2)} or sampled >= {max(1, MOST_PLACES // SAMPLED // 2)})").collect()
     return np.sort(np.array([r["anchor"] for r in rows], dtype=np.int64).view(np.uint64))
 
 
@@ -240,42 +288,82 @@ def _entries(n: int, k: int, buckets: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = None
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, texts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             if sender is None and len(ids):
-                sender = _Sender(buckets, _ENTRY_SCHEMA, int(ids[0]) & 0xFFFFFFFF, frequent)
+                sender = _Sender(buckets, int(ids[0]) & 0xFFFFFFFF, frequent)
             for low, high, data, bounds in kn.slices(batch.column(1)):
-                yield from sender.add(anchored(kn.split_words(data, bounds), n, k), ids[low:high])
+                yield from sender.add(anchored(kn.split_words(data, bounds), n, k), ids[low:high], texts[low:high])
         if sender is not None:
             yield from sender.flush()
 
     return run
 
 
-def _settle(table: pa.Table) -> pa.Table:
-    held, direct = [], []
-    for row in table.select(["base", "anchor", "doc", "start", "shape", "windows"]).to_pylist():
-        start = np.frombuffer(row["start"], dtype=np.uint32).astype(np.int64)
-        doc = _unpack(row["doc"], row["base"], len(start))
+def _parse_block(table: pa.Table) -> pa.Table:
+    held, rows = [], []
+    for row in table.select(["base", "anchor", "doc", "text", "start", "shape", "windows"]).to_pylist():
         if row["anchor"] is None:
-            direct.append((doc, start, np.frombuffer(row["shape"], dtype=np.uint32).astype(np.int64)))
-        else:
-            shape = np.frombuffer(row["shape"], dtype=np.uint8).reshape(-1, 2).astype(np.int64)
-            held.append((np.frombuffer(row["anchor"], dtype=np.uint64), doc, start, shape[:, 0], shape[:, 1], _unfive(row["windows"])))
+            rows.append(tuple(np.frombuffer(row["windows"], dtype=np.int64).reshape(len(_FACTOR_SCHEMA), -1)))
+            continue
+        start = np.frombuffer(row["start"], dtype=np.uint32).astype(np.int64)
+        shape = np.frombuffer(row["shape"], dtype=np.uint8).reshape(-1, 2).astype(np.int64)
+        held.append((np.frombuffer(row["anchor"], dtype=np.uint64), _unpack(row["doc"], row["base"], len(start)), _of_text(row["text"], len(start)), start, shape[:, 0], shape[:, 1], _long(row["windows"])))
     if held:
-        anchor, doc, start, count, offset, windows = (np.concatenate(x) for x in zip(*held, strict=True))
-        direct.append(factors(doc, start, count, later(anchor, doc, start, count, offset, windows)))
-    d, s, n = (np.concatenate(x) for x in zip(*direct, strict=True))
-    return pa.Table.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32())], schema=_FACTOR_SCHEMA)
+        anchor, doc, text, start, count, offset, windows = (np.concatenate(x) for x in zip(*held, strict=True))
+        rows.append(factors(doc, text, start, count, windows, earliest(anchor, doc, text, start, count, offset, windows)))
+    return pa.Table.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*rows, strict=True), _FACTOR_SCHEMA, strict=True)], schema=_FACTOR_SCHEMA)
+
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(doc_id, text, hash) of distinct documents, where the hash is 0 unless some id has several texts; and whether one has."""
+    source = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    facts = source.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).agg(F.max("n").alias("n"), F.max(F.col("low") != F.col("high")).alias("several")).first()  # one row
+    several = bool(facts["several"])
+    source = source.withColumn("h", F.xxhash64("text") if several else F.lit(0).cast("long"))
+    if (facts["n"] or 0) > 1:  # a row that repeats another would be its own reference
+        source = source.groupBy("doc_id", "h").agg(F.first("text").alias("text")).select("doc_id", "text", "h")
+    return source, several
 
-def repeated_windows(docs: DataFrame, n: int = 20, k: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, n): in document doc_id the n windows from word `start` on also start earlier."""
+
+def _parsed(docs: DataFrame, n: int, k: int, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
     if not 0 < k <= n < 256:
         raise ValueError("need 0 < k <= n < 256")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    source, several = _keyed(docs, id_col, text_col)
     buckets = scratch.parts(docs, BLOCK_BYTES)
     frequent = frequent_anchors(source, n, k)
-    return source.mapInArrow(_entries(n, k, buckets, frequent), _ENTRIES).groupBy("bucket").applyInArrow(_settle, _FACTORS)
+    return source.mapInArrow(_entries(n, k, buckets, frequent), _ENTRIES).groupBy("bucket").applyInArrow(_parse_block, _FACTORS), several
+
+
+def chained(pieces: list) -> list[tuple]:
+    """Factors (start, n, ref_id, ref_text, ref_start) of one document in order, those joined that go on in document and reference."""
+    out: list[list] = []
+    for p in sorted(pieces, key=lambda p: p["start"]):
+        own = [p["start"], p["n"], p["ref_id"], p["ref_text"], p["ref_start"]]
+        if out and out[-1][0] + out[-1][1] == own[0] and out[-1][2:4] == own[2:4] and out[-1][4] + out[-1][1] == own[4]:
+            out[-1][1] += own[1]
+        else:
+            out.append(own)
+    return [tuple(f) for f in out]
+
+
+def _by_document(docs: DataFrame, n: int, k: int, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(_lx_id, _lx_text, _lx_runs): the parse of each document that has factors."""
+    found, several = _parsed(docs, n, k, id_col, text_col)
+    return found.groupBy(F.col("doc_id").alias("_lx_id"), F.col("text").alias("_lx_text")).agg(F.collect_list(F.struct("start", "n", "ref_id", "ref_text", "ref_start")).alias("_lx_runs")), several
+
+
+def lempel_ziv_factors(docs: DataFrame, n: int = 20, k: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start, n_words, ref_id, ref_start): the long factors of every document, in words. The n_words words from
+    `start` on stand at ref_start of document ref_id too, which is earlier; factors of one document may overlap by n - 1 words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d, start, m + n - 1, ref, ref_start) for d, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for start, m, ref, _, ref_start in chained(pieces)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_words", "ref_id", "ref_start"])
+
+    runs, _ = _by_document(docs, n, k, id_col, text_col)
+    return runs.select("_lx_id", "_lx_runs").mapInArrow(run, "doc_id long, start long, n_words long, ref_id long, ref_start long")
 
 
 def _cut(n: int, at: int, runs_at: int, text_at: int, out: pa.Schema):
@@ -290,8 +378,8 @@ def _cut(n: int, at: int, runs_at: int, text_at: int, out: pa.Schema):
                 removed = 0
                 if run.is_valid and len(words) >= n:
                     covered = np.zeros(len(words) + 1, dtype=np.int64)
-                    for piece in run.as_py():
-                        low, high = piece["start"], min(len(words), piece["start"] + piece["n"] + n - 1)
+                    for start, m, *_ in chained(run.as_py()):
+                        low, high = start, min(len(words), start + m + n - 1)
                         if low < high:
                             covered[low] += 1
                             covered[high] -= 1
@@ -328,10 +416,13 @@ def substring_dedup(docs: DataFrame, n: int = 20, k: int = 8, id_col: str = "doc
     The first place of a window, by id and then start, keeps its words. Separators of kept
     words stay as they are; kept_sha256 is that of the kept words joined by one space.
     """
-    runs = repeated_windows(docs, n, k, id_col, text_col).groupBy(F.col("doc_id").alias("_lx_id")).agg(F.collect_list(F.struct("start", "n")).alias("_lx_runs"))
+    runs, several = _by_document(docs, n, k, id_col, text_col)
     result = [prefix + r for r in RESULT]
     plain = docs.select(*[quoted(c) for c in docs.columns if c not in result])
-    joined = plain.join(runs, quoted(id_col).cast("long") == F.col("_lx_id"), "left").drop("_lx_id")
+    same = quoted(id_col).cast("long") == F.col("_lx_id")
+    if several:
+        same &= F.xxhash64(quoted(text_col).cast("string")) == F.col("_lx_text")
+    joined = plain.join(runs, same, "left").drop("_lx_id", "_lx_text")
     names = joined.columns
     fields = [f for f in joined.schema.fields if f.name != "_lx_runs"]
     schema = T.StructType([*(T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in fields), *(T.StructField(r, kind) for r, kind in zip(result, (T.LongType(), T.LongType(), T.StringType()), strict=True))])

@@ -49,6 +49,8 @@ def test_substring_dedup_against_brute_force(spark, seed):
 def test_substring_dedup_over_small_flushes_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "FLUSH", 300)
     monkeypatch.setattr(substring_dedup, "LEAST_FREQUENT", 6)  # frequent anchors are salted
+    monkeypatch.setattr(substring_dedup, "MOST_PLACES", 4)  # and so are those that a sample of places finds
+    monkeypatch.setattr(substring_dedup, "SAMPLED", 2)
     rows = corpus(3)
     n, k = 6, 2
     got = substring_dedup.substring_dedup(docs(spark, rows), n, k).collect()
@@ -75,6 +77,52 @@ def test_substring_dedup_edge_tables(spark):
     assert got == {1: 59999, 2: 0}  # only the first window starts nowhere earlier, and the second covers all its words but one
 
 
+def test_substring_dedup_of_repeated_ids(spark):
+    """A document is its id and text: cuts of one text never reach another row of the same id."""
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    got = {(r.doc_id, r.text): r for r in substring_dedup.substring_dedup(docs(spark, [(1, a), (5, a), (5, b), (5, b)])).collect()}
+    assert {k: r.n_removed for k, r in got.items()} == {(1, a): 0, (5, ""): 30, (5, b): 0}
+    hot = [(7, f"h{i} " + a) for i in range(40)]  # one id, many texts: one keeps the passage
+    got = substring_dedup.substring_dedup(docs(spark, hot)).collect()
+    assert sorted(r.n_removed for r in got) == [0] + [30] * 39
+
+
+def test_lempel_ziv_factors(spark):
+    """Every factor stands at its reference word for word, earlier, and no factor could go on."""
+    rows = corpus(7)
+    words = {d: brute.WORD.findall(t or "") for d, t in rows}
+    n = 6
+    got = sorted(map(tuple, substring_dedup.lempel_ziv_factors(docs(spark, rows), n, 2).collect()))
+    assert len(got) > 50 and len({g[2] for g in got}) > 5
+    covered = {}
+    for doc, start, size, ref, ref_start in got:
+        assert size >= n and (ref, ref_start) < (doc, start)
+        assert words[doc][start : start + size] == words[ref][ref_start : ref_start + size]
+        for i in range(start, start + size - n + 1):
+            assert (doc, i) not in covered  # a window is in one factor
+            covered[doc, i] = True
+    for one, two in zip(got, got[1:]):
+        if one[0] == two[0] and one[1] + one[2] - n + 1 == two[1]:  # joined where both go on alike
+            assert (one[3], one[4] + one[2] - n + 1) != two[3:5]
+    first = {}
+    want = set()
+    for d, w in sorted(words.items()):
+        for i in range(len(w) - n + 1):
+            if first.setdefault(tuple(w[i : i + n]), (d, i)) != (d, i):
+                want.add((d, i))
+    assert set(covered) == want
+
+
+def test_greedy_parse_follows_the_reference():
+    import numpy as np
+
+    count = np.array([3, 2, 3])
+    windows = np.array([1, 2, 3, 8, 9, 1, 2, 9], dtype=np.uint64)
+    lead = np.array([0, 1, 2, 3, 4, 0, 1, 4])
+    at, n, ref = substring_dedup.parsed(count, windows, lead)
+    assert (at.tolist(), n.tolist(), ref.tolist()) == ([5, 7], [2, 1], [0, 4])
+
+
 @pytest.mark.parametrize("seed", [4, 5])
 def test_near_dedup_against_brute_force(spark, seed):
     rows = corpus(seed)

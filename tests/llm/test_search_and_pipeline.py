@@ -75,18 +75,28 @@ def test_stages_of_an_empty_table(spark):
 def test_scratch_tables_are_released(spark):
     from lectern.llm import scratch
 
-    since = scratch.mark()
-    frames = [scratch.materialize(spark.range(n), "t") for n in (3, 4, 5)]
-    scratch.release(spark, since, keep_last=True)
-    assert frames[2].count() == 5 and scratch.mark() == since + 1
-    scratch.release(spark, since)
-    assert scratch.mark() == since
-    spark.catalog.clearCache()
-    for frame in frames:
-        try:
-            assert frame.count() == 0  # the files are gone
-        except Exception as e:
-            assert "FILE_NOT_EXIST" in str(e) or "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e)
+    there = lambda path: spark._jvm.java.io.File(path.removeprefix("file://")).exists()
+    with scratch.scope() as outer:
+        kept = scratch.materialize(spark.range(3), "t")
+        with scratch.scope() as inner:
+            frames = [scratch.materialize(spark.range(n), "t") for n in (4, 5)]
+    assert len(outer) == 1 and len(inner) == 2
+    scratch.release(spark, inner[:-1])
+    assert frames[1].count() == 5 and kept.count() == 3 and [there(p) for p in inner] == [False, True]
+    scratch.release(spark, outer + inner)
+    assert not any(map(there, outer + inner))
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from lectern.llm import scratch
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(cluster)
 
 
 def test_every_operator_is_registered():
