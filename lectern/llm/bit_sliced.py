@@ -6,7 +6,12 @@ each bit. For a query the slices are added up, shifted by the bits of the compon
 weight and complemented where it is negative, in carry-save bitmap arithmetic; the sum's
 slices bound each row's score. The rows of the k best sums are found from the most
 significant slice downward; every row whose bound reaches theirs is a boundary row and is
-resolved by its exact score. Blocks of queries meet blocks of rows one tile at a time.
+resolved by its exact score.
+
+A tile is a block of rows and a batch of queries. Its task reads the block, then the batch,
+one after the other from a sorted partition. A block is sent once for each batch of
+QUERY_ROWS queries, and a query once for each block; only where that makes fewer tiles
+than there are cores are batches smaller.
 
 Defined results: vectors that are null or hold null or non-finite components take no part;
 of rows that repeat an id, one counts (the least vector); shorter vectors count as if
@@ -24,22 +29,27 @@ from pyspark.sql import functions as F
 
 from lectern.llm import scratch
 
-#: Rows of an index block and queries of a query block, on average; bits kept of a component.
-BLOCK_ROWS, QUERY_ROWS, BITS = 1 << 16, 128, 7
+#: Rows of an index block and queries of a batch, on average; bits kept of a component.
+BLOCK_ROWS, QUERY_ROWS, BITS = 1 << 16, 1 << 14, 7
+#: Tiles that one task works off at most, on average.
+TASK_TILES = 64
 SCALE = 256
 
 
-def quantised(vectors: list) -> tuple[np.ndarray, np.ndarray]:
+def quantised(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(which vectors take part, floor(SCALE * x) of those)."""
-    good = np.array([v is not None and all(x is not None for x in v) for v in vectors], dtype=bool)
-    kept = [v for v, g in zip(vectors, good, strict=True) if g]
-    width = max(map(len, kept), default=0)
-    out = np.zeros((len(kept), width))
-    for i, v in enumerate(kept):
-        out[i, : len(v)] = v
-    finite = np.isfinite(out).all(axis=1)
-    good[np.flatnonzero(good)[~finite]] = False
-    return good, np.floor(SCALE * out[finite]).astype(np.int64)
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    good = np.asarray(vectors.is_valid())
+    size = np.where(good, np.asarray(vectors.value_lengths().fill_null(0)), 0).astype(np.int64)
+    values = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # null becomes nan
+    row = np.repeat(np.arange(len(size)), size)
+    good[row[~np.isfinite(values)]] = False
+    out = np.zeros((len(size), int(size[good].max(initial=0))), dtype=np.int64)
+    kept = good[row]
+    at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    out[row[kept], at[kept]] = np.floor(SCALE * values[kept])
+    return good, out[good]
 
 
 def _pack_bits(bits: np.ndarray) -> np.ndarray:
@@ -140,7 +150,7 @@ _GROUP = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("width", pa.in
 
 def _gather(table: pa.Table) -> pa.Table:
     """A block's rows that take part, one for each id, as one row."""
-    good, numbers = quantised(table.column("vector").to_pylist())
+    good, numbers = quantised(table.column("vector"))
     ids = table.column("vec_id").to_numpy()[good]
     order = np.lexsort((*numbers.T[::-1], ids))
     ids, numbers = ids[order], numbers[order]
@@ -155,17 +165,22 @@ _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score",
 
 
 def _tiles(k: int, bits: int):
+    """Rows sorted by block and batch, each batch after a copy of its block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                number, ids, width, numbers, q_ids, q_width, q_numbers = (batch.column(j)[i].as_py() for j in range(7))
-                if held != number:
-                    ids = np.frombuffer(ids, dtype=np.int64)
-                    block, held = Block(ids, _of_numbers(numbers, len(ids), width), bits), number
-                q_ids = np.frombuffer(q_ids, dtype=np.int64)
+                number, asked, ids, width, numbers = (batch.column(j)[i].as_py() for j in range(5))
+                ids = np.frombuffer(ids, dtype=np.int64)
+                if not asked:
+                    if held != number:
+                        block, held = Block(ids, _of_numbers(numbers, len(ids), width), bits), number
+                    continue
+                if held != number:  # a block without rows has no index
+                    continue
                 rows: list[tuple[int, int, int]] = []
-                for q, query in zip(q_ids.tolist(), _of_numbers(q_numbers, len(q_ids), q_width), strict=True):
+                for q, query in zip(ids.tolist(), _of_numbers(numbers, len(ids), width), strict=True):
                     found, scores = block.top(query, q, k)
                     rows += [(q, v, s) for v, s in zip(found.tolist(), scores.tolist(), strict=True)]
                 if rows:
@@ -178,15 +193,24 @@ def exact_top_k(rows: DataFrame, every: int, k: int = 5, bits: int = BITS, block
     """(query_id, rank, vec_id, score): of every row whose id is divisible by `every`, the k best other rows."""
     quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
     source = rows.select(quoted(id_col).cast("long").alias("vec_id"), quoted(vector_col).cast("array<double>").alias("vector")).where("vec_id is not null")
-    blocks = max(1, -(-source.count() // block_rows))
-    queries = max(1, -(-source.where(F.col("vec_id") % every == 0).count() // query_rows))
+    queries = F.col("vec_id") % every == 0
+    n_rows, n_queries = source.agg(F.count("*"), F.count_if(queries)).first()  # one row
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n_rows // block_rows))
+    batches = max(1, -(-n_queries // query_rows), min(-(-n_queries // 16), -(-2 * cores // blocks)))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("long").alias("block")
     layout = "block long, ids binary, width int, numbers binary"
-    index = scratch.materialize(source.select(deal(blocks), "vec_id", "vector").groupBy("block").applyInArrow(_gather, layout), "slices")
-    asked = source.where(F.col("vec_id") % every == 0).select(deal(queries), "vec_id", "vector").groupBy("block").applyInArrow(_gather, layout)
-    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.col("block").alias("part"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("numbers").alias("q_numbers"))
-    tiles = max(1, min(blocks * queries, 4096))
-    met = asked.join(index, "block").repartition(tiles, "block", "part").select("block", "ids", "width", "numbers", "q_ids", "q_width", "q_numbers")
+    gathered = lambda frame, n: frame.select(deal(n), "vec_id", "vector").groupBy("block").applyInArrow(_gather, layout)
+    index = scratch.materialize(gathered(source, blocks), "slices")
+    asked = gathered(source.where(queries), batches)
+    copies = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
+    sent = index.select("block", copies(batches, "batch"), F.lit(False).alias("asked"), "ids", "width", "numbers")
+    sent = sent.union(asked.select(copies(blocks, "block"), F.col("block").alias("batch"), F.lit(True).alias("asked"), "ids", "width", "numbers"))
+    tile = F.col("block") * batches + F.col("batch")
+    tasks = max(1, min(blocks * batches, max(4 * cores, blocks * batches // TASK_TILES)))
+    # tiles that follow each other go to one task, so that it reads a block's slices once
+    task = F.floor(tile * tasks / (blocks * batches)).cast("int")
+    met = sent.repartitionById(tasks, task).sortWithinPartitions("block", "batch", "asked").select("block", "asked", "ids", "width", "numbers")
     found = met.mapInArrow(_tiles(k, bits), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
