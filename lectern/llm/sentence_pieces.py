@@ -1,34 +1,44 @@
-"""SentencePiece encoding and decoding through a table of distinct chunks.
+"""SentencePiece encoding and decoding through one table of the corpus's distinct chunks.
 
 No piece of the model has a whitespace marker after another character, so no merge
 crosses from a word into the marker that follows it; nor does one hold a line break. A
 text is therefore its chunks (markers, then characters up to the next marker or break)
-segmented one by one. Each worker
-keeps a table of the distinct chunks it has met, segments each once, and joins ids and
-decoded text back by position. When the table is full, further chunks are segmented once
-for each batch of texts.
+segmented one by one.
+
+1. A task cuts its texts into chunks and numbers the distinct ones of a slice of texts. The
+   slice is written as numbers by position, and as its list of chunks.
+2. The lists are grouped to the table of distinct chunks: each is segmented and decoded
+   once in the whole corpus.
+3. The table is joined back to the lists, and a slice's lists to its positions.
+
+So a word is sent once for each slice that has it, not for each place.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; the marker
-character itself counts as a space, as in the library; rows that repeat give equal rows.
+character itself counts as a space, as in the library; rows that repeat give equal rows;
+a null id stays null; a very long text is a slice of its own; other columns are not used.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import kernels as kn
+from lectern.llm import scratch
 
-#: Distinct chunks that a worker keeps, and the longest text of one that is kept.
-TABLE_ROWS, TABLE_CHARS = 400_000, 128
-#: Characters of text whose chunks are looked up together.
-BATCH_CHARS = 1 << 20
+#: Characters of a slice, and of the texts whose positions are one row.
+SLICE_CHARS, ROW_CHARS = 1 << 24, 1 << 19
+#: Chunks that the library segments in one call.
+BATCH_CHUNKS = 1 << 14
 MARK = "▁"
 _CHUNK = re.compile(r" +[^ ]*")
 
@@ -66,91 +76,104 @@ def chunks(text: str) -> list[str]:
     return text.replace("\n", " \n").split(" ")
 
 
-class ChunkTable(dict):
-    """chunk -> (its ids as decimal text, its decoded text with the marker as a space)."""
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.sp = processor(path)
-        self.bare = self.sp.encode("a ")[len(self.sp.encode("a")) :]  # a marker with nothing to merge with
-
-    def learn(self, wanted: set[str]) -> list[str]:
-        """The wanted chunks that were not there yet."""
-        new = list(wanted.difference(self))
-        if not new:
-            return new
-        ids = self.sp.encode(new, num_threads=1)
-        for i, chunk in enumerate(new):
-            if not chunk:
-                ids[i] = self.bare
-            elif chunk[0] == "\n":  # the library put its marker in front
-                ids[i] = ids[i][len(self.bare) :]
-        for chunk, own, text in zip(new, ids, self.sp.decode(ids), strict=True):
-            self[chunk] = ",".join(map(str, own)).encode(), (text if chunk[:1] == "\n" else " " + text).encode()
-        return new
-
-    def trim(self, new: list[str]) -> None:
-        """Keep of the new chunks those that may stay: none once the table is full, as frequent ones come early."""
-        full = len(self) > TABLE_ROWS
-        for chunk in new:
-            if full or len(chunk) > TABLE_CHARS:
-                del self[chunk]
-
-
-@lru_cache(maxsize=1)
-def table_of(path: str) -> ChunkTable:
-    """This worker's table; later tasks of the worker go on with it."""
-    return ChunkTable(path)
-
-
-def _groups(texts: pa.Array) -> Iterator[list[str]]:
-    held: list[str] = []
-    size = 0
-    for text in kn.as_strings(texts):
-        held.append(text.as_py())
-        size += len(held[-1])
-        if size >= BATCH_CHARS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def encoded(texts: pa.Array, table: ChunkTable) -> Iterator[tuple[bytes, bytes]]:
-    """(ids as decimal text joined by commas, decoded text) of each text."""
-    for group in _groups(texts):
-        cut = [chunks(t) for t in group]
-        new = table.learn(set().union(*cut))
-        for found in cut:
-            got = [table[c] for c in found]
-            yield b",".join([g[0] for g in got]), b"".join([g[1] for g in got])[1:]
-        table.trim(new)
-
-
-def _digests(path: str):
+_CUT = pa.schema([("slice", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.binary()), ("numbers", pa.binary()), ("n_bytes", pa.int64()), ("chunks", pa.list_(pa.string()))])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of texts as chunk numbers by position, and at the end of each slice a row of its chunks in order of number."""
+    # read only from the table that this is written to, so that numbers and chunks are one task attempt's
+    place, n_slices = TaskContext.get().partitionId() << 32, 0
+    number: defaultdict[str, int] = defaultdict()
+    number.default_factory = number.__len__
+    ids: list[int | None] = []
+    held: list[list[int]] = []
+    size = row_size = 0
+
+    def row(chunks: list[str] | None = None) -> pa.RecordBatch:
+        flat = np.fromiter((n for own in held for n in own), dtype="<u4")
+        packed = pa.compress(flat.tobytes(), codec="zstd", asbytes=True)
+        values = (place + n_slices, ids, np.array([len(h) for h in held], dtype="<u4").tobytes(), packed, flat.nbytes, chunks)
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _CUT, strict=True)], schema=_CUT)
+
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), kn.as_strings(batch.column(1)), strict=True):
+            text = text.as_py()
+            ids.append(doc_id)
+            held.append(list(map(number.__getitem__, chunks(text))))
+            size, row_size = size + len(text), row_size + len(text)
+            if size >= SLICE_CHARS:
+                yield row(list(number))
+                number.clear()
+                ids, held, size, row_size, n_slices = [], [], 0, 0, n_slices + 1
+            elif row_size >= ROW_CHARS:
+                yield row()
+                ids, held, row_size = [], [], 0
+    if number or ids:
+        yield row(list(number))
+
+
+def segmented(wanted: list[str], sp) -> tuple[list[list[int]], list[str]]:
+    """(ids, decoded text with the marker as a space) of each chunk."""
+    bare = sp.encode("a ")[len(sp.encode("a")) :]  # a marker with nothing to merge with
+    ids = sp.encode(wanted, num_threads=1)
+    for i, chunk in enumerate(wanted):
+        if not chunk:
+            ids[i] = bare
+        elif chunk[0] == "\n":  # the library put its marker in front
+            ids[i] = ids[i][len(bare) :]
+    return ids, [text if chunk[:1] == "\n" else " " + text for chunk, text in zip(wanted, sp.decode(ids), strict=True)]
+
+
+def _segment(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = table_of(path)
+        sp = processor(path)
         for batch in batches:
-            n, ids, text = [], [], []
-            for joined, decoded in encoded(batch.column(1), table):
-                n.append(joined.count(b",") + 1 if joined else 0)
-                ids.append(hashlib.sha256(joined).hexdigest())
-                text.append(hashlib.sha256(decoded).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for low in range(0, batch.num_rows, BATCH_CHUNKS):
+                part = batch.column(0).slice(low, BATCH_CHUNKS)
+                ids, texts = segmented(part.to_pylist(), sp)
+                yield pa.RecordBatch.from_arrays([part, pa.array([",".join(map(str, i)) for i in ids], pa.string()), pa.array([len(i) for i in ids], pa.int32()), pa.array(texts, pa.string())], names=["chunk", "ids", "n", "text"])
 
     return run
 
 
-def _ids(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = table_of(path)
-        for batch in batches:
-            ids = [list(map(int, joined.split(b","))) if joined else [] for joined, _ in encoded(batch.column(1), table)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+def _place(finish: Callable[[bytes, bytes, int], tuple], out: pa.Schema):
+    """Texts of a slice from its positions and its chunks' segments."""
+
+    def run(positions: pa.Table, table: pa.Table) -> pa.Table:
+        at = table.column("number").to_numpy()
+        order = np.argsort(at)
+        ids = [x.encode() for x in table.column("ids").take(order).to_pylist()]
+        texts = [x.encode() for x in table.column("text").take(order).to_pylist()]
+        sizes = table.column("n").to_numpy()[order]
+        rows: list[tuple] = []
+        for r in positions.to_pylist():
+            numbers = np.frombuffer(pa.decompress(r["numbers"], r["n_bytes"], codec="zstd"), dtype="<u4")
+            counts = np.frombuffer(r["counts"], dtype="<u4")
+            to = np.cumsum(counts, dtype=np.int64)
+            for doc_id, low, high in zip(r["doc_ids"], to - counts, to, strict=True):
+                own = numbers[low:high].tolist()
+                rows.append((doc_id, *finish(b",".join([ids[i] for i in own]), b"".join([texts[i] for i in own])[1:], int(sizes[own].sum()) if own else 0)))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out) if rows else out.empty_table()
 
     return run
 
 
+def _joined(docs: DataFrame, id_col: str, text_col: str, path: str, finish: Callable[[bytes, bytes, int], tuple], out: pa.Schema, layout: str) -> DataFrame:
+    cut = scratch.materialize(_source(docs, id_col, text_col).mapInArrow(_cut, "slice long, doc_ids array<long>, counts binary, numbers binary, n_bytes long, chunks array<string>"), "positions")
+    lists = cut.where("chunks is not null").select(F.col("slice").alias("part"), F.posexplode("chunks").alias("number", "chunk"))
+    distinct = lists.select("chunk").distinct().mapInArrow(_segment(path), "chunk string, ids string, n int, text string")
+    segments = lists.join(distinct, "chunk").select("part", "number", "ids", "n", "text")
+    positions = cut.select("slice", "doc_ids", "counts", "numbers", "n_bytes")
+    return positions.groupBy("slice").cogroup(segments.groupBy("part")).applyInArrow(_place(finish, out), layout)
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """(doc_id, ids array<int>) of whole texts."""
+    finish = lambda ids, text, n: (list(map(int, ids.split(b","))) if n else [],)
+    out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    return _joined(docs, id_col, text_col, path or model_path(), finish, out, "doc_id long, ids array<int>")
+
+
 def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(path)
@@ -161,11 +184,6 @@ def _decoded(path: str):
     return run
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(doc_id, ids array<int>) of whole texts."""
-    return _source(docs, id_col, text_col).mapInArrow(_ids(path or model_path()), "doc_id long, ids array<int>")
-
-
 def decode(encoded_docs: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """(doc_id, text) of whole id lists; null counts as no ids."""
     return encoded_docs.select(F.col(id_col).cast("long"), F.col(ids_col).cast("array<int>")).mapInArrow(_decoded(path or model_path()), "doc_id long, text string")
@@ -177,5 +195,8 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    digest = lambda raw: hashlib.sha256(raw).hexdigest()
+    finish = lambda ids, text, n: (n, digest(ids), digest(text))
+    out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return _source(docs, "doc_id", "text").mapInArrow(_digests(model_path()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _joined(docs, "doc_id", "text", model_path(), finish, out, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -129,14 +129,36 @@ def test_sentence_pieces_equal_the_library(spark):
     assert sentence_pieces.encode(frame.where("false")).count() == 0
 
 
-def test_chunk_table_stays_bounded(monkeypatch):
-    monkeypatch.setattr(sentence_pieces, "TABLE_ROWS", 10)
-    monkeypatch.setattr(sentence_pieces, "BATCH_CHARS", 20)
-    table = sentence_pieces.ChunkTable(sentence_pieces.model_path())
+def test_chunks_are_segmented_once_over_many_slices(spark, monkeypatch):
+    """Slices and rows of a few characters, texts far longer than a slice, repeated rows and null ids."""
     import pyarrow as pa
 
-    assert len(list(sentence_pieces.encoded(pa.array(["a b c " * 3, "long" * 100, " ".join(map(str, range(50))), "a z"]), table))) == 4
-    assert len(table) <= 10 and "a" in table and not any(len(c) > sentence_pieces.TABLE_CHARS for c in table)
+    monkeypatch.setattr(sentence_pieces, "SLICE_CHARS", 40)
+    monkeypatch.setattr(sentence_pieces, "ROW_CHARS", 10)
+    sp = sentence_pieces.processor(sentence_pieces.model_path())
+    texts = [*ODD, "word " * 40_000, "x" * 100_000, None, "a b c", "a b c"]
+    rows = [(None if i % 5 == 0 else i % 20, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame([(d, t, "k", 1) for d, t in rows], "doc_id long, text string, slice string, n int").repartition(3)
+    got = sorted(((r.doc_id or -1, tuple(r.ids)) for r in sentence_pieces.encode(frame).collect()))
+    assert got == sorted((d or -1, tuple(sp.encode(t or ""))) for d, t in rows)
+
+    class Task:
+        @staticmethod
+        def partitionId():
+            return 3
+
+    monkeypatch.setattr(sentence_pieces, "TaskContext", type("C", (), {"get": staticmethod(Task)}))
+    cut = list(sentence_pieces._cut(iter([pa.record_batch([pa.array(range(6)), pa.array(["a b a", "b c", "d " * 30, "", "e", "a"])], names=["doc_id", "text"])])))
+    by = {}
+    for c in cut:
+        (r,) = c.to_pylist()
+        by.setdefault(r["slice"], []).append(r)
+    assert list(by) == [3 << 32, (3 << 32) + 1] and [rs[-1]["chunks"] for rs in by.values()] == [["a", "b", "c", "d", ""], ["e", "a"]]
+
+
+def test_plan_joins_distinct_chunks_back(spark):
+    plan = sentence_pieces.op6_sentencepiece(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [chunk" in plan and "Join Inner, (chunk" in plan and "CoGroup" in plan
 
 
 def check_packing(rows, texts, limit):
