@@ -60,7 +60,9 @@ HASH_BYTES = 7
 RESULT = ("n_words", "n_removed", "kept_sha256")
 
 _ENTRIES = "bucket long, base long, anchor binary, doc binary, text binary, start binary, shape binary, windows binary"
-_FACTORS = "doc_id long, text long, start int, n int, ref_id long, ref_text long, ref_start int"
+_FACTORS = "doc_id long, text long, factors binary"
+#: One factor, in windows: where it starts, how many, and where its reference starts.
+_FACTOR = np.dtype([("start", "<i4"), ("n", "<i4"), ("ref_start", "<i4"), ("ref_id", "<i8"), ("ref_text", "<i8")])
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -138,12 +140,14 @@ def parsed(count: np.ndarray, windows: np.ndarray, lead: np.ndarray) -> tuple[np
     return at, n, ref[at]
 
 
-def factors(doc, text, start, count, windows, lead) -> tuple[np.ndarray, ...]:
-    """The parse of these entries as rows of _FACTORS."""
+def factors(doc, text, start, count, windows, lead) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, text, factor) of the parse of these entries."""
     at, n, ref = parsed(count, windows, lead)
     entry = np.repeat(np.arange(len(count)), count)
     word = start[entry] + np.arange(len(entry)) - (np.cumsum(count) - count)[entry]
-    return doc[entry[at]], text[entry[at]], word[at], n, doc[entry[ref]], text[entry[ref]], word[ref]
+    out = np.empty(len(at), dtype=_FACTOR)
+    out["start"], out["n"], out["ref_start"], out["ref_id"], out["ref_text"] = word[at], n, word[ref], doc[entry[ref]], text[entry[ref]]
+    return doc[entry[at]], text[entry[at]], out
 
 
 def salted(found: tuple[np.ndarray, ...], frequent: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -174,13 +178,15 @@ def _long(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def _pack(doc: np.ndarray, base: int) -> bytes:
-    delta = (doc - base).astype(np.uint64)
-    return delta.astype(np.uint32).tobytes() if not len(delta) or delta.max() < 1 << 32 else delta.tobytes()
+def _pack(values: np.ndarray, base: int = 0) -> bytes:
+    """Distances from base in 2, 4 or 8 bytes each."""
+    delta = (values - base).astype(np.uint64)
+    most = int(delta.max(initial=0))
+    return delta.astype("<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8").tobytes()
 
 
-def _unpack(raw: bytes, base: int, n: int) -> np.ndarray:
-    return np.frombuffer(raw, dtype=np.uint32 if len(raw) == 4 * n else np.uint64).astype(np.int64) + base
+def _unpack(raw: bytes, n: int, base: int = 0) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<u{len(raw) // n}").astype(np.int64) + base
 
 
 def _text(text: np.ndarray) -> bytes | None:
@@ -224,7 +230,7 @@ class _Sender:
             own = factors(doc, text, start, count, windows, lead)
             self.turn += 1
             bucket = int(kn.mix(np.array([self.turn], dtype=np.uint64))[0] % np.uint64(self.buckets))
-            rows.append((bucket, base, None, None, None, None, None, np.stack(own).astype(np.int64).tobytes()))
+            rows.append((bucket, base, None, own[0].tobytes(), own[1].tobytes(), None, None, own[2].tobytes()))
         keep = np.flatnonzero(~settled)
         bucket = (anchor[keep] % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -233,16 +239,16 @@ class _Sender:
         to = np.cumsum(sizes)
         take = np.arange(int(to[-1]) if len(to) else 0) - np.repeat(to - sizes, sizes) + np.repeat(begin[keep], sizes)
         moved = windows[take]
-        anchor, doc, text, start, shape = anchor[keep], doc[keep], text[keep], start[keep], np.stack([sizes, offset[keep]], 1).astype(np.uint8)
+        anchor, doc, text, start, shape = anchor[keep], doc[keep], text[keep], start[keep], sizes << 8 | offset[keep]
         cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, int), len(bucket))
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             low = int(to[i - 1]) if i else 0
-            rows.append((int(bucket[i]), base, anchor[i:j].tobytes(), _pack(doc[i:j], base), _text(text[i:j]), start[i:j].astype(np.uint32).tobytes(), shape[i:j].tobytes(), _short(moved[low : int(to[j - 1])])))
+            rows.append((int(bucket[i]), base, anchor[i:j].tobytes(), _pack(doc[i:j], base), _text(text[i:j]), _pack(start[i:j]), _pack(shape[i:j]), _short(moved[low : int(to[j - 1])])))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ENTRY_SCHEMA, strict=True)], schema=_ENTRY_SCHEMA)
 
 
 _ENTRY_SCHEMA = pa.schema([("bucket", pa.int64()), ("base", pa.int64()), *((c, pa.binary()) for c in ("anchor", "doc", "text", "start", "shape", "windows"))])
-_FACTOR_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("ref_id", pa.int64()), ("ref_text", pa.int64()), ("ref_start", pa.int32())])
+_FACTOR_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.int64()), ("factors", pa.binary())])
 
 
 def _count_anchors(n: int, k: int):
@@ -300,18 +306,25 @@ def _entries(n: int, k: int, buckets: int, frequent: np.ndarray):
 
 
 def _parse_block(table: pa.Table) -> pa.Table:
-    held, rows = [], []
+    """The factors of a block, one row for each document that has any."""
+    held, found = [], []
     for row in table.select(["base", "anchor", "doc", "text", "start", "shape", "windows"]).to_pylist():
         if row["anchor"] is None:
-            rows.append(tuple(np.frombuffer(row["windows"], dtype=np.int64).reshape(len(_FACTOR_SCHEMA), -1)))
+            found.append((np.frombuffer(row["doc"], dtype=np.int64), np.frombuffer(row["text"], dtype=np.int64), np.frombuffer(row["windows"], dtype=_FACTOR)))
             continue
-        start = np.frombuffer(row["start"], dtype=np.uint32).astype(np.int64)
-        shape = np.frombuffer(row["shape"], dtype=np.uint8).reshape(-1, 2).astype(np.int64)
-        held.append((np.frombuffer(row["anchor"], dtype=np.uint64), _unpack(row["doc"], row["base"], len(start)), _of_text(row["text"], len(start)), start, shape[:, 0], shape[:, 1], _long(row["windows"])))
+        anchor = np.frombuffer(row["anchor"], dtype=np.uint64)
+        n = len(anchor)
+        shape = _unpack(row["shape"], n)
+        held.append((anchor, _unpack(row["doc"], n, row["base"]), _of_text(row["text"], n), _unpack(row["start"], n), shape >> 8, shape & 255, _long(row["windows"])))
     if held:
         anchor, doc, text, start, count, offset, windows = (np.concatenate(x) for x in zip(*held, strict=True))
-        rows.append(factors(doc, text, start, count, windows, earliest(anchor, doc, text, start, count, offset, windows)))
-    return pa.Table.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*rows, strict=True), _FACTOR_SCHEMA, strict=True)], schema=_FACTOR_SCHEMA)
+        found.append(factors(doc, text, start, count, windows, earliest(anchor, doc, text, start, count, offset, windows)))
+    doc, text, own = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((own["start"], text, doc))
+    doc, text, own = doc[order], text[order], own[order]
+    begin = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]))) if len(doc) else np.zeros(0, dtype=np.int64)
+    packed = [own[i:j].tobytes() for i, j in zip(begin, np.append(begin, len(doc))[1:], strict=True)]
+    return pa.Table.from_arrays([pa.array(doc[begin], pa.int64()), pa.array(text[begin], pa.int64()), pa.array(packed, pa.binary())], schema=_FACTOR_SCHEMA)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
@@ -334,22 +347,23 @@ def _parsed(docs: DataFrame, n: int, k: int, id_col: str, text_col: str) -> tupl
     return source.mapInArrow(_entries(n, k, buckets, frequent), _ENTRIES).groupBy("bucket").applyInArrow(_parse_block, _FACTORS), several
 
 
-def chained(pieces: list) -> list[tuple]:
-    """Factors (start, n, ref_id, ref_text, ref_start) of one document in order, those joined that go on in document and reference."""
-    out: list[list] = []
-    for p in sorted(pieces, key=lambda p: p["start"]):
-        own = [p["start"], p["n"], p["ref_id"], p["ref_text"], p["ref_start"]]
-        if out and out[-1][0] + out[-1][1] == own[0] and out[-1][2:4] == own[2:4] and out[-1][4] + out[-1][1] == own[4]:
-            out[-1][1] += own[1]
-        else:
-            out.append(own)
-    return [tuple(f) for f in out]
+def chained(packed: list[bytes]) -> np.ndarray:
+    """The factors of one document in order, those joined that go on in document and reference."""
+    own = np.frombuffer(b"".join(packed), dtype=_FACTOR)
+    own = own[np.argsort(own["start"], kind="stable")]
+    one, two = own[:-1], own[1:]
+    goes_on = (one["start"] + one["n"] == two["start"]) & (one["ref_id"] == two["ref_id"]) & (one["ref_text"] == two["ref_text"]) & (one["ref_start"] + one["n"] == two["ref_start"])
+    begin = np.flatnonzero(np.append(True, ~goes_on)) if len(own) else np.zeros(0, dtype=np.int64)
+    out = own[begin]
+    if len(own):
+        out["n"] = np.add.reduceat(own["n"], begin)
+    return out
 
 
 def _by_document(docs: DataFrame, n: int, k: int, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
     """(_lx_id, _lx_text, _lx_runs): the parse of each document that has factors."""
     found, several = _parsed(docs, n, k, id_col, text_col)
-    return found.groupBy(F.col("doc_id").alias("_lx_id"), F.col("text").alias("_lx_text")).agg(F.collect_list(F.struct("start", "n", "ref_id", "ref_text", "ref_start")).alias("_lx_runs")), several
+    return found.groupBy(F.col("doc_id").alias("_lx_id"), F.col("text").alias("_lx_text")).agg(F.collect_list("factors").alias("_lx_runs")), several
 
 
 def lempel_ziv_factors(docs: DataFrame, n: int = 20, k: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -358,9 +372,10 @@ def lempel_ziv_factors(docs: DataFrame, n: int = 20, k: int = 8, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, start, m + n - 1, ref, ref_start) for d, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for start, m, ref, _, ref_start in chained(pieces)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_words", "ref_id", "ref_start"])
+            for doc_id, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = chained(packed)
+                columns = (np.full(len(own), doc_id), own["start"], own["n"] + (n - 1), own["ref_id"], own["ref_start"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_words", "ref_id", "ref_start"])
 
     runs, _ = _by_document(docs, n, k, id_col, text_col)
     return runs.select("_lx_id", "_lx_runs").mapInArrow(run, "doc_id long, start long, n_words long, ref_id long, ref_start long")
@@ -377,12 +392,8 @@ def _cut(n: int, at: int, runs_at: int, text_at: int, out: pa.Schema):
                 words = raw.split()
                 removed = 0
                 if run.is_valid and len(words) >= n:
-                    covered = np.zeros(len(words) + 1, dtype=np.int64)
-                    for start, m, *_ in chained(run.as_py()):
-                        low, high = start, min(len(words), start + m + n - 1)
-                        if low < high:
-                            covered[low] += 1
-                            covered[high] -= 1
+                    own = chained(run.as_py())
+                    covered = np.bincount(own["start"], minlength=len(words) + 1) - np.bincount(own["start"] + own["n"] + (n - 1), minlength=len(words) + 1)
                     keep = np.cumsum(covered[:-1]) == 0
                     removed = int(len(words) - keep.sum())
                 if removed:
