@@ -1,21 +1,23 @@
-"""SentencePiece encoding and decoding through one table of the corpus's distinct chunks.
+"""SentencePiece encoding and decoding through tables of distinct chunks.
 
 No piece of the model has a whitespace marker after another character, so no merge
 crosses from a word into the marker that follows it; nor does one hold a line break. A
 text is therefore its chunks (markers, then characters up to the next marker or break)
 segmented one by one.
 
-1. A task cuts its texts into chunks and numbers the distinct ones of a slice of texts. The
-   slice is written as numbers by position, and as its list of chunks.
-2. The lists are grouped to the table of distinct chunks: each is segmented and decoded
-   once in the whole corpus.
-3. The table is joined back to the lists, and a slice's lists to its positions.
+1. A task cuts a slice of texts into chunks; each text becomes the numbers of its chunks by
+   position, and the slice's distinct chunks become a table in order of number.
+2. Each chunk of the table is segmented and decoded once.
+3. Ids and decoded text are joined back by position.
 
-So a word is sent once for each slice that has it, not for each place.
+The table is that of a slice of SLICE_CHARS characters. One table of the whole corpus would
+have every position or every (slice, chunk) pair cross the network three times; the README
+has figures. Slices need no shuffle, and each holds one text's positions wholly.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; the marker
 character itself counts as a space, as in the library; rows that repeat give equal rows;
-a null id stays null; a very long text is a slice of its own; other columns are not used.
+a null id stays null; a text longer than a slice is a slice with what came before it;
+other columns are not used.
 """
 
 from __future__ import annotations
@@ -25,20 +27,19 @@ import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import kernels as kn
-from lectern.llm import scratch
 
-#: Characters of a slice, and of the texts whose positions are one row.
-SLICE_CHARS, ROW_CHARS = 1 << 24, 1 << 19
-#: Chunks that the library segments in one call.
-BATCH_CHUNKS = 1 << 14
+#: Characters of a slice.
+SLICE_CHARS = 1 << 24
+#: Chunks that the library segments in one call, and texts of one batch of results.
+BATCH_CHUNKS, BATCH_ROWS = 1 << 14, 1 << 10
 MARK = "▁"
 _CHUNK = re.compile(r" +[^ ]*")
 
@@ -76,42 +77,6 @@ def chunks(text: str) -> list[str]:
     return text.replace("\n", " \n").split(" ")
 
 
-_CUT = pa.schema([("slice", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.binary()), ("numbers", pa.binary()), ("n_bytes", pa.int64()), ("chunks", pa.list_(pa.string()))])
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of texts as chunk numbers by position, and at the end of each slice a row of its chunks in order of number."""
-    # read only from the table that this is written to, so that numbers and chunks are one task attempt's
-    place, n_slices = TaskContext.get().partitionId() << 32, 0
-    number: defaultdict[str, int] = defaultdict()
-    number.default_factory = number.__len__
-    ids: list[int | None] = []
-    held: list[list[int]] = []
-    size = row_size = 0
-
-    def row(chunks: list[str] | None = None) -> pa.RecordBatch:
-        flat = np.fromiter((n for own in held for n in own), dtype="<u4")
-        packed = pa.compress(flat.tobytes(), codec="zstd", asbytes=True)
-        values = (place + n_slices, ids, np.array([len(h) for h in held], dtype="<u4").tobytes(), packed, flat.nbytes, chunks)
-        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _CUT, strict=True)], schema=_CUT)
-
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), kn.as_strings(batch.column(1)), strict=True):
-            text = text.as_py()
-            ids.append(doc_id)
-            held.append(list(map(number.__getitem__, chunks(text))))
-            size, row_size = size + len(text), row_size + len(text)
-            if size >= SLICE_CHARS:
-                yield row(list(number))
-                number.clear()
-                ids, held, size, row_size, n_slices = [], [], 0, 0, n_slices + 1
-            elif row_size >= ROW_CHARS:
-                yield row()
-                ids, held, row_size = [], [], 0
-    if number or ids:
-        yield row(list(number))
-
-
 def segmented(wanted: list[str], sp) -> tuple[list[list[int]], list[str]]:
     """(ids, decoded text with the marker as a space) of each chunk."""
     bare = sp.encode("a ")[len(sp.encode("a")) :]  # a marker with nothing to merge with
@@ -124,54 +89,62 @@ def segmented(wanted: list[str], sp) -> tuple[list[list[int]], list[str]]:
     return ids, [text if chunk[:1] == "\n" else " " + text for chunk, text in zip(wanted, sp.decode(ids), strict=True)]
 
 
-def _segment(path: str):
+class Slice:
+    """Texts as chunk numbers by position, and the table of their distinct chunks."""
+
+    def __init__(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.ids: list[int | None] = []
+        self.positions: list[np.ndarray] = []
+        self.chars = 0
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        self.ids.append(doc_id)
+        self.positions.append(np.array(list(map(self.number.__getitem__, chunks(text))), dtype=np.int32))
+        self.chars += len(text)
+
+    def joined(self, sp) -> Iterator[tuple[int | None, bytes, bytes, int]]:
+        """(doc_id, ids as decimal text, decoded text, number of ids) of each text."""
+        table: list[tuple[bytes, bytes]] = []
+        sizes: list[int] = []
+        wanted = list(self.number)
+        for low in range(0, len(wanted), BATCH_CHUNKS):
+            ids, texts = segmented(wanted[low : low + BATCH_CHUNKS], sp)
+            table += [(",".join(map(str, i)).encode(), t.encode()) for i, t in zip(ids, texts, strict=True)]
+            sizes += map(len, ids)
+        n = np.array(sizes, dtype=np.int64)
+        for doc_id, at in zip(self.ids, self.positions, strict=True):
+            own = [table[i] for i in at.tolist()]
+            yield doc_id, b",".join([o[0] for o in own]), b"".join([o[1] for o in own])[1:], int(n[at].sum())
+
+
+def _joined(path: str, finish: Callable[[bytes, bytes, int], tuple], out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(path)
-        for batch in batches:
-            for low in range(0, batch.num_rows, BATCH_CHUNKS):
-                part = batch.column(0).slice(low, BATCH_CHUNKS)
-                ids, texts = segmented(part.to_pylist(), sp)
-                yield pa.RecordBatch.from_arrays([part, pa.array([",".join(map(str, i)) for i in ids], pa.string()), pa.array([len(i) for i in ids], pa.int32()), pa.array(texts, pa.string())], names=["chunk", "ids", "n", "text"])
-
-    return run
 
+        def results(part: Slice) -> Iterator[pa.RecordBatch]:
+            rows = ((doc_id, *finish(*found)) for doc_id, *found in part.joined(sp))
+            while some := list(islice(rows, BATCH_ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), out, strict=True)], schema=out)
 
-def _place(finish: Callable[[bytes, bytes, int], tuple], out: pa.Schema):
-    """Texts of a slice from its positions and its chunks' segments."""
-
-    def run(positions: pa.Table, table: pa.Table) -> pa.Table:
-        at = table.column("number").to_numpy()
-        order = np.argsort(at)
-        ids = [x.encode() for x in table.column("ids").take(order).to_pylist()]
-        texts = [x.encode() for x in table.column("text").take(order).to_pylist()]
-        sizes = table.column("n").to_numpy()[order]
-        rows: list[tuple] = []
-        for r in positions.to_pylist():
-            numbers = np.frombuffer(pa.decompress(r["numbers"], r["n_bytes"], codec="zstd"), dtype="<u4")
-            counts = np.frombuffer(r["counts"], dtype="<u4")
-            to = np.cumsum(counts, dtype=np.int64)
-            for doc_id, low, high in zip(r["doc_ids"], to - counts, to, strict=True):
-                own = numbers[low:high].tolist()
-                rows.append((doc_id, *finish(b",".join([ids[i] for i in own]), b"".join([texts[i] for i in own])[1:], int(sizes[own].sum()) if own else 0)))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out) if rows else out.empty_table()
+        part = Slice()
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), kn.as_strings(batch.column(1)), strict=True):
+                part.add(doc_id, text.as_py())
+                if part.chars >= SLICE_CHARS:
+                    yield from results(part)
+                    part = Slice()
+        yield from results(part)
 
     return run
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, path: str, finish: Callable[[bytes, bytes, int], tuple], out: pa.Schema, layout: str) -> DataFrame:
-    cut = scratch.materialize(_source(docs, id_col, text_col).mapInArrow(_cut, "slice long, doc_ids array<long>, counts binary, numbers binary, n_bytes long, chunks array<string>"), "positions")
-    lists = cut.where("chunks is not null").select(F.col("slice").alias("part"), F.posexplode("chunks").alias("number", "chunk"))
-    distinct = lists.select("chunk").distinct().mapInArrow(_segment(path), "chunk string, ids string, n int, text string")
-    segments = lists.join(distinct, "chunk").select("part", "number", "ids", "n", "text")
-    positions = cut.select("slice", "doc_ids", "counts", "numbers", "n_bytes")
-    return positions.groupBy("slice").cogroup(segments.groupBy("part")).applyInArrow(_place(finish, out), layout)
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of whole texts."""
     finish = lambda ids, text, n: (list(map(int, ids.split(b","))) if n else [],)
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return _joined(docs, id_col, text_col, path or model_path(), finish, out, "doc_id long, ids array<int>")
+    return _source(docs, id_col, text_col).mapInArrow(_joined(path or model_path(), finish, out), "doc_id long, ids array<int>")
 
 
 def _decoded(path: str):
@@ -199,4 +172,4 @@ def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
     finish = lambda ids, text, n: (n, digest(ids), digest(text))
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return _joined(docs, "doc_id", "text", model_path(), finish, out, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _source(docs, "doc_id", "text").mapInArrow(_joined(model_path(), finish, out), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

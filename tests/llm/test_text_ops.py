@@ -129,36 +129,40 @@ def test_sentence_pieces_equal_the_library(spark):
     assert sentence_pieces.encode(frame.where("false")).count() == 0
 
 
-def test_chunks_are_segmented_once_over_many_slices(spark, monkeypatch):
-    """Slices and rows of a few characters, texts far longer than a slice, repeated rows and null ids."""
+def test_chunks_are_segmented_once_in_a_slice(spark, monkeypatch):
+    """Texts far longer than a batch, repeated rows and null ids; then slices of a few characters."""
     import pyarrow as pa
 
-    monkeypatch.setattr(sentence_pieces, "SLICE_CHARS", 40)
-    monkeypatch.setattr(sentence_pieces, "ROW_CHARS", 10)
     sp = sentence_pieces.processor(sentence_pieces.model_path())
     texts = [*ODD, "word " * 40_000, "x" * 100_000, None, "a b c", "a b c"]
     rows = [(None if i % 5 == 0 else i % 20, t) for i, t in enumerate(texts)]
     frame = spark.createDataFrame([(d, t, "k", 1) for d, t in rows], "doc_id long, text string, slice string, n int").repartition(3)
     got = sorted(((r.doc_id or -1, tuple(r.ids)) for r in sentence_pieces.encode(frame).collect()))
-    assert got == sorted((d or -1, tuple(sp.encode(t or ""))) for d, t in rows)
-
-    class Task:
-        @staticmethod
-        def partitionId():
-            return 3
-
-    monkeypatch.setattr(sentence_pieces, "TaskContext", type("C", (), {"get": staticmethod(Task)}))
-    cut = list(sentence_pieces._cut(iter([pa.record_batch([pa.array(range(6)), pa.array(["a b a", "b c", "d " * 30, "", "e", "a"])], names=["doc_id", "text"])])))
-    by = {}
-    for c in cut:
-        (r,) = c.to_pylist()
-        by.setdefault(r["slice"], []).append(r)
-    assert list(by) == [3 << 32, (3 << 32) + 1] and [rs[-1]["chunks"] for rs in by.values()] == [["a", "b", "c", "d", ""], ["e", "a"]]
-
-
-def test_plan_joins_distinct_chunks_back(spark):
-    plan = sentence_pieces.op6_sentencepiece(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Aggregate [chunk" in plan and "Join Inner, (chunk" in plan and "CoGroup" in plan
+    want = sorted((d or -1, tuple(sp.encode(t or ""))) for d, t in rows)
+    assert got == want
+
+    seen = []
+
+    class Counting:
+        def encode(self, wanted, **options):
+            seen.append(wanted)
+            return sp.encode(wanted, **options)
+
+        decode = staticmethod(sp.decode)
+
+    monkeypatch.setattr(sentence_pieces, "processor", lambda path: Counting())
+    finish = lambda ids, text, n: (list(map(int, ids.split(b","))) if n else [],)
+    out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    batch = pa.record_batch([pa.array([d for d, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], names=["doc_id", "text"])
+    for size, slices in ((1 << 24, 1), (40, 5)):
+        monkeypatch.setattr(sentence_pieces, "SLICE_CHARS", size)
+        seen.clear()
+        found = [(r["doc_id"] or -1, tuple(r["ids"])) for b in sentence_pieces._joined("", finish, out)(iter([batch])) for r in b.to_pylist()]
+        assert sorted(found) == want
+        tables = [w for w in seen if isinstance(w, list)]
+        assert len(tables) >= slices and all(len(w) == len(set(w)) for w in tables)
+        if slices == 1:  # each distinct chunk of the texts once
+            assert sorted(c for w in tables for c in w) == sorted({c for t in texts for c in sentence_pieces.chunks(t or "")})
 
 
 def check_packing(rows, texts, limit):
