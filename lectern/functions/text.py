@@ -6,9 +6,12 @@ Null in gives null out unless a docstring says otherwise.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,13 +35,18 @@ LABEL = r"\[[^\]\n]{1,40}\]"
 
 _longest_first = lambda parts: "|".join(sorted(parts, key=lambda p: (-len(p), p)))
 SYLLABLE = f"^(?:{_longest_first(ONSETS)})?(?:{_longest_first(NUCLEI)})(?:{_longest_first(CODAS)})?$"
-#: Each lower-case vowel with a tone, and the vowel without it.
-TONED = {
-    toned: vowel
-    for vowel in "aăâeêioôơuưy"
-    for mark in TONES
-    if len(toned := unicodedata.normalize("NFC", vowel + mark)) == 1
-}
+#: White space as Python's str.split has it: Unicode's, and the four separators of ASCII.
+SPACE = r"[\s\x1C-\x1F]"
+
+
+def _without_tones(letter: str) -> str:
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", letter).translate(dict.fromkeys(map(ord, TONES))))
+
+
+#: Every letter, of any script, whose decomposition holds a tone mark, and what is left of it; none lies above U+1FFF.
+TONED = {c: _without_tones(c) for c in map(chr, range(0x80, 0x2000)) if set(unicodedata.normalize("NFD", c)) & set(TONES)}
+#: Letters whose decomposed form has to be composed again before a syllable can be read.
+COMPOSED = {unicodedata.normalize("NFD", c): c for c in "ăâêôơưĂÂÊÔƠƯ"}
 
 
 def lit_sql(text: str) -> str:
@@ -51,14 +59,33 @@ def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+@lru_cache(maxsize=1)
+def _composable() -> str:
+    """A class of all characters that composition can change or join to another."""
+    odd = [i for i in range(0x80, 0x30000) if not 0xD800 <= i < 0xE000 and not unicodedata.is_normalized("NFC", chr(i))]
+    ranges: list[list[int]] = []
+    for i in odd:
+        if ranges and ranges[-1][1] == i - 1:
+            ranges[-1][1] = i
+        else:
+            ranges.append([i, i])
+    return r"[\p{M}\x{1161}-\x{1175}\x{11A8}-\x{11C2}" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
 def nfc(text: Column) -> Column:
-    """Canonical composition. The one step without a built-in: texts cross to Python in Arrow batches."""
-    return _nfc(text)
+    """Canonical composition, the one step without a built-in: texts that it can change cross to Python in Arrow
+    batches, the others do not."""
+    return F.coalesce(_nfc(F.when(text.rlike(_composable()), text)), text)
+
+
+def strip(text: Column) -> Column:
+    """No white space at the ends."""
+    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 def squeeze(text: Column) -> Column:
-    """Runs of Unicode white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    """Runs of white space become one space; none at the ends."""
+    return F.trim(F.regexp_replace(text, f"(?U){SPACE}+", " "))
 
 
 def tokens(text: Column) -> Column:
@@ -71,24 +98,78 @@ def without(words: Column, fillers: tuple[str, ...]) -> Column:
     return F.filter(words, lambda t: ~t.isin(*fillers)) if fillers else words
 
 
-def normalize(text: Column, lowercase: bool = True, punctuation: bool = True, fillers: tuple[str, ...] = (), numbers: bool = False, compose: bool = False) -> Column:
-    """Composition, case, punctuation, white space, fillers and number words, in this order."""
-    from lectern.functions.numbers_vi import words_to_digits
+#: What can be done with number words.
+CONVENTIONS = ("word_to_digit", "as_written")
+
+
+def folded(words: Iterable[str]) -> tuple[str, ...]:
+    """Words as normalised text has them: lower case, composed."""
+    return tuple(unicodedata.normalize("NFC", w.lower()) for w in words)
+
+
+@dataclass(frozen=True)
+class Normalizer:
+    """One normalisation of both sides of a comparison: composition, case, punctuation, white space, fillers and
+    number words, in this order."""
+
+    lowercase: bool = True
+    strip_punctuation: bool = True
+    filler_tokens: tuple[str, ...] = ()
+    number_convention: str = "word_to_digit"
+
+    def __post_init__(self) -> None:
+        if self.number_convention not in CONVENTIONS:
+            raise ValueError(f"number_convention has to be one of {CONVENTIONS}, not {self.number_convention!r}")
+        if clash := set(folded(self.filler_tokens)) & set(LEXICAL_PARTICLES):
+            raise ValueError(f"lexical particles can't be fillers: {sorted(clash)}")
+
+    def audited(self, text: Column) -> Column:
+        """Struct (text, conversions, fillers_removed)."""
+        from lectern.functions.numbers_vi import words_to_digits
+
+        out = nfc(text)
+        out = F.lower(out) if self.lowercase else out
+        out = F.regexp_replace(out, PUNCTUATION, " ") if self.strip_punctuation else out
+        out, removed = squeeze(out), F.lit(0).cast("long")
+        if self.filler_tokens:
+            words = tokens(out)
+            kept = without(words, folded(self.filler_tokens))
+            out, removed = F.array_join(kept, " "), (F.size(words) - F.size(kept)).cast("long")
+        conversions = F.lit(0).cast("long")
+        if self.number_convention == "word_to_digit":
+            number = words_to_digits(out)
+            out, conversions = number["text"], number["n_conversions"]
+        return F.struct(out.alias("text"), conversions.alias("conversions"), removed.alias("fillers_removed"))
+
+    def other(self) -> Normalizer:
+        """The same with the other number convention, to see how much rates depend on it."""
+        (convention,) = set(CONVENTIONS) - {self.number_convention}
+        return replace(self, number_convention=convention)
+
+    def __call__(self, text: Column) -> Column:
+        return self.audited(text)["text"]
+
+
+def normalize(text: Column, **options) -> Column:
+    return Normalizer(**options)(text)
+
 
-    if clash := set(fillers) & set(LEXICAL_PARTICLES):
-        raise ValueError(f"lexical particles can't be fillers: {sorted(clash)}")
-    out = nfc(text) if compose else text
-    out = F.lower(out) if lowercase else out
-    out = F.regexp_replace(out, PUNCTUATION, " ") if punctuation else out
-    out = squeeze(out)
-    if fillers:
-        out = F.array_join(without(tokens(out), fillers), " ")
-    return words_to_digits(out)["text"] if numbers else out
+def audit(texts: DataFrame, normalizer: Normalizer, text: str, *keys: str) -> DataFrame:
+    """(keys, conversions, fillers_removed): what normalisation did to the texts. Without any conversion the number
+    parser may be broken."""
+    done = texts.select(*keys, normalizer.audited(F.col(text)).alias("_done"))
+    return done.groupBy(*keys).agg(F.sum("_done.conversions").alias("conversions"), F.sum("_done.fillers_removed").alias("fillers_removed"))
 
 
 def strip_tone(word: Column) -> Column:
-    """Lower-case composed text without tone marks; the letters ă â ê ô ơ ư đ stay."""
-    return F.translate(word, "".join(TONED), "".join(TONED.values()))
+    """The word without tone marks, composed or not; the letters ă â ê ô ơ ư đ stay, whole also where they were decomposed."""
+    one = {c: t for c, t in TONED.items() if len(t) == 1}
+    none = "".join(c for c, t in TONED.items() if not t)
+    out = F.translate(word, "".join(one) + none, "".join(one.values()))
+    for pairs in (COMPOSED, {c: t for c, t in TONED.items() if len(t) > 1}):
+        for old, new in pairs.items():
+            out = F.replace(out, F.lit(old), F.lit(new))
+    return F.when(F.octet_length(word) > F.length(word), out).otherwise(word)  # ASCII has no marks
 
 
 def is_vietnamese_shaped(token: Column) -> Column:
@@ -121,8 +202,8 @@ def has_digit(token: Column) -> Column:
 
 
 def digit_groups(text: Column) -> Column:
-    """Maximal digit runs in order."""
-    return F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1))
+    """Maximal runs of decimal digits, of any script, in order."""
+    return F.regexp_extract_all(text, F.lit(r"(\p{Nd}+)"), F.lit(1))
 
 
 def labels(text: Column) -> Column:
@@ -132,7 +213,7 @@ def labels(text: Column) -> Column:
 
 def is_label(text: Column) -> Column:
     """The whole text, less white space around it, is one bracketed label."""
-    return F.trim(text).rlike(f"^{LABEL}$")
+    return strip(text).rlike(f"^{LABEL}\\z")
 
 
 def review_form(text: Column) -> Column:

@@ -24,12 +24,14 @@ def original_keys(tracks: Column) -> Column:
 
 
 def screen(frame: DataFrame, tracks: str = "automatic_captions") -> DataFrame:
-    """frame with ok, rule (1 or 2 if rejected) and track: a Vietnamese track must exist and be the recognised original."""
+    """frame with ok, rule (1 or 2 if rejected), reason and track: a Vietnamese track must exist and be the recognised original."""
     have = F.coalesce(F.col(tracks), F.create_map().cast(frame.schema[tracks].dataType))
     vi, original = vietnamese_keys(have), original_keys(have)
     both = F.filter(original, lambda k: F.array_contains(vi, k))
     rule = F.when(F.size(vi) == 0, 1).when(F.size(both) == 0, 2)
-    return frame.withColumns({"rule": rule, "ok": rule.isNull(), "track": F.when(rule.isNull(), F.get(both, F.lit(0)))})
+    reason = F.when(rule.isNull(), "accepted").when(rule == 1, "no Vietnamese track").when(F.size(original) == 0, "no track is marked as the original")
+    reason = reason.otherwise(F.concat(F.lit("the original is "), F.array_join(original, ", ")))
+    return frame.withColumns({"rule": rule, "reason": reason, "ok": rule.isNull(), "track": F.when(rule.isNull(), F.get(both, F.lit(0)))})
 
 
 def richest_attempt(attempts: DataFrame, key: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
@@ -50,6 +50,19 @@ def too_long(segments: DataFrame, limit: float = MAX_SECONDS) -> DataFrame:
     return segments.where(F.col("duration") > limit)
 
 
+def totals(segments: DataFrame, limit: float = MAX_SECONDS) -> DataFrame:
+    """One row: segments, how many are too long, and all characters of text."""
+    return segments.agg(F.count("*").alias("segments"), F.count_if(F.col("duration") > limit).alias("too_long"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+
+
+def destination_empty(spark: SparkSession, path: str) -> None:
+    """Raise where the folder has anything in it already."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(where) and len(store.listStatus(where)):
+        raise IntegrityError(f"{path} is not empty; nothing is written into it")
+
+
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).intersect(b.select(key))
 
@@ -66,6 +79,14 @@ def checksum_report(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return joined.select("path", status.alias("status")).where("status is not null")
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str, text: str, least_chars: int = 0) -> DataFrame:
+    """(key, n_sentences): how many lines and sentences of a document the benchmark has too, full stops and spaces at
+    their ends aside. least_chars: shorter sentences don't count."""
+    cut = lambda rows, *keys: rows.select(*keys, F.explode(F.split(text, r"\n|\. ")).alias("s")).select(*keys, F.btrim("s", F.lit(" .")).alias("sentence")).where(f"sentence <> '' and length(sentence) >= {int(least_chars)}")
+    known = cut(benchmark).distinct()
+    return cut(docs, key).join(known, "sentence", "left_semi").groupBy(key).agg(F.count("*").alias("n_sentences"))
+
+
 def lookup_near(rows: DataFrame, value: str, wanted: float, tolerance: float = 1e-9) -> DataFrame:
     """The first row whose value lies within the tolerance of `wanted`; none is an error."""
     found = rows.where(F.abs(F.col(value) - wanted) < tolerance).orderBy(value).limit(1)

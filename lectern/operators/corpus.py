@@ -27,6 +27,24 @@ def resolve_splits(records: DataFrame, val_meetings: list[str]) -> DataFrame:
     return records.withColumn("split", resolved_split(F.col("split"), F.col("meeting_id"), val_meetings))
 
 
+def only_split(records: DataFrame, split: str, limit: int | None = None) -> DataFrame:
+    """Records of one split, the first `limit` in order if any is given."""
+    return first_of(records.where(F.col("split") == split), limit)
+
+
+def first_of(records: DataFrame, limit: int | None, order: str = "ord") -> DataFrame:
+    """The first rows in order; all without a limit, or with 0."""
+    return records.orderBy(order).limit(limit) if limit else records
+
+
+def split_of_source(records: DataFrame, split: str, source: str) -> DataFrame:
+    """Records of one split and source; none at all is an error."""
+    found = records.where((F.col("split") == split) & (F.col("source") == source))
+    if not found.head(1):
+        raise ValueError(f"no {split} records of {source}")
+    return found
+
+
 def split_counts(records: DataFrame, *keys: str) -> DataFrame:
     """train, val and test counts, zero where there are none."""
     return records.groupBy(*keys).agg(*[F.count_if(F.col("split") == s).alias(s) for s in SPLITS])
@@ -48,6 +66,32 @@ def replace_first(text: Column, old: Column, new: Column) -> Column:
     return F.when(at > 0, F.overlay(text, new, at, F.length(old))).otherwise(text)
 
 
+def ingest_delivery(delivery: DataFrame, legacy: DataFrame, pattern: str, template: str) -> DataFrame:
+    """One corpus from a new delivery and an older one's test meetings.
+
+    Splits of the delivery are remapped; legacy records have to be test ones, become demo, and their meeting gets a
+    new name, in the path of their audio too (its first place). An id that both have is an error.
+    """
+    new = delivery.withColumn("split", remap_new_batch(F.col("split")))
+    name = renamed_meeting(F.col("meeting_id"), pattern, template)
+    split = F.when(F.col("split") == "test", "demo").otherwise(fail("legacy split of ", F.col("meeting_id"), " is ", F.col("split")).cast("string"))
+    old = legacy.withColumns({"split": split, "audio_filepath": replace_first(F.col("audio_filepath"), F.col("meeting_id"), name), "meeting_id": name})
+    clash = new.select("meeting_id").distinct().join(old.select("meeting_id").distinct(), "meeting_id")
+    checked = F.when(F.col("_clash"), fail("meeting in both deliveries: ", F.col("meeting_id")).cast("string")).otherwise(F.col("meeting_id"))
+    both = merge_sources(new, old)
+    return both.join(clash.withColumn("_clash", F.lit(True)), "meeting_id", "left").withColumn("meeting_id", checked).drop("_clash").select(*both.columns)
+
+
+def ingest_summary(records: DataFrame, test_prefix: str, legacy_prefix: str) -> DataFrame:
+    """One row: meetings and segments of the delivery's train and test parts and of the legacy part, told by id."""
+    kind = F.when(F.col("meeting_id").startswith(legacy_prefix), "legacy").when(F.col("meeting_id").startswith(test_prefix), "test").otherwise("train")
+    rows = records.groupBy("meeting_id").agg(F.count("*").alias("n")).withColumn("kind", kind)
+    parts = {k: F.col("kind") == k for k in ("train", "test", "legacy")}
+    meetings = [F.count_if(c).alias(f"{k}_meetings") for k, c in parts.items()]
+    segments = [F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(f"{k}_segments") for k, c in parts.items()]
+    return rows.agg(*meetings, *segments)
+
+
 def merge_sources(*sources: DataFrame) -> DataFrame:
     """Bag union by name; fields that a source lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
@@ -85,20 +129,62 @@ def label_summary(records: DataFrame, column: str, default: str = "n/a") -> Data
     return records.agg(F.array_join(F.array_sort(F.collect_set(column)), ", ").alias("labels")).select(F.when(F.col("labels") == "", default).otherwise(F.col("labels")).alias("labels"))
 
 
-def source_totals(records: DataFrame, source: str, duration: str) -> DataFrame:
-    return records.groupBy(source).agg(F.count("*").alias("segments"), (F.sum(duration) / 60).alias("minutes"))
+def source_totals(records: DataFrame, source: str, duration: str, label: str | None = None) -> DataFrame:
+    """(source, segments, minutes) and, with a label column, its distinct values of each source."""
+    more = [] if label is None else [F.array_join(F.array_sort(F.collect_set(label)), ", ").alias("labels")]
+    out = records.groupBy(source).agg(F.count("*").alias("segments"), (F.sum(duration) / 60).alias("minutes"), *more)
+    return out if label is None else out.withColumn("labels", F.coalesce(F.nullif("labels", F.lit("")), F.lit("n/a")))
 
 
 def provenance_markdown(totals: DataFrame) -> DataFrame:
     """(line): a Markdown table row for each source of `source_totals`."""
-    return totals.select(F.format_string("| %s | %d | %.1f |", F.col(totals.columns[0]), F.col("segments"), F.col("minutes")).alias("line"))
+    cells = [F.col(totals.columns[0]).cast("string"), F.col("segments").cast("string"), F.format_string("%.1f", F.col("minutes")), *[F.col(c) for c in totals.columns[3:]]]
+    return totals.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def expect_counts(records: DataFrame, key: str, **expected: int) -> DataFrame:
+    """One row (keys, rows); counts other than the expected ones are errors."""
+    out = records.agg(F.count_distinct(key).alias("keys"), F.count("*").alias("rows"))
+    for name, n in expected.items():
+        out = out.withColumn(name, F.when(F.col(name) == n, F.col(name)).otherwise(fail(f"{n} {name} expected, found ", F.col(name)).cast("long")))
+    return out
+
+
+def code_switch(records: DataFrame, text: str, *keys: str) -> DataFrame:
+    """(keys, segments, switching, share): segments with a loanword at least."""
+    found = records.select(*keys, F.exists(tx.tokens(F.col(text)), tx.is_loanword).alias("_s"))
+    return found.groupBy(*keys).agg(F.count("*").alias("segments"), F.count_if("_s").alias("switching")).withColumn("share", F.col("switching") / F.col("segments"))
+
+
+def longest_texts(records: DataFrame, text: str, top: int, *keys: str, order: str = "ord") -> DataFrame:
+    """(keys, order, n_tokens, rank) of the texts with the most tokens under each key, ties in order."""
+    rows = records.select(*keys, order, F.size(tx.tokens(F.col(text))).alias("n_tokens"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n_tokens"), order))).where(F.col("rank") <= top)
 
 
 def token_vocabulary(frame: DataFrame, text: str, meeting: str, least: int = 3, keep=tx.is_loanword) -> DataFrame:
-    """(token, n, meetings) of tokens that occur in at least `least` meetings."""
-    words = frame.select(F.col(meeting).alias("m"), F.explode(tx.tokens(F.col(text))).alias("token")).where(keep(F.col("token")))
+    """(token, n, meetings) of tokens that occur in at least `least` meetings. Each distinct token is judged once."""
+    words = frame.select(F.col(meeting).alias("m"), F.explode(tx.tokens(F.col(text))).alias("token"))
     per = words.groupBy("token", "m").agg(F.count("*").alias("n"))
-    return per.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("meetings")).where(F.col("meetings") >= least)
+    return per.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("meetings")).where((F.col("meetings") >= least) & keep(F.col("token")))
+
+
+def top_tokens(frame: DataFrame, text: str, top: int, *keys: str, order: str = "ord", form=lambda t: t, keep=tx.is_loanword) -> DataFrame:
+    """(keys, token, n, rank): under each key the most frequent tokens, of equals the one met first."""
+    words = frame.select(*keys, F.col(order).alias("_o"), F.posexplode(tx.tokens(F.col(text))).alias("_p", "token")).withColumn("token", form(F.col("token")))
+    counts = words.groupBy(*keys, "token").agg(F.count("*").alias("n"), F.min(F.struct("_o", "_p")).alias("_first")).where(keep(F.col("token")))
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "_first"))).where(F.col("rank") <= top).drop("_first")
+
+
+def label_counts(frame: DataFrame, text: str, *keys: str) -> DataFrame:
+    """(keys, label, n): how often each bracketed label stands in whole texts."""
+    return frame.select(*keys, F.explode(tx.labels(F.col(text))).alias("label")).groupBy(*keys, "label").agg(F.count("*").alias("n"))
+
+
+def transcripts(words: DataFrame, key: str) -> DataFrame:
+    """(key, text): the words of each recording in order, joined by spaces, so that labels over several words are whole."""
+    by = words.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("w"))
+    return by.select(key, F.array_join(F.transform("w", lambda w: w["text"]), " ").alias("text"))
 
 
 def histogram(frame: DataFrame, value: Column, low: int, high: int) -> DataFrame:
@@ -107,11 +193,23 @@ def histogram(frame: DataFrame, value: Column, low: int, high: int) -> DataFrame
     return rows.groupBy(F.least(F.floor("v"), F.lit(high - 1)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def text_stats(words: DataFrame, text: str, *keys: str) -> DataFrame:
-    """Per key: words, marks in 100 words, rates of digits, particles and loanwords, and how many labels."""
-    base = words.select(*keys, tx.mark_count(F.col(text)).alias("marks"), F.size(tx.labels(F.col(text))).alias("labels"), tx.tokens(F.col(text)).alias("tokens"))
-    count = lambda test: F.size(F.filter("tokens", test))
-    rows = base.select(*keys, "marks", "labels", F.size("tokens").alias("n"), count(tx.has_digit).alias("digits"), count(lambda t: tx.bare(t).isin(*tx.LEXICAL_PARTICLES)).alias("particles"), count(lambda t: tx.is_loanword(tx.bare(t))).alias("loans"))
-    out = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "marks", "labels", "digits", "particles", "loans")])
+def text_stats(words: DataFrame, text: str, *keys: str, seconds: str | None = None) -> DataFrame:
+    """Per key: word entries and those of several tokens, words, marks in 100 words, rates of digits, particles and
+    loanwords, labels, and with a column of seconds loanwords a minute.
+
+    One pass counts tokens under their key, and each distinct token is judged once. `label_counts` and `top_tokens`
+    give the labels and the most frequent loanwords themselves.
+    """
+    found = tx.tokens(F.col(text))
+    base = words.select(*keys, found.alias("tokens"), tx.mark_count(F.col(text)).alias("marks"), F.size(tx.labels(F.col(text))).alias("labels"), (F.col(seconds) if seconds else F.lit(0.0)).cast("double").alias("seconds"))
+    # what belongs to a row rides on its first token, or on a null one where it has none
+    rows = base.select(*keys, "marks", "labels", "seconds", (F.size("tokens") > 1).cast("int").alias("several"), F.posexplode_outer("tokens").alias("place", "token"))
+    of_row = lambda c: F.sum(F.when(F.coalesce(F.col("place"), F.lit(0)) == 0, F.col(c))).alias(c)
+    counts = rows.withColumn("entries", F.lit(1)).groupBy(*keys, "token").agg(F.count("token").alias("n"), *[of_row(c) for c in ("marks", "labels", "seconds", "several", "entries")])
+    bare = tx.bare(F.col("token"))
+    kinds = {"digits": tx.has_digit(F.col("token")), "particles": bare.isin(*tx.LEXICAL_PARTICLES), "loans": tx.is_loanword(bare)}
+    out = counts.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "marks", "labels", "seconds", "several", "entries")], *[F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).alias(c) for c, test in kinds.items()])
     over = lambda c, by=1: F.when(F.col("n") > 0, by * F.col(c) / F.col("n")).otherwise(0.0)
-    return out.select(*keys, F.col("n").alias("n_words"), over("marks", 100).alias("punctuation_per_100_words"), over("digits").alias("digit_word_rate"), over("particles").alias("lexical_particle_rate"), over("loans").alias("nonvietnamese_word_rate"), F.col("labels").alias("n_labels"))
+    rates = [F.col("n").alias("n_words"), over("marks", 100).alias("punctuation_per_100_words"), over("digits").alias("digit_word_rate"), over("particles").alias("lexical_particle_rate"), over("loans").alias("nonvietnamese_word_rate"), F.col("labels").alias("n_labels")]
+    minute = [] if seconds is None else [F.when(F.col("seconds") > 0, F.col("loans") / (F.col("seconds") / 60)).otherwise(0.0).alias("nonvietnamese_words_per_min")]
+    return out.select(*keys, F.col("entries").alias("n_word_entries"), F.col("several").alias("multi_token_entries"), *rates, *minute)

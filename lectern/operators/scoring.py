@@ -59,10 +59,12 @@ def token_counts(frame: DataFrame, text: str, keys: list[str], keep=None) -> Dat
 
 
 def retained_tokens(frame: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, token, wanted, retained): loanwords of ref and how many of each hyp has too, segment by segment."""
-    wanted = token_counts(frame, "ref", keys, tx.is_loanword).withColumnRenamed("n", "wanted")
-    there = token_counts(frame, "hyp", keys).withColumnRenamed("n", "there")
-    return wanted.join(there, [*keys, "token"], "left").select(*keys, "token", "wanted", F.least("wanted", F.coalesce("there", F.lit(0))).alias("retained"))
+    """(keys, token, wanted, retained, place): loanwords of ref, how many of each hyp has too, segment by segment, and
+    where ref has it first. Both sides are counted in one pass: tokens that are no loanwords leave before the shuffle."""
+    side = lambda text, r, h: F.transform(tx.tokens(F.col(text)), lambda t, i: F.struct(t.alias("token"), F.lit(r).alias("r"), F.lit(h).alias("h"), F.when(F.lit(bool(r)), i).alias("place")))
+    both = frame.select(*keys, F.explode(F.concat(side("ref", 1, 0), side("hyp", 0, 1))).alias("t")).select(*keys, "t.*").where(tx.is_loanword(F.col("token")))
+    counted = both.groupBy(*keys, "token").agg(F.sum("r").alias("wanted"), F.sum("h").alias("there"), F.min("place").alias("place")).where("wanted > 0")
+    return counted.select(*keys, "token", "wanted", F.least("wanted", "there").alias("retained"), "place")
 
 
 def retention_by(tokens: DataFrame, *slices: str) -> DataFrame:
@@ -70,27 +72,32 @@ def retention_by(tokens: DataFrame, *slices: str) -> DataFrame:
     return tokens.groupBy(*slices).agg(F.sum("wanted").alias("n_candidates"), F.sum("retained").alias("n_retained")).withColumn("retention", F.when(F.col("n_candidates") > 0, F.col("n_retained") / F.col("n_candidates")))
 
 
-def missing_tokens(tokens: DataFrame, top: int | None = None) -> DataFrame:
-    """(token, missing): loanwords that were lost, most often lost first, ties by token."""
-    lost = tokens.groupBy("token").agg(F.sum(F.col("wanted") - F.col("retained")).alias("missing")).where("missing > 0")
-    return lost.orderBy(F.desc("missing"), "token").limit(top) if top else lost
+def missing_tokens(tokens: DataFrame, top: int | None = None, order: str = "ord") -> DataFrame:
+    """(token, missing): loanwords that were lost, most often lost first, of equals the one that was lost first by
+    segment and place. tokens: rows of `retained_tokens` with the segments' order among its keys."""
+    first = F.min(F.when(F.col("wanted") > F.col("retained"), F.struct(F.col(order).alias("o"), F.col("place").alias("p")))).alias("first")
+    lost = tokens.groupBy("token").agg(F.sum(F.col("wanted") - F.col("retained")).alias("missing"), first).where("missing > 0")
+    out = lost.orderBy(F.desc("missing"), "first.o", "first.p").limit(top) if top else lost
+    return out.drop("first")
 
 
 def paired(base: DataFrame, candidate: DataFrame, *slices: str, by: str | None = None) -> DataFrame:
     """(slices, pos, base, candidate): rows of either side by position in their slice, where both have as many.
 
-    With `by`, a key that both sides share in each slice, rows meet on it, and no slice has to be
-    sorted as a whole; slices of unlike sizes drop out all the same.
+    With `by`, a key that both sides share, rows meet on it and no slice has to be sorted as a whole. A slice drops
+    out if any key of it is on one side only or repeats.
     """
     counts = F.struct("char_edits", "char_ref_len")
     if by is not None:
-        side = lambda frame, name: frame.select(*slices, F.col(by).alias("pos"), counts.alias(name))
-        size = lambda frame, name: frame.groupBy(*slices).agg(F.count("*").alias(name))
-        joined = side(base, "base").join(side(candidate, "candidate"), [*slices, "pos"])
-        if not slices:
-            return joined
-        alike = size(base, "n_base").join(size(candidate, "n_candidate"), list(slices)).where("n_base = n_candidate").select(*slices)
-        return joined.join(alike, list(slices), "left_semi")
+        none = F.lit(None).cast("struct<char_edits: bigint, char_ref_len: bigint>")
+        keys = [*slices, "pos"]
+        key = [*slices, F.col(by).alias("pos")]
+        rows = base.select(*key, counts.cast("struct<char_edits: bigint, char_ref_len: bigint>").alias("base"), none.alias("candidate"))
+        rows = rows.union(candidate.select(*key, none.alias("base"), counts.cast("struct<char_edits: bigint, char_ref_len: bigint>").alias("candidate")))
+        met = rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("base", "candidate")], *[F.count(c).alias(f"n_{c}") for c in ("base", "candidate")])
+        odd = met.where("n_base <> 1 or n_candidate <> 1").select(*(slices or [F.lit(1).alias("_all")])).distinct()
+        met = met.drop("n_base", "n_candidate")
+        return met.join(odd, list(slices), "left_anti") if slices else met.withColumn("_all", F.lit(1)).join(odd, "_all", "left_anti").drop("_all")
     place = Window.partitionBy(*slices).orderBy("ord")
     all_of = Window.partitionBy(*slices)
     side = lambda frame, name: frame.select(*slices, (F.row_number().over(place) - 1).alias("pos"), F.count("*").over(all_of).alias(f"n_{name}"), counts.alias(name))
@@ -103,7 +110,8 @@ def regression_check(candidate: DataFrame, production: DataFrame) -> DataFrame:
     Fails when none is shared or a shared segment's reference differs.
     """
     keys = ["meeting_id", "segment_id"]
-    last = lambda f, side: f.groupBy(*keys).agg(F.max_by(F.struct("ref", "char_edits", "char_ref_len"), "ord").alias(side))
+    # the text itself need not cross the network to be compared
+    last = lambda f, side: f.groupBy(*keys).agg(F.max_by(F.struct(F.md5(F.col("ref").cast("binary")).alias("ref"), "char_edits", "char_ref_len"), "ord").alias(side))
     shared = last(candidate, "c").join(last(production, "p"), keys)
     total = shared.agg(
         F.count("*").alias("n_shared"), F.count_if(F.col("c.ref") != F.col("p.ref")).alias("n_other_ref"),
@@ -120,16 +128,18 @@ def ranked_by_edits(frame: DataFrame, top: int | None = None) -> DataFrame:
 
 
 def top_segment_share(frame: DataFrame) -> DataFrame:
-    """(segment, edits, share): the segment with the most edits, the first of several, and its share of all."""
+    """(segment, edits, share): the segment with the most edits, the first of several, and its share of all, 0 if there are none."""
     first = F.max_by(F.struct("ord", "char_edits"), F.struct(F.col("char_edits"), -F.col("ord"))).alias("top")
-    return frame.agg(first, F.sum("char_edits").alias("all_edits")).select(F.col("top.ord").alias("ord"), F.col("top.char_edits").alias("edits"), (F.col("top.char_edits") / F.nullif("all_edits", F.lit(0))).alias("share"))
+    return frame.agg(first, F.sum("char_edits").alias("all_edits")).select(F.col("top.ord").alias("ord"), F.col("top.char_edits").alias("edits"), F.when(F.col("all_edits") > 0, F.col("top.char_edits") / F.col("all_edits")).otherwise(0.0).alias("share"))
 
 
 def loanword_dropped(frame: DataFrame) -> DataFrame:
-    """Segments with foreign tokens in ref, with whether any of them is missing from hyp."""
+    """Segments with foreign tokens in ref, with whether any of them is missing from hyp. Only tokens that hyp lacks
+    are judged there, and each test ends with its first hit."""
     # bound once as a lambda variable: a column of tokens would be computed anew inside each use
-    both = F.array(F.struct(F.array_distinct(F.filter(tx.tokens(F.col("ref")), tx.is_foreign_token)).alias("wanted"), tx.tokens(F.col("hyp")).alias("there")))
-    dropped = F.get(F.transform(both, lambda p: F.when(F.size(p["wanted"]) > 0, F.size(F.array_except(p["wanted"], p["there"])) > 0)), F.lit(0))
+    both = F.array(F.struct(tx.tokens(F.col("ref")).alias("ref"), tx.tokens(F.col("hyp")).alias("hyp")))
+    lost = lambda p: F.exists(F.array_except(p["ref"], p["hyp"]), tx.is_foreign_token)
+    dropped = F.get(F.transform(both, lambda p: F.when(lost(p), True).when(F.exists(p["ref"], tx.is_foreign_token), False)), F.lit(0))
     return frame.withColumn("dropped", dropped).where(F.col("dropped").isNotNull())
 
 

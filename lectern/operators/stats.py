@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RESAMPLES, SEED, ALPHA = 1000, 42, 0.05
-#: Rows up to which a slice gets the exact draws of Python's generator; larger ones get Poisson weights.
-EXACT_SEGMENTS = 1000
+#: Resampling methods, which the caller chooses. "exact": the draws of Python's generator, for which a slice meets in
+#: one group. "poisson": weights from a hash of seed, place and resample, summed where the rows lie, for slices of any size.
+METHODS = ("exact", "poisson")
 
 
 def draws(k: int, resamples: int = RESAMPLES, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -48,17 +48,10 @@ def _interval(resampled: DataFrame, slices: list[str], alpha: float) -> DataFram
     return out.select(*slices, low.alias("lo"), high.alias("hi"))
 
 
-def _resampled(rows: DataFrame, slices: list[str], values: list[str], resamples: int, seed: int) -> DataFrame:
-    """(slices, b, values): the sums of each resample. rows: (slices, pos, values).
-
-    Slices of up to EXACT_SEGMENTS rows meet in one group and get the exact draws, in order of pos.
-    Larger ones are weighted where they lie, and only their sums are shuffled, so a slice that holds
-    a third of all rows is no task's burden.
-    """
-    keys = [F.col(c) for c in slices]
-    sizes = rows.groupBy(*[F.col(c).alias(f"_s_{c}") for c in slices]).agg(F.count("*").alias("_k"))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in slices], F.lit(True))
-    sized = rows.join(sizes, same, "inner").select(*rows.columns, "_k")
+def _resampled(rows: DataFrame, slices: list[str], values: list[str], resamples: int, seed: int, method: str) -> DataFrame:
+    """(slices, b, values): the sums of each resample, by one of METHODS whatever the size. rows: (slices, pos, values)."""
+    if method not in METHODS:
+        raise ValueError(f"method has to be one of {METHODS}, not {method!r}")
     schema = T.StructType([*(rows.schema[c] for c in slices), T.StructField("b", T.IntegerType()), *(T.StructField(v, T.DoubleType()) for v in values)])
 
     def exact(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -77,30 +70,30 @@ def _resampled(rows: DataFrame, slices: list[str], values: list[str], resamples:
         for key, sums in held.items():
             yield _sums_frame(dict(zip(slices, key, strict=True)), sums, values)
 
-    small = sized.where(F.col("_k") <= EXACT_SEGMENTS).drop("_k").groupBy(*keys).applyInPandas(exact, schema)
-    large = sized.where(F.col("_k") > EXACT_SEGMENTS).drop("_k").mapInPandas(partial, schema).groupBy(*slices, "b").agg(*[F.sum(v).alias(v) for v in values])
-    return small.union(large)
+    if method == "exact":
+        return rows.groupBy(*slices).applyInPandas(exact, schema)
+    return rows.mapInPandas(partial, schema).groupBy(*slices, "b").agg(*[F.sum(v).alias(v) for v in values])
 
 
 def _sums_frame(key: dict, sums: np.ndarray, values: list[str]) -> pd.DataFrame:
     return pd.DataFrame({**{c: [v] * len(sums) for c, v in key.items()}, "b": np.arange(len(sums), dtype=np.int32), **{v: sums[:, i] for i, v in enumerate(values)}})
 
 
-def bootstrap_ci(counts: DataFrame, *slices: str, resamples: int = RESAMPLES, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
-    """(slices, lo, hi) of the corpus rate. counts: (slices, ord, char_edits, char_ref_len)."""
+def bootstrap_ci(counts: DataFrame, *slices: str, resamples: int = RESAMPLES, seed: int = SEED, alpha: float = ALPHA, method: str = "exact") -> DataFrame:
+    """(slices, lo, hi, method) of the corpus rate. counts: (slices, ord, char_edits, char_ref_len)."""
     keys = list(slices)
     placed = counts.select(*keys, F.col("ord").cast("long").alias("pos"), F.col("char_edits").alias("e"), F.col("char_ref_len").alias("n"))
-    sums = _resampled(placed, keys, ["e", "n"], resamples, seed)
-    return _interval(sums.withColumn("value", F.when(F.col("n") > 0, F.col("e") / F.col("n"))), keys, alpha)
+    sums = _resampled(placed, keys, ["e", "n"], resamples, seed, method)
+    return _interval(sums.withColumn("value", F.when(F.col("n") > 0, F.col("e") / F.col("n"))), keys, alpha).withColumn("method", F.lit(method))
 
 
-def bootstrap_delta_ci(pairs: DataFrame, *slices: str, resamples: int = RESAMPLES, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
-    """(slices, lo, hi) of base rate less candidate rate under the same draws; positive: the candidate is better."""
+def bootstrap_delta_ci(pairs: DataFrame, *slices: str, resamples: int = RESAMPLES, seed: int = SEED, alpha: float = ALPHA, method: str = "exact") -> DataFrame:
+    """(slices, lo, hi, method) of base rate less candidate rate under the same draws; positive: the candidate is better."""
     keys = list(slices)
     flat = pairs.select(*keys, F.col("pos").cast("long").alias("pos"), *[F.col(f"{side}.{c}").alias(f"{side[0]}{c[5]}") for side in ("base", "candidate") for c in ("char_edits", "char_ref_len")])
-    sums = _resampled(flat, keys, ["be", "br", "ce", "cr"], resamples, seed)
+    sums = _resampled(flat, keys, ["be", "br", "ce", "cr"], resamples, seed, method)
     value = F.when((F.col("br") > 0) & (F.col("cr") > 0), F.col("be") / F.col("br") - F.col("ce") / F.col("cr"))
-    return _interval(sums.withColumn("value", value), keys, alpha)
+    return _interval(sums.withColumn("value", value), keys, alpha).withColumn("method", F.lit(method))
 
 
 def verdict(lo: Column, hi: Column) -> Column:
@@ -135,18 +128,18 @@ def select_lambda(rows: Iterable[dict], baseline_ood: float, budget: float, thre
 def curve_summary(curve: DataFrame, order: str, value: str, *keys: str, warmup_end: Column | None = None, blocks: int = 10, tail: int = 10) -> DataFrame:
     """Shape of each curve after warm-up: first, least and tail mean, share of rises between block means, divergence.
 
-    Only rows after warmup_end count, or all where none is.
+    Only rows after warmup_end count, or all where none is; `steps` counts all rows.
     """
     rows = curve.where(F.col(value).isNotNull()).select(*keys, F.col(order).alias("o"), F.col(value).alias("v"), (F.lit(True) if warmup_end is None else F.col(order) > warmup_end).alias("late"))
     whole = Window.partitionBy(*keys)
-    rows = rows.withColumn("any_late", F.max("late").over(whole)).where("late or not any_late")
+    rows = rows.withColumns({"any_late": F.max("late").over(whole), "steps": F.count("*").over(whole)}).where("late or not any_late")
     by = whole.orderBy("o")
     rows = rows.withColumns({"rn": F.row_number().over(by), "n": F.count("*").over(whole)})
     rows = rows.withColumn("block", F.floor((F.col("rn") - 1) / F.greatest(F.lit(1), F.floor(F.col("n") / blocks))))
     means = rows.groupBy(*keys, "block").agg(F.avg("v").alias("m"))
     rises = means.withColumn("up", (F.col("m") > F.lag("m").over(whole.orderBy("block"))).cast("int")).groupBy(*keys).agg((F.coalesce(F.sum("up"), F.lit(0)) / F.greatest(F.lit(1), F.count("*") - 1)).alias("rise_frac"))
     odd = F.isnan(F.col("v").cast("double")) | (F.col("v") == float("inf"))
-    ends = rows.groupBy(*keys).agg(F.count("*").alias("steps"), F.min_by("v", "rn").alias("first"), F.min("v").alias("least"), F.avg(F.when(F.col("rn") > F.col("n") - tail, F.col("v"))).alias("final"), F.max(odd).alias("odd"))
+    ends = rows.groupBy(*keys).agg(F.first("steps").alias("steps"), F.min_by("v", "rn").alias("first"), F.min("v").alias("least"), F.avg(F.when(F.col("rn") > F.col("n") - tail, F.col("v"))).alias("final"), F.max(odd).alias("odd"))
     joined = ends.join(rises, list(keys)) if keys else ends.crossJoin(rises)
     return joined.withColumn("diverged", F.col("odd") | (F.col("final") > F.col("first"))).drop("odd")
 
@@ -158,10 +151,19 @@ def block_means(curve: DataFrame, order: str, value: str, every: int, *keys: str
     return rows.groupBy(*keys, "block").agg(F.max_by(order, "rn").alias("last"), F.avg(value).alias("mean")).drop("block")
 
 
-def early_stop(curve: DataFrame, order: str, value: str, patience: int, *keys: str) -> DataFrame:
+def warmup_end(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, warmup_end): the first step with the highest learning rate; a log without any row is an error."""
+    out = rows.groupBy(*keys).agg(F.max_by("step", F.struct(F.col("learning_rate"), -F.col("step"))).alias("warmup_end"))
+    missing = F.raise_error(F.lit("the log has no loss rows")).cast("long")
+    return out.withColumn("warmup_end", F.coalesce("warmup_end", missing))
+
+
+def early_stop(curve: DataFrame, order: str, value: str, patience: int, *keys: str, greater_is_better: bool = False) -> DataFrame:
     """(keys, stopped_at): where `patience` rows in a row have not beaten the best before them; null if never."""
     by = Window.partitionBy(*keys).orderBy(order)
-    best = F.min(value).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    rows = curve.withColumn("better", (F.col(value) < best) | best.isNull()).withColumn("run", F.sum(F.col("better").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    best = (F.max if greater_is_better else F.min)(value).over(before)
+    beats = F.col(value) > best if greater_is_better else F.col(value) < best
+    rows = curve.withColumn("better", beats | best.isNull()).withColumn("run", F.sum(F.col("better").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     since = F.row_number().over(Window.partitionBy(*keys, "run").orderBy(order)) - 1
     return rows.withColumn("since", since).groupBy(*keys).agg(F.min(F.when(F.col("since") >= patience, F.col(order))).alias("stopped_at"))

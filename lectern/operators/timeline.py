@@ -19,28 +19,39 @@ def infer_end(words: DataFrame, key: str) -> DataFrame:
     return words.withColumn("end", F.greatest("start", F.least(following, F.col("display_end"))))
 
 
+def _finish(words: DataFrame, docs: DataFrame, key: str, fault: str) -> DataFrame:
+    """Words with ends, errors as rows of their own raised: a document without any word is one."""
+    ended = infer_end(words, key).withColumn("there", F.lit(True))
+    out = docs.select(key).join(ended, key, "left")
+    text = F.when(F.col("there").isNull(), F.raise_error(F.concat(F.lit(f"{fault}: "), F.col(key).cast("string"))).cast("string")).otherwise(F.col("text"))
+    return out.withColumn("text", text).drop("display_end", "there")
+
+
 def words_of_events(docs: DataFrame, key: str) -> DataFrame:
     """(key, ord, text, start, end) of caption documents with timed events; blank pieces and untimed events drop out.
 
-    A document none of whose pieces has an offset carries no word timing and is an error.
+    A document without a word is an error, and so is one none of whose pieces has an offset: it has no word timing.
     """
     pieces = docs.select(key, F.posexplode("events").alias("e", "event")).where("event.tStartMs is not null").select(key, "e", "event", F.posexplode("event.segs").alias("s", "seg"))
     pieces = pieces.select(
-        key, F.struct("e", "s").alias("ord"), F.trim("seg.utf8").alias("text"),
+        key, F.struct("e", "s").alias("ord"), tx.strip(F.col("seg.utf8")).alias("text"),
         ((F.col("event.tStartMs") + F.coalesce("seg.tOffsetMs", F.lit(0))) / 1000).alias("start"),
         ((F.col("event.tStartMs") + F.col("event.dDurationMs")) / 1000).alias("display_end"), F.col("seg.tOffsetMs").alias("offset"),
     ).where("text <> ''")
     timed = F.max(F.col("offset").isNotNull()).over(Window.partitionBy(key))
     pieces = pieces.withColumn("text", F.when(timed, F.col("text")).otherwise(F.raise_error(F.lit("no word-level timing")).cast("string")))
     pieces = pieces.withColumn("ord", (F.row_number().over(Window.partitionBy(key).orderBy("ord")) - 1).cast("long"))
-    return infer_end(pieces, key).drop("display_end", "offset")
+    return _finish(pieces.drop("offset"), docs, key, "no caption words in")
 
 
 def words_of_entries(docs: DataFrame, key: str) -> DataFrame:
-    """(key, ord, text, start, end, speaker) of documents with a word list; entries of another type drop out, untimed words are errors."""
-    entries = docs.select(key, F.posexplode("words").alias("ord", "w")).where("w.type is null or w.type = 'word'").where("trim(w.text) <> ''")
+    """(key, ord, text, speaker, start, end) of documents with a word list; entries of another type drop out. A word
+    without times is an error, and so is a document without words. Ends are clipped to the next start."""
+    entries = docs.select(key, F.posexplode("words").alias("ord", "w")).where("w.type is null or w.type = 'word'").withColumn("said", tx.strip(F.col("w.text"))).where("said <> ''")
     timed = F.col("w.start").isNotNull() & F.col("w.end").isNotNull()
-    return entries.select(key, F.col("ord").cast("long").alias("ord"), F.when(timed, F.trim("w.text")).otherwise(F.raise_error(F.lit("a word has no timing")).cast("string")).alias("text"), F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.speaker_id").alias("speaker"))
+    text = F.when(timed, F.col("said")).otherwise(F.raise_error(F.lit("a word has no timing")).cast("string"))
+    words = entries.select(key, F.col("ord").cast("long").alias("ord"), text.alias("text"), F.col("w.speaker_id").alias("speaker"), F.col("w.start").alias("start"), F.col("w.end").alias("display_end"))
+    return _finish(words, docs, key, "no words in")
 
 
 #: Parser of each draft format.
@@ -90,12 +101,15 @@ def cuts_of(words: DataFrame, durations: DataFrame, key: str) -> DataFrame:
 
 
 def assign_segments(words: DataFrame, cuts: DataFrame, key: str) -> DataFrame:
-    """words with seg_no, seg_start and seg_end; words from the duration on drop out. Numbers count empty segments."""
-    joined = words.join(cuts, key).where("start < duration")
-    number = F.size(F.filter("cuts", lambda c: c <= F.col("start")))
+    """words with seg_no, seg_start and seg_end. Numbers count empty segments. Words are taken in order: one that
+    starts before its predecessor stays in the predecessor's segment, and from the first that starts at or after the
+    duration on all drop out."""
+    reach = F.max("start").over(Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    joined = words.withColumn("reach", reach).join(cuts, key).where("reach < duration")
+    number = F.size(F.filter("cuts", lambda c: c <= F.col("reach")))
     out = joined.withColumn("seg_no", number)
     edge = lambda i, other: F.coalesce(F.get("cuts", i), other)
-    return out.withColumns({"seg_start": F.when(F.col("seg_no") == 0, 0.0).otherwise(edge(F.col("seg_no") - 1, F.lit(0.0))), "seg_end": edge(F.col("seg_no"), F.col("duration"))}).drop("cuts")
+    return out.withColumns({"seg_start": F.when(F.col("seg_no") == 0, 0.0).otherwise(edge(F.col("seg_no") - 1, F.lit(0.0))), "seg_end": edge(F.col("seg_no"), F.col("duration"))}).drop("cuts", "reach")
 
 
 def segments(assigned: DataFrame, key: str) -> DataFrame:
@@ -136,10 +150,22 @@ def islands(frame: DataFrame, key: str, order: str, flag: Column) -> DataFrame:
 
 
 def rms(samples: Column, frame: int, hop: int) -> Column:
-    """Root mean squares of the whole sliding frames of one sample array."""
-    n = F.floor((F.size(samples) - frame) / hop).cast("int")
-    one = lambda i: F.sqrt(F.aggregate(F.slice(samples, i * hop + 1, frame), F.lit(0.0), lambda a, x: a + x * x) / frame)
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), one)).otherwise(F.array().cast("array<double>"))
+    """Root mean squares of the sliding frames of one sample array: the whole ones, or all samples where they are too
+    few for one; 0 without samples."""
+    n = F.greatest(F.lit(0), F.floor((F.size(samples) - frame) / hop).cast("int"))
+    root = lambda part: F.when(F.size(part) > 0, F.sqrt(F.aggregate(part, F.lit(0.0), lambda a, x: a + x * x) / F.size(part))).otherwise(0.0)
+    return F.transform(F.sequence(F.lit(0), n), lambda i: root(F.slice(samples, i * hop + 1, frame)))
+
+
+SILENCE_SHARE, SILENCE_SECONDS = 0.15, 0.3
+
+
+def silence_midpoints(frames: DataFrame, key: str, order: str, value: str, hop_seconds: float, share: float = SILENCE_SHARE, seconds: float = SILENCE_SECONDS) -> DataFrame:
+    """(key, at): midpoints in seconds of the quiet runs of each recording that last long enough. order: the frame's
+    number from 0; quiet frames lie at or below the recording's own percentile, which is interpolated."""
+    levels = frames.groupBy(key).agg(F.percentile(value, F.lit(share)).alias("_level"))
+    runs = islands(frames.join(levels, key), key, order, F.col(value) <= F.col("_level"))
+    return runs.where(F.col("n") >= seconds / hop_seconds).select(key, ((F.col("first") + F.col("last")) / 2 * hop_seconds).alias("at"))
 
 
 def proportional_split(text: Column, durations: Column) -> Column:

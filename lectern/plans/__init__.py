@@ -1 +1,3 @@
-"""Ready-made queries over the driver tables, each with its SQL oracle."""
+"""Queries over the driver tables, with their oracles; importing the package registers all of them."""
+
+from lectern.plans import catalogue  # noqa: F401

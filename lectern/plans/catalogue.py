@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lectern.functions import text as tx
 from lectern.functions.numbers_vi import words_to_digits
 from lectern.operators import checks, corpus, gate, scoring, stats, timeline
+from lectern.plans import oracle_text as ot
+from lectern.sources.layout import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,7 +32,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def r6(c: Column | str) -> Column:
@@ -147,8 +150,7 @@ def rejoin_chunks(spark, sf_dir):
     return scoring.rejoin_chunks(chunks).join(counts, "meeting_id").select(F.col("meeting_id").alias("conv_id"), "n_chunks", "ref")
 
 
-_SHAPE = f"regexp_matches(translate(lower(%s), '{''.join(tx.TONED)}', '{''.join(tx.TONED.values())}'), '{tx.SYLLABLE}')"
-_LOAN = f"(length(t) > 1 and regexp_matches(t, '^\\p{{L}}+$') and not {_SHAPE % 't'})"
+_LOAN = f"(length(t) > 1 and regexp_matches(t, '^\\p{{L}}+$') and not {ot.shape('t')})"
 _RETAINED = f"""with {SEGMENTS},
 w as (select source, ord, t, count(*) as wanted from (select source, ord, unnest({_TOKENS.format('ref')}) as t from segments) where {_LOAN} group by all),
 g as (select ord, t, count(*) as there from (select ord, unnest({_TOKENS.format("replace(ref, 'ing', 'in')")}) as t from segments) group by all),
@@ -170,7 +172,7 @@ def missing_tokens(spark, sf_dir):
     return scoring.missing_tokens(_retained(spark, sf_dir))
 
 
-_FOREIGN = f"(not regexp_matches(t, '^\\p{{Nd}}+$') and not {_SHAPE % 't'})"
+_FOREIGN = f"(not regexp_matches(t, '^\\p{{Nd}}+$') and not {ot.shape('t')})"
 
 
 @query(f"""with {SEGMENTS}, c as (select source, list_filter({_TOKENS.format('ref')}, lambda t: {_FOREIGN}) as c, {_TOKENS.format("replace(ref, 'ing', 'in')")} as h from segments)
@@ -195,19 +197,21 @@ def token_vocab_ge3(spark, sf_dir):
 
 
 _BARE = "lower(trim(x, '.,?!:;\"''()[]…-–—'))"
-_PARTICLES = ", ".join(f"'{p}'" for p in tx.LEXICAL_PARTICLES)
+_PARTICLES = ot.PARTICLES
 
 
-@query(f"""with b as (select lang, length(text) - length(translate(text, '.,?!:;', '')) as marks, len(regexp_extract_all(text, '\\[[^\\]\\n]{{1,40}}\\]')) as labels, {_TOKENS.format('text')} as ts from documents),
-c as (select lang, marks, labels, len(ts) as n, len(list_filter(ts, lambda x: regexp_matches(x, '\\p{{Nd}}'))) as digits,
+@query(f"""with b as (select lang, n_chars, length(text) - length(translate(text, '.,?!:;', '')) as marks, len(regexp_extract_all(text, '\\[[^\\]\\n]{{1,40}}\\]')) as labels, {_TOKENS.format('text')} as ts from documents),
+c as (select lang, n_chars, marks, labels, len(ts) as n, len(list_filter(ts, lambda x: regexp_matches(x, '\\p{{Nd}}'))) as digits,
   len(list_filter(ts, lambda x: {_BARE} in ({_PARTICLES}))) as particles,
   len(list_filter(list_transform(ts, lambda x: {_BARE}), lambda t: {_LOAN})) as loans from b)
-select lang, sum(n)::bigint as n_words, round(100 * sum(marks) / sum(n), 6) as punctuation_per_100_words, round(sum(digits) / sum(n), 6) as digit_word_rate,
-  round(sum(particles) / sum(n), 6) as lexical_particle_rate, round(sum(loans) / sum(n), 6) as nonvietnamese_word_rate, sum(labels)::bigint as n_labels from c group by lang""")
+select lang, count(*) as n_word_entries, count(*) filter (n > 1) as multi_token_entries, sum(n)::bigint as n_words, round(100 * sum(marks) / sum(n), 6) as punctuation_per_100_words, round(sum(digits) / sum(n), 6) as digit_word_rate,
+  round(sum(particles) / sum(n), 6) as lexical_particle_rate, round(sum(loans) / sum(n), 6) as nonvietnamese_word_rate, sum(labels)::bigint as n_labels,
+  round(sum(loans) / (sum(n_chars) / 15.0 / 60), 6) as nonvietnamese_words_per_min from c group by lang""")
 def text_stats(spark, sf_dir):
-    out = corpus.text_stats(table(spark, sf_dir, "documents"), "text", "lang")
-    rates = ("punctuation_per_100_words", "digit_word_rate", "lexical_particle_rate", "nonvietnamese_word_rate")
-    return out.withColumns({c: r6(c) for c in rates})
+    docs = table(spark, sf_dir, "documents").withColumn("seconds", F.col("n_chars") / 15.0)
+    out = corpus.text_stats(docs, "text", "lang", seconds="seconds")
+    rates = ("punctuation_per_100_words", "digit_word_rate", "lexical_particle_rate", "nonvietnamese_word_rate", "nonvietnamese_words_per_min")
+    return out.withColumns({**{c: r6(c) for c in rates}, "n_labels": F.col("n_labels").cast("long"), "n_word_entries": F.col("n_word_entries").cast("long"), "multi_token_entries": F.col("multi_token_entries").cast("long")})
 
 
 @query("""select least(floor(n_chars / 1000.0), 19)::bigint as bin, count(*) as n from documents where n_chars / 1000.0 between 0 and 20 group by 1""")
@@ -215,16 +219,17 @@ def duration_histogram(spark, sf_dir):
     return corpus.histogram(table(spark, sf_dir, "documents"), F.col("n_chars") / 1000.0, 0, 20)
 
 
-@query("""select doc_id, trim(regexp_replace(regexp_replace(lower(text), '[.,!?;:"''`()\\[\\]{}<>/\\\\|~^*_=+&%$#@…“”‘’–—]', ' ', 'g'), '\\s+', ' ', 'g'), ' ') as text from documents""")
+@query("""select doc_id, trim(regexp_replace(regexp_replace(lower(nfc_normalize(text)), '[.,!?;:"''`()\\[\\]{}<>/\\\\|~^*_=+&%$#@…“”‘’–—]', ' ', 'g'), '\\s+', ' ', 'g'), ' ') as text from documents""")
 def normalize_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.normalize(F.col("text")).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.normalize(F.col("text")).alias("text"))  # it has no number words
 
 
 @query(f"""with t as (select lang, unnest({_TOKENS.format('lower(text)')}) as t from documents)
-select lang, count(*) as n, sum(({_SHAPE % 't'})::bigint)::bigint as shaped from t group by lang""")
+select lang, count(*) as n, sum(({ot.shape('t')})::bigint)::bigint as shaped from t group by lang""")
 def vn_shape(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("lang", F.explode(tx.tokens(F.lower("text"))).alias("t"))
-    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(tx.is_vietnamese_shaped(F.col("t"))).alias("shaped"))
+    counts = rows.groupBy("lang", "t").agg(F.count("*").alias("n"))  # each distinct token is judged once
+    return counts.groupBy("lang").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(tx.is_vietnamese_shaped(F.col("t")), F.col("n"))), F.lit(0)).alias("shaped"))
 
 
 _SPLIT = "case when o_orderstatus = 'F' then 'test' when o_custkey % 10 = 0 then 'val' else 'train' end"
@@ -298,11 +303,9 @@ _SENTENCES = r"select {0}, trim(unnest(string_split_regex(text, '\n|\. ')), ' .'
 
 
 @query(f"""with l as ({_SENTENCES.format('doc_id', 'documents')}), b as ({_SENTENCES.format('item_id', 'benchmark')})
-select doc_id, count(*) as n_sentences from l where length(sentence) >= 40 and sentence in (select sentence from b) group by doc_id""")
+select doc_id, count(*) as n_sentences from l where sentence <> '' and sentence in (select sentence from b) group by doc_id""")
 def benchmark_contamination(spark, sf_dir):
-    cut = lambda name, key: table(spark, sf_dir, name).select(key, F.explode(F.split("text", r"\n|\. ")).alias("s")).select(key, F.btrim("s", F.lit(" .")).alias("sentence"))
-    known = cut("benchmark", "item_id").select("sentence").distinct()
-    return cut("documents", "doc_id").where(F.length("sentence") >= 40).join(known, "sentence", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_sentences"))
+    return checks.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text")
 
 
 def timeline_of_events(spark, sf_dir) -> DataFrame:
@@ -369,14 +372,13 @@ def greedy_splits(spark, sf_dir):
     return joined.select("user_id", F.posexplode(cuts).alias("i", "cut")).withColumn("cut", r6("cut"))
 
 
-@query(_EVENTS + """, r as (select *, value <= (select quantile_cont(value, 0.15) from events) as quiet, row_number() over (partition by user_id order by start, event_id) as rn from e),
-q as (select *, rn - row_number() over (partition by user_id order by start, event_id) as island from r where quiet)
-select user_id, round(min(start), 6) as first, round(max(start), 6) as last, count(*) as n from q group by user_id, island""")
+@query(_EVENTS + """, l as (select user_id, quantile_cont(value, 0.15) as level from e group by user_id),
+r as (select e.*, value <= level as quiet, row_number() over (partition by user_id order by start, event_id) - 1 as i from e join l using (user_id)),
+q as (select *, i - row_number() over (partition by user_id order by i) as island from r where quiet)
+select user_id, (min(i) + max(i)) / 2.0 * 0.25 as at from q group by user_id, island having count(*) >= 0.5 / 0.25""")
 def silence_islands(spark, sf_dir):
-    words = timeline_of_events(spark, sf_dir)
-    level = words.agg(F.percentile("value", F.lit(0.15))).first()[0]
-    out = timeline.islands(words, "user_id", "ord", F.col("value") <= level)
-    return out.select("user_id", r6("first.start").alias("first"), r6("last.start").alias("last"), "n")
+    frames = timeline_of_events(spark, sf_dir).withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ord")) - 1)
+    return timeline.silence_midpoints(frames, "user_id", "i", "value", 0.25, seconds=0.5)
 
 
 @query("""with r as (select user_id, event_id, value, (row_number() over (partition by user_id order by event_id) - 1) // 10 as block from events)
@@ -410,18 +412,28 @@ def early_stopping(spark, sf_dir):
     return stats.early_stop(table(spark, sf_dir, "events"), "event_id", "value", 5, "user_id")
 
 
-@query()
+_WEIGHTED = SCORED.replace("select s.*,", "select s.*, coalesce(b.edits, 0) as base_edits,").replace("on s.ref = d.ref and s.hyp = d.hyp", "on s.ref = d.ref and s.hyp = d.hyp left join b on s.ref = b.ref and s.base = b.hyp").replace(", scored as", f", {edit_ctes('b', hyp='base')}, scored as") + ", narrow as (select source, ord, char_edits, base_edits, char_ref_len from scored)" + ot.poisson("narrow", "ord", 1000, 42)
+
+
+@query(_WEIGHTED + """, s as (select source, b, sum(w * char_edits) as e, sum(w * char_ref_len) as n from weighted group by all),
+v as (select source, list(e / n order by e / n) as v from s where n > 0 group by source)
+select source, round(v[floor(len(v) * 0.025)::int + 1], 6) as lo, round(v[least(len(v) - 1, floor(len(v) * 0.975)::int) + 1], 6) as hi from v""")
 def bootstrap_ci(spark, sf_dir):
-    out = stats.bootstrap_ci(scored(spark, sf_dir), "source")
-    return out.withColumns({"lo": r6("lo"), "hi": r6("hi")})
+    out = stats.bootstrap_ci(scored(spark, sf_dir), "source", method="poisson")
+    return out.select("source", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
-@query()
+@query(_WEIGHTED + """, s as (select source, b, sum(w * base_edits) as e, sum(w * char_edits) as c, sum(w * char_ref_len) as n from weighted group by all),
+v as (select source, list(e / n - c / n order by e / n - c / n) as v from s where n > 0 group by source),
+i as (select source, v[floor(len(v) * 0.025)::int + 1] as lo, v[least(len(v) - 1, floor(len(v) * 0.975)::int) + 1] as hi from v)
+select source, round(lo, 6) as lo, round(hi, 6) as hi, case when lo > 0 then 'IMPROVED' when hi < 0 then 'REGRESSED' else 'INCONCLUSIVE' end as verdict from i""")
 def bootstrap_delta(spark, sf_dir):
     rows = segments(spark, sf_dir)
-    pairs = scoring.paired(scoring.counted(rows.withColumn("hyp", F.col("base")), words=False), scoring.counted(rows, words=False), "source", by="ord")
-    out = stats.bootstrap_delta_ci(pairs, "source")
-    return out.withColumn("verdict", stats.verdict(F.col("lo"), F.col("hi"))).withColumns({"lo": r6("lo"), "hi": r6("hi")})
+    edits = lambda hyp: F.struct(tx.char_edits(F.col("ref"), F.col(hyp)).alias("char_edits"), F.length("ref").cast("long").alias("char_ref_len"))
+    # both sides of a segment lie in one row here; `paired_positions` pairs two tables
+    pairs = rows.select("source", F.col("ord").alias("pos"), edits("base").alias("base"), edits("hyp").alias("candidate"))
+    out = stats.bootstrap_delta_ci(pairs, "source", method="poisson")
+    return out.select("source", r6("lo").alias("lo"), r6("hi").alias("hi"), stats.verdict(F.col("lo"), F.col("hi")).alias("verdict"))
 
 
 # A published sweep of adapter weights.

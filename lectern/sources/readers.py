@@ -7,7 +7,9 @@ the split. Numbering works on one file at a time; nothing is sorted across files
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,6 +49,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = schemas.SEGMENT) ->
     return in_file_order(spark.read.schema(schema).json(path))
 
 
+def read_split(spark: SparkSession, path: str, split: str, schema: str = schemas.SEGMENT) -> DataFrame:
+    """One split of a resolved manifest, in its order."""
+    return read_jsonl(spark, path, schema).where(F.col("split") == split)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """Header, quoted fields with line breaks, empty cells as null; `strict`: a cell that doesn't parse is an error."""
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', nullValue="", mode="FAILFAST" if strict else "PERMISSIVE", enforceSchema=False)
@@ -64,19 +71,37 @@ def last_of_key(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "ord").alias("_row")).select(*keys, "_row.*")
 
 
-def read_sweep(spark: SparkSession, path: str, percent: bool = False) -> DataFrame:
-    columns = spark.read.csv(path, header=True).columns  # slice columns are optional
+def read_rejoined(spark: SparkSession, path: str) -> DataFrame:
+    """Predictions with the chunks of a parent segment joined."""
+    from lectern.operators.scoring import rejoin_chunks
+
+    return rejoin_chunks(read_predictions(spark, path))
+
+
+def read_sweep(spark: SparkSession, path: str, percent: bool = False, empty: str = "null") -> DataFrame:
+    """Rows of a sweep; slice columns are optional. empty: "null" keeps empty cells as nulls, "error" refuses them."""
+    columns = spark.read.csv(path, header=True).columns
     kinds = dict(f.split(" ") for f in schemas.SWEEP.split(", "))
     rows = read_csv(spark, path, ", ".join(f"`{c}` {kinds.get(c, 'double')}" for c in columns))
+    if empty == "error":
+        rows = rows.withColumns({c: F.coalesce(c, F.raise_error(F.lit(f"an empty cell of {c}")).cast("double")) for c in columns})
     return rows.withColumns({c: F.col(c) * 100 for c in columns if c != "lambda"}) if percent else rows
 
 
+def read_run(spark: SparkSession, run_dir: str) -> tuple[dict, dict, DataFrame]:
+    """A run folder's settings, its gate's results and its sweep, where an empty cell is an error."""
+    whole = lambda name: json.loads(spark.read.text(f"{run_dir}/{name}", wholetext=True).first()[0])
+    return whole("config.json"), whole("metrics/gate_results.json"), read_sweep(spark, f"{run_dir}/metrics/lambda_sweep.csv", empty="error")
+
+
 def read_training(spark: SparkSession, path: str) -> DataFrame:
-    """Log rows with a loss, learning rate 0 where it is blank."""
+    """Log rows with a loss, learning rate 0 where it is blank; none at all is an error."""
     columns = spark.read.csv(path, header=True).columns
     kinds = dict(f.split(" ") for f in schemas.TRAINING.split(", "))
-    rows = read_csv(spark, path, ", ".join(f"`{c}` {kinds.get(c, 'double')}" for c in columns))
-    return rows.where("loss is not null").withColumn("learning_rate", F.coalesce("learning_rate", F.lit(0.0)))
+    rows = read_csv(spark, path, ", ".join(f"`{c}` {kinds.get(c, 'double')}" for c in columns)).where("loss is not null")
+    if not rows.head(1):
+        raise ValueError(f"{path} has no loss rows")
+    return rows.withColumn("learning_rate", F.coalesce("learning_rate", F.lit(0.0)))
 
 
 def training_series(rows: DataFrame, *columns: str) -> DataFrame:
@@ -113,6 +138,38 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.substring_index("value", " ", 1).alias("segment_id"), F.lower(F.trim(F.regexp_replace("value", r"^\S+\s", ""))).alias("text"))
 
 
+def first_route(*routes: Callable[[], DataFrame]) -> DataFrame:
+    """The first route whose rows can be read; the last one's fault is raised if none can."""
+    for i, route in enumerate(routes):
+        try:
+            found = route()
+            found.head(1)
+            return found
+        except Exception:
+            if i == len(routes) - 1:
+                raise
+    raise ValueError("no route")
+
+
+def read_sources(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of recordings to take, one for each."""
+    return in_file_order(spark.read.schema(schemas.SOURCE).json(path))
+
+
+def read_layouts(spark: SparkSession, layouts: dict[str, str], schema: str = schemas.SEGMENT) -> dict[str, DataFrame]:
+    """Manifests of several folder layouts, by name; layouts: name -> pattern of files. The meeting is named by the
+    file where a record doesn't say."""
+    out = {}
+    for name, pattern in layouts.items():
+        files = _paths(spark, pattern)
+        if not files:
+            raise FileNotFoundError(f"no {pattern}")
+        rows = in_file_order(spark.read.schema(schema).json(files))
+        stem = F.regexp_replace(F.regexp_replace("src_file", r"\.jsonl$", ""), r"^manifest\.", "")
+        out[name] = rows.withColumn("meeting_id", F.coalesce("meeting_id", stem))
+    return out
+
+
 def read_documents(spark: SparkSession, path: str, schema: str, key: str = "meeting_id") -> DataFrame:
     """One row for each JSON document, keyed by its file's name without suffix."""
     return spark.read.schema(schema).json(path, multiLine=True).withColumn(key, F.regexp_replace("_metadata.file_name", r"\.json3?$", ""))

@@ -13,3 +13,4 @@ JSON3 = "events array<struct<tStartMs: bigint, dDurationMs: bigint, segs: array<
 SCRIBE = "words array<struct<text: string, start: double, end: double, type: string, speaker_id: string>>"
 DRAFT = "segments array<struct<start: double, end: double, text: string, speaker: string>>"
 CAPTIONS = "automatic_captions map<string, array<struct<ext: string, name: string, url: string>>>"
+SOURCE = "meeting_id string, video_id string, url string, title string, duration double, sha256 string"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ def write_by_meeting(records: DataFrame, path: str) -> None:
 
 
 def write_predictions(rows: DataFrame, path: str) -> None:
-    rows.select(*PREDICTION_FIELDS).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    rows.select(*PREDICTION_FIELDS).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_table(rows: DataFrame, path: str, *fields: str) -> None:
@@ -35,6 +37,19 @@ def write_gate(results: DataFrame, predictions: dict[str, DataFrame], path: str)
         write_predictions(rows, f"{path}/predictions_{name}")
 
 
+def write_merged(sources: list[DataFrame], path: str) -> None:
+    """The union of several corpora by meeting, into a folder that has to be empty; audio stays where it is."""
+    from lectern.operators import checks, corpus
+
+    checks.destination_empty(sources[0].sparkSession, path)
+    write_by_meeting(corpus.merge_sources(*sources), path)
+
+
+def write_json(value, path: str, spark) -> None:
+    """A small document, such as settings or a gate's results, as one JSON text."""
+    spark.createDataFrame([(json.dumps(value, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_checksums(hashes: DataFrame, path: str) -> None:
     hashes.orderBy("path").select(F.concat_ws("  ", "sha256", "path").alias("value")).coalesce(1).write.mode("overwrite").text(path)
 

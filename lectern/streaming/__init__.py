@@ -1,7 +1,10 @@
-"""Streaming forms of timeline operators."""
+"""Streaming forms of timeline and training operators."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,17 +19,82 @@ def pause_sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: s
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def greedy_cuts(words: DataFrame, key: str, min_gap: float, longest: float, shortest: float) -> DataFrame:
+    """(key, cut): the greedy cuts of each recording as its words arrive, start after start.
+
+    words: (key, start, duration); a row with a duration ends its recording and brings the forced cuts up to it. The
+    state of a recording is its last start and its last cut. Words of one recording have to arrive in order.
+    """
+
+    def step(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        before, last = state.get if state.exists else (None, 0.0)
+        cuts = []
+        for row in pd.concat(list(frames)).sort_values("start", kind="stable").itertuples():
+            if before is not None and row.start - before >= min_gap:
+                at = (row.start + before) / 2
+                if at - last > longest:
+                    last += longest
+                    cuts.append(last)
+                elif at - last >= shortest:
+                    last = at
+                    cuts.append(last)
+            before = row.start
+            while not pd.isna(row.duration) and row.duration - last > longest:
+                last += longest
+                cuts.append(last)
+        state.update((before, last))
+        yield pd.DataFrame({"key": [str(name[0])] * len(cuts), "cut": cuts})
+
+    narrow = words.select(F.col(key).cast("string").alias("key"), F.col("start").cast("double").alias("start"), F.col("duration").cast("double").alias("duration"))
+    return narrow.groupBy("key").applyInPandasWithState(step, "key string, cut double", "before double, last double", "append", "NoTimeout")
+
+
+def early_stops(curve: DataFrame, key: str, order: str, value: str, patience: int, greater_is_better: bool = False) -> DataFrame:
+    """(key, stopped_at): the point where `patience` rows in a row have not beaten the best, once for each run, as
+    soon as it is seen. The state of a run is its best value, the rounds since, and whether it has stopped."""
+    sign = -1.0 if greater_is_better else 1.0
+
+    def step(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        best, rounds, done = state.get if state.exists else (None, 0, False)
+        found = []
+        for row in pd.concat(list(frames)).sort_values("place").itertuples():
+            if best is None or sign * row.value < best:
+                best, rounds = sign * row.value, 0
+            else:
+                rounds += 1
+            if rounds >= patience and not done:
+                done = True
+                found.append(row.place)
+        state.update((best, rounds, done))
+        yield pd.DataFrame({"key": [str(name[0])] * len(found), "stopped_at": found})
+
+    narrow = curve.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("place"), F.col(value).cast("double").alias("value"))
+    return narrow.groupBy("key").applyInPandasWithState(step, "key string, stopped_at long", "best double, rounds long, done boolean", "append", "NoTimeout")
+
+
+def drained(stream: DataFrame, path: str) -> DataFrame:
+    """Whatever the source has by now, written below path, and all rows written so far. A later call with the same path
+    goes on where the last one ended: its checkpoint is the stage's state."""
+    stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def append_new(batch: DataFrame, path: str, key: str, digest: str) -> None:
-    """foreachBatch sink that may see a row twice: known keys with the same digest are passed over, with another one fail."""
+    """foreachBatch sink that may see a row twice, in one batch or in several: a known key with the same digest is passed
+    over, with another one it fails. Of the sink only keys and digests are read."""
     spark = batch.sparkSession
+    changed = F.raise_error(F.concat(F.lit("changed content of "), F.col(key).cast("string"))).cast("string")
+    whole = F.struct(*batch.columns)
+    once = batch.groupBy(key).agg(F.min_by(whole, F.col(digest)).alias("_row"), F.min(digest).alias("_low"), F.max(digest).alias("_high"))
+    once = once.withColumn("_known", F.when(F.col("_low") != F.col("_high"), changed)).where("_known is null").select("_row.*")
     try:
         known = spark.read.schema(batch.schema).parquet(path)
         known.limit(1).count()
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        batch.write.parquet(path)
+        once.write.parquet(path)
         return
-    both = batch.alias("b").join(known.select(key, F.col(digest).alias("_known")), key, "left")
-    wrong = F.when(F.col("_known") != F.col(digest), F.raise_error(F.concat(F.lit("changed content of "), F.col(key).cast("string"))).cast("string"))
-    both.withColumn("_known", F.coalesce(wrong, F.col("_known"))).where("_known is null").drop("_known").write.mode("append").parquet(path)
+    both = once.join(known.select(key, F.col(digest).alias("_known")), key, "left")
+    wrong = F.when(F.col("_known") != F.col(digest), changed)
+    both.withColumn("_known", F.coalesce(wrong, F.col("_known"))).where("_known is null").select(*batch.columns).write.mode("append").parquet(path)

@@ -37,6 +37,8 @@ def test_retention_counts_repeats(spark):
     row = scoring.retention_by(tokens).first()
     assert (row.n_candidates, row.n_retained, row.retention) == (2, 1, 0.5)
     assert [tuple(r) for r in scoring.missing_tokens(tokens).collect()] == [("report", 1)]
+    lost = scoring.retained_tokens(pairs(spark, [("zeta report alpha", ""), ("gamma gamma", "")]), ["ord"])
+    assert [r.token for r in scoring.missing_tokens(lost, top=9).collect()] == ["gamma", "zeta", "report", "alpha"]  # equals as they come
     assert scoring.retention_by(scoring.retained_tokens(pairs(spark, [("chao ban", "chao")]), ["ord"])).first().retention is None
 
 
@@ -44,6 +46,8 @@ def test_error_inspection(spark):
     counted = scoring.counted(pairs(spark, [("abc", "zzz"), ("x" * 100, "x" * 80)]))
     assert [r.segment_id for r in scoring.ranked_by_edits(counted).collect()] == ["s1", "s0"]
     assert scoring.top_segment_share(counted).first().share == 20 / 23
+    none = scoring.counted(pairs(spark, [("a", "a")]))
+    assert scoring.top_segment_share(none).first().share == 0.0
     digits = scoring.digit_mismatch(pairs(spark, [("a 4", "a 4"), ("b 4", "b 5"), ("c", "c")]))
     assert [(r.segment_id, r.mismatch) for r in digits.orderBy("ord").collect()] == [("s0", False), ("s1", True)]
     loans = scoring.loanword_dropped(pairs(spark, [("chúng ta cần xem report này", "chúng ta cần xem này"), ("report", "report")]))
@@ -85,13 +89,17 @@ def test_bootstrap_matches_a_plain_model(spark):
     assert math.isclose(row.lo, values[25]) and math.isclose(row.hi, values[975])
 
 
-def test_large_slices_get_a_like_interval(spark, monkeypatch):
+def test_methods_agree_at_any_size(spark):
+    """The caller chooses the method; a row more changes neither it nor much of the interval."""
     rng = random.Random(2)
-    frame = counts(spark, [rng.randrange(3) for _ in range(300)], [10] * 300)
-    exact = stats.bootstrap_ci(frame).first()
-    monkeypatch.setattr(stats, "EXACT_SEGMENTS", 10)
-    fast = stats.bootstrap_ci(frame).first()
-    assert abs(fast.lo - exact.lo) < 0.005 and abs(fast.hi - exact.hi) < 0.005
+    edits = [rng.randrange(3) for _ in range(1001)]
+    for n in (300, 1000, 1001):
+        frame = counts(spark, edits[:n], [10] * n)
+        exact, fast = stats.bootstrap_ci(frame).first(), stats.bootstrap_ci(frame, method="poisson").first()
+        assert (exact["method"], fast["method"]) == ("exact", "poisson")
+        assert abs(fast.lo - exact.lo) < 0.005 and abs(fast.hi - exact.hi) < 0.005
+    with pytest.raises(ValueError):
+        stats.bootstrap_ci(frame, method="other")
 
 
 def test_paired_verdicts(spark):
@@ -100,8 +108,11 @@ def test_paired_verdicts(spark):
         d = stats.bootstrap_delta_ci(scoring.paired(a, b))
         assert d.select(stats.verdict(F.col("lo"), F.col("hi"))).first()[0] == want
         keyed = stats.bootstrap_delta_ci(scoring.paired(a.withColumn("s", F.lit(1)), b.withColumn("s", F.lit(1)), "s", by="ord"), "s").first()
-        assert (keyed.lo, keyed.hi) == tuple(d.first())
-    assert scoring.paired(base, counts(spark, [1] * 29, [10] * 29)).count() == 0
+        assert (keyed.lo, keyed.hi) == tuple(d.first())[:2]
+    less = counts(spark, [1] * 29, [10] * 29)
+    assert scoring.paired(base, less).count() == scoring.paired(base, less, by="ord").count() == 0
+    moved = better.withColumn("ord", F.col("ord") + 1)  # as many rows, but other keys
+    assert scoring.paired(base, moved, by="ord").count() == 0 and scoring.paired(base, better.union(better), by="ord").count() == 0
 
 
 SWEEP_4 = [(0.0, 0.10337330648114244, 0.022832927484899276), (0.25, 0.054833394361039914, 0.022611555611776985), (0.5, 0.036364884657634565, 0.026185130135036844), (0.75, 0.03316093006224826, 0.033427152841466114), (1.0, 0.03256590992310509, 0.04256664874608646)]
@@ -150,10 +161,11 @@ def test_curves(spark):
     frame = spark.createDataFrame([(i, v) for i, v in enumerate([9.0, 5.0, 4.0, 6.0, 7.0, 3.0, 8.0, 8.0, 8.0])], "step long, v double")
     assert stats.early_stop(frame, "step", "v", 2).first().stopped_at == 4
     assert stats.early_stop(frame, "step", "v", 4).first().stopped_at is None
+    assert stats.early_stop(frame, "step", "v", 3, greater_is_better=True).first().stopped_at == 3
     means = sorted((r.last, r["mean"]) for r in stats.block_means(frame, "step", "v", 4).collect())
     assert means == [(3, 6.0), (7, 6.5), (8, 8.0)]
     row = stats.curve_summary(frame, "step", "v", warmup_end=F.lit(0)).first()
-    assert (row.steps, row["first"], row.least, row.diverged) == (8, 5.0, 3.0, True)
+    assert (row.steps, row["first"], row.least, row.diverged) == (9, 5.0, 3.0, True)  # steps are those of the whole log
     assert stats.curve_summary(frame, "step", "v", warmup_end=F.lit(99)).first().steps == 9
 
 

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,10 +42,12 @@ def test_number_udf_handles_null(spark):
 
 
 def test_normalize_order(spark):
-    got = column(spark, ["Xin, CHÀO…  bạn!", "à ừm  ok-ay", None, "   "], lambda c: tx.normalize(c, fillers=("ừm",)))
+    got = column(spark, ["Xin, CHÀO…  bạn!", "à ừm  ok-ay", None, "   "], lambda c: tx.normalize(c, filler_tokens=("Ừm",)))
     assert got == ["xin chào bạn", "à ok-ay", None, ""]
     with pytest.raises(ValueError):
-        tx.normalize(F.lit("x"), fillers=("ạ",))
+        tx.normalize(F.lit("x"), filler_tokens=("Ạ",))
+    with pytest.raises(ValueError):
+        tx.Normalizer(number_convention="digits")
 
 
 def test_compose_joins_marks(spark):
@@ -65,6 +68,31 @@ def test_syllable_shape(spark):
     assert column(spark, ["được"], tx.strip_tone) == ["đươc"]
 
 
+def test_tones_of_any_letter(spark):
+    """All letters below U+2000 that hold one of the five marks, composed and decomposed, against the rule."""
+    marks = {0x300, 0x301, 0x303, 0x309, 0x323}
+    letters = [chr(i) for i in range(0xC0, 0x2000) if marks & set(map(ord, unicodedata.normalize("NFD", chr(i)))) and i not in (*marks, 0x340, 0x341)]
+    assert len(letters) > 350
+    bare = lambda t: unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if ord(c) not in marks))
+    assert column(spark, letters, tx.strip_tone) == [bare(c) for c in letters]
+    vietnamese = [b + m for b in "aăâeêioôơuưyAĂÂEÊIOÔƠUƯY" for m in ("", *map(chr, marks))]
+    whole = [unicodedata.normalize("NFD", f"ng{v}c") for v in vietnamese]
+    assert column(spark, whole, tx.strip_tone) == [bare(w) for w in whole]
+    words = ["doñ", "ñga", "tañ", "đường", unicodedata.normalize("NFD", "đường"), "ça", "\u1e39a"]
+    assert column(spark, words, tx.is_vietnamese_shaped) == [True, True, True, True, True, False, False]
+
+
+def test_normalizer_audit(spark):
+    frame = spark.createDataFrame([(1, "Ừm, hai mươi ừm người"), (1, "e\u0301 không"), (2, None)], "k int, t string")
+    one = tx.Normalizer(filler_tokens=("ỪM",))
+    assert column(spark, ["Ừm, hai mươi ừm người", "e\u0301 không"], one) == ["20 người", "é không"]
+    assert {r.k: (r.conversions, r.fillers_removed) for r in tx.audit(frame, one, "t", "k").collect()} == {1: (1, 2), 2: (None, None)}
+    assert column(spark, ["hai mươi"], one.other()) == ["hai mươi"]
+    odd = ["K\u212b", "\uf900", "\u1100\u1161\u11a8", "a\u0323\u0306", "plain", "\u0958"]
+    assert column(spark, odd, tx.nfc) == [unicodedata.normalize("NFC", t) for t in odd]
+    assert column(spark, ["\t[x]\n", "[x\n]", "\x1c[y]"], tx.is_label) == [True, False, True]
+
+
 def test_small_scalars(spark):
     assert column(spark, ["seg_0000_3", "seg_0001", "other_9"], tx.parent_id) == ["seg_0000", "seg_0001", "other_9"]
     assert column(spark, ["seg_0000_3", "seg_0001", "seg_0002_10"], tx.chunk_number) == [3, 0, 10]
