@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import minhash_dedup, packing, quality_rules, scratch, substring_dedup, toxicity
+from lectern.sources.layout import spread
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over documents, each written and read again; what a stage wrote besides goes,
     and so does its input once its result is stored."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     before: list[str] = []
     for name, stage in STAGES[:-1]:
         with scratch.scope() as used:

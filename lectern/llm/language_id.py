@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from lectern.llm import kernels as kn
 from lectern.llm import scratch
 from lectern.llm.url_filters import LOWER, UPPER
+from lectern.sources.layout import spread
 
 #: Training texts of each language at most (those with the lowest hash of the id); buckets of trigrams.
 SAMPLE_ROWS, BUCKETS = 3000, 1 << 15
@@ -182,5 +183,5 @@ def _named(name: Column, lang: str, languages: list[str], right: float) -> Colum
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
-    model = fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return language_id(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), model).select("page_id", "host", "declared", "text_lang", "lang", "probability")
+    model = fit(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return language_id(spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")), model).select("page_id", "host", "declared", "text_lang", "lang", "probability")

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from lectern.llm import kernels as kn
 from lectern.llm import scratch
 from lectern.llm.components import components
+from lectern.sources.layout import spread
 
 SHINGLE = 5
 #: Coordinates, and how many of them two sets must share to be compared in full:
@@ -298,7 +299,7 @@ def minhash_dedup(docs: DataFrame, percent: int = 75, k: int = COORDINATES, leas
 
 
 def op10_minhash_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return minhash_dedup(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import kernels as kn
 from lectern.llm import scratch
+from lectern.sources.layout import spread
 
 SEQUENCE = 1024
 END_ID = 2
@@ -156,4 +157,4 @@ def pack(docs: DataFrame, limit: int = SEQUENCE, end_id: int = END_ID, id_col: s
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return pack(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.sources.layout import spread
+
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 
 #: Frequent function words of the corpus's languages.
@@ -121,7 +123,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: st
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -12,6 +9,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.sources.layout import input_bytes, shared_dir
+
 #: The innermost open scope's tables, oldest first; None outside any scope.
 _scope: ContextVar[list[str] | None] = ContextVar("lectern_scratch", default=None)
 
@@ -27,19 +26,6 @@ def scope() -> Iterator[list[str]]:
         _scope.reset(token)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset, a temporary folder for a local master, and an error for others."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
-        where = tempfile.mkdtemp(prefix="lectern-")
-        atexit.register(shutil.rmtree, where, True)
-        where = f"file://{where}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def app_dir(spark: SparkSession) -> str:
     """This application's part of the shared folder."""
     return f"{shared_dir(spark)}/lectern-{spark.sparkContext.applicationId}"
@@ -71,14 +57,6 @@ def release_all(spark: SparkSession) -> None:
     _delete(spark, app_dir(spark))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of df (file sizes for tables); it only sets how finely work is dealt out."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except (AttributeError, ValueError):
-        return 1 << 30
-
-
 def parts(df: DataFrame, per: int, least: int = 16) -> int:
     """How many buckets of about `per` input bytes each, however many that are."""
     return max(least, input_bytes(df) // per)

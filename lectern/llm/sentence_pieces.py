@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import kernels as kn
+from lectern.sources.layout import spread
 
 #: Characters of a slice.
 SLICE_CHARS = 1 << 24
@@ -171,5 +172,5 @@ def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
     digest = lambda raw: hashlib.sha256(raw).hexdigest()
     finish = lambda ids, text, n: (n, digest(ids), digest(text))
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return _source(docs, "doc_id", "text").mapInArrow(_joined(model_path(), finish, out), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

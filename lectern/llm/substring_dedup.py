@@ -46,6 +46,7 @@ from pyspark.sql import types as T
 
 from lectern.llm import kernels as kn
 from lectern.llm import scratch
+from lectern.sources.layout import spread
 
 #: Windows that a map task holds before it sends them on.
 FLUSH = 1 << 19
@@ -446,7 +447,7 @@ def quoted(name: str) -> Column:
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

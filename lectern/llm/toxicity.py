@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from lectern.llm import kernels as kn
 from lectern.llm import scratch
+from lectern.sources.layout import spread
 
 BITS = 20
 PREFIXES = (4, 5, 6, 7, 8, 9, 10)
@@ -314,7 +315,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", name: str =
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     machine = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score(docs, machine)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
