@@ -1,3 +1,3 @@
 """Queries over the driver tables, with their oracles; importing the package registers all of them."""
 
-from lectern.plans import catalogue  # noqa: F401
+from lectern.plans import catalogue, inspection, stored  # noqa: F401

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.functions.numbers_vi import words_to_digits
 from lectern.operators import checks, corpus, gate, scoring, stats, timeline
 from lectern.plans import oracle_text as ot
 from lectern.sources.layout import spread
@@ -363,15 +362,6 @@ def middle_window(spark, sf_dir):
     return out.select(F.col("ord0").alias("event_id"), F.round(F.col("start") * 2e6).cast("long").alias("start_half_us"))
 
 
-@query()
-def greedy_splits(spark, sf_dir):
-    words = timeline_of_events(spark, sf_dir)
-    at = timeline.gap_candidates(words, "user_id", _HOUR).groupBy("user_id").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    joined = _durations(words).join(at, "user_id", "left")
-    cuts = timeline.greedy_cuts(F.coalesce("at", F.array().cast("array<double>")), F.col("duration"), 30 * _HOUR, 15 * _HOUR)
-    return joined.select("user_id", F.posexplode(cuts).alias("i", "cut")).withColumn("cut", r6("cut"))
-
-
 @query(_EVENTS + """, l as (select user_id, quantile_cont(value, 0.15) as level from e group by user_id),
 r as (select e.*, value <= level as quiet, row_number() over (partition by user_id order by start, event_id) - 1 as i from e join l using (user_id)),
 q as (select *, i - row_number() over (partition by user_id order by i) as island from r where quiet)
@@ -494,22 +484,6 @@ def checksum_report(spark, sf_dir):
     return checks.checksum_report(expected, docs.where("source <> 'src0'").select("path", digest(F.col("text"))))
 
 
-@query()
-def proportional_split(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
-    text = F.array_join(F.transform("t", lambda x: x["text"]), " ")
-    durations = F.transform("t", lambda x: (x["turn"] + 1).cast("double"))
-    return turns.select("conv_id", F.posexplode(timeline.proportional_split(text, durations)).alias("i", "piece"))
-
-
-@query()
-def number_words(spark, sf_dir):
-    # the corpus has no Vietnamese numbers: two of its words become number words
-    spoken = F.regexp_replace(F.regexp_replace(F.lower("text"), r"\bthe\b", "hai mươi"), r"\bof\b", "tư")
-    out = words_to_digits(spoken)
-    return table(spark, sf_dir, "documents").select("doc_id", out.alias("w")).select("doc_id", F.md5(F.col("w.text").cast("binary")).alias("text_md5"), F.col("w.n_conversions").alias("n_conversions"))
-
-
 @query(f"""with {SEGMENTS}, {edit_ctes('d')}, {edit_ctes('e', hyp='base')},
 t as (select coalesce(d.edits, 0) as c, coalesce(e.edits, 0) as b, length(s.ref) as n from segments s left join d on s.ref = d.ref and s.hyp = d.hyp left join e on s.ref = e.ref and s.base = e.hyp),
 g as (select 'tier1_in_domain' as tier, sum(c) / sum(n) as cer, 0.9 * 0.01 as bound from t union all select 'tier2_ood', sum(b) / sum(n), 0.005 + 0.02 from t),

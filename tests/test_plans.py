@@ -5,21 +5,10 @@ import pytest
 from lectern.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-#: Operators without a built-in form: number words and resampling.
-PYTHON = {"number_words", "bootstrap_ci", "bootstrap_delta"}
-
-
 def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - PYTHON))
-def test_queries_stay_in_the_jvm(spark, name):
-    text = plan(catalogue.QUERIES[name](spark, SF))
-    assert not re.search("Python|Pandas|InArrow", text)
-    assert "CartesianProduct" not in text
-
-
 @pytest.mark.parametrize(
     ("name", "columns"),
     [
@@ -36,6 +25,14 @@ def test_scans_read_needed_columns_only(spark, name, columns):
     assert read and read <= columns
 
 
+@pytest.mark.parametrize(("name", "scans", "exchanges"), [("retention_by_source", 1, 2), ("missing_tokens", 1, 2), ("loanword_dropped", 1, 1), ("text_stats", 1, 2), ("vn_shape", 1, 2), ("token_vocab_ge3", 1, 2), ("bootstrap_ci", 1, 2), ("bootstrap_delta", 1, 2)])
+def test_scans_and_exchanges_are_bounded(spark, name, scans, exchanges):
+    """Besides the exchange that deals a small table over all cores."""
+    text = plan(catalogue.QUERIES[name](spark, SF))
+    assert text.count("FileScan parquet") == scans
+    assert len(re.findall(r"Exchange (?:hash|single|range)", text)) <= exchanges
+
+
 def test_filters_reach_the_scan(spark):
     text = plan(catalogue.duration_histogram(spark, SF))
     assert "PushedFilters: [IsNotNull(n_chars)" in text
