@@ -5,14 +5,14 @@ in; the last returns the pieces of packed sequences.
 
 Defined results: null ids pass every stage, never as a duplicate of anything; null and empty
 texts fail the quality base; of rows that repeat id and text each is judged alike, so all of
-them stay or go; rows that repeat an id with other texts are judged by their own text, but
-near-duplicate groups know an id by one of its texts; texts of any length are read whole;
-columns whose names clash with results pass through.
+them stay or go; rows that repeat an id with other texts are documents of their own; texts
+of any length are read whole; columns whose names clash with results pass through.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.llm import minhash_dedup, packing, quality_rules, scratch, substring_dedup, toxicity
 from lectern.sources.layout import spread
@@ -30,8 +30,14 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    return minhash_dedup.minhash_dedup(docs, prefix="_lx_").where("_lx_kept").select(*[substring_dedup.quoted(c) for c in docs.columns])
+    """One document of each group of near duplicates: the one with the smallest id. Where an id comes with several
+    texts, a document is its id and text, and the one with the smallest hash of both stays."""
+    columns = [substring_dedup.quoted(c) for c in docs.columns]
+    key = "doc_id"
+    if substring_dedup.repeated_ids(docs)[1]:
+        key = "_lx_key"
+        docs = docs.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))))
+    return minhash_dedup.minhash_dedup(docs, id_col=key, prefix="_lx_").where("_lx_kept").select(*columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

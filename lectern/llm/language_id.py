@@ -8,7 +8,8 @@ aggregation, less the page's own share, so that a page never votes for itself.
 
 Defined results: a null or empty page has no text or markup evidence; a null url, or one
 without a host, shares the host and domain ''; without training texts the model's
-languages are empty and lang is null; rows that repeat give equal rows; other columns pass
+languages are empty and lang is null; of equally likely languages the first by name counts;
+rows that repeat give equal rows, and each votes for its host; a page of any length is read whole; other columns pass
 through, but for those with a result column's name.
 """
 

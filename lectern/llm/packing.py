@@ -11,7 +11,8 @@ decreasing. Counting, ranking and placing rows are distributed; the sweep itself
 count for each length, however many documents there are.
 
 Defined results: null texts are empty, and an empty text is the end id alone; rows that
-repeat are packed each on their own; a null id stays null.
+repeat are packed each on their own; a null id stays null; a text of any length is cut into
+pieces of a sequence; other columns are not used.
 """
 
 from __future__ import annotations

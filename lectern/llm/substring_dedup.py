@@ -328,13 +328,19 @@ def _parse_block(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(doc[begin], pa.int64()), pa.array(text[begin], pa.int64()), pa.array(packed, pa.binary())], schema=_FACTOR_SCHEMA)
 
 
+def repeated_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[bool, bool]:
+    """Whether rows repeat an id at all, and whether some id comes with several texts."""
+    source = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.xxhash64(quoted(text_col).cast("string")).alias("h")).where("doc_id is not null")
+    facts = source.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).agg(F.max("n").alias("n"), F.max(F.col("low") != F.col("high")).alias("several")).first()  # one row
+    return (facts["n"] or 0) > 1, bool(facts["several"])
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
     """(doc_id, text, hash) of distinct documents, where the hash is 0 unless some id has several texts; and whether one has."""
     source = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    facts = source.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).agg(F.max("n").alias("n"), F.max(F.col("low") != F.col("high")).alias("several")).first()  # one row
-    several = bool(facts["several"])
+    repeat, several = repeated_ids(source)
     source = source.withColumn("h", F.xxhash64("text") if several else F.lit(0).cast("long"))
-    if (facts["n"] or 0) > 1:  # a row that repeats another would be its own reference
+    if repeat:  # a row that repeats another would be its own reference
         source = source.groupBy("doc_id", "h").agg(F.first("text").alias("text")).select("doc_id", "text", "h")
     return source, several
 

@@ -25,8 +25,15 @@ RULES = (
     ("block", "com", "/de/"),
 )
 #: Terms that reject alone, and terms of which SOFT_HITS distinct ones reject.
-STRICT = ("casino", "porn", "viagra", "cialis", "xxx", "adult", "escort", "spam", "malware", "phishing")
-SOFT = ("cheap", "pills", "free", "bets", "bet", "betting", "win", "bonus", "ads", "track", "loan", "poker", "slots", "click", "promo", "torrent", "crack", "warez")
+STRICT = tuple(
+    "adult blackjack camgirl camgirls casino cialis darkweb escort escorts fetish hentai hookup keygen malware milf nude nudes onlinecasino payday phishing "
+    "porn porno pornstar ransomware roulette sexcam sexchat sportsbook spam striptease viagra warez webcamsex xxx xxxvideo".split()
+)
+SOFT = tuple(
+    "ads affiliate auction bet bets betting bingo bitcoin bonus bonuses buy cash cheap click coupon coupons crack cracked credit crypto deal deals dating "
+    "diet discount download earn forex free freebie gamble gambling gift giveaway jackpot keto loan loans lottery lotto money offer offers pharmacy pills poker "
+    "prize promo promotion replica rich sale sales serial sexy singles slot slots supplement supplements torrent torrents track tracker traffic unlimited win winner".split()
+)
 SOFT_HITS = 2
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

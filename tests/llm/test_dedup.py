@@ -154,6 +154,20 @@ def test_near_dedup_edge_tables(spark):
     assert got == [(-1, 0, None, True), (7, 1, 7, True), (7, 1, 7, True), (9, 1, 7, False), (11, 0, 11, True), (12, 0, 12, True), (13, 0, 13, True)]
 
 
+def test_near_dedup_of_long_texts_and_clashing_names(spark):
+    rng = random.Random(9)
+    w = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    near = list(w)
+    for i in range(0, len(near), 100):
+        near[i] = "y"
+    rows = [(4, " ".join(w), "a"), (2, " ".join(near), "b"), (9, "z" * 400_000, "c"), (8, "Z" * 400_000, "d")]
+    frame = spark.createDataFrame([(i, t, k, False) for i, t, k in rows], "doc_id long, text string, component_id string, kept boolean")
+    got = {r.doc_id: r for r in minhash_dedup.minhash_dedup(frame, prefix="_lx_").collect()}
+    assert {d: (r._lx_component_id, r._lx_kept, r.component_id, r.kept) for d, r in got.items()} == {4: (2, False, "a", False), 2: (2, True, "b", False), 9: (8, False, "c", False), 8: (8, True, "d", False)}
+    plain = minhash_dedup.minhash_dedup(frame)
+    assert {r.doc_id: r.component_id for r in plain.collect()} == {4: 2, 2: 2, 9: 8, 8: 8} and plain.columns.count("kept") == 1
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)] + [(200, 199), (199, 200), (7, 7)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -65,6 +65,26 @@ def test_stages_keep_columns_that_clash(spark):
     assert docs.count() > 20 and corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
 
 
+def test_stages_of_repeated_and_null_ids(spark):
+    """Rows of one id with other texts are documents of their own, null ids and very long texts pass, copies go."""
+    rng = random.Random(8)
+    words = ["the", "of", "and", *(a + b + c for a in ("ma", "to", "li") for b in ("ren", "sol", "dik") for c in ("ta", "vo", "ne"))]
+    text = lambda n: "\n".join(" ".join(rng.choices(words, k=15)) for _ in range(n))
+    a, b, c, d, long = text(6), text(6), text(6), text(6), text(4000)
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, c), (None, c), (7, None), (8, ""), (9, long), (10, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "k") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    seen = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        seen = stage(spark, seen, SF)
+        assert seen.columns == docs.columns
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text, r.n_chars) for r in seen.collect())
+    one = [g for g in got if g[1] == a]
+    assert len(one) == 1 and one[0][0] in (1, 5)  # one copy of a
+    rest = sorted((i, t) for i, t, _ in got if t != a)
+    assert rest == sorted([(-1, c), (-1, c), (5, b), (5, b), (9, long), (10, d)])
+    assert all(n == len(t) for _, t, n in got)
+
+
 def test_stages_of_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES[:-1]:
