@@ -6,7 +6,6 @@ import re
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,18 +55,6 @@ def convert(text: str) -> tuple[str, int]:
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_conversions", T.LongType())]))
-def _words_to_digits(texts: pd.Series) -> pd.DataFrame:
+def words_to_digits(texts: pd.Series) -> pd.DataFrame:
+    """Struct (text, n_conversions) of each text, white space squeezed; null gives nulls."""
     return pd.DataFrame([(None, None) if t is None else convert(t) for t in texts], columns=["text", "n_conversions"]).astype({"n_conversions": "Int64"})
-
-
-_ANY = "(?U)(^|\\s)(" + "|".join(sorted({*DIGITS, *UNITS, *SCALES})) + ")(\\s|$)"
-
-
-def words_to_digits(text: Column) -> Column:
-    """Struct (text, n_conversions) of each text, white space squeezed; null gives nulls. Only texts that hold a
-    number word cross to Python."""
-    from lectern.functions.text import squeeze
-
-    found = _words_to_digits(F.when(text.rlike(_ANY), text))
-    done = found["text"].isNotNull()
-    return F.struct(F.when(done, found["text"]).otherwise(squeeze(text)).alias("text"), F.when(done, found["n_conversions"]).when(text.isNotNull(), F.lit(0).cast("long")).alias("n_conversions"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,23 +58,10 @@ def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@lru_cache(maxsize=1)
-def _composable() -> str:
-    """A class of all characters that composition can change or join to another."""
-    odd = [i for i in range(0x80, 0x30000) if not 0xD800 <= i < 0xE000 and not unicodedata.is_normalized("NFC", chr(i))]
-    ranges: list[list[int]] = []
-    for i in odd:
-        if ranges and ranges[-1][1] == i - 1:
-            ranges[-1][1] = i
-        else:
-            ranges.append([i, i])
-    return r"[\p{M}\x{1161}-\x{1175}\x{11A8}-\x{11C2}" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
-
-
 def nfc(text: Column) -> Column:
-    """Canonical composition, the one step without a built-in: texts that it can change cross to Python in Arrow
-    batches, the others do not."""
-    return F.coalesce(_nfc(F.when(text.rlike(_composable()), text)), text)
+    """Canonical composition, the one step without a built-in: texts cross to Python in Arrow batches, where composed
+    ones are told by a quick check. A test by expression would cost more than the crossing."""
+    return _nfc(text)
 
 
 def strip(text: Column) -> Column:
