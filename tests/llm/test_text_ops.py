@@ -314,17 +314,44 @@ def test_packing_equals_the_tokenizer_and_has_no_gaps(spark):
     assert len(twice) == 3 and len({(r.sequence_id, r.offset) for r in twice}) == 3
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 40), max_size=60))
-def test_plan_is_best_fit_decreasing(lengths):
-    counts = {x: lengths.count(x) for x in lengths}
-    plan = packing.best_fit_plan(counts, 40)
-    placed, fill = {}, {}
-    for length, low, high, first, offset in plan:
-        for i in range(low, high):
-            placed.setdefault(length, []).append(i)
-            fill.setdefault(first + i - low, []).append((offset, length))
-    assert {k: sorted(v) for k, v in placed.items()} == {k: list(range(n)) for k, n in counts.items()}
+@pytest.mark.parametrize("seed", range(4))
+def test_sweep_gives_the_smallest_free_gap_to_the_longest_first(spark, seed):
+    rng = random.Random(seed)
+    gaps = [rng.randint(1, 40) for _ in range(rng.randint(1, 60))]
+    docs = [rng.randint(1, 40) for _ in range(rng.randint(1, 60))]
+    state = spark.createDataFrame([(packing.GAP, g, i) for i, g in enumerate(gaps)] + [(packing.DOC, d, i) for i, d in enumerate(docs)], "kind int, size int, id long")
+    counts = {}
+    for kind, sizes in ((packing.GAP, gaps), (packing.DOC, docs)):
+        for size in sizes:
+            counts[kind, size] = counts.get((kind, size), 0) + 1
+    rows = packing._match(state, counts, 40).collect()
+    left = {r.id: r.size for r in rows if r.kind == packing.GAP}
+    met = {r.id: r for r in rows if r.kind == packing.DOC}
+    assert len(left) == len(gaps) and len(met) == len(docs)
+    free, want = list(gaps), []
+    for d in sorted(docs, reverse=True):  # one document at a time
+        fits = [g for g in free if g >= d]
+        if fits:
+            free.remove(min(fits))
+            want.append((d, min(fits)))
+    assert sorted((r.size, gaps[r.sequence]) for r in met.values() if r.sequence is not None) == sorted(want)
+    taken = {r.sequence: r for r in met.values() if r.sequence is not None}
+    assert len(taken) == len(want)
+    for i, g in enumerate(gaps):
+        assert left[i] == g - (taken[i].size if i in taken else 0)
+        assert i not in taken or taken[i].at == 40 - g
+
+
+@pytest.mark.parametrize("lengths", [
+    [], [39], [1] * 500, [20] * 9 + [21] * 9, [39] * 5 + [1] * 3,
+    [random.Random(5).randint(1, 39) for _ in range(400)], [random.Random(6).choice([3, 7, 30]) for _ in range(400)],
+], ids=["none", "one", "ones", "halves", "nearly full", "mixed", "few classes"])
+def test_supersteps_pack_as_best_fit_decreasing_does(spark, lengths):
+    rows = packing.best_fit(spark.createDataFrame(list(enumerate(lengths)), "id long, size int"), 40).collect()
+    assert sorted(r.id for r in rows) == list(range(len(lengths)))
+    fill = {}
+    for r in rows:
+        fill.setdefault(r.sequence, []).append((r.at, lengths[r.id]))
     for p in fill.values():
         at = 0
         for offset, length in sorted(p):
@@ -338,7 +365,13 @@ def test_plan_is_best_fit_decreasing(lengths):
             min(fits)[0] -= x
         else:
             bins.append([40 - x])
-    assert len(fill) == len(bins)
+    assert len(fill) <= len(bins) * 1.02 + 1
+
+
+def test_bundles_of_short_documents(spark):
+    docs = spark.createDataFrame([(i, "" if i % 3 else "a" * (i % 7)) for i in range(3000)], "doc_id long, text string")
+    n, total = check_packing(packing.pack(docs, 1024).collect(), {r.doc_id: r.text for r in docs.collect()}, 1024)
+    assert n == -(-total // 1024)
 
 
 def test_toxicity_held_out(spark):
