@@ -64,17 +64,65 @@ def markdown_table(rows: Iterable[dict], columns: list[str]) -> str:
     return "\n".join([*lines, *(f"| {' | '.join(show(r.get(c)) for c in columns)} |" for r in rows)]) + "\n"
 
 
-def model_card(name: str, tiers: Iterable[dict], slices: Iterable[dict]) -> str:
-    return f"# {name}\n\n## Gate\n\n{markdown_table(tiers, ['tier', 'cer', 'bound', 'pass'])}\n## Slices\n\n{markdown_table(slices, ['source', 'n_segments', 'cer', 'baseline_cer', 'verdict'])}"
+def model_card(name: str, tiers: Iterable[dict], slices: Iterable[dict], settings: dict | None = None, weight: float | None = None, chosen_by: str | None = None, overall: bool | None = None) -> str:
+    """The gate's tiers and slices; with settings also what the weights are, with overall the verdict."""
+    parts = [f"# {name}\n"]
+    if settings is not None:
+        lora = settings["lora"]
+        facts = {"base model": settings["base_model"], "run": settings["run_id"], "rank": lora["rank"], "alpha": lora["alpha"], "targets": ", ".join(lora.get("target_modules", [])) or None, "weight": weight, "weight chosen by": chosen_by}
+        parts.append("".join(f"- {k}: {v}\n" for k, v in facts.items() if v is not None))
+    verdict = "" if overall is None else f"\nOverall: **{'PASS' if overall else 'FAIL'}**\n"
+    parts.append(f"## Gate\n\n{markdown_table(tiers, ['tier', 'cer', 'bound', 'pass'])}{verdict}")
+    parts.append(f"## Slices\n\n{markdown_table(slices, ['source', 'n_segments', 'cer', 'baseline_cer', 'verdict'])}")
+    return "\n".join(parts)
 
 
-def probe_report(records: Iterable[dict]) -> str:
-    """A section for each screened recording."""
-    parts = []
-    for r in records:
-        decision = "ACCEPT" if r["ok"] else f"REJECT (rule {r['rule']})"
-        parts.append(f"## {r['title']}\n\n- duration: {r['duration'] / 60:.1f} min\n- **{decision}**, track {r.get('track') or 'none'}\n")
-    return "\n".join(parts)
+#: Measures of a probed draft, as `captions.probe` names them, and how a report words and shows them.
+MEASURES = {
+    "events": ("events", "{}"), "pieces": ("pieces", "{}"), "timed_pieces": ("pieces with an offset", "{}"),
+    "n_words": ("words", "{}"), "multi_token_entries": ("entries of several words", "{}"),
+    "lexical_particle_rate": ("particles", "{:.2%}"), "punctuation_per_100_words": ("marks in 100 words", "{:.1f}"),
+    "digit_word_rate": ("words with digits", "{:.2%}"), "nonvietnamese_word_rate": ("words of other shape", "{:.2%}"),
+    "nonvietnamese_words_per_min": ("words of other shape a minute", "{:.1f}"), "n_labels": ("sound labels", "{}"),
+    "first_wpm": ("words a minute, first bucket", "{:.0f}"), "last_wpm": ("words a minute, last bucket", "{:.0f}"),
+}
+
+
+def _decision(row: dict) -> str:
+    return "ACCEPT" if row["ok"] else f"REJECT (rule {row['rule']})"
+
+
+def _section(row: dict) -> str:
+    """One recording: its verdict, its tracks, and the measures that it has."""
+    lines = [f"## {row.get('title') or row.get('url')}", "", f"- duration: {row['duration'] / 60:.1f} min"]
+    lines.append(f"- **{_decision(row)}**" + (f": {row['reason']}" if row.get("reason") else "") + f", track {row.get('track') or 'none'}")
+    for name, tracks in (("automatic", row.get("automatic_captions")), ("owner's", row.get("subtitles"))):
+        if tracks is not None:
+            lines.append(f"- {name} tracks: {', '.join(f'{k} ({tracks[k]})' for k in sorted(tracks)) or 'none'}")
+    if row.get("draft_error"):
+        lines.append(f"- no draft, so rule 3 and the measures are missing: {row['draft_error']}")
+    if row.get("consensus_cer") is not None:
+        lines.append(f"- CER against the owner's subtitles: {row['consensus_cer']:.1%}")
+    shown = [{"measure": words, "value": form.format(row[c])} for c, (words, form) in MEASURES.items() if row.get(c) is not None]
+    if shown:
+        lines += ["", markdown_table(shown, ["measure", "value"]).rstrip()]
+    for name, of in (("labels", row.get("labels")), ("examples", row.get("examples")), ("words in each try", row.get("attempts")), ("opening", row.get("opening"))):
+        if of:
+            lines.append(f"- {name}: {of if isinstance(of, str) else ', '.join(map(str, of))}")
+    return "\n".join(lines) + "\n"
+
+
+def probe_report(records: Iterable[dict], failures: Iterable[tuple[str, str]] = ()) -> str:
+    """A report on rows of `captions.probe` with titles: how many were accepted, a line for each recording, those that
+    could not be probed (name, error), and a section for each of the others. Empty if there is nothing to report."""
+    records, failures = list(records), list(failures)
+    if not records and not failures:
+        return ""
+    accepted = sum(r["ok"] for r in records)
+    lines = [{"recording": r.get("title") or r.get("url"), "minutes": f"{r['duration'] / 60:.1f}", "verdict": _decision(r), "particles": r.get("lexical_particle_rate"), "first": r.get("first_wpm"), "last": r.get("last_wpm")} for r in records]
+    lines += [{"recording": name, "verdict": f"error: {error}"} for name, error in failures]
+    head = f"# Captions\n\n{accepted} accepted, {len(records) + len(failures) - accepted} rejected.\n\n{markdown_table(lines, ['recording', 'minutes', 'verdict', 'particles', 'first', 'last'])}"
+    return "\n".join([head, *map(_section, records)])
 
 
 def write_report(text: str, path: str | Path) -> None:

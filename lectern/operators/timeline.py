@@ -54,6 +54,14 @@ def words_of_entries(docs: DataFrame, key: str) -> DataFrame:
     return _finish(words, docs, key, "no words in")
 
 
+def timing_counts(docs: DataFrame, key: str) -> DataFrame:
+    """(key, events, pieces, timed_pieces) of caption documents; a piece is timed if it has an offset."""
+    none = F.array().cast("array<struct<utf8: string, tOffsetMs: bigint, acAsrConf: bigint>>")
+    pieces = F.flatten(F.transform(F.coalesce("events", F.array()), lambda e: F.coalesce(e["segs"], none)))
+    timed = F.filter(pieces, lambda p: p["tOffsetMs"].isNotNull())
+    return docs.select(key, F.coalesce(F.size("events"), F.lit(0)).alias("events"), F.size(pieces).alias("pieces"), F.size(timed).alias("timed_pieces"))
+
+
 #: Parser of each draft format.
 PARSERS = {"json3": words_of_events, "scribe": words_of_entries}
 
@@ -136,10 +144,17 @@ def wpm_buckets(words: DataFrame, durations: DataFrame, key: str, bucket: float
     return out.select(key, "i", "span", total.alias("words"), (total / (F.col("span") / 60)).alias("wpm"))
 
 
+def pace(buckets: DataFrame, key: str, share: float = COLLAPSE) -> DataFrame:
+    """(key, first_wpm, last_wpm, collapsed): the first bucket that has any words, the last one, and whether the last is
+    another one and thinner than `share` of the first."""
+    ends = buckets.groupBy(key).agg(F.min(F.when(F.col("wpm") > 0, F.struct("i", "wpm"))).alias("first"), F.max(F.struct("i", "wpm")).alias("last"))
+    thin = (F.col("first.i") < F.col("last.i")) & (F.col("last.wpm") < F.col("first.wpm") * share)
+    return ends.select(key, F.col("first.wpm").alias("first_wpm"), F.col("last.wpm").alias("last_wpm"), F.coalesce(thin, F.lit(False)).alias("collapsed"))
+
+
 def wpm_collapse(buckets: DataFrame, key: str, share: float = COLLAPSE) -> DataFrame:
     """(key, collapsed): the last bucket is thinner than `share` of the first that has any words, and another one."""
-    ends = buckets.groupBy(key).agg(F.min_by(F.struct("i", "wpm"), "i", ).alias("any"), F.min(F.when(F.col("wpm") > 0, F.struct("i", "wpm"))).alias("first"), F.max(F.struct("i", "wpm")).alias("last"))
-    return ends.select(key, F.coalesce((F.col("first.i") < F.col("last.i")) & (F.col("last.wpm") < F.col("first.wpm") * share), F.lit(False)).alias("collapsed"))
+    return pace(buckets, key, share).select(key, "collapsed")
 
 
 def islands(frame: DataFrame, key: str, order: str, flag: Column) -> DataFrame:

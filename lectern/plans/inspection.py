@@ -265,17 +265,48 @@ def corrected_subset(spark, sf_dir):
 _TRACKS = """t as (select c_custkey, case c_custkey % 4 when 0 then ['en'] when 1 then ['en', 'vi'] when 2 then ['en', 'vi', 'vi-orig'] else ['vi-x'] end as keys, case c_custkey % 4 when 1 then 'en' when 2 then 'vi-orig' else '' end as orig from customer)"""
 
 
+def _tracks_of(number):
+    """Caption tracks by number: no Vietnamese, a translated, an original and an unmarked one."""
+    entry = lambda name: F.array(F.struct(F.lit("json3").alias("ext"), F.lit(name).alias("name"), F.lit("u").alias("url")))
+    tracks = lambda **names: F.create_map(*[x for k, n in names.items() for x in (F.lit(k.replace("_", "-")), entry(n))])
+    k = number % 4
+    return F.when(k == 0, tracks(en="English")).when(k == 1, tracks(en="English (Original)", vi="Vietnamese")).when(k == 2, tracks(en="English", vi="Vietnamese", vi_orig="Vietnamese (Original)")).otherwise(tracks(vi_x="Vietnamese"))
+
+
 @query(f"""with {_TRACKS} select c_custkey, case c_custkey % 4 when 0 then 1 when 2 then null else 2 end as rule, c_custkey % 4 = 2 as ok, case when c_custkey % 4 = 2 then 'vi-orig' end as track,
   case c_custkey % 4 when 0 then 'no Vietnamese track' when 1 then 'the original is en' when 2 then 'accepted' else 'no track is marked as the original' end as reason, list_contains(keys, 'en') as has_en from t""")
 def caption_screen(spark, sf_dir):
-    entry = lambda name: F.array(F.struct(F.lit("json3").alias("ext"), F.lit(name).alias("name"), F.lit("u").alias("url")))
-    tracks = lambda **names: F.create_map(*[x for k, n in names.items() for x in (F.lit(k.replace("_", "-")), entry(n))])
-    k = F.col("c_custkey") % 4
-    have = F.when(k == 0, tracks(en="English")).when(k == 1, tracks(en="English (Original)", vi="Vietnamese")).when(k == 2, tracks(en="English", vi="Vietnamese", vi_orig="Vietnamese (Original)")).otherwise(tracks(vi_x="Vietnamese"))
-    out = captions.screen(table(spark, sf_dir, "customer").select("c_custkey", have.alias("automatic_captions")))
+    out = captions.screen(table(spark, sf_dir, "customer").select("c_custkey", _tracks_of(F.col("c_custkey")).alias("automatic_captions")))
     return out.select("c_custkey", "rule", "ok", "track", "reason", F.map_contains_key(captions.track_names(F.col("automatic_captions")), "en").alias("has_en"))
 
 
+# events as recordings: those of user % 4 = 2 have the tracks that rules 1 and 2 accept, and of these every fifth has no draft
+@query(_EVENTS + """, t as (select user_id, max(start) + 60 as duration, user_id % 4 = 2 and user_id % 5 > 0 as drafted from e group by user_id),
+b as (select user_id, duration, unnest(range(0, floor(duration / 86400)::bigint + 1)) as i from t where drafted),
+c as (select user_id, floor(start / 86400)::bigint as i, count(*) as words from e group by all),
+w as (select b.user_id, b.i, coalesce(words, 0) / (least(86400, duration - b.i * 86400) / 60) as wpm from b left join c on b.user_id = c.user_id and b.i = c.i where least(86400, duration - b.i * 86400) >= 3600),
+f as (select user_id, arg_min(wpm, i) filter (wpm > 0) as first_wpm, arg_max(wpm, i) as last_wpm, min(i) filter (wpm > 0) as first, max(i) as last from w group by user_id),
+n as (select user_id, count(*) as n_words, count(*) filter (event_id % 3 > 0) as timed from e group by user_id),
+v as (select t.user_id, t.drafted, user_id % 4 = 2 as vi, coalesce(first < last and last_wpm < 0.7 * first_wpm, false) as thin, first_wpm, last_wpm, duration from t left join f using (user_id))
+select v.user_id, vi and not thin as ok, case when user_id % 4 = 0 then 1 when not vi then 2 when thin then 3 end as rule, case when vi then 'vi-orig' end as track, round(first_wpm, 6) as first_wpm, round(last_wpm, 6) as last_wpm,
+  case when drafted then n_words end as n_words, case when drafted then n_words::int end as events, case when drafted then 2 * n_words::int end as pieces, case when drafted then (n_words + timed)::int end as timed_pieces
+from v join n using (user_id)""")
+def probe_captions(spark, sf_dir):
+    words = timeline_of_events(spark, sf_dir)
+    piece = lambda text, at: F.struct(text.alias("utf8"), at.alias("tOffsetMs"), F.lit(None).cast("bigint").alias("acAsrConf"))
+    segs = F.array(piece(F.col("text"), F.when(F.col("ord0") % 3 > 0, F.lit(0).cast("bigint"))), piece(F.lit("\n"), F.lit(5).cast("bigint")))
+    event = F.struct(F.floor(F.col("start") * 1000).alias("tStartMs"), F.lit(1000).cast("bigint").alias("dDurationMs"), segs.alias("segs"))
+    docs = words.select("user_id", "ord", event.alias("event")).groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "event"))), lambda x: x["event"]).alias("events"))
+    recordings = _durations(words).withColumn("automatic_captions", _tracks_of(F.col("user_id")))
+    out = captions.probe(recordings, docs.where("user_id % 5 > 0"), "user_id", bucket=86400.0, least=3600.0)
+    return out.select("user_id", "ok", "rule", "track", r6("first_wpm").alias("first_wpm"), r6("last_wpm").alias("last_wpm"), "n_words", "events", "pieces", "timed_pieces")
+
+
+@query(f"with {_TRACKS} select c_custkey, unnest(case c_custkey % 4 when 0 then ['en'] when 1 then ['vi'] when 2 then ['vi', 'vi-orig'] else ['vi-x'] end) as key from t")
+def owner_tracks(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", F.explode(captions.owner_keys(_tracks_of(F.col("c_custkey")))).alias("key"))
+
+
 @query("select user_id, arg_max(event_id, (value, -event_id)) as attempt, max(value) as n_tracks from events group by user_id")
 def richest_attempt(spark, sf_dir):
     return captions.richest_attempt(table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("attempt"), F.col("value").alias("n_tracks")), "user_id")

@@ -47,6 +47,17 @@ def validated_split(spark, sf_dir):
     return corpus.first_of(readers.read_split(spark, path, "val"), 20).select("segment_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@query(f"with {_RECORD} select doc_id::varchar as segment_id, lang as meeting_id from r where split = 'train' order by doc_id limit 30")
+def first_of_split(spark, sf_dir):
+    resolved = corpus.resolve_splits(records(spark, sf_dir).withColumn("split", F.when(F.col("split") == "test", "test").otherwise("demo")), ["fr"])
+    return corpus.only_split(resolved, "train", 30).select("segment_id", "meeting_id")
+
+
+@query(f"with {_RECORD} select doc_id::varchar as segment_id, lang as meeting_id from r where split = 'test' and source = 'src1'")
+def split_of_source(spark, sf_dir):
+    return corpus.split_of_source(records(spark, sf_dir), "test", "src1").select("segment_id", "meeting_id")
+
+
 def _predictions(spark, sf_dir, segment) -> str:
     turns = table(spark, sf_dir, "conversations")
     text = F.coalesce("text", F.lit(""))

@@ -81,6 +81,13 @@ def test_rescoring_and_texts(spark, tmp_path):
     assert "| t | 0.5000 | – | True |" in card
     report = reports.probe_report([{"ok": False, "rule": 2, "title": "v", "duration": 90.0}])
     assert "REJECT (rule 2)" in report and "1.5 min" in report
+    assert "0 accepted, 1 rejected" in report and reports.probe_report([]) == ""
+    full = {"ok": True, "rule": None, "reason": "accepted", "track": "vi", "title": None, "url": "u", "duration": 60.0, "n_words": 7, "digit_word_rate": 0.25, "first_wpm": 99.6, "last_wpm": 0.0, "labels": ["[a]"], "subtitles": {}}
+    report = reports.probe_report([full, full | {"draft_error": "429", "n_words": None}], [("v", "gone")])
+    for line in ("2 accepted, 1 rejected", "| v | – | error: gone |", "| words | 7 |", "| words with digits | 25.00% |", "first bucket | 100 |", "- owner's tracks: none", "- labels: [a]", "rule 3 and the measures are missing: 429"):
+        assert line in report
+    card = reports.model_card("x", [], [], {"base_model": "m", "run_id": "r", "lora": {"rank": 8, "alpha": 16}}, 0.75, "hand", False)
+    assert "- weight: 0.75" in card and "- weight chosen by: hand" in card and "**FAIL**" in card and "targets" not in card
     reports.write_report(report, tmp_path / "r.md")
     with pytest.raises(IntegrityError):
         reports.write_report(" ", tmp_path / "r.md")

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import captions, checks, corpus
+from lectern.operators import captions, checks, corpus, timeline
 from lectern.sources import readers, schemas, writers
 
 
@@ -98,6 +98,26 @@ def test_captions(spark):
     assert screened(None) == (False, 1, None)
     tries = spark.createDataFrame([("v", 0, 2), ("v", 1, 5), ("v", 2, 5)], "id string, attempt int, n_tracks int")
     assert tuple(captions.richest_attempt(tries, "id").first()) == ("v", 1, 5)
+    owned = spark.createDataFrame([({"vi": entry("a"), "en": entry("b")},), ({"ja": entry("a"), "en": entry("b")},), ({},)], schemas.CAPTIONS)
+    assert [r[0] for r in owned.select(captions.owner_keys(F.col("automatic_captions"))).collect()] == [["vi"], ["en", "ja"], []]
+
+
+def test_third_rule_of_the_screen(spark):
+    rows = [("thin", True, None, "accepted", "vi"), ("even", True, None, "accepted", "vi"), ("out", False, 2, "no", None), ("bare", True, None, "accepted", "vi")]
+    screened = spark.createDataFrame(rows, "id string, ok boolean, rule int, reason string, track string")
+    pace = timeline.pace(spark.createDataFrame([("thin", 0, 0.0), ("thin", 1, 845.0), ("thin", 2, 160.0), ("even", 0, 845.0), ("even", 1, 800.0), ("out", 0, 9.0), ("out", 1, 1.0)], "id string, i int, wpm double"), "id")
+    got = {r.id: (r.ok, r.rule, r.reason, r.track) for r in captions.screen_pace(screened, pace, "id").collect()}
+    assert got == {"thin": (False, 3, "words a minute fall from 845 to 160", "vi"), "even": (True, None, "accepted", "vi"), "out": (False, 2, "no", None), "bare": (True, None, "accepted", "vi")}
+    docs = spark.createDataFrame([("a", [(0, 1, [("x", None, None), ("y", 0, None)]), (None, None, None)]), ("b", None)], f"id string, {schemas.JSON3}")
+    assert sorted(map(tuple, timeline.timing_counts(docs, "id").collect())) == [("a", 2, 2, 1), ("b", 0, 0, 0)]
+
+
+def test_split_of_one_source(spark):
+    rows = spark.createDataFrame([(0, "test", "youtube"), (1, "test", "paid"), (2, "train", "youtube")], "ord int, split string, source string")
+    assert [r.ord for r in corpus.split_of_source(rows, "test", "youtube").collect()] == [0]
+    assert [r.ord for r in corpus.only_split(rows, "test", 1).collect()] == [0] and corpus.first_of(rows, 0).count() == 3
+    with pytest.raises(ValueError):
+        corpus.split_of_source(rows, "val", "youtube")
 
 
 def test_manifest_files(spark, tmp_path):
