@@ -1,8 +1,8 @@
 """Scans. `ord` is the place in file order, `src_file` the file a row came from.
 
 Spark deals files out by size, so order is made explicit: ord is the rank of the row's file
-by name, and the row's number inside the file, from its split's offset and its place in
-the split. Numbering works on one file at a time; nothing is sorted across files.
+by name, then its split's offset plus its place in its task, which the scan knows itself:
+nothing is counted, sorted or shuffled. ord grows with the place, but has gaps.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +26,26 @@ def _paths(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in found or [])
 
 
+#: Bits of ord for the place in a file, which is below the file's bytes; the others hold 8 million files.
+PLACE_BITS = 40
+
+
 def in_file_order(rows: DataFrame) -> DataFrame:
-    """A scan with ord and src_file."""
+    """A scan with ord and src_file.
+
+    A split that is not its file's last fills a task, so that its rows, each of a byte at least, count from 0 and stay
+    below the offset of the next split; after a file's last split nothing of that file follows. Where Spark is told to
+    pack splits into fewer tasks, this doesn't hold, and the scan is refused.
+    """
+    if rows.sparkSession.conf.get("spark.sql.files.maxPartitionNum", None):
+        raise ValueError("spark.sql.files.maxPartitionNum packs splits into tasks, which hides the order of rows")
     files = sorted(re.sub("^([a-z0-9]+):/+", r"\1:/", f) for f in rows.inputFiles())
-    ranks = rows.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "_path string, _rank long")
+    # a local relation, so that its size is known where the join is planned
+    ranks = rows.sparkSession.createDataFrame(pa.table({"_path": pa.array(files, pa.string()), "_rank": pa.array(range(len(files)), pa.int64())}))
     path = F.regexp_replace("_metadata.file_path", "^([a-z0-9]+):/+", "$1:/")
-    scan = rows.withColumns({"_path": path, "_block": F.col("_metadata.file_block_start"), "_seen": F.monotonically_increasing_id(), "src_file": F.col("_metadata.file_name")})
-    number = F.row_number().over(Window.partitionBy("_path").orderBy("_block", "_seen")) - 1
-    ranked = scan.withColumn("_number", number).join(ranks, "_path", "left")
-    return ranked.withColumn("ord", F.coalesce("_rank", F.lit(0)) * (1 << 32) + F.col("_number")).drop("_path", "_block", "_seen", "_number", "_rank")
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    scan = rows.withColumns({"_path": path, "_place": F.col("_metadata.file_block_start") + in_task, "src_file": F.col("_metadata.file_name")})
+    return scan.join(ranks, "_path", "left").withColumn("ord", F.shiftleft(F.coalesce("_rank", F.lit(0).cast("long")), PLACE_BITS) + F.col("_place")).drop("_path", "_place", "_rank")
 
 
 def read_manifests(spark: SparkSession, folder: str, pattern: str = "manifest.*.jsonl", schema: str = schemas.SEGMENT) -> DataFrame:

@@ -86,6 +86,28 @@ def test_corrections(spark):
         corpus.corrected_subset(frame, fixes.replace("a", "a <??>"), [], 0).collect()
 
 
+def test_scans_keep_the_order_over_many_splits(spark, tmp_path):
+    """The shortest rows, split finely, in files of several sizes; nothing is shuffled for it."""
+    for name, n in (("a", 3000), ("b", 10), ("c", 5000)):
+        (tmp_path / f"manifest.{name}.jsonl").write_text("".join("{}\n" if i % 3 else f'{{"text":"{name}{i:04d}"}}\n\n' for i in range(n)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = readers.read_manifests(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 20 and "Exchange hash" not in rows._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.ord, r.text) for r in rows.collect())
+        spark.conf.set("spark.sql.files.maxPartitionNum", "4")
+        with pytest.raises(ValueError, match="order"):
+            readers.read_manifests(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
+        spark.conf.unset("spark.sql.files.maxPartitionNum")
+    assert [t for _, t in got] == [f"{name}{i:04d}" if i % 3 == 0 else None for name, n in (("a", 3000), ("b", 10), ("c", 5000)) for i in range(n)]
+    assert len({o for o, _ in got}) == len(got)
+
+
 def test_captions(spark):
     def screened(tracks):
         row = captions.screen(spark.createDataFrame([(tracks,)], schemas.CAPTIONS)).first()
