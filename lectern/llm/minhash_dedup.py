@@ -41,6 +41,9 @@ SHINGLE = 5
 COORDINATES, MATCHES = 48, 22
 #: Outsiders and members of a posting list that meet in one tile, on average.
 TILE = (128, 512)
+#: Buckets of shingles at least, of about 1 MB each: above a set's size, so that a set has about a row for each of its
+#: shingles at every size, and rows grow with the shingles, not with sets times buckets.
+LEAST_BUCKETS = 1024
 RESULT = ("n_shingles", "component_id", "kept")
 
 _A = kn.mix(np.arange(1, 257, dtype=np.uint64)) | kn.U64(1)
@@ -241,7 +244,7 @@ def met_apart(prefix: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
     members = scratch.materialize(labelled.join(apart, "key").withColumn("outside", F.col("component") != F.col("main")).drop("main"), "members")
     few = members.select("doc_id").distinct()
     own = scratch.materialize(sets.join(few, "doc_id", "left_semi"), "sets-apart")
-    shared = own.mapInArrow(_deal(scratch.parts(own, 1 << 20)), "bucket long, shingles binary, docs binary").groupBy("bucket").applyInArrow(_count_shared, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    shared = own.mapInArrow(_deal(scratch.parts(own, 1 << 20, LEAST_BUCKETS)), "bucket long, shingles binary, docs binary").groupBy("bucket").applyInArrow(_count_shared, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
     facts = own.select("doc_id", (F.length("shingles") / 8).cast("long").alias("n")).join(shared, "doc_id")
     members = scratch.materialize(members.join(facts, "doc_id"), "members")
     # |x and y| >= p (|x| + |y|) / (100 + p), and a partner has at least p % of the size
