@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import bit_sliced, chat_format, language_id, minhash_dedup, packing, quality_rules, sentence_pieces, substring_dedup, toxicity, url_filters
+from lectern.llm import adaptive_scan, bit_sliced, branch_merge, chat_format, language_id, merkle, minhash_dedup, packing, quality_rules, sentence_pieces, substring_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_adaptive_scan": adaptive_scan.op12_adaptive_scan,
+    "op13_branch_merge": branch_merge.op13_branch_merge,
 }
 
 ORACLES = {
@@ -24,4 +27,6 @@ ORACLES = {
     "op4_exact_top_k": bit_sliced.ORACLE,
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op10_minhash_dedup": minhash_dedup.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op13_branch_merge": branch_merge.ORACLE,
 }
