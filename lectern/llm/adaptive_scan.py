@@ -104,6 +104,8 @@ def clustered(sample: np.ndarray, lists: int, rng: np.random.Generator, rounds:
 
 def calibrated(sample: np.ndarray, centroids: np.ndarray, k: int, target: float, rng: np.random.Generator) -> int:
     """Lists to probe so that `target` of the sample's k nearest lie in them, measured on some of its rows."""
+    if len(sample) < 2:
+        return 1
     asked = rng.permutation(len(sample))[:256]
     d = squared(sample[asked], sample)
     d[np.arange(len(asked)), asked] = np.inf
@@ -111,7 +113,7 @@ def calibrated(sample: np.ndarray, centroids: np.ndarray, k: int, target: float,
     own = np.concatenate([squared(sample[low : low + 4096], centroids).argmin(1) for low in range(0, len(sample), 4096)])
     rank = np.argsort(np.argsort(squared(sample[asked], centroids), axis=1), axis=1)
     needed = np.sort(np.take_along_axis(rank, own[nearest], axis=1).ravel())
-    return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))]) + 1 if len(needed) else 1
+    return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))]) + 1
 
 
 def fit(classes: DataFrame, n_classes: int, width: int, k: int, target: float = TARGET, seed: int = SEED) -> Fit:
