@@ -24,14 +24,16 @@ def runs(frame: DataFrame, at: str, run: Sequence[str], within: Sequence[str] =
     return rows.select(*within, *run, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*within)).alias("_total"))
 
 
-def placed(frame: DataFrame, at: str, run: Sequence[str], within: Sequence[str] = (), place: str = "place", total: str | None = None) -> DataFrame:
+def placed(frame: DataFrame, at: str, run: Sequence[str], within: Sequence[str] = (), place: str = "place", total: str | None = None, small: bool = False) -> DataFrame:
     """frame with each row's place from 0, without gap or repeat, by `run` and then `at`.
 
     `at` numbers the rows of a run one after another, in one task. Only the runs, a row for each task and group at most,
-    are sorted together; the rows stay where they are if the runs are few enough for Spark to send them to all.
-    Empty frames stay empty; runs whose values are null come first.
+    are sorted together; the rows stay where they are if the runs are few enough for Spark to send them to all, which
+    `small` says that they are. Empty frames stay empty; runs whose values are null come first.
     """
     counted = runs(frame, at, run, within)
+    if small:
+        counted = F.broadcast(counted)
     keys = [*within, *run]
     sides = frame.alias("l").join(counted.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
     found = [(F.col("r._before") + F.col(f"l.{at}") - F.col("r._first")).alias(place)]

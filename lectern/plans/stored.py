@@ -149,10 +149,19 @@ def trainer_state(spark, sf_dir):
     return readers.read_trainer_state(spark, run, "eval_ood_cer")
 
 
-@query("select format('vivos_test_{:05d}', row_number() over (order by item_id) - 1) as segment_id, text from benchmark qualify row_number() over (order by item_id) <= 15")
+@query("select format('vivos_test_{:05d}', row_number() over (order by event_id) - 1) as segment_id, md5(props) as text_md5 from events")
 def utterances(spark, sf_dir):
+    """Many files, several of them in one task: places without gap or repeat."""
+    path = fresh_folder(spark, "utterances")
+    rows = table(spark, sf_dir, "events").repartitionByRange(12, "event_id").sortWithinPartitions("event_id")
+    rows.select(F.col("props").alias("sentence")).write.option("parquet.block.size", 1 << 16).parquet(path)
+    return readers.read_utterances(spark, path, "test", corpus="vivos").select("segment_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("select format('vivos_test_{:05d}', row_number() over (order by item_id) - 1) as segment_id, text from benchmark qualify row_number() over (order by item_id) <= 15")
+def first_utterances(spark, sf_dir):
     path = fresh_folder(spark, "utterances")
-    table(spark, sf_dir, "benchmark").orderBy("item_id").coalesce(1).select(F.col("text").alias("sentence")).write.parquet(path)
+    table(spark, sf_dir, "benchmark").repartitionByRange(4, "item_id").sortWithinPartitions("item_id").select(F.col("text").alias("sentence")).write.parquet(path)
     return readers.read_utterances(spark, path, "test", 15, corpus="vivos").select("segment_id", "text")
 
 

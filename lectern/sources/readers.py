@@ -2,7 +2,8 @@
 
 Spark deals files out by size, so order is made explicit: ord is the rank of the row's file
 by name, then its split's offset plus its place in its task, which the scan knows itself:
-nothing is counted, sorted or shuffled. ord grows with the place, but has gaps.
+nothing is counted, sorted or shuffled. ord grows with the place, but has gaps;
+`in_place_order` closes them by a second pass.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ import re
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.sources import schemas
+from lectern.operators.places import placed
+from lectern.sources import quoted, schemas
+from lectern.sources.layout import input_bytes
 
 
 def _paths(spark: SparkSession, pattern: str) -> list[str]:
@@ -30,8 +33,12 @@ def _paths(spark: SparkSession, pattern: str) -> list[str]:
 PLACE_BITS = 40
 
 
-def in_file_order(rows: DataFrame) -> DataFrame:
-    """A scan with ord and src_file.
+#: Splits of a scan up to which their counts, some 40 bytes each, are sent to all tasks.
+FEW_SPLITS = 1 << 20
+
+
+def _located(rows: DataFrame) -> DataFrame:
+    """A scan with its rows' file (_rank by name, src_file), split (_block) and number in its task (_at).
 
     A split that is not its file's last fills a task, so that its rows, each of a byte at least, count from 0 and stay
     below the offset of the next split; after a file's last split nothing of that file follows. Where Spark is told to
@@ -43,9 +50,30 @@ def in_file_order(rows: DataFrame) -> DataFrame:
     # a local relation, so that its size is known where the join is planned
     ranks = rows.sparkSession.createDataFrame(pa.table({"_path": pa.array(files, pa.string()), "_rank": pa.array(range(len(files)), pa.int64())}))
     path = F.regexp_replace("_metadata.file_path", "^([a-z0-9]+):/+", "$1:/")
-    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    scan = rows.withColumns({"_path": path, "_place": F.col("_metadata.file_block_start") + in_task, "src_file": F.col("_metadata.file_name")})
-    return scan.join(ranks, "_path", "left").withColumn("ord", F.shiftleft(F.coalesce("_rank", F.lit(0).cast("long")), PLACE_BITS) + F.col("_place")).drop("_path", "_place", "_rank")
+    scan = rows.withColumns({"_path": path, "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id(), "src_file": F.col("_metadata.file_name")})
+    return scan.join(ranks, "_path", "left").withColumn("_rank", F.coalesce("_rank", F.lit(0).cast("long"))).drop("_path")
+
+
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """A scan with ord and src_file; ord grows with the place but has gaps, and needs no second pass."""
+    in_task = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return _located(rows).withColumn("ord", F.shiftleft("_rank", PLACE_BITS) + F.col("_block") + in_task).drop("_rank", "_block", "_at")
+
+
+def few_splits(rows: DataFrame) -> bool:
+    """Whether a scan has so few splits that a row for each can be sent to all tasks."""
+    spark = rows.sparkSession
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return input_bytes(rows) // max(split, 1) + len(rows.inputFiles()) <= FEW_SPLITS
+
+
+def in_place_order(rows: DataFrame, place: str = "place") -> DataFrame:
+    """A scan with src_file and each row's place from 0, dense over files by name and rows in them.
+
+    The scan runs twice: its splits are counted, and prefix sums over the counts give each split's first place. No row
+    is sorted or shuffled but the splits' counts, one for each (file, split).
+    """
+    return placed(_located(rows), "_at", ["_rank", "_block"], place=place, small=few_splits(rows)).drop("_rank", "_block", "_at")
 
 
 def read_manifests(spark: SparkSession, folder: str, pattern: str = "manifest.*.jsonl", schema: str = schemas.SEGMENT) -> DataFrame:
@@ -67,14 +95,15 @@ def read_split(spark: SparkSession, path: str, split: str, schema: str = schemas
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """Header, quoted fields with line breaks, empty cells as null; `strict`: a cell that doesn't parse is an error."""
+    """Header, quoted fields with line breaks, empty cells as null; `strict`: a cell that doesn't parse is an error.
+    For sweeps and logs: a file is read by one task. Predictions are read by splits, see `quoted`."""
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', nullValue="", mode="FAILFAST" if strict else "PERMISSIVE", enforceSchema=False)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(segment_id, meeting_id, ref, hyp, ord); empty texts stay empty, not null."""
-    rows = read_csv(spark, path, schemas.PREDICTION)
-    return in_file_order(rows).withColumns({c: F.coalesce(c, F.lit("")) for c in ("ref", "hyp")}).drop("src_file")
+    """(segment_id, meeting_id, ref, hyp, ord); empty texts stay empty, not null. Large files are read by many tasks."""
+    rows = quoted.read_quoted(spark, path, schemas.PREDICTION, PLACE_BITS)
+    return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("ref", "hyp")}).drop("src_file")
 
 
 def last_of_key(rows: DataFrame, *keys: str) -> DataFrame:
@@ -133,15 +162,11 @@ def read_trainer_state(spark: SparkSession, run_dir: str, key: str) -> DataFrame
 
 
 def read_utterances(spark: SparkSession, path: str, split: str, limit: int | None = None, corpus: str = "utt") -> DataFrame:
-    """(segment_id, text, ord) of a parquet corpus with a `sentence` column, named by place."""
-    rows = in_file_order(spark.read.parquet(path)).select("ord", F.col("sentence").alias("text"))
-    rows = rows.orderBy("ord").limit(limit) if limit else rows
-    # numbers run over files: the rows of a file start after those of the files before it
-    sizes = rows.groupBy(F.shiftright("ord", 32).alias("_file")).agg(F.count("*").alias("_n"))
-    starts = sizes.select("_file", F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # one row for each file
-    number = F.col("_start") + F.col("ord").bitwiseAND((1 << 32) - 1)
-    joined = rows.join(starts, F.shiftright("ord", 32) == F.col("_file")).withColumn("_number", number)
-    return joined.select(F.format_string("%s_%s_%05d", F.lit(corpus), F.lit(split), F.col("_number")).alias("segment_id"), "text", "ord")
+    """(segment_id, text, ord) of a parquet corpus with a `sentence` column, named and ordered by place: 0, 1, 2... over
+    all files by name. `limit` keeps the first ones."""
+    rows = in_place_order(spark.read.parquet(path), "ord")
+    rows = rows.where(F.col("ord") < limit) if limit is not None else rows
+    return rows.select(F.format_string("%s_%s_%05d", F.lit(corpus), F.lit(split), F.col("ord")).alias("segment_id"), F.col("sentence").alias("text"), "ord")
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
