@@ -16,6 +16,11 @@ def task_of(at: str) -> Column:
     return F.shiftright(F.col(at), TASK_BITS)
 
 
+def same(keys: Sequence[str]) -> Column | list[Column]:
+    """Condition of a join of `l` and `r` on keys, null like null; without keys every row meets."""
+    return [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys] if keys else F.lit(True)
+
+
 def runs(frame: DataFrame, at: str, run: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
     """One row for each run of rows that one task numbered in a row: its least number, the rows of earlier runs, and
     the rows of all runs. Runs follow in the order of `run`; with `within`, each of its groups is counted for itself."""
@@ -35,8 +40,8 @@ def placed(frame: DataFrame, at: str, run: Sequence[str], within: Sequence[str]
     if small:
         counted = F.broadcast(counted)
     keys = [*within, *run]
-    sides = frame.alias("l").join(counted.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
-    found = [(F.col("r._before") + F.col(f"l.{at}") - F.col("r._first")).alias(place)]
+    sides = frame.alias("l").join(counted.alias("r"), same(keys))
+    found = [(F.col("r._before") + F.col(f"l.`{at}`") - F.col("r._first")).alias(place)]
     if total is not None:
         found.append(F.col("r._total").alias(total))
-    return sides.select(*[F.col(f"l.{c}") for c in frame.columns], *found)
+    return sides.select(*[F.col(f"l.`{c}`") for c in frame.columns], *found)

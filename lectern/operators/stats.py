@@ -12,18 +12,68 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.operators.places import placed, same, task_of
+from lectern.sources.layout import stored
+
 RESAMPLES, SEED, ALPHA = 1000, 42, 0.05
-#: Resampling methods, which the caller chooses. "exact": the draws of Python's generator, for which a slice meets in
-#: one group. "poisson": weights from a hash of seed, place and resample, summed where the rows lie, for slices of any size.
+#: Resampling methods, which the caller chooses. "exact": the draws of Python's generator. "poisson": weights from a hash
+#: of seed, place and resample, summed where the rows lie. Both for slices of any size.
 METHODS = ("exact", "poisson")
+#: Rows up to which a slice is resampled in one group; larger ones by ranges of so many places. Resamples of one block.
+RANGE, BLOCK = 1 << 14, 8
+#: Numbers taken from the generator at once.
+CHUNK = 1 << 16
+
+
+class Draws:
+    """How often each resample draws each of k segments, as Python's `randrange` would: the generator's words without
+    their low bits, those of k or more passed over. Slices of one size see the same draws."""
+
+    def __init__(self, k: int, seed: int = SEED, state: bytes | None = None):
+        if not 0 < k < 1 << 32:
+            raise ValueError(f"cannot draw from {k} segments")
+        self.k, self.bits = k, k.bit_length()
+        words = np.frombuffer(state, dtype=np.uint32) if state else np.array(random.Random(seed).getstate()[1], dtype=np.uint32)
+        self.source = np.random.MT19937()
+        self.source.state = {"bit_generator": "MT19937", "state": {"key": words[:624], "pos": int(words[624])}}
+        self.rest = words[625:].astype(np.uint64)  # taken from the generator, not yet drawn
+
+    def state(self) -> bytes:
+        """Where the generator is, for another one to go on from."""
+        now = self.source.state["state"]
+        return np.concatenate([now["key"], [now["pos"]], self.rest]).astype(np.uint32).tobytes()
+
+    def _parts(self) -> Iterator[np.ndarray]:
+        """The draws of the next resample."""
+        need = self.k
+        while need:
+            if not len(self.rest):
+                self.rest = self.source.random_raw(min(CHUNK, int(need * (1 << self.bits) / self.k) + 16))
+            values = self.rest >> np.uint64(32 - self.bits)
+            at = np.flatnonzero(values < self.k)[:need]
+            need -= len(at)
+            self.rest = self.rest[int(at[-1]) + 1 :] if not need else self.rest[:0]
+            yield values[at].astype(np.int64)
+
+    def skip(self) -> None:
+        for _ in self._parts():
+            pass
+
+    def counts(self, kind=np.int64) -> np.ndarray:
+        out = np.zeros(self.k, dtype=kind)
+        for part in self._parts():
+            if len(part) * 8 > self.k:
+                out += np.bincount(part, minlength=self.k).astype(kind)
+            else:
+                np.add.at(out, part, 1)
+        return out
 
 
 def draws(k: int, resamples: int = RESAMPLES, seed: int = SEED) -> Iterator[np.ndarray]:
-    """How often each resample draws each of k segments, by Python's own generator, so that every slice of
-    the same size sees the same draws."""
-    rng = random.Random(seed)
+    """How often each resample draws each of k segments."""
+    drawn = Draws(k, seed)
     for _ in range(resamples):
-        yield np.bincount([rng.randrange(k) for _ in range(k)], minlength=k)
+        yield drawn.counts()
 
 
 def _poisson(pos: np.ndarray, resamples: int, seed: int) -> np.ndarray:
@@ -71,10 +121,72 @@ def _resampled(rows: DataFrame, slices: list[str], values: list[str], resamples:
             yield _sums_frame(dict(zip(slices, key, strict=True)), sums, values)
 
     if method == "exact":
-        return rows.groupBy(*slices).applyInPandas(exact, schema)
+        rows = stored(rows, "resampled")
+        sizes = rows.groupBy(*slices).agg(F.count("*").alias("_k"))
+        met = rows.alias("l").join(sizes.alias("r"), same(slices)).select(*[F.col(f"l.`{c}`") for c in rows.columns], "_k")
+        small = met.where(F.col("_k") <= RANGE).groupBy(*slices).applyInPandas(exact, schema)
+        if not sizes.where(F.col("_k") > RANGE).limit(1).count():
+            return small
+        return small.union(_in_blocks(met.where(F.col("_k") > RANGE), slices, values, schema, resamples, seed))
     return rows.mapInPandas(partial, schema).groupBy(*slices, "b").agg(*[F.sum(v).alias(v) for v in values])
 
 
+def _in_blocks(rows: DataFrame, slices: list[str], values: list[str], schema: T.StructType, resamples: int, seed: int) -> DataFrame:
+    """The sums of slices too large for one group. Rows get their places in their slice and are packed by ranges of
+    them. For each size of slice one task walks through the generator and notes its state for every BLOCK resamples;
+    from there blocks are drawn side by side, one byte a place, as counts by range. Counts and values of a range meet,
+    and their products are added up over ranges."""
+    order = [*slices, "pos", *values]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = stored(dealt.withColumn("_task", task_of("_at")), "by-place")
+    at = placed(dealt, "_at", ["_task"], slices, place="_place").withColumn("_range", F.floor(F.col("_place") / RANGE))
+    packed = T.StructType([*(rows.schema[c] for c in slices), T.StructField("_k", T.LongType()), T.StructField("_range", T.LongType()), T.StructField("_values", T.BinaryType())])
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_place")
+        first = {c: [pdf[c].iloc[0]] for c in (*slices, "_k", "_range")}
+        return pd.DataFrame({**first, "_values": [pdf[values].to_numpy(dtype="<f8").tobytes()]})
+
+    ranges = at.groupBy(*slices, "_k", "_range").applyInPandas(pack, packed)
+
+    def noted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in pdf["_k"]:
+                drawn = Draws(int(k), seed)
+                for low in range(0, resamples, BLOCK):
+                    yield pd.DataFrame({"_k": [k], "low": [low], "state": [drawn.state()]})
+                    for _ in range(min(BLOCK, resamples - low)):
+                        drawn.skip()
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, low, state in zip(pdf["_k"], pdf["low"], pdf["state"], strict=True):
+                drawn = Draws(int(k), seed, state)
+                for b in range(low, min(low + BLOCK, resamples)):
+                    counts = drawn.counts(np.uint8)  # 255 draws of one of RANGE segments or more don't occur
+                    parts = [counts[i : i + RANGE].tobytes() for i in range(0, k, RANGE)]
+                    yield pd.DataFrame({"_k": [k] * len(parts), "_range": range(len(parts)), "b": [b] * len(parts), "counts": parts})
+
+    sizes = rows.select("_k").distinct()
+    states = stored(sizes.mapInPandas(noted, "_k long, low int, state binary"), "states")
+    blocks = -(-resamples // BLOCK)
+    drawn = states.repartition(blocks, "_k", "low").mapInPandas(counted, "_k long, _range long, b int, counts binary")
+
+    def met(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({f.name: [] for f in schema})
+        counts = np.stack([np.frombuffer(c, dtype=np.uint8) for c in left["counts"]])
+        out = []
+        for row in right.to_dict("records"):
+            own = np.frombuffer(row["_values"], dtype="<f8").reshape(-1, len(values))
+            sums = np.concatenate([counts[i : i + 64].astype(float) @ own for i in range(0, len(counts), 64)])
+            out.append(pd.DataFrame({**{c: [row[c]] * len(sums) for c in slices}, "b": left["b"].to_numpy(dtype=np.int32), **{v: sums[:, i] for i, v in enumerate(values)}}))
+        return pd.concat(out)
+
+    partial = drawn.groupBy("_k", "_range").cogroup(ranges.groupBy("_k", "_range")).applyInPandas(met, schema)
+    return partial.groupBy(*slices, "b").agg(*[F.sum(v).alias(v) for v in values])
+
+
 def _sums_frame(key: dict, sums: np.ndarray, values: list[str]) -> pd.DataFrame:
     return pd.DataFrame({**{c: [v] * len(sums) for c, v in key.items()}, "b": np.arange(len(sums), dtype=np.int32), **{v: sums[:, i] for i, v in enumerate(values)}})
 

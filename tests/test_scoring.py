@@ -1,7 +1,9 @@
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.operators import gate, scoring, stats
@@ -174,3 +176,41 @@ def test_convention_gap(spark):
     row = scoring.convention_gap(frame, F.col("ref"), F.col("hyp"), F.col("ref"), F.replace(F.col("hyp"), F.lit("  "), F.lit(" "))).first()
     assert row.cer_b == 0 and row.delta_pp == 33.333
     assert scoring.length_ratio(frame).first().length_ratio == 1.333
+
+
+def test_draws_are_pythons():
+    for k in (1, 2, 7, 64, 1000, 70_000):
+        rng = random.Random(9)
+        want = [np.bincount([rng.randrange(k) for _ in range(k)], minlength=k) for _ in range(4)]
+        assert all((a == b).all() for a, b in zip(want, stats.draws(k, 4, 9)))
+        first = stats.Draws(k, 9)
+        first.skip()
+        assert (stats.Draws(k, 9, first.state()).counts(np.uint8) == want[1]).all()
+    with pytest.raises(ValueError):
+        stats.Draws(0)
+
+
+def test_slices_in_blocks_equal_slices_in_groups(spark, monkeypatch):
+    """Slices of one size, of no key, of a null key, at and above the range."""
+    rng = random.Random(4)
+    rows = [(name, (3 * i) % n, rng.randrange(9), rng.randrange(1, 20)) for name, n in [("a", 10), ("b", 64), ("c", 65), ("d", 500), ("e", 500), (None, 301), ("f", 1)] for i in range(n)]
+    frame = spark.createDataFrame(rows, "source string, ord long, char_edits long, char_ref_len long").repartition(5)
+    results = []
+    for most in (1 << 14, 64, 16):
+        monkeypatch.setattr(stats, "RANGE", most)
+        monkeypatch.setattr(stats, "CHUNK", 100)
+        one = stats.bootstrap_ci(frame, "source", resamples=60).collect()
+        whole = stats.bootstrap_ci(frame.withColumn("ord", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_first(), "ord"))), resamples=30).collect()
+        results.append((sorted(map(repr, one)), whole))
+    assert results[0] == results[1] == results[2] and len(results[0][0]) == 7
+
+
+def test_a_slice_of_a_million_rows(spark):
+    n, resamples = 1_000_000, 3
+    rng = random.Random(42)
+    drawn = [np.bincount([rng.randrange(n) for _ in range(n)], minlength=n) for _ in range(resamples)]
+    edits, lengths = np.arange(n) % 7, np.arange(n) % 13 + 1
+    rates = sorted(float((w @ edits) / (w @ lengths)) for w in drawn)
+    frame = spark.range(n).select(F.lit("s").alias("source"), (F.lit(2) * F.col("id")).alias("ord"), (F.col("id") % 7).alias("char_edits"), (F.col("id") % 13 + 1).alias("char_ref_len"))
+    row = stats.bootstrap_ci(frame.orderBy(F.xxhash64("ord")), "source", resamples=resamples).first()
+    assert (row.lo, row.hi) == (rates[0], rates[2])
