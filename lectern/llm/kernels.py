@@ -3,6 +3,10 @@
 A word is a maximal run of bytes other than space and 0x09-0x0D, which for UTF-8 text is
 the same as ``[^\\x20\\x09-\\x0D]+`` over code points. Hashes are 64 bits wide and depend
 on the bytes only, so they agree between tasks, runs and machines.
+
+Where equal hashes are taken for equal words, texts are hostile input: `Words.keyed` hashes
+words by SipHash in two lanes with keys of their own. `Words.hashes`, a polynomial whose
+collisions can be written down, is for features and buckets only.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pandas.util import hash_array
 
 U64 = np.uint64
 #: Bytes of text hashed at once; bounds the working arrays whatever the batch size.
@@ -35,7 +40,9 @@ _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
 _STEP = 0x9FB21C651E98DF25  # odd
-_GRAM = 0xD6E8FEB86659FD93  # odd
+_GRAM = U64(0xD6E8FEB86659FD93)
+#: SipHash keys of the lanes; 16 bytes each.
+LANES = ("lectern words, 1", "lectern words, 2")
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -64,6 +71,24 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
+    def tokens(self, lower: bool = False) -> np.ndarray:
+        """The words as bytes objects."""
+        raw = self.data.tobytes()
+        if lower:
+            raw = raw.lower()  # A-Z only
+        held: list[bytes] = []
+        edges = self.bounds.tolist()
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            held += raw[low:high].split()
+        out = np.empty(len(held), dtype=object)
+        out[:] = held
+        return out
+
+    def keyed(self, lane: int, lower: bool = False, tokens: np.ndarray | None = None) -> np.ndarray:
+        """SipHash of each word under the lane's key."""
+        tokens = self.tokens(lower) if tokens is None else tokens
+        return hash_array(tokens, hash_key=LANES[lane], categorize=False) if len(tokens) else np.zeros(0, dtype=U64)
+
     def hashes(self, lower: bool = False) -> np.ndarray:
         n = len(self.start)
         if not n:
@@ -120,30 +145,26 @@ def split_words(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE)
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of n consecutive words, across document borders too; one fewer than words for each further word."""
+    """Hashes of all runs of n consecutive words, across document borders too; one fewer than words for each further word.
+    A run's hash joins those of its halves by `mix`, so it is no sum over its words."""
     if len(hashes) < n:
         return np.zeros(0, dtype=U64)
-    step = powers(_GRAM, n + 1)
-    done, width = None, 0  # sum over the words taken so far
-    part, size = hashes, 1  # part[i]: sum over size words from i
+    done, width = None, 0  # the words taken so far
+    part, size = hashes, 1  # part[i]: size words from i
     while True:
         if n & size:
-            done = _join(done, part, width, step)
+            done = part if done is None else _joined(done, part[width:])
             width += size
         size *= 2
         if size > n:
             break
-        half = size // 2
-        part = part[: len(part) - half] + step[half] * part[half:]
+        part = _joined(part, part[size // 2 :])
     return mix(done[: len(hashes) - n + 1])
 
 
-def _join(done: np.ndarray | None, part: np.ndarray, width: int, step: np.ndarray) -> np.ndarray:
-    if done is None:
-        return part
-    tail = part[width:]
-    m = min(len(done), len(tail))
-    return done[:m] + step[width] * tail[:m]
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    m = min(len(left), len(right))
+    return mix(left[:m] ^ mix(right[:m] + _GRAM))
 
 
 def inside(first: np.ndarray, n: int) -> np.ndarray:

@@ -15,6 +15,9 @@
 
 A pair of one component needs no link of its own, so no component is lost by not meeting.
 
+Words are hashed by SipHash in two lanes under keys of their own. A set is ordered and signed
+by the first; shingles count as shared only if they are alike in both, 128 bits.
+
 Defined results: null, empty or blank texts have an empty set and are linked with nothing;
 rows with a null id are kept and linked with nothing; rows that repeat an id count once,
 by the set that hashes lowest, and get the same result; other columns pass through, but
@@ -23,6 +26,7 @@ for those with a result column's name, which are replaced.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,25 +54,46 @@ _A = kn.mix(np.arange(1, 257, dtype=np.uint64)) | kn.U64(1)
 _B = kn.mix(np.arange(1001, 1257, dtype=np.uint64))
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sizes of the documents' sets, their shingle hashes, ascending in each document)."""
+def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes of the documents' sets, their shingle hashes, ascending in each document, the second lane's hashes)."""
     words = kn.split_words(data, bounds)
-    hashes = words.hashes(lower=True)
+    tokens = words.tokens(lower=True)
+    lanes = [words.keyed(lane, tokens=tokens) for lane in (0, 1)]
     counts = words.counts
     inside = np.flatnonzero(kn.inside(words.first, SHINGLE))
     docs = [words.doc()[inside]]
-    found = [kn.grams(hashes, SHINGLE)[inside]]
+    found = [[kn.grams(h, SHINGLE)[inside]] for h in lanes]
     for c in range(1, SHINGLE):
         short = np.flatnonzero(counts == c)
         if len(short):
             docs.append(short)
-            found.append(kn.mix(kn.grams(hashes, c)[words.first[short]] ^ kn.U64(0xA5A5 * c)))
-    doc, shingle = np.concatenate(docs), np.concatenate(found)
+            for h, f in zip(lanes, found, strict=True):
+                f.append(kn.mix(kn.grams(h, c)[words.first[short]] ^ kn.U64(0xA5A5 * c)))
+    doc, (shingle, check) = np.concatenate(docs), (np.concatenate(f) for f in found)
     order = np.lexsort((shingle, doc))
-    doc, shingle = doc[order], shingle[order]
+    doc, shingle, check = doc[order], shingle[order], check[order]
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (shingle[1:] != shingle[:-1])
-    return np.bincount(doc[new], minlength=len(counts)), shingle[new]
+    return np.bincount(doc[new], minlength=len(counts)), shingle[new], check[new]
+
+
+def packed_sets(sizes: np.ndarray, shingles: np.ndarray, checks: np.ndarray) -> list[bytes]:
+    """Each document's set: its shingles, then their second lane."""
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    return [shingles[i:j].tobytes() + checks[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def unpacked(raw: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
+    return both[: len(both) // 2], both[len(both) // 2 :]
+
+
+def shared(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> int:
+    """How many shingles two sets have in common, in both lanes."""
+    if not len(x[0]) or not len(y[0]):
+        return 0
+    at = np.minimum(np.searchsorted(y[0], x[0]), len(y[0]) - 1)
+    return int(((y[0][at] == x[0]) & (y[1][at] == x[1])).sum())
 
 
 def signatures(sizes: np.ndarray, shingles: np.ndarray, k: int) -> np.ndarray:
@@ -90,19 +115,16 @@ def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, bounds in kn.slices(batch.column(1)):
-                sizes, shingles = shingle_sets(data, bounds)
-                h1 = np.zeros(len(sizes), dtype=np.uint64)
-                h2 = np.zeros(len(sizes), dtype=np.uint64)
+                sizes, shingles, checks = shingle_sets(data, bounds)
                 full = sizes > 0
-                if full.any():
-                    at = np.cumsum(sizes[full]) - sizes[full]
-                    h1[full] = np.add.reduceat(kn.mix(shingles), at)
-                    h2[full] = np.add.reduceat(kn.mix(shingles ^ kn.U64(0x5851F42D4C957F2D)), at)
+                # no sum of hashes: sets could be written whose sums agree
+                digests = [hashlib.blake2b(x, digest_size=16).digest() for x in packed_sets(sizes, shingles, checks)]
+                h1, h2 = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2).T
                 sig: list[bytes | None] = [None] * len(sizes)
                 for i, row in zip(np.flatnonzero(full), signatures(sizes, shingles, k), strict=True):
                     sig[i] = row.tobytes()
                 ids = batch.column(0).slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sig, pa.binary())], schema=_SIGNED)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(h1), pa.array(h2), pa.array(sig, pa.binary())], schema=_SIGNED)
 
     return run
 
@@ -138,9 +160,7 @@ def _collide(k: int, least: int):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high, data, bounds in kn.slices(batch.column(1)):
-            sizes, shingles = shingle_sets(data, bounds)
-            cuts = np.concatenate([[0], np.cumsum(sizes)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([shingles[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(packed_sets(*shingle_sets(data, bounds)), pa.binary())], names=["doc_id", "shingles"])
 
 
 def _confirm(percent: int):
@@ -148,14 +168,13 @@ def _confirm(percent: int):
         for batch in batches:
             keep = []
             for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                x = np.frombuffer(left.as_buffer(), dtype=np.uint64)
-                y = np.frombuffer(right.as_buffer(), dtype=np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                x, y = unpacked(left), unpacked(right)
+                m, n = len(x[0]), len(y[0])
+                if 100 * min(m, n) < percent * max(m, n):
                     keep.append(False)
                     continue
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+                both = shared(x, y)
+                keep.append(100 * both >= percent * (m + n - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -171,7 +190,7 @@ def _deal(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(1)]
+            sets = [unpacked(x)[0] for x in batch.column(1)]
             if not len(ids):
                 continue
             shingle, doc = np.concatenate(sets), np.repeat(ids, [len(x) for x in sets])
@@ -198,7 +217,8 @@ def _meet(percent: int):
     def run(table: pa.Table) -> pa.Table:
         out = table.column("outside").to_numpy(zero_copy_only=False).astype(bool)
         ids, own = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("shingles").combine_chunks()] if table.num_rows else []
+        full = [unpacked(x) for x in table.column("shingles").combine_chunks()] if table.num_rows else []
+        sets = [x for x, _ in full]
         there = np.flatnonzero(~out)
         size = np.array([len(sets[i]) for i in there], dtype=np.int64)
         shingle = np.concatenate([sets[i] for i in there]) if len(there) else np.zeros(0, dtype=np.uint64)
@@ -218,10 +238,10 @@ def _meet(percent: int):
             low, high = np.searchsorted(shingle, x, "left"), np.searchsorted(shingle, x, "right")
             n = high - low
             at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-            shared = np.bincount(place[at], minlength=len(there))
-            for j in np.flatnonzero((shared > 0) & (100 * shared >= percent * (len(x) + size - shared))):
+            alike = np.bincount(place[at], minlength=len(there))
+            for j in np.flatnonzero((alike > 0) & (100 * alike >= percent * (len(x) + size - alike))):
                 u, v = find(int(own[i])), find(int(own[there[j]]))
-                if u != v:
+                if u != v and 100 * (both := shared(full[i], full[there[j]])) >= percent * (len(x) + size[j] - both):
                     root[max(u, v)] = min(u, v)
                     a.append(int(ids[i]))
                     b.append(int(ids[there[j]]))
@@ -244,8 +264,8 @@ def met_apart(prefix: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
     members = scratch.materialize(labelled.join(apart, "key").withColumn("outside", F.col("component") != F.col("main")).drop("main"), "members")
     few = members.select("doc_id").distinct()
     own = scratch.materialize(sets.join(few, "doc_id", "left_semi"), "sets-apart")
-    shared = own.mapInArrow(_deal(scratch.parts(own, 1 << 20, LEAST_BUCKETS)), "bucket long, shingles binary, docs binary").groupBy("bucket").applyInArrow(_count_shared, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
-    facts = own.select("doc_id", (F.length("shingles") / 8).cast("long").alias("n")).join(shared, "doc_id")
+    counts = own.mapInArrow(_deal(scratch.parts(own, 1 << 20, LEAST_BUCKETS)), "bucket long, shingles binary, docs binary").groupBy("bucket").applyInArrow(_count_shared, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    facts = own.select("doc_id", (F.length("shingles") / 16).cast("long").alias("n")).join(counts, "doc_id")
     members = scratch.materialize(members.join(facts, "doc_id"), "members")
     # |x and y| >= p (|x| + |y|) / (100 + p), and a partner has at least p % of the size
     reaches = lambda least: F.expr(f"{100 + percent} * shared >= {percent} * (n + greatest({least}, ceil({percent} * n / 100)))")

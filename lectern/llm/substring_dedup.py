@@ -21,9 +21,11 @@ many different windows share, such as a common line's, would still fill one bloc
 pass finds such anchors, and they are salted with the window's own hash, which deals them
 out evenly and keeps equal windows together.
 
-A window is told apart by 120 bits: its anchor's 64-bit hash and 56 bits of its own. Anchors
-of 2^20 places or more are salted, so of 10^13 words of distinct text the chance of one false
-repeat is in the order of 1e-4 for ordinary text.
+A window is told apart by 120 bits: its anchor's 64-bit hash and 56 bits of its own, made from
+words hashed by SipHash under two keys, so that a collision in one lane is none in the other.
+Anchors of 2^20 places or more are salted, so of 10^13 words of distinct text the chance of one
+false repeat is in the order of 1e-4. The keys are fixed: whoever knows them needs some 2^60
+trials for two windows alike in both lanes.
 
 Defined results: a document is a row's id and text. Null or empty texts have no words and
 stay as they are; texts with fewer words than a window are never cut; rows with a null id
@@ -79,13 +81,14 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def anchored(words: kn.Words, n: int, k: int) -> tuple[np.ndarray, ...] | None:
+def anchored(words: kn.Words, n: int, k: int, whole_too: bool = True) -> tuple[np.ndarray, ...] | None:
     """(anchor hash, document, first window's start in it, windows, anchor's offset in the first) and the windows' hashes."""
-    hashes = words.hashes()
     valid = np.flatnonzero(kn.inside(words.first, n))
     if not len(valid):
         return None
-    short, whole = kn.grams(hashes, k), kn.grams(hashes, n)
+    tokens = words.tokens()
+    short = kn.grams(words.keyed(0, tokens=tokens), k)
+    whole = kn.grams(words.keyed(1, tokens=tokens), n) if whole_too else np.zeros(len(short), dtype=np.uint64)
     at = _least(short, n - k + 1)[valid]
     new = np.ones(len(valid), dtype=bool)
     new[1:] = (np.diff(valid) != 1) | (np.diff(at) != 0)
@@ -269,7 +272,7 @@ def _count_anchors(n: int, k: int):
 
         for batch in batches:
             for _, _, data, bounds in kn.slices(batch.column(0)):
-                if (found := anchored(kn.split_words(data, bounds), n, k)) is not None:
+                if (found := anchored(kn.split_words(data, bounds), n, k, whole_too=False)) is not None:
                     held.append(found[0])
                     size += len(found[0])
                 if size >= FLUSH:

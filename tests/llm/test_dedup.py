@@ -187,3 +187,59 @@ def test_grams_are_content_hashes():
     (_, _, data, bounds), = kernels.slices(texts)
     words = kernels.split_words(data, bounds)
     assert words.counts.tolist() == [2, 0, 0, 1] and len(set(words.hashes().tolist())) == 3
+
+
+def thue_morse(n, a="a", b="b"):
+    """The Thue-Morse word over a and b and its complement: sums over them in powers of any odd base agree modulo 2^64."""
+    x, y = a, b
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("letters", ["ab", "AB"])
+@pytest.mark.parametrize("frame", [("", ""), ("pre", ""), ("", "fix"), ("é" * 7, "-" * 64)])
+def test_words_with_equal_polynomials_are_apart(spark, letters, frame):
+    one, two = (frame[0] + w + frame[1] for w in thue_morse(1024, *letters))
+    rows = [(1, one), (2, two), (3, one.swapcase()), (4, f"{one} {two}")]
+    got = minhash_dedup.minhash_dedup(docs(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute.near_dedup(rows)
+    w = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join([*w[:5], one, *w[5:]])), (2, " ".join([*w[:5], two, *w[5:]])), (3, " ".join([*w[:5], one.swapcase(), *w[5:]]))]
+    got = substring_dedup.substring_dedup(docs(spark, rows)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute.substring_dedup(rows)
+
+
+def test_pipeline_stages_keep_words_with_equal_polynomials(spark):
+    import corpus_pipeline
+
+    one, two = thue_morse(1024)
+    w = [f"w{i}" for i in range(30)]
+    table = docs(spark, [(1, one), (2, two), (3, " ".join([*w[:5], one, *w[5:]])), (4, " ".join([*w[:5], two, *w[5:]]))])
+    kept = corpus_pipeline.drop_near_duplicates(spark, table, "")
+    assert {r.doc_id for r in kept.collect()} == {1, 2, 3, 4}
+    assert {r.doc_id: len(r.text.split()) for r in corpus_pipeline.cut_repeats(spark, table, "").collect()} == {1: 1, 2: 1, 3: 31, 4: 6}
+
+
+def test_hash_lanes_are_independent():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = pa.array([" ".join([f"w{i}", f"W{i}x" * (i % 40), "é" * (i % 9), thue_morse(2 ** (i % 11))[i % 2]]) for i in range(4000)])
+    lanes = [[], []]
+    for _, _, data, bounds in kernels.slices(texts):
+        words = kernels.split_words(data, bounds)
+        tokens = words.tokens()
+        assert [bytes(data[a:b]) for a, b in zip(words.start, words.end)] == tokens.tolist()
+        for lane in (0, 1):
+            lanes[lane].append(words.keyed(lane, tokens=tokens))
+            assert (words.keyed(lane, lower=True) == words.keyed(lane, tokens=np.array([t.lower() for t in tokens], dtype=object))).all()
+    a, b = (np.unique(np.concatenate(x), return_inverse=True) for x in lanes)
+    distinct = {t for x in texts.to_pylist() for t in x.split()}
+    assert len(a[0]) == len(b[0]) == len(distinct)  # no collision in either
+    first = np.unique(a[1], return_index=True)[1]
+    for one, two in [(np.concatenate(lanes[0])[first], np.concatenate(lanes[1])[first])]:
+        for g in (1, 5, 20):
+            x, y = kernels.grams(one, g), kernels.grams(two, g)
+            bits = lambda v: np.unpackbits(v.view(np.uint8)).reshape(-1, 64).astype(float) - 0.5
+            assert np.abs(bits(x).T @ bits(y) / len(x) * 4).max() < 6 / len(x) ** 0.5  # no bit of one lane follows one of the other
