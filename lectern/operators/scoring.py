@@ -58,25 +58,37 @@ def token_counts(frame: DataFrame, text: str, keys: list[str], keep=None) -> Dat
     return (out.where(keep(F.col("token"))) if keep else out).groupBy(*keys, "token").agg(F.count("*").alias("n"))
 
 
+#: The runs of equal (token, side) in a row's sorted tokens of both sides: how often ref (0) has a token, how often hyp (1),
+#: and where ref has it first. Bound lambda variables hold what is used several times.
+_RUNS = """
+transform(array(sort_array(concat(
+    transform({ref}, (t, i) -> named_struct('token', t, 'side', 0, 'place', i)), transform({hyp}, t -> named_struct('token', t, 'side', 1, 'place', 0))))), a ->
+  transform(array(if(size(a) = 0, cast(array() as array<int>), filter(sequence(0, size(a) - 1), i -> i = 0 or a[i].side <> a[i - 1].side or a[i].token <> a[i - 1].token))), s ->
+    transform(filter(transform(s, (at, k) -> named_struct('at', at, 'next', coalesce(get(s, k + 1), size(a)), 'after', coalesce(get(s, k + 2), size(a)))), x -> a[x.at].side = 0), x ->
+      named_struct('token', a[x.at].token, 'wanted', cast(x.next - x.at as long), 'place', a[x.at].place,
+        'there', cast(if(x.next < size(a) and get(a, x.next).token = a[x.at].token, x.after - x.next, 0) as long))))[0])[0]"""
+
+
 def retained_tokens(frame: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, token, wanted, retained, place): loanwords of ref, how many of each hyp has too, segment by segment, and
-    where ref has it first. Both sides are counted in one pass: tokens that are no loanwords leave before the shuffle."""
-    side = lambda text, r, h: F.transform(tx.tokens(F.col(text)), lambda t, i: F.struct(t.alias("token"), F.lit(r).alias("r"), F.lit(h).alias("h"), F.when(F.lit(bool(r)), i).alias("place")))
-    both = frame.select(*keys, F.explode(F.concat(side("ref", 1, 0), side("hyp", 0, 1))).alias("t")).select(*keys, "t.*").where(tx.is_loanword(F.col("token")))
-    counted = both.groupBy(*keys, "token").agg(F.sum("r").alias("wanted"), F.sum("h").alias("there"), F.min("place").alias("place")).where("wanted > 0")
-    return counted.select(*keys, "token", "wanted", F.least("wanted", "there").alias("retained"), "place")
+    """(keys, token, wanted, retained, place): the tokens of ref, how often each row's ref has them, how many of those its
+    hyp has too, and where ref has it first. Each row is judged by itself: nothing is shuffled. Whether a token is a
+    loanword is left to `retention_by` and `missing_tokens`, which ask once for each distinct token."""
+    sides = frame.select(*keys, tx.tokens(F.col("ref")).alias("_ref"), tx.tokens(F.col("hyp")).alias("_hyp"))
+    rows = sides.select(*keys, F.explode(F.expr(_RUNS.format(ref="_ref", hyp="_hyp"))).alias("t"))
+    return rows.select(*keys, "t.token", "t.wanted", F.least("t.wanted", "t.there").alias("retained"), "t.place")
 
 
 def retention_by(tokens: DataFrame, *slices: str) -> DataFrame:
-    """retention, n_candidates and n_retained of each slice of `retained_tokens`; null without candidates."""
-    return tokens.groupBy(*slices).agg(F.sum("wanted").alias("n_candidates"), F.sum("retained").alias("n_retained")).withColumn("retention", F.when(F.col("n_candidates") > 0, F.col("n_retained") / F.col("n_candidates")))
+    """retention, n_candidates and n_retained of each slice of `retained_tokens`, over loanwords; slices without any are left out."""
+    counted = tokens.groupBy(*slices, "token").agg(F.sum("wanted").alias("wanted"), F.sum("retained").alias("retained")).where(tx.is_loanword(F.col("token")))
+    return counted.groupBy(*slices).agg(F.sum("wanted").alias("n_candidates"), F.sum("retained").alias("n_retained")).withColumn("retention", F.when(F.col("n_candidates") > 0, F.col("n_retained") / F.col("n_candidates")))
 
 
 def missing_tokens(tokens: DataFrame, top: int | None = None, order: str = "ord") -> DataFrame:
     """(token, missing): loanwords that were lost, most often lost first, of equals the one that was lost first by
     segment and place. tokens: rows of `retained_tokens` with the segments' order among its keys."""
-    first = F.min(F.when(F.col("wanted") > F.col("retained"), F.struct(F.col(order).alias("o"), F.col("place").alias("p")))).alias("first")
-    lost = tokens.groupBy("token").agg(F.sum(F.col("wanted") - F.col("retained")).alias("missing"), first).where("missing > 0")
+    first = F.min(F.struct(F.col(order).alias("o"), F.col("place").alias("p"))).alias("first")
+    lost = tokens.where("wanted > retained").groupBy("token").agg(F.sum(F.col("wanted") - F.col("retained")).alias("missing"), first).where(tx.is_loanword(F.col("token")))
     out = lost.orderBy(F.desc("missing"), "first.o", "first.p").limit(top) if top else lost
     return out.drop("first")
 

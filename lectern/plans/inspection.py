@@ -45,6 +45,22 @@ def bootstrap_exact(spark, sf_dir):
     return stats.bootstrap_ci(_sides(spark, sf_dir)[1], "source").select("source", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
+_DRAWN = 4
+
+
+@query(f"""with recursive rows as materialized (select l_returnflag as source, row_number() over w - 1 as place, count(*) over (partition by l_returnflag) as k, l_linenumber::bigint as e, l_quantity::bigint as n
+  from lineitem window w as (partition by l_returnflag order by l_orderkey * 8 + l_linenumber, l_linenumber, l_quantity)),
+sizes as (select distinct source, k, 32 - ceil(log2(k + 1))::int as low from rows),
+{ot.twister(f"select {2 * _DRAWN} * max(k) + 9999 from sizes")},
+drawn as (select source, k, y >> low as place, row_number() over (partition by source order by i) - 1 as d from sizes, words where y >> low < k),
+sums as (select r.source, d // r.k as b, sum(e) / sum(n) as v from drawn d join rows r on d.source = r.source and d.place = r.place where d < {_DRAWN} * r.k group by all)
+select source, round(min(v), 6) as lo, round(max(v), 6) as hi from sums group by source""")
+def bootstrap_large_slices(spark, sf_dir):
+    """The draws of Python's generator over slices of tens of thousands of rows: in blocks of resamples and ranges of places."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("source"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), F.col("l_linenumber").cast("long").alias("char_edits"), F.col("l_quantity").cast("long").alias("char_ref_len"))
+    return stats.bootstrap_ci(rows, "source", resamples=_DRAWN).select("source", r6("lo").alias("lo"), r6("hi").alias("hi"))
+
+
 @query(_NATIONS + " select source, i as pos, b as base_edits, c as candidate_edits from scored")
 def paired_positions(spark, sf_dir):
     return scoring.paired(*_sides(spark, sf_dir), "source").select("source", F.col("pos").cast("long").alias("pos"), F.col("base.char_edits").alias("base_edits"), F.col("candidate.char_edits").alias("candidate_edits"))

@@ -44,6 +44,23 @@ def draws(k: int, resamples: int = 1000, seed: int = 42) -> str:
     return f"draws as (select b, unnest(i) as i from (select generate_subscripts(x, 1) as b, unnest(x) as i from (select [{rows}] as x)))"
 
 
+def twister(count: str, seed: int = 42) -> str:
+    """CTEs whose last, `words` (i, y), has at least `count` (a scalar query) words of the Mersenne twister from the state
+    that Python's generator starts with, 624 at a time, each block from the one before it."""
+    g = lambda u, v, w: f"xor(xor({w}, (({u} & 2147483648) | ({v} & 2147483647)) >> 1), ({v} & 1) * 2567483615)"
+    start = list(random.Random(seed).getstate()[1][:624])
+    return f"""mt as (
+  select 0 as block, {start}::bigint[] as s
+  union all
+  select block + 1, list_concat(a, b, c, [{g("s[624]", "a[1]", "b[170]")}]) from (
+    select *, [{g("s[i]", "s[i + 1]", "b[i - 454]")} for i in range(455, 624)] as c from (
+      select *, [{g("s[i]", "s[i + 1]", "a[i - 227]")} for i in range(228, 455)] as b from (
+        select *, [{g("s[i]", "s[i + 1]", "s[i + 397]")} for i in range(1, 228)] as a from mt where block * 624 < ({count}))))),
+raw as (select (block - 1) * 624 + generate_subscripts(s, 1) as i, unnest(s) as x from mt where block > 0),
+t1 as (select i, xor(x, x >> 11) as x from raw), t2 as (select i, xor(x, (x << 7) & 2636928640) as x from t1), t3 as (select i, xor(x, (x << 15) & 4022730752) as x from t2),
+words as materialized (select i, xor(x, x >> 18) as y from t3)"""
+
+
 _LOW = 0xFFFFFFFF
 
 
