@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.sources.layout import stored
+
 #: Bits of a task-local number that `monotonically_increasing_id` leaves for the row.
 TASK_BITS = 33
 
@@ -45,3 +47,17 @@ def placed(frame: DataFrame, at: str, run: Sequence[str], within: Sequence[str]
     if total is not None:
         found.append(F.col("r._total").alias(total))
     return sides.select(*[F.col(f"l.`{c}`") for c in frame.columns], *found)
+
+
+def in_order(frame: DataFrame, by: Sequence[str], order: Sequence[str], place: str = "_place", total: str | None = None) -> DataFrame:
+    """frame with each row's place from 0 by `order` in its group of `by`: ranges of (by, order) over all tasks, stored,
+    then numbered by `placed`. No group is sorted in one task."""
+    every = [*by, *order]
+    dealt = frame.repartitionByRange(*[F.col(f"`{c}`") for c in every]).sortWithinPartitions(*[F.col(f"`{c}`") for c in every])
+    dealt = stored(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", task_of("_at")), "in-order")
+    return placed(dealt, "_at", ["_task"], by, place=place, total=total).drop("_at", "_task")
+
+
+def any_larger(frame: DataFrame, by: Sequence[str], most: int) -> bool:
+    """Whether some group has more than `most` rows."""
+    return bool(frame.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > most).limit(1).count())

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.operators.places import placed, same, task_of
+from lectern.operators.places import any_larger, in_order, same
 from lectern.sources.layout import stored
 
 RESAMPLES, SEED, ALPHA = 1000, 42, 0.05
@@ -125,7 +125,7 @@ def _resampled(rows: DataFrame, slices: list[str], values: list[str], resamples:
         sizes = rows.groupBy(*slices).agg(F.count("*").alias("_k"))
         met = rows.alias("l").join(sizes.alias("r"), same(slices)).select(*[F.col(f"l.`{c}`") for c in rows.columns], "_k")
         small = met.where(F.col("_k") <= RANGE).groupBy(*slices).applyInPandas(exact, schema)
-        if not sizes.where(F.col("_k") > RANGE).limit(1).count():
+        if not any_larger(rows, slices, RANGE):
             return small
         return small.union(_in_blocks(met.where(F.col("_k") > RANGE), slices, values, schema, resamples, seed))
     return rows.mapInPandas(partial, schema).groupBy(*slices, "b").agg(*[F.sum(v).alias(v) for v in values])
@@ -136,10 +136,7 @@ def _in_blocks(rows: DataFrame, slices: list[str], values: list[str], schema: T.
     them. For each size of slice one task walks through the generator and notes its state for every BLOCK resamples;
     from there blocks are drawn side by side, one byte a place, as counts by range. Counts and values of a range meet,
     and their products are added up over ranges."""
-    order = [*slices, "pos", *values]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    dealt = stored(dealt.withColumn("_task", task_of("_at")), "by-place")
-    at = placed(dealt, "_at", ["_task"], slices, place="_place").withColumn("_range", F.floor(F.col("_place") / RANGE))
+    at = in_order(rows, slices, ["pos", *values]).withColumn("_range", F.floor(F.col("_place") / RANGE))
     packed = T.StructType([*(rows.schema[c] for c in slices), T.StructField("_k", T.LongType()), T.StructField("_range", T.LongType()), T.StructField("_values", T.BinaryType())])
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -270,12 +267,30 @@ def warmup_end(rows: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("warmup_end", F.coalesce("warmup_end", missing))
 
 
-def early_stop(curve: DataFrame, order: str, value: str, patience: int, *keys: str, greater_is_better: bool = False) -> DataFrame:
-    """(keys, stopped_at): where `patience` rows in a row have not beaten the best before them; null if never."""
-    by = Window.partitionBy(*keys).orderBy(order)
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    best = (F.max if greater_is_better else F.min)(value).over(before)
-    beats = F.col(value) > best if greater_is_better else F.col(value) < best
-    rows = curve.withColumn("better", beats | best.isNull()).withColumn("run", F.sum(F.col("better").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    since = F.row_number().over(Window.partitionBy(*keys, "run").orderBy(order)) - 1
-    return rows.withColumn("since", since).groupBy(*keys).agg(F.min(F.when(F.col("since") >= patience, F.col(order))).alias("stopped_at"))
+def early_stop(curve: DataFrame, order: str, value: str, patience: int, *keys: str, greater_is_better: bool = False, block: int = 1 << 16) -> DataFrame:
+    """(keys, stopped_at): where `patience` rows in a row have not beaten the best before them; null if never.
+
+    Runs of up to `block` rows are sorted as wholes. If one is longer, rows get places and are cut into blocks. A block's best value, and the place
+    of its last improvement, are summaries that combine by minimum and maximum, so prefix scans over the blocks tell
+    each one what it starts with; the rest is decided inside it. Rows without a value beat nothing.
+    """
+    sign = -1 if greater_is_better else 1
+    if not any_larger(curve, keys, block):
+        by = Window.partitionBy(*keys).orderBy(order)
+        best = F.min(sign * F.col(value)).over(by.rowsBetween(Window.unboundedPreceding, -1))
+        rows = curve.withColumn("better", (sign * F.col(value) < best) | best.isNull()).withColumn("run", F.sum(F.col("better").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+        since = F.row_number().over(Window.partitionBy(*keys, "run").orderBy(order)) - 1
+        return rows.withColumn("since", since).groupBy(*keys).agg(F.min(F.when(F.col("since") >= patience, F.col(order))).alias("stopped_at"))
+    rows = in_order(curve.select(*keys, F.col(order).alias("_o"), (sign * F.col(value)).alias("_v")), keys, ["_o"]).withColumn("_block", F.floor(F.col("_place") / block))
+    own, blocks = [*keys, "_block"], Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    best = rows.groupBy(*own).agg(F.min("_v").alias("_best")).withColumn("_enters", F.min("_best").over(blocks)).drop("_best")
+    inside = Window.partitionBy(*own).orderBy("_place")
+    met = rows.alias("l").join(best.alias("r"), same(own)).select("l.*", "_enters")
+    before = F.least(F.col("_enters"), F.min("_v").over(inside.rowsBetween(Window.unboundedPreceding, -1)))  # passes over nulls
+    better = (F.col("_v") < before) | (before.isNull())
+    last = F.max(F.when(better, F.col("_place"))).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    judged = met.withColumn("_last", last)
+    # within a block only the first row that has waited long enough matters, and that depends on what the block starts with
+    waits = judged.groupBy(*own).agg(F.max("_last").alias("_block_last")).withColumn("_came", F.max("_block_last").over(blocks)).drop("_block_last")
+    since = F.col("_place") - F.greatest("_last", "_came")
+    return judged.alias("l").join(waits.alias("r"), same(own)).groupBy(*[F.col(f"l.`{k}`") for k in keys]).agg(F.min(F.when(since >= patience, F.col("_o"))).alias("stopped_at"))

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.operators.places import any_larger, in_order
+from lectern.operators.ranks import percentiles
+from lectern.sources.layout import stored
 
 MIN_GAP, MAX_SEGMENT, MIN_SEGMENT = 0.3, 30.0, 15.0
 BUCKET_SECONDS, MIN_BUCKET_SECONDS, COLLAPSE = 300.0, 60.0, 0.7
 MIDDLE_SECONDS = 1800.0
+#: Candidates of a recording that are folded in one go.
+CUT_BLOCK = 1 << 16
 
 
 def infer_end(words: DataFrame, key: str) -> DataFrame:
@@ -102,6 +111,68 @@ def greedy_cuts(candidates: Column, duration: Column, longest: float = MAX_SEGME
     return F.aggregate(candidates, start, step, finish)
 
 
+def _folded(at: np.ndarray, last: float, longest: float, shortest: float) -> tuple[list[float], float]:
+    """The cuts that a block of sorted candidates makes after a cut at `last`, and the last cut then."""
+    cuts, i, n = [], 0, len(at)
+    while i < n:
+        # candidates too near the last cut are passed over
+        i = int(np.searchsorted(at, last + shortest, "left")) if at[i] - last < shortest else i
+        while i < n and at[i] - last < shortest:  # the sum may round down
+            i += 1
+        if i >= n:
+            break
+        last = last + longest if at[i] - last > longest else float(at[i])
+        cuts.append(last)
+        i += 1
+    return cuts, last
+
+
+def greedy_cut_rows(candidates: DataFrame, durations: DataFrame, key: str, longest: float = MAX_SEGMENT, shortest: float = MIN_SEGMENT, block: int = CUT_BLOCK) -> DataFrame:
+    """(key, i, cut): the cuts of `greedy_cuts` as rows, of recordings of any length. candidates: (key, at).
+
+    If no recording has more candidates than a block, each is one array. Otherwise candidates get places and lie in blocks of so many, one row each. All blocks are folded at once, each from a guess of
+    the cut that it starts with: its first candidate. Then each learns the cut that the block before it ended with, and
+    those whose start was another one are folded again, until none is. Cuts soon fall on the same candidates whatever
+    the start, so two or three rounds do; in the worst case there are as many as blocks in a recording.
+    """
+    candidates = candidates.select(key, F.col("at").cast("double").alias("_t")).where("_t is not null")
+    if not any_larger(candidates, [key], block):
+        arrays = candidates.groupBy(key).agg(F.sort_array(F.collect_list("_t")).alias("_at"))
+        found = greedy_cuts(F.coalesce("_at", F.array().cast("array<double>")), F.col("duration"), longest, shortest)
+        return durations.select(key, "duration").join(arrays, key, "left").select(key, F.posexplode(found).alias("i", "cut")).withColumn("i", F.col("i").cast("long"))
+    rows = in_order(candidates, [key], ["_t"]).withColumn("_block", F.floor(F.col("_place") / block))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "_block": [pdf["_block"].iloc[0]], "_at": [np.sort(pdf["_t"].to_numpy(dtype="<f8")).tobytes()], "_first": [float(pdf["_t"].min())]})
+
+    packed = stored(rows.groupBy(key, "_block").applyInPandas(pack, f"`{key}` {kind}, _block long, _at binary, _first double"), "candidates")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            found = [_folded(np.frombuffer(at, dtype="<f8"), enters, longest, shortest) for at, enters in zip(pdf["_at"], pdf["_enters"], strict=True)]
+            yield pd.DataFrame({key: pdf[key], "_block": pdf["_block"], "_at": pdf["_at"], "_enters": pdf["_enters"], "_cuts": [f[0] for f in found], "_exit": [f[1] for f in found]})
+
+    layout = f"`{key}` {kind}, _block long, _at binary, _enters double, _cuts array<double>, _exit double"
+    before = Window.partitionBy(key).orderBy("_block")
+    state = stored(packed.withColumn("_enters", F.when(F.col("_block") == 0, 0.0).otherwise(F.col("_first"))).drop("_first").mapInPandas(fold, layout), "cuts")
+    while True:
+        known = state.withColumn("_now", F.coalesce(F.lag("_exit").over(before), F.lit(0.0)))
+        wrong = F.col("_now") != F.col("_enters")
+        if not known.where(wrong).limit(1).count():
+            break
+        again = known.where(wrong).select(key, "_block", "_at", F.col("_now").alias("_enters")).mapInPandas(fold, layout)
+        state = stored(known.where(~wrong).drop("_now").union(again), "cuts")
+    ended = state.groupBy(key).agg(F.max_by("_exit", "_block").alias("_last"), F.sum(F.size("_cuts")).alias("_n"))
+    inner = state.withColumn("_before", F.coalesce(F.sum(F.size("_cuts")).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inner = inner.select(key, "_before", F.posexplode("_cuts").alias("_i", "cut")).select(key, (F.col("_before") + F.col("_i")).alias("i"), "cut")
+    # after the last candidate, cuts are forced to the end
+    tail = durations.select(key, "duration").join(ended, key, "left").withColumns({"_last": F.coalesce("_last", F.lit(0.0)), "_n": F.coalesce("_n", F.lit(0).cast("long"))})
+    more = F.ceil((F.col("duration") - F.col("_last")) / longest) - 1
+    forced = tail.where(more > 0).select(key, "_last", "_n", F.explode(F.sequence(F.lit(1).cast("long"), more)).alias("_k"))
+    return inner.union(forced.select(key, (F.col("_n") + F.col("_k") - 1).alias("i"), (F.col("_last") + F.col("_k") * longest).alias("cut")))
+
+
 def cuts_of(words: DataFrame, durations: DataFrame, key: str) -> DataFrame:
     """(key, cuts, duration) of every recording."""
     by = gap_candidates(words, key).groupBy(key).agg(F.sort_array(F.collect_list("at")).alias("at"))
@@ -177,8 +248,8 @@ SILENCE_SHARE, SILENCE_SECONDS = 0.15, 0.3
 
 def silence_midpoints(frames: DataFrame, key: str, order: str, value: str, hop_seconds: float, share: float = SILENCE_SHARE, seconds: float = SILENCE_SECONDS) -> DataFrame:
     """(key, at): midpoints in seconds of the quiet runs of each recording that last long enough. order: the frame's
-    number from 0; quiet frames lie at or below the recording's own percentile, which is interpolated."""
-    levels = frames.groupBy(key).agg(F.percentile(value, F.lit(share)).alias("_level"))
+    number from 0; quiet frames lie at or below the recording's own percentile, which is interpolated and exact at any length."""
+    levels = percentiles(frames, [key], value, share, "_level")
     runs = islands(frames.join(levels, key), key, order, F.col(value) <= F.col("_level"))
     return runs.where(F.col("n") >= seconds / hop_seconds).select(key, ((F.col("first") + F.col("last")) / 2 * hop_seconds).alias("at"))
 

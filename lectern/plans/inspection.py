@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern import streaming
 from lectern.functions import text as tx
 from lectern.functions.numbers_vi import words_to_digits
-from lectern.operators import captions, checks, corpus, gate, provider, reports, scoring, stats, timeline
+from lectern.operators import captions, checks, corpus, gate, provider, ranks, reports, scoring, stats, timeline
 from lectern.plans import oracle_text as ot
 from lectern.plans.catalogue import _EVENTS, _LOAN, _RETAINED, _TOKENS, SEGMENTS, _durations, _retained, edit_ctes, query, r6, segments, table, timeline_of_events
 from lectern.sources import writers
@@ -347,10 +347,46 @@ h as (select user_id, list_concat(s.cuts, list_transform(range(1, greatest(1, ce
 select user_id, i - 1 as i, round(cuts[i] * 2e6)::bigint as cut_half_us from (select user_id, cuts, unnest(range(1, len(cuts) + 1)) as i from h)""")
 def greedy_splits(spark, sf_dir):
     words = timeline_of_events(spark, sf_dir)
-    at = timeline.gap_candidates(words, "user_id", 3600.0).groupBy("user_id").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    joined = _durations(words).join(at, "user_id", "left")
-    cuts = timeline.greedy_cuts(F.coalesce("at", F.array().cast("array<double>")), F.col("duration"), 30 * 3600.0, 15 * 3600.0)
-    return joined.select("user_id", F.posexplode(cuts).alias("i", "cut")).select("user_id", F.col("i").cast("long").alias("i"), F.round(F.col("cut") * 2e6).cast("long").alias("cut_half_us"))
+    cuts = timeline.greedy_cut_rows(timeline.gap_candidates(words, "user_id", 3600.0), _durations(words), "user_id", 30 * 3600.0, 15 * 3600.0)
+    return cuts.select("user_id", "i", F.round(F.col("cut") * 2e6).cast("long").alias("cut_half_us"))
+
+
+_ALL_EVENTS = "with e as (select event_id, value, (epoch_us(ts) - min(epoch_us(ts)) over ()) / 1e6 as start from events)"
+
+
+def _one_recording(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    first = e.agg(F.min("us").alias("first"))  # one row
+    return e.crossJoin(F.broadcast(first)).select(F.lit("all").alias("rec"), "event_id", "value", ((F.col("us") - F.col("first")) / 1e6).alias("start"))
+
+
+@query(_ALL_EVENTS + """, d as (select max(start) + 60 as duration from e), c as (select list(start + 0.25 order by start) as mids from e),
+f as (select duration, list_reduce(list_concat([{'cuts': []::double[], 'last': 0.0::double}], list_transform(mids, lambda x: {'cuts': []::double[], 'last': x})),
+  lambda a, x: case when x.last - a.last > 5400 then {'cuts': list_append(a.cuts, a.last + 5400), 'last': a.last + 5400} when x.last - a.last >= 2700 then {'cuts': list_append(a.cuts, x.last), 'last': x.last} else a end) as s from d, c),
+h as (select list_concat(s.cuts, list_transform(range(1, greatest(1, ceil((duration - s.last) / 5400))::bigint), lambda i: s.last + i * 5400.0)) as cuts from f)
+select i - 1 as i, round(cuts[i] * 2e6)::bigint as cut_half_us from (select cuts, unnest(range(1, len(cuts) + 1)) as i from h)""")
+def cuts_of_one_recording(spark, sf_dir):
+    """All events as one recording, cut in blocks of 500 candidates over many tasks."""
+    rows = _one_recording(spark, sf_dir)
+    candidates = rows.select("rec", (F.col("start") + 0.25).alias("at"))
+    cuts = timeline.greedy_cut_rows(candidates, rows.groupBy("rec").agg((F.max("start") + 60).alias("duration")), "rec", 5400.0, 2700.0, block=500)
+    return cuts.select("i", F.round(F.col("cut") * 2e6).cast("long").alias("cut_half_us"))
+
+
+@query("""with e as (select event_id % 3 as run, event_id, value from events), r as (select *, min(value) over (partition by run order by event_id rows between unbounded preceding and 1 preceding) as best from e),
+g as (select *, sum((best is null or value < best)::int) over (partition by run order by event_id) as part from r),
+s as (select *, row_number() over (partition by run, part order by event_id) - 1 as since from g)
+select run, min(event_id) filter (since >= 150) as stopped_at from s group by run""")
+def stops_of_long_runs(spark, sf_dir):
+    """Three runs of a third of all events each, in blocks of 100 rows."""
+    curve = table(spark, sf_dir, "events").withColumn("run", F.col("event_id") % 3)
+    return stats.early_stop(curve, "event_id", "value", 150, "run", block=100)
+
+
+@query("select l_linestatus as status, round(quantile_cont(l_extendedprice, 0.15), 4) as level from lineitem group by l_linestatus")
+def percentiles_of_large_groups(spark, sf_dir):
+    """Groups of half the table: both ranks are selected digit by digit."""
+    return ranks.percentiles(table(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_extendedprice", 0.15, small=1000).select(F.col("l_linestatus").alias("status"), F.round("level", 4).alias("level"))
 
 
 @query("""with t as (select conv_id, string_agg(coalesce(text, ''), ' ' order by turn) as t, list(turn + 1 order by turn) as d from conversations group by conv_id),
