@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.operators.places import any_larger, in_order, same
 
+#: Rows up to which a slice is sorted as a whole.
+WHOLE = 1 << 16
 COUNTS = ("char_edits", "char_ref_len", "word_edits", "word_ref_len")
 
 
@@ -96,7 +99,7 @@ def missing_tokens(tokens: DataFrame, top: int | None = None, order: str = "ord"
 def paired(base: DataFrame, candidate: DataFrame, *slices: str, by: str | None = None) -> DataFrame:
     """(slices, pos, base, candidate): rows of either side by position in their slice, where both have as many.
 
-    With `by`, a key that both sides share, rows meet on it and no slice has to be sorted as a whole. A slice drops
+    A slice of more than WHOLE rows is not sorted in one task: its rows get places by ranges. With `by`, a key that both sides share, rows meet on it and no slice has to be sorted as a whole. A slice drops
     out if any key of it is on one side only or repeats.
     """
     counts = F.struct("char_edits", "char_ref_len")
@@ -110,6 +113,11 @@ def paired(base: DataFrame, candidate: DataFrame, *slices: str, by: str | None =
         odd = met.where("n_base <> 1 or n_candidate <> 1").select(*(slices or [F.lit(1).alias("_all")])).distinct()
         met = met.drop("n_base", "n_candidate")
         return met.join(odd, list(slices), "left_anti") if slices else met.withColumn("_all", F.lit(1)).join(odd, "_all", "left_anti").drop("_all")
+    if any_larger(base, slices, WHOLE) or any_larger(candidate, slices, WHOLE):
+        far = lambda frame, name: in_order(frame.select(*slices, "ord", counts.alias(name)), slices, ["ord"], "pos", f"n_{name}").drop("ord")
+        left, right = far(base, "base").alias("l"), far(candidate, "candidate").alias("r")
+        met = left.join(right, same([*slices, "pos"])).where("n_base = n_candidate")
+        return met.select(*[F.col(f"l.`{c}`") for c in (*slices, "pos")], "base", "candidate")
     place = Window.partitionBy(*slices).orderBy("ord")
     all_of = Window.partitionBy(*slices)
     side = lambda frame, name: frame.select(*slices, (F.row_number().over(place) - 1).alias("pos"), F.count("*").over(all_of).alias(f"n_{name}"), counts.alias(name))

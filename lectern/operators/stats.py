@@ -234,6 +234,31 @@ def select_lambda(rows: Iterable[dict], baseline_ood: float, budget: float, thre
     return chosen["lambda"]
 
 
+def selected_lambdas(sweeps: DataFrame, *keys: str, baseline_ood: Column | float, budget: float, threshold: float, strict: bool = True) -> DataFrame:
+    """(keys, lambda): `select_lambda` of every run of a table of sweeps, each a row's fold in the JVM. A run none of
+    whose rows keeps within the budget is an error, or null without `strict`. baseline_ood: a number, or a column that
+    every row of a run has alike."""
+    base = baseline_ood if isinstance(baseline_ood, Column) else F.lit(float(baseline_ood))
+    rows = sweeps.where(F.col("ood_cer").isNotNull()).select(*keys, F.struct(F.col("lambda").cast("double").alias("at"), F.col("val_cer").cast("double").alias("val"), F.col("ood_cer").cast("double").alias("ood"), (base + budget).cast("double").alias("most")).alias("_row"))
+    runs = sweeps.select(*keys).distinct().join(rows.groupBy(*keys).agg(F.sort_array(F.collect_list("_row")).alias("_rows")), list(keys), "left") if keys else rows.agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    none = F.lit(None).cast("double")
+    start = F.struct(none.alias("at"), none.alias("val"), none.alias("ood"), none.alias("ratio"), F.lit(False).alias("over"))
+
+    def step(acc: Column, row: Column) -> Column:
+        gain = acc["val"] - row["val"]
+        ratio = F.when(gain > 0, (row["ood"] - acc["ood"]) / gain).otherwise(float("inf"))
+        elbow = acc["at"].isNotNull() & acc["ratio"].isNotNull() & (ratio > threshold * acc["ratio"])
+        last = F.when(acc["at"].isNotNull() & (ratio > 0), ratio).otherwise(acc["ratio"])
+        taken = F.struct(row["at"].alias("at"), row["val"].alias("val"), row["ood"].alias("ood"), last.alias("ratio"), F.lit(False).alias("over"))
+        ended = F.struct(acc["at"].alias("at"), acc["val"].alias("val"), acc["ood"].alias("ood"), acc["ratio"].alias("ratio"), F.lit(True).alias("over"))
+        return F.when(acc["over"], acc).when((row["ood"] > row["most"]) | F.coalesce(elbow, F.lit(False)), ended).otherwise(taken)
+
+    found = F.aggregate(F.coalesce("_rows", F.array().cast(runs.schema["_rows"].dataType)), start, step)["at"]
+    if strict:
+        found = F.coalesce(found, F.raise_error(F.lit("no row keeps within the budget")).cast("double"))
+    return runs.select(*keys, found.alias("lambda"))
+
+
 def curve_summary(curve: DataFrame, order: str, value: str, *keys: str, warmup_end: Column | None = None, blocks: int = 10, tail: int = 10) -> DataFrame:
     """Shape of each curve after warm-up: first, least and tail mean, share of rises between block means, divergence.
 

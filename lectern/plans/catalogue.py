@@ -108,17 +108,6 @@ def wer_by_source(spark, sf_dir):
     return counts.groupBy("source").agg(F.sum("e").alias("word_edits"), F.sum("n").alias("word_ref_len"), r6(scoring.rate("e", "n")).alias("wer"))
 
 
-@query(f"""with {SEGMENTS}, {edit_ctes('d')}, {edit_ctes('e', hyp='base')},
-t as (select s.source, coalesce(d.edits, 0) as c, coalesce(e.edits, 0) as b, length(s.ref) as n from segments s left join d on s.ref = d.ref and s.hyp = d.hyp left join e on s.ref = e.ref and s.base = e.hyp)
-select source, count(*) as n_segments, round(sum(c) / sum(n), 6) as cer, round(sum(b) / sum(n), 6) as baseline_cer, sum(c) / sum(n) <= 0.9 * (sum(b) / sum(n)) as pass from t group by source""")
-def paired_slice_gate(spark, sf_dir):
-    rows = segments(spark, sf_dir)
-    candidate = scoring.score_by(scoring.counted(rows, words=False), "source", words=False)
-    base = scoring.score_by(scoring.counted(rows.withColumn("hyp", F.col("base")), words=False), "source", words=False)
-    joined = candidate.join(base.select("source", F.col("cer").alias("baseline_cer")), "source", "left")
-    return joined.select("source", "n_segments", r6("cer").alias("cer"), r6("baseline_cer").alias("baseline_cer"), (F.col("cer") <= gate.improvement_bound(F.col("baseline_cer"), 10)).alias("pass"))
-
-
 @query(f"""with {SEGMENTS}, {edit_ctes('d')}, {edit_ctes('e', hyp='base')},
 t as (select coalesce(d.edits, 0) as c, coalesce(e.edits, 0) as b, length(s.ref) as n from segments s left join d on s.ref = d.ref and s.hyp = d.hyp left join e on s.ref = e.ref and s.base = e.hyp)
 select count(*) as n_shared, round(sum(c) / sum(n), 6) as candidate_cer, round(sum(b) / sum(n), 6) as production_cer, sum(c) <= sum(b) as no_regression from t""")
@@ -426,22 +415,6 @@ def bootstrap_delta(spark, sf_dir):
     return out.select("source", r6("lo").alias("lo"), r6("hi").alias("hi"), stats.verdict(F.col("lo"), F.col("hi")).alias("verdict"))
 
 
-# A published sweep of adapter weights.
-SWEEP = (
-    (0.0, 0.10337330648114244, 0.022832927484899276),
-    (0.25, 0.054833394361039914, 0.022611555611776985),
-    (0.5, 0.036364884657634565, 0.026185130135036844),
-    (0.75, 0.03316093006224826, 0.033427152841466114),
-    (1.0, 0.03256590992310509, 0.04256664874608646),
-)
-
-
-@query("select 0.5::double as lambda")
-def select_lambda(spark, sf_dir):
-    rows = [dict(zip(("lambda", "val_cer", "ood_cer"), r, strict=True)) for r in SWEEP]
-    return spark.createDataFrame([(stats.select_lambda(rows, SWEEP[0][2], 0.02, 10),)], "lambda double")
-
-
 @query("""with s as (select label, i, avg(x) as x from (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings) group by all),
 v as (select label, list(x order by i) as v from s group by label)
 select a.label as label_a, b.label as label_b, round(list_sum([p[1] * p[2] for p in list_zip(a.v, b.v)]) / sqrt(list_sum([x * x for x in a.v]) * list_sum([x * x for x in b.v])), 6) as cosine from v a join v b on a.label < b.label""")
@@ -484,14 +457,56 @@ def checksum_report(spark, sf_dir):
     return checks.checksum_report(expected, docs.where("source <> 'src0'").select("path", digest(F.col("text"))))
 
 
-@query(f"""with {SEGMENTS}, {edit_ctes('d')}, {edit_ctes('e', hyp='base')},
-t as (select coalesce(d.edits, 0) as c, coalesce(e.edits, 0) as b, length(s.ref) as n from segments s left join d on s.ref = d.ref and s.hyp = d.hyp left join e on s.ref = e.ref and s.base = e.hyp),
-g as (select 'tier1_in_domain' as tier, sum(c) / sum(n) as cer, 0.9 * 0.01 as bound from t union all select 'tier2_ood', sum(b) / sum(n), 0.005 + 0.02 from t),
-h as (select tier, cer, bound, cer <= bound as pass from g union all select 'tier4a_real', null, null, null)
-select tier, round(cer, 6) as cer, round(bound, 6)::double as bound, pass from h union all select 'overall', null, null, bool_and(coalesce(pass, true)) from h""")
-def run_gate(spark, sf_dir):
+_RESAMPLES = 200
+_LOANS = "(select source, ord, t, count(*) filter (side = 'r') as r, count(*) filter (side = 'h') as h, count(*) filter (side = 'b') as b from toks group by all having count(*) filter (side = 'r') > 0)"
+_GATED = f"""with recursive {SEGMENTS.strip()}, {edit_ctes('d')}, {edit_ctes('e', hyp='base')},
+scored as materialized (select s.*, row_number() over (partition by source order by ord) - 1 as i, count(*) over (partition by source) as k, coalesce(d.edits, 0) as c, coalesce(e.edits, 0) as b, length(s.ref) as n
+  from segments s left join d on s.ref = d.ref and s.hyp = d.hyp left join e on s.ref = e.ref and s.base = e.hyp),
+sizes as (select distinct k, 32 - ceil(log2(k + 1))::int as low from scored),
+{ot.twister(f"select {2 * _RESAMPLES} * max(k) + 9999 from sizes")},
+drawn as (select k, y >> low as i, row_number() over (partition by k order by words.i) - 1 as d from sizes, words where y >> low < k),
+sums as (select source, d // s.k as resample, sum(c) / sum(n) as c, sum(b) / sum(n) as b from drawn join scored s on drawn.k = s.k and drawn.i = s.i where d < {_RESAMPLES} * s.k group by all),
+lists as (select source, list(c order by c) as c, list(b order by b) as b, list(b - c order by b - c) as d from sums group by source),
+toks as (select source, ord, unnest({_TOKENS.format('ref')}) as t, 'r' as side from segments union all select source, ord, unnest({_TOKENS.format('hyp')}), 'h' from segments union all select source, ord, unnest({_TOKENS.format('base')}), 'b' from segments),
+ret as (select source, sum(least(r, h)) / sum(r) as retention, sum(least(r, b)) / sum(r) as baseline_retention from {_LOANS} where {_LOAN} group by source),
+g as (select source, count(*) as n_segments, sum(c) / sum(n) as cer, sum(b) / sum(n) as baseline_cer from scored group by source),
+gated as (select source, n_segments, cer, c[6] as ci_lo, c[196] as ci_hi, baseline_cer, b[6] as baseline_ci_lo, b[196] as baseline_ci_hi, 0.9 * baseline_cer as bound, cer <= 0.9 * baseline_cer as pass,
+  retention, baseline_retention, retention >= baseline_retention - 0.2 as retention_pass, d[6] as delta_lo, d[196] as delta_hi, case when d[6] > 0 then 'IMPROVED' when d[196] < 0 then 'REGRESSED' else 'INCONCLUSIVE' end as verdict
+  from g join lists using (source) join ret using (source))"""
+_ROUNDED = ("cer", "ci_lo", "ci_hi", "baseline_cer", "baseline_ci_lo", "baseline_ci_hi", "bound", "retention", "baseline_retention", "delta_lo", "delta_hi")
+
+
+def _gate_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = segments(spark, sf_dir)
-    test = scoring.counted(rows, words=False)
-    ood = scoring.counted(rows.withColumn("hyp", F.col("base")), words=False)
-    out = gate.run_gate(test, ood, None, {"cer_test": 0.01, "cer_ood": 0.005}, 10, 0.02, 0.03)
+    return scoring.counted(rows), scoring.counted(rows.withColumn("hyp", F.col("base")))
+
+
+def _gated(spark, sf_dir) -> DataFrame:
+    """The gate of each source, a slice of hundreds of segments or more: candidate and baseline are two tables that meet by position."""
+    candidate, base = _gate_sides(spark, sf_dir)
+    return gate.slice_gate(candidate, base, "source", 10, 0.2, scoring.retained_tokens(candidate, ["source", "ord"]), scoring.retained_tokens(base, ["source", "ord"]), resamples=_RESAMPLES)
+
+
+@query(_GATED + f" select source, n_segments, {', '.join(f'round({c}, 6) as {c}' for c in _ROUNDED)}, pass, retention_pass, verdict from gated")
+def paired_slice_gate(spark, sf_dir):
+    return _gated(spark, sf_dir).select("source", "n_segments", *[r6(c).alias(c) for c in _ROUNDED], "pass", "retention_pass", "verdict")
+
+
+_REAL = """chunks as (select conv_id, turn, coalesce(text, '') as ref, case when turn = 0 then 'zz' || coalesce(text, '') else coalesce(text, '') end as hyp from conversations),
+parents as (select conv_id, string_agg(ref, ' ' order by turn) as ref, string_agg(hyp, ' ' order by turn) as hyp from chunks group by conv_id)"""
+
+
+@query(_GATED + f""", {_REAL}, {edit_ctes('pd', source='parents')},
+r as (select sum(coalesce(pd.edits, 0)) / sum(length(p.ref)) as cer from parents p left join pd on p.ref = pd.ref and p.hyp = pd.hyp),
+t as (select sum(c) / sum(n) as c, sum(b) / sum(n) as b from scored),
+f as (select bool_and(coalesce(pass, true) and coalesce(retention_pass, true)) as fine from gated),
+h as (select 'tier1_in_domain' as tier, t.c as cer, (0.9 * 0.01)::double as bound, t.c <= 0.9 * 0.01 and fine as pass from t, f union all select 'tier2_ood', t.b, 0.025::double, t.b <= 0.025 from t union all select 'tier4a_real', r.cer, 0.05::double, r.cer <= 0.05 from r)
+select tier, round(cer, 6) as cer, round(bound, 6) as bound, pass from h union all select 'overall', null, null, bool_and(coalesce(pass, true)) from h""")
+def run_gate(spark, sf_dir):
+    """All tiers: in domain with its slices, out of domain, and real chunks that are rejoined first."""
+    test, ood = _gate_sides(spark, sf_dir)
+    turns = table(spark, sf_dir, "conversations")
+    text = F.coalesce("text", F.lit(""))
+    real = turns.select(F.col("conv_id").cast("string").alias("meeting_id"), F.format_string("seg_0000_%d", "turn").alias("segment_id"), F.col("turn").cast("long").alias("ord"), text.alias("ref"), F.when(F.col("turn") == 0, F.concat(F.lit("zz"), text)).otherwise(text).alias("hyp"))
+    out = gate.run_gate(test, ood, real, {"cer_test": 0.01, "cer_ood": 0.005, "cer_real": 0.02}, 10, 0.02, 0.03, _gated(spark, sf_dir))
     return out.withColumns({"cer": r6("cer"), "bound": r6("bound")})

@@ -113,6 +113,26 @@ def run_bundle(spark, sf_dir):
     return checks.lookup_near(sweep, "lambda", weight).select(r6("lambda").alias("lambda"), "val_cer")
 
 
+_SWEPT = """s as (select l_orderkey as run, l_linenumber / 8 as w, l_extendedprice / 1000 as val_cer, case when l_quantity::bigint % 7 > 0 then l_discount + l_linenumber / 100 end as ood_cer from lineitem),
+f as (select run, list({'at': w, 'val': val_cer, 'ood': ood_cer, 'ratio': null::double, 'over': false} order by w, val_cer, ood_cer) filter (ood_cer is not null) as rows from s group by run),
+x as (select run, list_reduce(list_concat([{'at': null::double, 'val': null::double, 'ood': null::double, 'ratio': null::double, 'over': false}], coalesce(rows, [])), lambda a, r:
+  case when a.over then a
+    when r.ood > 0.02::double + 0.1::double or (a.at is not null and a.ratio is not null and (case when a.val - r.val > 0 then (r.ood - a.ood) / (a.val - r.val) else 'inf'::double end) > 3 * a.ratio) then {'at': a.at, 'val': a.val, 'ood': a.ood, 'ratio': a.ratio, 'over': true}
+    else {'at': r.at, 'val': r.val, 'ood': r.ood, 'ratio': case when a.at is not null and (case when a.val - r.val > 0 then (r.ood - a.ood) / (a.val - r.val) else 'inf'::double end) > 0 then (case when a.val - r.val > 0 then (r.ood - a.ood) / (a.val - r.val) else 'inf'::double end) else a.ratio end, 'over': false} end) as c from f)"""
+
+
+@query(f"with {_SWEPT} select run, c.at as lambda from x")
+def select_lambda(spark, sf_dir):
+    """The weight that each run's sweep recommends: sweeps of all runs, written and read back; an order is a run, its lines the sweep."""
+    lines = table(spark, sf_dir, "lineitem")
+    path = fresh_folder(spark, "sweeps")
+    ood = F.when(F.col("l_quantity").cast("long") % 7 > 0, F.col("l_discount") + F.col("l_linenumber") / 100)
+    writers.write_table(lines.select(F.col("l_orderkey").cast("double").alias("run"), (F.col("l_linenumber") / 8).alias("lambda"), (F.col("l_extendedprice") / 1000).alias("val_cer"), ood.alias("ood_cer")), path)
+    sweeps = readers.read_sweep(spark, path)
+    out = stats.selected_lambdas(sweeps, "run", baseline_ood=0.02, budget=0.1, threshold=3, strict=False)
+    return out.select(F.col("run").cast("long").alias("run"), "lambda")
+
+
 _LOG = "l as (select user_id, event_id as step, case when event_id % 5 > 0 then value end as loss, case when event_id % 3 > 0 then event_id % 100 / 8 end as lr from events)"
 
 

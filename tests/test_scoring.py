@@ -214,3 +214,34 @@ def test_a_slice_of_a_million_rows(spark):
     frame = spark.range(n).select(F.lit("s").alias("source"), (F.lit(2) * F.col("id")).alias("ord"), (F.col("id") % 7).alias("char_edits"), (F.col("id") % 13 + 1).alias("char_ref_len"))
     row = stats.bootstrap_ci(frame.orderBy(F.xxhash64("ord")), "source", resamples=resamples).first()
     assert (row.lo, row.hi) == (rates[0], rates[2])
+
+
+def test_selected_lambdas_of_a_table_of_sweeps(spark):
+    rng = random.Random(3)
+    runs = {f"r{i}": [{"lambda": j / 8, "val_cer": rng.choice([0.1, 0.09, 0.05, 0.01]), "ood_cer": rng.choice([None, 0.0, 0.02, 0.03, 0.05, 0.2])} for j in range(rng.randrange(1, 9))] for i in range(60)}
+    runs["none"] = [{"lambda": 0.0, "val_cer": 0.1, "ood_cer": 0.9}]
+    frame = spark.createDataFrame([(k, *r.values()) for k, rows in runs.items() for r in rows], "run string, lambda double, val_cer double, ood_cer double").repartition(4)
+
+    def chosen(rows):
+        try:
+            return stats.select_lambda(rows, 0.02, 0.1, 2)
+        except ValueError:
+            return None
+
+    got = stats.selected_lambdas(frame, "run", baseline_ood=0.02, budget=0.1, threshold=2, strict=False)
+    assert {r.run: r["lambda"] for r in got.collect()} == {k: chosen(rows) for k, rows in runs.items()}
+    one = frame.where("run = 'r1'").withColumn("base", F.lit(0.02))
+    assert stats.selected_lambdas(one, baseline_ood=F.col("base"), budget=0.1, threshold=2, strict=False).first()[0] == chosen(runs["r1"])
+    with pytest.raises(Exception, match="no row keeps within the budget"):
+        stats.selected_lambdas(frame.where("run = 'none'"), "run", baseline_ood=0.02, budget=0.1, threshold=2).collect()
+
+
+def test_pairs_of_long_slices_meet_by_place(spark, monkeypatch):
+    rows = [(s, (7 * i) % n, i % 5, i % 3 + 1) for s, n in [("a", 200), ("b", 30), (None, 90)] for i in range(n)]
+    frame = spark.createDataFrame(rows, "source string, ord long, char_edits long, char_ref_len long").repartition(5)
+    other = frame.withColumn("ord", F.col("ord") * 2 + 1).where("source is null or source = 'a' or ord <> 5")  # b has another number of rows
+    want = sorted(map(repr, scoring.paired(frame, other, "source").where("source is not null").collect()))
+    monkeypatch.setattr(scoring, "WHOLE", 20)
+    got = scoring.paired(frame, other, "source").collect()
+    assert sorted(repr(r) for r in got if r.source is not None) == want and len(want) == 200
+    assert sum(r.source is None for r in got) == 90
