@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern import streaming
@@ -151,6 +151,31 @@ def number_words(spark, sf_dir):
     return _spoken(spark, sf_dir).select("doc_id", out.alias("w")).select("doc_id", F.md5(F.col("w.text").cast("binary")).alias("text_md5"), "w.n_conversions")
 
 
+def _said(n: Column) -> Column:
+    """A number from 1 to 999,999,999 as it is spoken: hundreds, tens and units under their scales, `linh` for an empty ten."""
+    digit = lambda d: F.get(F.array(*[F.lit(w) for w in ("không", "một", "hai", "ba", "bốn", "năm", "sáu", "bảy", "tám", "chín")]), d.cast("int"))
+
+    def group(x: Column) -> Column:
+        h, t, u = F.floor(x / 100), F.floor(x / 10) % 10, x % 10
+        tens = F.when(t >= 2, F.concat(digit(t), F.lit(" mươi"))).when(t == 1, "mười").when((h > 0) & (u > 0), F.when(x % 2 == 0, "linh").otherwise("lẻ"))
+        units = F.when((u == 5) & (t > 0), "lăm").when((u == 4) & (t >= 2), "tư").when(u > 0, digit(u))
+        return F.concat_ws(" ", F.when(h > 0, F.concat(digit(h), F.lit(" trăm"))), tens, units)
+
+    parts = ((F.floor(n / 1_000_000), "triệu"), (F.floor(n / 1000) % 1000, "nghìn"), (n % 1000, None))
+    return F.concat_ws(" ", *[F.when(x > 0, F.concat_ws(" ", group(x), F.lit(scale))) for x, scale in parts])
+
+
+@query("""with o as (select o_orderkey, o_orderkey * 7919 % 300000007 + 1 as n, o_orderkey % 1013 + 1 as m from orders)
+select o_orderkey, 'giá ' || n || ' đồng mã ' || case when o_orderkey = 0 then 'không' else o_orderkey::varchar end || ' hay ' || m as text, 2 + (o_orderkey > 0)::bigint as conversions, 1::bigint as fillers_removed from o""")
+def number_phrases(spark, sf_dir):
+    """Values with multipliers, scales and fillers, and codes that are read digit by digit, one phrase for each order; a lone zero stays a word."""
+    o = table(spark, sf_dir, "orders")
+    code = F.array_join(F.transform(F.split(F.col("o_orderkey").cast("string"), ""), lambda d: F.get(F.array(*[F.lit(w) for w in ("không", "một", "hai", "ba", "bốn", "năm", "sáu", "bẩy", "tám", "chín")]), d.cast("int"))), " ")
+    text = F.concat(F.lit("Giá: "), _said(F.col("o_orderkey") * 7919 % 300000007 + 1), F.lit(" đồng; ừm, mã "), code, F.lit(" hay "), _said(F.col("o_orderkey") % 1013 + 1))
+    done = o.select("o_orderkey", tx.Normalizer(filler_tokens=("ừm",)).audited(text).alias("d"))
+    return done.select("o_orderkey", "d.text", "d.conversions", "d.fillers_removed")
+
+
 @query(_NATIONS + " select source, 0.0::double as cer_a, round(sum(3) / sum(length(ref) + 4), 6) as cer_b from segments group by source")
 def convention_check(spark, sf_dir):
     """Ref has a number as words, hyp as digits: alike only after conversion."""
@@ -427,12 +452,23 @@ def wpm_collapse(spark, sf_dir):
 # --- streams
 
 
-def _stream(frame: DataFrame, name: str) -> DataFrame:
-    """The rows as a stream: files of a folder, some of them for each trigger."""
+def _in_parts(frame: DataFrame, order: str, path: str, first: int, parts: int, of: int) -> None:
+    """Some of the `of` parts of the rows, as one file each, in arrival order: a part holds rows of the next ones too."""
+    for part in range(first, first + parts):
+        frame.where(F.least(F.floor(F.col(order)), F.lit(of - 1)) == part).drop(order).coalesce(1).write.mode("append").parquet(path)
+
+
+def _streamed(frame: DataFrame, order: str, last: DataFrame, build, name: str) -> DataFrame:
+    """All rows that `build` makes of a stream of six files, a file for each micro-batch, stopped after three and taken up
+    again from its checkpoint. `last` is a row far ahead, so that the watermark passes all others."""
     spark = frame.sparkSession
-    path = fresh_folder(spark, name)
-    frame.write.parquet(path)
-    return spark.readStream.schema(frame.schema).parquet(path)
+    path, out = fresh_folder(spark, name), fresh_folder(spark, f"{name}-out")
+    read = lambda: spark.readStream.schema(last.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    _in_parts(frame, order, path, 0, 3, 6)
+    streaming.drained(build(read()), out)
+    _in_parts(frame, order, path, 3, 3, 6)
+    last.coalesce(1).write.mode("append").parquet(path)
+    return streaming.drained(build(read()), out)
 
 
 @query("select time_bucket(interval 5 minutes, ts) as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by all")
@@ -452,8 +488,12 @@ g as (select *, sum((best is null or value > best)::int) over (partition by user
 s as (select *, row_number() over (partition by user_id, run order by event_id) - 1 as since from g)
 select user_id::varchar as key, min(event_id) as stopped_at from s where since >= 20 group by user_id""")
 def streamed_early_stops(spark, sf_dir):
-    curve = _stream(table(spark, sf_dir, "events").select("user_id", "event_id", "value").coalesce(1), "curve")
-    return streaming.drained(streaming.early_stops(curve, "user_id", "event_id", "value", 20, greater_is_better=True), fresh_folder(spark, "stops"))
+    """Rows out of order over several micro-batches and a restart; the place is the event's time, in seconds."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user_id"), "event_id", "value", F.timestamp_seconds(F.col("event_id") + 86400).alias("ts"))
+    spread_out = table(spark, sf_dir, "events").agg((F.max("event_id") + 1).alias("n"))  # one row
+    rows = rows.crossJoin(F.broadcast(spread_out)).withColumn("arrives", 6 * (F.col("event_id") + F.pmod(F.xxhash64("event_id"), F.lit(400))) / F.col("n")).drop("n")
+    last = rows.select("user_id", "event_id", "value", "ts").limit(1).select(F.lit("").alias("user_id"), F.lit(0).cast("long").alias("event_id"), F.lit(0.0).alias("value"), F.timestamp_seconds(F.lit(4 * 10**9)).alias("ts"))
+    return _streamed(rows, "arrives", last, lambda s: streaming.early_stops(s, "user_id", "event_id", "value", 20, greater_is_better=True, late="500 seconds"), "curve")
 
 
 @query("""with e as (select user_id, event_id / 16 as start from events), d as (select user_id, max(start) as duration from e group by user_id),
@@ -464,11 +504,14 @@ f as (select d.user_id, duration, list_reduce(list_concat([{'cuts': []::double[]
 h as (select user_id, list_concat(s.cuts, list_transform(range(1, greatest(1, ceil((duration - s.last) / 30))::bigint), lambda i: s.last + i * 30.0)) as cuts from f)
 select user_id::varchar as key, round(unnest(cuts), 6) as cut from h""")
 def streamed_greedy_cuts(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") / 16).alias("start"))
-    last = F.max("start").over(Window.partitionBy("user_id"))
-    words = e.withColumn("duration", F.when(F.col("start") == last, F.col("start")))
-    cuts = streaming.greedy_cuts(_stream(words.coalesce(1), "words"), "user_id", 4.0, 30.0, 15.0)
-    return streaming.drained(cuts, fresh_folder(spark, "cuts")).withColumn("cut", r6("cut"))
+    """Words out of order over several micro-batches and a restart."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user_id"), "event_id", (F.col("event_id") / 16).alias("start"))
+    ends = e.groupBy("user_id").agg(F.max("start").alias("end"))
+    total = e.agg((F.max("event_id") + 1).alias("n"))  # one row
+    words = e.join(ends, "user_id").crossJoin(F.broadcast(total)).select("user_id", "start", F.when(F.col("start") == F.col("end"), F.col("end")).alias("duration"), F.timestamp_micros(((F.col("start") + 86400) * 1_000_000).cast("long")).alias("ts"), (6 * (F.col("event_id") + F.pmod(F.xxhash64("event_id"), F.lit(400))) / F.col("n")).alias("arrives"))
+    last = words.limit(1).select(F.lit("").alias("user_id"), F.lit(0.0).alias("start"), F.lit(None).cast("double").alias("duration"), F.timestamp_seconds(F.lit(4 * 10**9)).alias("ts"))
+    cuts = _streamed(words, "arrives", last, lambda s: streaming.greedy_cuts(s, "user_id", 4.0, 30.0, 15.0, late="60 seconds"), "words")
+    return cuts.withColumn("cut", r6("cut"))
 
 
 @query("select doc_id, sha256(text) as digest from documents")
@@ -477,5 +520,5 @@ def appended_once(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
     path = fresh_folder(spark, "appended")
     for batch in (docs.where("doc_id % 3 = 0"), docs.union(docs.where("doc_id % 2 = 0"))):
-        streaming.append_new(batch, path, "doc_id", "digest")
-    return spark.read.schema(docs.schema).parquet(path)
+        streaming.append_new(batch, path, "doc_id", "digest", buckets=16)
+    return streaming.appended(spark, path, docs.schema)

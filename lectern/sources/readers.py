@@ -13,6 +13,7 @@ import re
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,15 +176,21 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.substring_index("value", " ", 1).alias("segment_id"), F.lower(F.trim(F.regexp_replace("value", r"^\S+\s", ""))).alias("text"))
 
 
+#: What Spark calls a path that is not there, or a file that is not of the format.
+UNREADABLE = ("PATH_NOT_FOUND", "FAILED_READ_FILE", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "FAILED_TO_READ", "MALFORMED")
+
+
 def first_route(*routes: Callable[[], DataFrame]) -> DataFrame:
-    """The first route whose rows can be read; the last one's fault is raised if none can."""
+    """The first route whose rows can be read. Only a missing path or another format leads on to the next one; any other
+    fault, and the last route's, is raised."""
     for i, route in enumerate(routes):
         try:
             found = route()
             found.head(1)
             return found
-        except Exception:
-            if i == len(routes) - 1:
+        except (FileNotFoundError, PySparkException) as e:
+            known = isinstance(e, FileNotFoundError) or any(u in f"{e.getCondition() or ''} {e}" for u in UNREADABLE)
+            if not known or i == len(routes) - 1:
                 raise
     raise ValueError("no route")
 

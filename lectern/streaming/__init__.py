@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,57 +22,97 @@ def pause_sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: s
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def greedy_cuts(words: DataFrame, key: str, min_gap: float, longest: float, shortest: float) -> DataFrame:
-    """(key, cut): the greedy cuts of each recording as its words arrive, start after start.
+#: A row that waits for the watermark: event time in microseconds, and what the fold takes.
+_WAITING = np.dtype([("us", "<i8"), ("a", "<f8"), ("b", "<f8")])
 
-    words: (key, start, duration); a row with a duration ends its recording and brings the forced cuts up to it. The
-    state of a recording is its last start and its last cut. Words of one recording have to arrive in order.
+
+def _in_event_order(rows: DataFrame, late: str, fold: Callable, start: tuple, out: str) -> DataFrame:
+    """fold over each key's rows in the order of their event times, however they arrive within `late`.
+
+    rows: (key, ts, a, b). Rows wait in the state until the watermark has passed them, sorted; then nothing earlier can
+    come, and fold(state, a, b) -> (state, results, ended) takes them at once. A timer wakes a key whose rows wait
+    although no new one arrives. A key that has ended gives up its state.
     """
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        before, last = state.get if state.exists else (None, 0.0)
-        cuts = []
-        for row in pd.concat(list(frames)).sort_values("start", kind="stable").itertuples():
-            if before is not None and row.start - before >= min_gap:
-                at = (row.start + before) / 2
-                if at - last > longest:
+        held, kept = (np.zeros(0, dtype=_WAITING), start)
+        if state.exists:
+            raw, *kept = state.get
+            held = np.frombuffer(raw, dtype=_WAITING)
+        if not state.hasTimedOut:
+            new = pd.concat(list(frames))
+            came = np.zeros(len(new), dtype=_WAITING)
+            came["us"], came["a"], came["b"] = new["us"], new["a"], new["b"]
+            held = np.sort(np.concatenate([held, came]), order=["us", "a"], kind="stable")
+        passed = int(np.searchsorted(held["us"], state.getCurrentWatermarkMs() * 1000, "right"))
+        kept, found, ended = fold(tuple(kept), held["a"][:passed], held["b"][:passed])
+        if ended:
+            state.remove()
+        else:
+            waiting = held[passed:]
+            state.update((waiting.tobytes(), *kept))
+            if len(waiting):
+                state.setTimeoutTimestamp(int(max(-(-int(waiting["us"][0]) // 1000), state.getCurrentWatermarkMs() + 1)))
+        if found:
+            yield pd.DataFrame({"key": [str(name[0])] * len(found), out.split(" ")[0]: found})
+
+    timed = rows.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    fields = ", ".join(f"s{i} double" for i in range(len(start)))
+    return timed.groupBy("key").applyInPandasWithState(step, f"key string, {out}", f"waiting binary, {fields}", "append", "EventTimeTimeout")
+
+
+def greedy_cuts(words: DataFrame, key: str, min_gap: float, longest: float, shortest: float, late: str = "10 minutes") -> DataFrame:
+    """(key, cut): the greedy cuts of each recording as its words arrive, up to `late` out of order.
+
+    words: (key, start, duration, ts), ts being the start as a time; a row with a duration ends its recording and brings
+    the forced cuts up to it. The state of a recording is its last start, its last cut and the words that wait.
+    """
+
+    def fold(state: tuple, starts: np.ndarray, durations: np.ndarray) -> tuple:
+        before, last = state
+        cuts, ended = [], False
+        if len(starts):
+            previous = np.concatenate([[before], starts[:-1]])
+            with np.errstate(invalid="ignore"):
+                gaps = np.flatnonzero((starts - previous >= min_gap) | ~np.isnan(durations))
+            for i in gaps.tolist():
+                if starts[i] - previous[i] >= min_gap:
+                    at = float(starts[i] + previous[i]) / 2
+                    if at - last > longest:
+                        last += longest
+                        cuts.append(last)
+                    elif at - last >= shortest:
+                        last = at
+                        cuts.append(last)
+                while not np.isnan(durations[i]) and durations[i] - last > longest:
                     last += longest
                     cuts.append(last)
-                elif at - last >= shortest:
-                    last = at
-                    cuts.append(last)
-            before = row.start
-            while not pd.isna(row.duration) and row.duration - last > longest:
-                last += longest
-                cuts.append(last)
-        state.update((before, last))
-        yield pd.DataFrame({"key": [str(name[0])] * len(cuts), "cut": cuts})
+            before, ended = float(starts[-1]), not np.isnan(durations[-1])
+        return (before, last), cuts, ended
 
-    narrow = words.select(F.col(key).cast("string").alias("key"), F.col("start").cast("double").alias("start"), F.col("duration").cast("double").alias("duration"))
-    return narrow.groupBy("key").applyInPandasWithState(step, "key string, cut double", "before double, last double", "append", "NoTimeout")
+    narrow = words.select(F.col(key).cast("string").alias("key"), "ts", F.col("start").cast("double").alias("a"), F.col("duration").cast("double").alias("b"))
+    return _in_event_order(narrow, late, fold, (float("nan"), 0.0), "cut double")
 
 
-def early_stops(curve: DataFrame, key: str, order: str, value: str, patience: int, greater_is_better: bool = False) -> DataFrame:
+def early_stops(curve: DataFrame, key: str, order: str, value: str, patience: int, greater_is_better: bool = False, late: str = "10 minutes") -> DataFrame:
     """(key, stopped_at): the point where `patience` rows in a row have not beaten the best, once for each run, as
-    soon as it is seen. The state of a run is its best value, the rounds since, and whether it has stopped."""
+    soon as the watermark has passed it. curve has a time column ts in the order of `order`. The state of a run is its
+    best value, the rounds since, whether it has stopped, and the rows that wait."""
     sign = -1.0 if greater_is_better else 1.0
 
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        best, rounds, done = state.get if state.exists else (None, 0, False)
-        found = []
-        for row in pd.concat(list(frames)).sort_values("place").itertuples():
-            if best is None or sign * row.value < best:
-                best, rounds = sign * row.value, 0
-            else:
-                rounds += 1
-            if rounds >= patience and not done:
-                done = True
-                found.append(row.place)
-        state.update((best, rounds, done))
-        yield pd.DataFrame({"key": [str(name[0])] * len(found), "stopped_at": found})
-
-    narrow = curve.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("place"), F.col(value).cast("double").alias("value"))
-    return narrow.groupBy("key").applyInPandasWithState(step, "key string, stopped_at long", "best double, rounds long, done boolean", "append", "NoTimeout")
+    def fold(state: tuple, places: np.ndarray, values: np.ndarray) -> tuple:
+        best, rounds, done = state
+        if not len(places) or done:
+            return state, [], False
+        own = sign * values
+        better = own < np.minimum.accumulate(np.concatenate([[best], own[:-1]]))
+        at = np.arange(len(own))
+        since = at - np.maximum.accumulate(np.where(better, at, -1 - int(rounds)))
+        stops = np.flatnonzero(since >= patience)
+        return (float(min(best, own.min())), float(since[-1]), float(bool(len(stops)))), [int(places[stops[0]])] if len(stops) else [], False
+
+    narrow = curve.select(F.col(key).cast("string").alias("key"), "ts", F.col(order).cast("double").alias("a"), F.col(value).cast("double").alias("b"))
+    return _in_event_order(narrow, late, fold, (float("inf"), 0.0, 0.0), "stopped_at long")
 
 
 def drained(stream: DataFrame, path: str) -> DataFrame:
@@ -79,22 +122,59 @@ def drained(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def append_new(batch: DataFrame, path: str, key: str, digest: str) -> None:
+def _committed(spark, path: str) -> list[dict]:
+    """The versions of a sink, a row for each batch: {"folder": name, "buckets": [...]}."""
+    log = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    if not log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log):
+        return []
+    return [json.loads(r[0]) for r in spark.read.text(f"{path}/versions").collect()]
+
+
+def _commit(spark, path: str, version: dict) -> None:
+    """The version becomes visible by one rename, or not at all."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    log, draft = Path(f"{path}/versions"), Path(f"{path}/drafts/{version['folder']}")
+    files = log.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(log)
+    out = files.create(draft, True)
+    out.write(bytearray((json.dumps(version) + "\n").encode()))
+    out.close()
+    if not files.rename(draft, Path(f"{path}/versions/{version['folder']}.json")):
+        raise OSError(f"cannot commit {version['folder']} of {path}")
+
+
+def appended(spark, path: str, schema) -> DataFrame:
+    """The rows of a sink's committed versions."""
+    folders = [f"{path}/{v['folder']}/bucket={b}" for v in _committed(spark, path) for b in v["buckets"]]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def append_new(batch: DataFrame, path: str, key: str, digest: str, batch_id: int | None = None, buckets: int = 256) -> None:
     """foreachBatch sink that may see a row twice, in one batch or in several: a known key with the same digest is passed
-    over, with another one it fails. Of the sink only keys and digests are read."""
+    over, with another one it fails.
+
+    A batch writes its new rows into a folder of its own, by buckets of the key's hash, and then commits it to the
+    sink's list of versions. Of what is there it reads keys and digests of its own keys' buckets only, in committed
+    versions. What a crash leaves between write and commit is never read; run again, the batch writes it anew. With
+    batch_id, the number that Spark gives a batch, one that has been committed is passed over as a whole.
+    """
     spark = batch.sparkSession
+    known = _committed(spark, path)
+    folder = f"v{uuid.uuid4().hex}" if batch_id is None else f"b{batch_id}"
+    if any(v["folder"] == folder for v in known):
+        return
     changed = F.raise_error(F.concat(F.lit("changed content of "), F.col(key).cast("string"))).cast("string")
     whole = F.struct(*batch.columns)
     once = batch.groupBy(key).agg(F.min_by(whole, F.col(digest)).alias("_row"), F.min(digest).alias("_low"), F.max(digest).alias("_high"))
     once = once.withColumn("_known", F.when(F.col("_low") != F.col("_high"), changed)).where("_known is null").select("_row.*")
-    try:
-        known = spark.read.schema(batch.schema).parquet(path)
-        known.limit(1).count()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        once.write.parquet(path)
-        return
-    both = once.join(known.select(key, F.col(digest).alias("_known")), key, "left")
-    wrong = F.when(F.col("_known") != F.col(digest), changed)
-    both.withColumn("_known", F.coalesce(wrong, F.col("_known"))).where("_known is null").select(*batch.columns).write.mode("append").parquet(path)
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    own = {r[0] for r in batch.select(bucket.alias("b")).distinct().collect()} if known else set()  # `buckets` at most
+    there = [f"{path}/{v['folder']}/bucket={b}" for v in known for b in v["buckets"] if b in own]
+    if there:
+        old = spark.read.schema(batch.schema).parquet(*there)
+        once = once.join(old.select(key, F.col(digest).alias("_known")), key, "left")
+        wrong = F.when(F.col("_known") != F.col(digest), changed)
+        once = once.withColumn("_known", F.coalesce(wrong, F.col("_known"))).where("_known is null").select(*batch.columns)
+    once.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{folder}")
+    written = spark.read.schema(f"`{key}` string, bucket int").parquet(f"{path}/{folder}").select("bucket").distinct().collect()
+    _commit(spark, path, {"folder": folder, "buckets": sorted(r[0] for r in written)})

@@ -213,7 +213,7 @@ def test_checksums(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    from lectern.streaming import append_new, bucket_counts, pause_sessions
+    from lectern.streaming import append_new, appended, bucket_counts, pause_sessions
 
     rows = spark.sql("select timestamp'2026-01-01 00:00:00' + make_interval(0,0,0,0,0,m) as ts, 'u' as user_id, cast(m as double) as value from values (0), (1), (6), (90) as t(m)")
     rows.write.parquet(str(tmp_path / "in"))
@@ -227,6 +227,6 @@ def test_streams(spark, tmp_path):
     batch = spark.createDataFrame([("a", "1"), ("b", "2")], "id string, sha string")
     for _ in range(2):
         append_new(batch, str(tmp_path / "out"), "id", "sha")
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert appended(spark, str(tmp_path / "out"), batch.schema).count() == 2
     with pytest.raises(Exception, match="changed content"):
         append_new(batch.replace("1", "9"), str(tmp_path / "out"), "id", "sha")
