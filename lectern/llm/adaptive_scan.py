@@ -31,8 +31,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm import scratch
+from lectern.operators.places import any_larger
 
 #: Bytes of the sample that centroids, probes and first bounds come from, and its rows at most; rows of it that bounds use.
 SAMPLE_BYTES, SAMPLE_ROWS, BOUND_ROWS = 16 << 20, 1 << 15, 1 << 12
@@ -49,9 +51,10 @@ SEED = 20260501
 
 @dataclass(frozen=True)
 class Fit:
-    """What is sent to every task, all of it bounded by the sample."""
+    """What is sent to every task, all of it bounded by the sample; `kind` is how vectors are stored."""
 
     width: int
+    kind: str
     centroids: np.ndarray
     rotation: np.ndarray
     sample: np.ndarray
@@ -116,14 +119,14 @@ def calibrated(sample: np.ndarray, centroids: np.ndarray, k: int, target: float,
     return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))]) + 1
 
 
-def fit(classes: DataFrame, n_classes: int, width: int, k: int, target: float = TARGET, seed: int = SEED) -> Fit:
+def fit(classes: DataFrame, n_classes: int, width: int, kind: str, k: int, target: float = TARGET, seed: int = SEED) -> Fit:
     """Centroids, rotation, probes and the sample for bounds, from at most SAMPLE_BYTES of distinct vectors."""
     most = max(64, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * width)))
     # a share of hashes, so that no task sends more than its part of the sample
     share = min(1 << 30, int((1 << 30) * 1.1 * most / max(n_classes, 1)) + 1)
     rows = classes.where(F.pmod(F.xxhash64("vector", F.lit(seed)), F.lit(1 << 30)) < share).select("vector", "ids").limit(most).collect()
     rows.sort(key=lambda r: bytes(r[0]))
-    sample = np.stack([np.frombuffer(r[0], dtype="<f8") for r in rows]) if rows else np.zeros((0, width))
+    sample = np.stack([np.frombuffer(r[0], dtype=kind).astype(float) for r in rows]) if rows else np.zeros((0, width))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(sample))
     sample = sample[order]
@@ -132,20 +135,20 @@ def fit(classes: DataFrame, n_classes: int, width: int, k: int, target: float =
     probes = calibrated(sample, centroids, k, target, rng)
     rotation = np.linalg.qr(rng.standard_normal((width, width)))[0]
     first = max(BOUND_ROWS, k + 1)
-    return Fit(width, centroids, rotation, sample[:first], [np.array(rows[i][1], dtype=np.int64) for i in order[:first]], probes)
+    return Fit(width, kind, centroids, rotation, sample[:first], [np.array(rows[i][1], dtype=np.int64) for i in order[:first]], probes)
 
 
-def _prepare(width: int):
+def _prepare(width: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good, vectors = parsed(batch.column(1), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array([v.tobytes() for v in vectors], pa.binary())], names=["vec_id", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array([v.tobytes() for v in vectors.astype(kind)], pa.binary())], names=["vec_id", "vector"])
 
     return run
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, width)
+def _matrix(column: pa.Array, width: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, width)
 
 
 def _assign(found: Fit, probes: int, bounds: int):
@@ -156,7 +159,7 @@ def _assign(found: Fit, probes: int, bounds: int):
         for whole in batches:
             for low in range(0, whole.num_rows, 1024):
                 batch = whole.slice(low, 1024)
-                rows = _matrix(batch.column(1), found.width)
+                rows = _matrix(batch.column(1), found.width, found.kind).astype(float)
                 d = squared(rows, found.centroids)
                 lists = np.argsort(d, axis=1, kind="stable")[:, :probes] if probes > 1 else d.argmin(1)[:, None]
                 bound = np.full(len(rows), np.inf)
@@ -168,8 +171,8 @@ def _assign(found: Fit, probes: int, bounds: int):
                     turned = ((rows[at] - found.centroids[lists.ravel()]) @ found.rotation).astype("<f4")
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lists.ravel().astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take), pa.array([t.tobytes() for t in turned], pa.binary()), pa.array(bound[at])],
-                    names=["list", "class", "vector", "turned", "bound"],
+                    [pa.array(lists.ravel().astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take), pa.array([t.tobytes() for t in turned], pa.binary()), pa.array(bound[at]), batch.column(2).take(take)],
+                    names=["list", "class", "vector", "turned", "bound", "ids"],
                 )
 
     return run
@@ -182,7 +185,7 @@ def _seeds(found: Fit, k: int):
         for whole in batches:
             for low in range(0, whole.num_rows, 1024):
                 batch = whole.slice(low, 1024)
-                rows = _matrix(batch.column(1), found.width)
+                rows = _matrix(batch.column(1), found.width, found.kind).astype(float)
                 near = np.argsort(squared(rows, found.sample), axis=1, kind="stable")[:, : k + 1]
                 at = np.repeat(np.arange(len(rows)), near.shape[1])
                 with np.errstate(all="ignore"):
@@ -215,7 +218,7 @@ def _abandoned(columns: list[np.ndarray], asked: list[np.ndarray], bound: np.nda
     return at, row
 
 
-def _scan(k: int, width: int, block_width: int, slack: float):
+def _scan(k: int, width: int, kind: str, block_width: int, slack: float):
     """The k + 1 nearest (score, vec_id) of each query in its block."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -224,12 +227,12 @@ def _scan(k: int, width: int, block_width: int, slack: float):
         queries = table.filter(table.column("asked"))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if held.num_rows and queries.num_rows:
-            rows, turned = _matrix(held.column("vector"), width), np.frombuffer(b"".join(held.column("turned").to_pylist()), dtype="<f4").reshape(-1, width)
+            rows, turned = _matrix(held.column("vector"), width, kind), _matrix(held.column("turned"), width, "<f4")
             members = held.column("ids").combine_chunks()
             size = np.asarray(members.value_lengths())
             first, ids = np.cumsum(size) - size, np.asarray(members.flatten())
             columns = [np.ascontiguousarray(turned[:, c : c + block_width]) for c in range(0, width, block_width)]
-            q_rows, q_turned = _matrix(queries.column("vector"), width), np.frombuffer(b"".join(queries.column("turned").to_pylist()), dtype="<f4").reshape(-1, width)
+            q_rows, q_turned = _matrix(queries.column("vector"), width, kind), _matrix(queries.column("turned"), width, "<f4")
             q_ids, bound = np.asarray(queries.column("class").combine_chunks()), np.asarray(queries.column("bound").combine_chunks()).copy()
             for low in range(0, len(columns[0]), 1024):  # rows of a block at once: the bound falls from one part to the next
                 part = [c[low : low + 1024] for c in columns]
@@ -238,7 +241,7 @@ def _scan(k: int, width: int, block_width: int, slack: float):
                     at, row = _abandoned(part, [q_turned[here, c : c + block_width] for c in range(0, width, block_width)], bound[here], slack)
                     at, row = at + begin, row + low
                     with np.errstate(all="ignore"):
-                        score = np.sqrt(((rows[row] - q_rows[at]) ** 2).sum(axis=1))
+                        score = np.sqrt(((rows[row].astype(float) - q_rows[at]) ** 2).sum(axis=1))
                     # a class of equal vectors counts with all its ids
                     times = size[row]
                     take = np.repeat(np.arange(len(row)), times)
@@ -265,9 +268,13 @@ def nearest(rows: DataFrame, every: int, k: int = 10, target: float = TARGET, sl
     """(query_id, rank, vec_id, score): of every row whose id is divisible by `every`, the k nearest other rows found.
     target = 1 probes every list, and an infinite slack abandons nobody early: then the result is exact."""
     quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    source = rows.select(quoted(id_col).cast("long").alias("vec_id"), quoted(vector_col).cast("array<double>").alias("vector")).where("vec_id is not null and size(vector) > 0")
+    single = isinstance(rows.schema[vector_col].dataType.elementType, T.FloatType)
+    kind = "<f4" if single else "<f8"
+    source = rows.select(quoted(id_col).cast("long").alias("vec_id"), quoted(vector_col).cast("array<float>" if single else "array<double>").alias("vector")).where("vec_id is not null and size(vector) > 0")
     width = source.agg(F.max(F.size("vector"))).first()[0] or 1  # one row
-    vectors = source.mapInArrow(_prepare(width), "vec_id long, vector binary").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    vectors = source.mapInArrow(_prepare(width, kind), "vec_id long, vector binary")
+    if any_larger(source, ["vec_id"], 1):
+        vectors = vectors.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     vectors = scratch.materialize(vectors, "vectors")
     # the k + 1 smallest ids of each distinct vector: a rank limit, kept before the shuffle too
     order = Window.partitionBy("vector").orderBy("vec_id")
@@ -275,15 +282,14 @@ def nearest(rows: DataFrame, every: int, k: int = 10, target: float = TARGET, sl
     classes = few.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     classes = scratch.materialize(classes.withColumn("class", F.col("ids")[0]), "classes")
     n_classes = classes.count()
-    found = fit(classes, n_classes, width, k, target)
+    found = fit(classes, n_classes, width, kind, k, target)
     probes = len(found.centroids) if target >= 1 else found.probes
-    layout = "list int, class long, vector binary, turned binary, bound double"
-    index = classes.select("class", "vector").mapInArrow(_assign(found, 1, 0), layout).drop("bound").join(classes.select("class", "ids"), "class")
-    index = scratch.materialize(index, "index")
+    layout = "list int, class long, vector binary, turned binary, bound double, ids array<long>"
+    index = scratch.materialize(classes.select("class", "vector", "ids").mapInArrow(_assign(found, 1, 0), layout), "index")
     asked = vectors.where(F.col("vec_id") % every == 0).join(classes.select("class", "vector"), "vector").select(F.col("vec_id").alias("query_id"), "class", "vector")
     asked = scratch.materialize(asked, "queries")
     # equal queries are one; it sees itself or its equals, so its bound is that of one neighbour more
-    distinct = scratch.materialize(asked.groupBy("class").agg(F.first("vector").alias("vector")), "asked")
+    distinct = scratch.materialize(asked.groupBy("class").agg(F.first("vector").alias("vector")).withColumn("ids", F.lit(None).cast("array<long>")), "asked")
     seeds = distinct.mapInArrow(_seeds(found, k), "class long, vec_id long, score double")
     probed = scratch.materialize(distinct.mapInArrow(_assign(found, probes, k + 1), layout), "probes")
     blocks = index.groupBy("list").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("blocks"))
@@ -291,9 +297,9 @@ def nearest(rows: DataFrame, every: int, k: int = 10, target: float = TARGET, sl
     sizes = scratch.materialize(blocks.join(groups, "list"), "tiles")  # a row for each list
     one = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("long")
     every_one = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    sent = index.join(sizes, "list").select("list", one("blocks").alias("block"), every_one("groups").alias("group"), F.lit(False).alias("asked"), "class", "vector", "turned", F.lit(0.0).alias("bound"), "ids")
-    sent = sent.union(probed.join(sizes, "list").select("list", every_one("blocks").alias("block"), one("groups").alias("group"), F.lit(True).alias("asked"), "class", "vector", "turned", "bound", F.lit(None).cast("array<long>").alias("ids")))
-    near = sent.groupBy("list", "block", "group").applyInArrow(_scan(k, width, WIDTH, slack), "class long, vec_id long, score double")
+    sent = index.join(sizes, "list").select("list", one("blocks").alias("block"), every_one("groups").alias("group"), F.lit(False).alias("asked"), "class", "vector", "turned", "bound", "ids")
+    sent = sent.union(probed.join(sizes, "list").select("list", every_one("blocks").alias("block"), one("groups").alias("group"), F.lit(True).alias("asked"), "class", "vector", "turned", "bound", "ids"))
+    near = sent.groupBy("list", "block", "group").applyInArrow(_scan(k, width, kind, WIDTH, slack), "class long, vec_id long, score double")
     # a row found twice has the same exact score, and the same rank
     best = Window.partitionBy("class").orderBy("score", "vec_id")
     near = near.union(seeds).withColumn("rank", F.dense_rank().over(best)).where(F.col("rank") <= k + 1).select("class", "vec_id", "score").distinct()

@@ -146,7 +146,7 @@ m as (select w.doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''
       from w left join c using (doc_id)),
 b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not (n_words < 10 or n_words > 100000
+  not base_failed and not (n_words < 10
     or word_chars < 2 * n_words or word_chars > 20 * n_words or n_symbols > 0.3 * n_words
     or bangs > 0.5 * n_words or stops + 1 < 0.02 * n_words or n_dup_lines > 0.5 * lines
     or ellipses > 0.5 * lines or bullets > 0.9 * lines) as kept
