@@ -278,6 +278,19 @@ def curve_summary(curve: DataFrame, order: str, value: str, *keys: str, warmup_e
     return joined.withColumn("diverged", F.col("odd") | (F.col("final") > F.col("first"))).drop("odd")
 
 
+#: Columns of a probe's summary, one row for each learning rate that was tried.
+PROBE_FIELDS = ("learning_rate", "steps", "warmup_end_step", "first_post_warmup_loss", "min_loss", "final_loss", "rise_frac", "diverged")
+
+
+def probe_summary(logs: DataFrame, rate: str = "tried", blocks: int = 10) -> DataFrame:
+    """PROBE_FIELDS of every tried rate, from the logs of all of them: the shape of its curve after its own warm-up.
+    logs: (rate, step, loss, learning_rate), the last as it was scheduled."""
+    ends = warmup_end(logs, rate)
+    shape = curve_summary(logs.join(ends, rate), "step", "loss", rate, warmup_end=F.col("warmup_end"), blocks=blocks).join(ends, rate)
+    named = [F.col(rate).alias("learning_rate"), "steps", F.col("warmup_end").alias("warmup_end_step"), F.round("first", 4).alias("first_post_warmup_loss"), F.round("least", 4).alias("min_loss"), F.round("final", 4).alias("final_loss"), F.round("rise_frac", 3).alias("rise_frac"), "diverged"]
+    return shape.select(*named)
+
+
 def block_means(curve: DataFrame, order: str, value: str, every: int, *keys: str) -> DataFrame:
     """(keys, last, mean) of each run of `every` rows, named by its last place."""
     by = Window.partitionBy(*keys).orderBy(order)

@@ -510,3 +510,32 @@ def run_gate(spark, sf_dir):
     real = turns.select(F.col("conv_id").cast("string").alias("meeting_id"), F.format_string("seg_0000_%d", "turn").alias("segment_id"), F.col("turn").cast("long").alias("ord"), text.alias("ref"), F.when(F.col("turn") == 0, F.concat(F.lit("zz"), text)).otherwise(text).alias("hyp"))
     out = gate.run_gate(test, ood, real, {"cer_test": 0.01, "cer_ood": 0.005, "cer_real": 0.02}, 10, 0.02, 0.03, _gated(spark, sf_dir))
     return out.withColumns({"cer": r6("cer"), "bound": r6("bound")})
+
+
+@query(_GATED + f""", {_REAL}, {edit_ctes('pd', source='parents')},
+sides as (select 0.25 as w, source, count(*) as n_segments, sum(c) / sum(n) as cer from scored group by source union all select 0.5, source, count(*), sum(b) / sum(n) from scored group by source),
+rt as (select conv_id, unnest({_TOKENS.format('ref')}) as t, 'r' as side from parents union all select conv_id, unnest({_TOKENS.format('hyp')}), 'h' from parents),
+rr as (select sum(r)::double as n, sum(least(r, h)) as kept from (select conv_id, t, count(*) filter (side = 'r') as r, count(*) filter (side = 'h') as h from rt where {_LOAN} group by all) where r > 0),
+ra as (select sum(coalesce(pd.edits, 0)) / sum(length(p.ref)) as cer, count(*) as n from parents p left join pd on p.ref = pd.ref and p.hyp = pd.hyp)
+select w::double as lambda, source, s.n_segments, round(s.cer, 6) as cer, round(g.baseline_cer, 6) as baseline_cer, s.cer <= 0.9 * g.baseline_cer as pass,
+  round(case w when 0.25 then ret.retention else ret.baseline_retention end, 6) as retention, case w when 0.25 then ret.retention else ret.baseline_retention end >= ret.baseline_retention - 0.2 as retention_pass
+from sides s join g using (source) join ret using (source)
+union all select 0.25, 'real', ra.n, round(ra.cer, 6), null, null, round(rr.kept / rr.n, 6), null from ra, rr union all select 0.5, 'real', ra.n, 0, null, null, 1, null from ra""")
+def rescored_run(spark, sf_dir):
+    """Another run's predictions at two weights, by source, and its real chunks."""
+    rows = segments(spark, sf_dir)
+    at = lambda w, hyp: rows.select(F.lit(w).alias("lambda"), "source", "ord", "ref", F.col(hyp).alias("hyp"))
+    turns = table(spark, sf_dir, "conversations")
+    text = F.coalesce("text", F.lit(""))
+    said = lambda w, hyp: turns.select(F.lit(w).alias("lambda"), F.col("conv_id").cast("string").alias("meeting_id"), F.format_string("seg_0000_%d", "turn").alias("segment_id"), F.col("turn").cast("long").alias("ord"), text.alias("ref"), hyp.alias("hyp"))
+    real = said(0.25, F.when(F.col("turn") == 0, F.concat(F.lit("zz"), text)).otherwise(text)).union(said(0.5, text))
+    out = gate.rescored_run(at(0.25, "hyp").union(at(0.5, "base")), at(0.0, "base").drop("lambda"), [0.25, 0.5], 10, 0.2, real, method="poisson", resamples=20)
+    return out.select("lambda", "source", "n_segments", *[r6(c).alias(c) for c in ("cer", "baseline_cer", "retention")], "pass", "retention_pass")
+
+
+@query(f"""with t as (select source, doc_id, unnest({_TOKENS.format('lower(text)')}) as t, generate_subscripts({_TOKENS.format('lower(text)')}, 1) as p from documents),
+c as (select t as token, count(*) as n, count(distinct source) as meetings, min((doc_id, p)) as f from t where {_LOAN} group by t having count(distinct source) >= 3)
+select token, n, meetings, row_number() over (order by n desc, f)::int as rank from c order by n desc, f limit 25""")
+def top_vocabulary(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.lower("text").alias("text"))
+    return corpus.top_vocabulary(docs, "text", "source", order="doc_id")

@@ -159,6 +159,23 @@ def curve_after_warmup(spark, sf_dir):
     return out.join(ends, "user_id").select("user_id", "warmup_end", "steps", *[r6(c).alias(c) for c in ("first", "least", "final")])
 
 
+@query(f"""with {_LOG}, k as (select user_id / 1000 as tried, step, loss, coalesce(lr, 0) as lr from l where loss is not null),
+w as (select tried, arg_max(step, (lr, -step)) as warmup_end from k group by tried),
+c as (select k.*, w.warmup_end, max((step > warmup_end)::int) over (partition by tried) as any_late, count(*) over (partition by tried) as steps from k join w using (tried)),
+f as (select *, row_number() over (partition by tried order by step) as rn, count(*) over (partition by tried) as n from c where step > warmup_end or any_late = 0),
+b as (select *, (rn - 1) // greatest(1, n // 10) as block from f), m as (select tried, block, avg(loss) as m from b group by all),
+u as (select tried, (m > lag(m) over (partition by tried order by block))::int as up from m), r as (select tried, coalesce(sum(up), 0) / greatest(1, count(*) - 1) as rise_frac from u group by tried)
+select tried as learning_rate, any_value(steps) as steps, any_value(warmup_end) as warmup_end_step, round(arg_min(loss, rn), 4) as first_post_warmup_loss, round(min(loss), 4) as min_loss, round(avg(loss) filter (rn > n - 10), 4) as final_loss,
+  round(any_value(rise_frac), 3) as rise_frac, avg(loss) filter (rn > n - 10) > arg_min(loss, rn) as diverged from b join r using (tried) group by tried""")
+def probe_summary(spark, sf_dir):
+    """The summary of a probe of many learning rates, a user's events being one rate's log; written and read back."""
+    e = table(spark, sf_dir, "events").where("event_id % 5 > 0")
+    logs = e.select((F.col("user_id") / 1000).alias("tried"), F.col("event_id").alias("step"), F.col("value").alias("loss"), F.coalesce(F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 100 / 8), F.lit(0.0)).alias("learning_rate"))
+    path = fresh_folder(spark, "probe")
+    writers.write_probe(stats.probe_summary(logs), path)
+    return readers.read_csv(spark, path, schemas.PROBE)
+
+
 @query("select n_nationkey::bigint as step, n_regionkey / 4 as value from nation where n_nationkey % 2 = 0")
 def trainer_state(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")

@@ -14,3 +14,4 @@ SCRIBE = "words array<struct<text: string, start: double, end: double, type: str
 DRAFT = "segments array<struct<start: double, end: double, text: string, speaker: string>>"
 CAPTIONS = "automatic_captions map<string, array<struct<ext: string, name: string, url: string>>>"
 SOURCE = "meeting_id string, video_id string, url string, title string, duration double, sha256 string"
+PROBE = "learning_rate double, steps long, warmup_end_step long, first_post_warmup_loss double, min_loss double, final_loss double, rise_frac double, diverged boolean"

@@ -30,6 +30,13 @@ def write_table(rows: DataFrame, path: str, *fields: str) -> None:
     rows.select(*(fields or rows.columns)).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
 
 
+def write_probe(summary: DataFrame, path: str) -> None:
+    """A probe's summary as one CSV in the order of the rates, a few rows."""
+    from lectern.operators.stats import PROBE_FIELDS
+
+    summary.orderBy("learning_rate").select(*PROBE_FIELDS).coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
+
+
 def write_gate(results: DataFrame, predictions: dict[str, DataFrame], path: str) -> None:
     """Result rows as JSON, and a predictions table for each tier."""
     results.write.mode("overwrite").json(f"{path}/gate_results")
