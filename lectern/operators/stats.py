@@ -105,7 +105,7 @@ def _resampled(rows: DataFrame, slices: list[str], values: list[str], resamples:
     schema = T.StructType([*(rows.schema[c] for c in slices), T.StructField("b", T.IntegerType()), *(T.StructField(v, T.DoubleType()) for v in values)])
 
     def exact(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
+        pdf = pdf.sort_values(["pos", *values])
         sums = np.array([w @ pdf[values].to_numpy(dtype=float) for w in draws(len(pdf), resamples, seed)])
         return _sums_frame({c: pdf[c].iloc[0] for c in slices}, sums, values)
 
