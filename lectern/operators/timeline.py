@@ -130,10 +130,12 @@ def _folded(at: np.ndarray, last: float, longest: float, shortest: float) -> tup
 def greedy_cut_rows(candidates: DataFrame, durations: DataFrame, key: str, longest: float = MAX_SEGMENT, shortest: float = MIN_SEGMENT, block: int = CUT_BLOCK) -> DataFrame:
     """(key, i, cut): the cuts of `greedy_cuts` as rows, of recordings of any length. candidates: (key, at).
 
-    If no recording has more candidates than a block, each is one array. Otherwise candidates get places and lie in blocks of so many, one row each. All blocks are folded at once, each from a guess of
-    the cut that it starts with: its first candidate. Then each learns the cut that the block before it ended with, and
-    those whose start was another one are folded again, until none is. Cuts soon fall on the same candidates whatever
-    the start, so two or three rounds do; in the worst case there are as many as blocks in a recording.
+    If no recording has more candidates than a block, each is one array. Otherwise candidates get places and lie in blocks
+    of so many, one row each. All blocks are folded at once, each from a guess of the cut that it starts with: its first
+    candidate. Then those whose start was another one are folded again from the cut that the block before them ended with,
+    until each started where its predecessor ended. Cuts soon fall on the same candidates whatever the start, so a round or
+    two do; where candidates are so dense that they don't, every round walks over four times as many blocks in a row as the
+    one before, block by block in one task's stream, so that there are as many rounds as the logarithm of the blocks.
     """
     candidates = candidates.select(key, F.col("at").cast("double").alias("_t")).where("_t is not null")
     if not any_larger(candidates, [key], block):
@@ -148,21 +150,34 @@ def greedy_cut_rows(candidates: DataFrame, durations: DataFrame, key: str, longe
 
     packed = stored(rows.groupBy(key, "_block").applyInPandas(pack, f"`{key}` {kind}, _block long, _at binary, _first double"), "candidates")
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks in order: the first of a group starts with _now, each other one where its predecessor ended."""
+        group, last = None, 0.0
         for pdf in frames:
-            found = [_folded(np.frombuffer(at, dtype="<f8"), enters, longest, shortest) for at, enters in zip(pdf["_at"], pdf["_enters"], strict=True)]
-            yield pd.DataFrame({key: pdf[key], "_block": pdf["_block"], "_at": pdf["_at"], "_enters": pdf["_enters"], "_cuts": [f[0] for f in found], "_exit": [f[1] for f in found]})
+            enters, cuts, exits = [], [], []
+            for row in pdf.itertuples(index=False):
+                own = (row[0], row[2])
+                start, group = (last if own == group else row[4]), own
+                if row[6] is not None and row[5] == start:  # as before
+                    found, last = row[6], row[7]
+                else:
+                    found, last = _folded(np.frombuffer(row[3], dtype="<f8"), start, longest, shortest)
+                enters.append(start)
+                cuts.append(found)
+                exits.append(last)
+            yield pd.DataFrame({key: pdf.iloc[:, 0], "_block": pdf["_block"], "_at": pdf["_at"], "_enters": enters, "_cuts": cuts, "_exit": exits})
 
     layout = f"`{key}` {kind}, _block long, _at binary, _enters double, _cuts array<double>, _exit double"
     before = Window.partitionBy(key).orderBy("_block")
-    state = stored(packed.withColumn("_enters", F.when(F.col("_block") == 0, 0.0).otherwise(F.col("_first"))).drop("_first").mapInPandas(fold, layout), "cuts")
+    known = packed.select(key, "_block", "_at", F.when(F.col("_block") == 0, 0.0).otherwise(F.col("_first")).alias("_now"), F.lit(None).cast("double").alias("_enters"), F.lit(None).cast("array<double>").alias("_cuts"), F.lit(None).cast("double").alias("_exit"))
+    span = 1
     while True:
+        grouped = known.withColumn("_group", F.floor(F.col("_block") / span)).select(key, "_block", "_group", "_at", "_now", "_enters", "_cuts", "_exit")
+        state = stored(grouped.repartition(key, "_group").sortWithinPartitions(key, "_block").mapInPandas(walk, layout), "cuts")
         known = state.withColumn("_now", F.coalesce(F.lag("_exit").over(before), F.lit(0.0)))
-        wrong = F.col("_now") != F.col("_enters")
-        if not known.where(wrong).limit(1).count():
+        if not known.where("_now <> _enters").limit(1).count():
             break
-        again = known.where(wrong).select(key, "_block", "_at", F.col("_now").alias("_enters")).mapInPandas(fold, layout)
-        state = stored(known.where(~wrong).drop("_now").union(again), "cuts")
+        span *= 4
     ended = state.groupBy(key).agg(F.max_by("_exit", "_block").alias("_last"), F.sum(F.size("_cuts")).alias("_n"))
     inner = state.withColumn("_before", F.coalesce(F.sum(F.size("_cuts")).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inner = inner.select(key, "_before", F.posexplode("_cuts").alias("_i", "cut")).select(key, (F.col("_before") + F.col("_i")).alias("i"), "cut")

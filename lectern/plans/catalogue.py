@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as tx
 from lectern.operators import checks, corpus, gate, scoring, stats, timeline
 from lectern.plans import oracle_text as ot
-from lectern.sources.layout import spread
+from lectern.sources.layout import spread, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -478,18 +478,18 @@ _ROUNDED = ("cer", "ci_lo", "ci_hi", "baseline_cer", "baseline_ci_lo", "baseline
 
 def _gate_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = segments(spark, sf_dir)
-    return scoring.counted(rows), scoring.counted(rows.withColumn("hyp", F.col("base")))
+    side = lambda hyp: stored(scoring.counted(rows.select("source", "ord", "ref", F.col(hyp).alias("hyp"))), "side")
+    return side("hyp"), side("base")
 
 
-def _gated(spark, sf_dir) -> DataFrame:
+def _gated(candidate: DataFrame, base: DataFrame) -> DataFrame:
     """The gate of each source, a slice of hundreds of segments or more: candidate and baseline are two tables that meet by position."""
-    candidate, base = _gate_sides(spark, sf_dir)
     return gate.slice_gate(candidate, base, "source", 10, 0.2, scoring.retained_tokens(candidate, ["source", "ord"]), scoring.retained_tokens(base, ["source", "ord"]), resamples=_RESAMPLES)
 
 
 @query(_GATED + f" select source, n_segments, {', '.join(f'round({c}, 6) as {c}' for c in _ROUNDED)}, pass, retention_pass, verdict from gated")
 def paired_slice_gate(spark, sf_dir):
-    return _gated(spark, sf_dir).select("source", "n_segments", *[r6(c).alias(c) for c in _ROUNDED], "pass", "retention_pass", "verdict")
+    return _gated(*_gate_sides(spark, sf_dir)).select("source", "n_segments", *[r6(c).alias(c) for c in _ROUNDED], "pass", "retention_pass", "verdict")
 
 
 _REAL = """chunks as (select conv_id, turn, coalesce(text, '') as ref, case when turn = 0 then 'zz' || coalesce(text, '') else coalesce(text, '') end as hyp from conversations),
@@ -508,7 +508,7 @@ def run_gate(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     text = F.coalesce("text", F.lit(""))
     real = turns.select(F.col("conv_id").cast("string").alias("meeting_id"), F.format_string("seg_0000_%d", "turn").alias("segment_id"), F.col("turn").cast("long").alias("ord"), text.alias("ref"), F.when(F.col("turn") == 0, F.concat(F.lit("zz"), text)).otherwise(text).alias("hyp"))
-    out = gate.run_gate(test, ood, real, {"cer_test": 0.01, "cer_ood": 0.005, "cer_real": 0.02}, 10, 0.02, 0.03, _gated(spark, sf_dir))
+    out = gate.run_gate(test, ood, real, {"cer_test": 0.01, "cer_ood": 0.005, "cer_real": 0.02}, 10, 0.02, 0.03, _gated(test, ood))
     return out.withColumns({"cer": r6("cer"), "bound": r6("bound")})
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern import streaming
@@ -151,27 +151,38 @@ def number_words(spark, sf_dir):
     return _spoken(spark, sf_dir).select("doc_id", out.alias("w")).select("doc_id", F.md5(F.col("w.text").cast("binary")).alias("text_md5"), "w.n_conversions")
 
 
-def _said(n: Column) -> Column:
-    """A number from 1 to 999,999,999 as it is spoken: hundreds, tens and units under their scales, `linh` for an empty ten."""
-    digit = lambda d: F.get(F.array(*[F.lit(w) for w in ("không", "một", "hai", "ba", "bốn", "năm", "sáu", "bảy", "tám", "chín")]), d.cast("int"))
+_SPOKEN_DIGITS = ("không", "một", "hai", "ba", "bốn", "năm", "sáu", "bảy", "tám", "chín")
 
-    def group(x: Column) -> Column:
-        h, t, u = F.floor(x / 100), F.floor(x / 10) % 10, x % 10
-        tens = F.when(t >= 2, F.concat(digit(t), F.lit(" mươi"))).when(t == 1, "mười").when((h > 0) & (u > 0), F.when(x % 2 == 0, "linh").otherwise("lẻ"))
-        units = F.when((u == 5) & (t > 0), "lăm").when((u == 4) & (t >= 2), "tư").when(u > 0, digit(u))
-        return F.concat_ws(" ", F.when(h > 0, F.concat(digit(h), F.lit(" trăm"))), tens, units)
 
-    parts = ((F.floor(n / 1_000_000), "triệu"), (F.floor(n / 1000) % 1000, "nghìn"), (n % 1000, None))
-    return F.concat_ws(" ", *[F.when(x > 0, F.concat_ws(" ", group(x), F.lit(scale))) for x, scale in parts])
+def _spoken_groups(spark) -> DataFrame:
+    """(x, words) of the numbers below a thousand as they are spoken: hundreds, tens and units, `linh` or `lẻ` for an empty ten."""
+    digit = lambda d: F.get(F.array(*map(F.lit, _SPOKEN_DIGITS)), d.cast("int"))
+    x = F.col("x")
+    h, t, u = F.floor(x / 100), F.floor(x / 10) % 10, x % 10
+    tens = F.when(t >= 2, F.concat(digit(t), F.lit(" mươi"))).when(t == 1, "mười").when((h > 0) & (u > 0), F.when(x % 2 == 0, "linh").otherwise("lẻ"))
+    units = F.when((u == 5) & (t > 0), "lăm").when((u == 4) & (t >= 2), "tư").when(u > 0, digit(u))
+    return spark.range(1000).select(F.col("id").alias("x")).select("x", F.concat_ws(" ", F.when(h > 0, F.concat(digit(h), F.lit(" trăm"))), tens, units).alias("words"))
+
+
+def _with_spoken(frame: DataFrame, n: str, name: str) -> DataFrame:
+    """frame with the number n below 10^9 in words, its groups of three digits looked up in a table of a thousand rows."""
+    parts = []
+    for power, scale in ((1_000_000, " triệu"), (1000, " nghìn"), (1, "")):
+        own = f"_{name}{power}"
+        table_of = F.broadcast(_spoken_groups(frame.sparkSession).select(F.col("x").alias(f"{own}x"), F.col("words").alias(own)))
+        frame = frame.join(table_of, F.floor(F.col(n) / power) % 1000 == F.col(f"{own}x")).drop(f"{own}x")
+        parts.append(F.when(F.col(own) != "", F.concat(own, F.lit(scale))))
+    return frame.withColumn(name, F.concat_ws(" ", *parts))
 
 
 @query("""with o as (select o_orderkey, o_orderkey * 7919 % 300000007 + 1 as n, o_orderkey % 1013 + 1 as m from orders)
 select o_orderkey, 'giá ' || n || ' đồng mã ' || case when o_orderkey = 0 then 'không' else o_orderkey::varchar end || ' hay ' || m as text, 2 + (o_orderkey > 0)::bigint as conversions, 1::bigint as fillers_removed from o""")
 def number_phrases(spark, sf_dir):
     """Values with multipliers, scales and fillers, and codes that are read digit by digit, one phrase for each order; a lone zero stays a word."""
-    o = table(spark, sf_dir, "orders")
-    code = F.array_join(F.transform(F.split(F.col("o_orderkey").cast("string"), ""), lambda d: F.get(F.array(*[F.lit(w) for w in ("không", "một", "hai", "ba", "bốn", "năm", "sáu", "bẩy", "tám", "chín")]), d.cast("int"))), " ")
-    text = F.concat(F.lit("Giá: "), _said(F.col("o_orderkey") * 7919 % 300000007 + 1), F.lit(" đồng; ừm, mã "), code, F.lit(" hay "), _said(F.col("o_orderkey") % 1013 + 1))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % 300000007 + 1).alias("n"), (F.col("o_orderkey") % 1013 + 1).alias("m"))
+    o = _with_spoken(_with_spoken(o, "n", "value"), "m", "other")
+    code = F.array_join(F.transform(F.split(F.col("o_orderkey").cast("string"), ""), lambda d: F.get(F.array(*map(F.lit, _SPOKEN_DIGITS)), d.cast("int"))), " ")
+    text = F.concat(F.lit("Giá: "), "value", F.lit(" đồng; ừm, mã "), code, F.lit(" hay "), "other")
     done = o.select("o_orderkey", tx.Normalizer(filler_tokens=("ừm",)).audited(text).alias("d"))
     return done.select("o_orderkey", "d.text", "d.conversions", "d.fillers_removed")
 
