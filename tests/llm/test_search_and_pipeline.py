@@ -121,5 +121,5 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert set(__spark_entry__.oracle_sql()) <= set(names)
