@@ -10,8 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import scoring, stats
+from lectern.operators import distances, scoring, stats
 from lectern.operators.checks import IntegrityError
+from lectern.operators.places import same
 
 TOLERANCE = 1e-9
 
@@ -50,11 +51,14 @@ def rescore_real(candidate: DataFrame, base: DataFrame, bound: float) -> DataFra
     return out.select("n_segments", "cer", "lo", "hi", F.lit(bound).alias("bound"), (F.col("cer") <= bound).alias("pass"), "delta_lo", "delta_hi", F.coalesce(stats.verdict(F.col("delta_lo"), F.col("delta_hi")), F.lit("SKIPPED")).alias("verdict"))
 
 
-def consensus_cer(a: DataFrame, b: DataFrame, normalizer) -> DataFrame:
-    """One row: the rate between two whole transcripts, (ord, text) each, joined in order and normalised."""
-    whole = lambda f, name: f.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda w: w["text"]), " ").alias(name))
-    both = whole(a, "ref").crossJoin(whole(b, "hyp")).select(normalizer(F.col("ref")).alias("ref"), normalizer(F.col("hyp")).alias("hyp"))
-    return scoring.score_by(scoring.counted(both, words=False), words=False).select("cer")
+def consensus_cer(a: DataFrame, b: DataFrame, normalizer, *keys: str, tile_side: int = distances.TILE) -> DataFrame:
+    """(keys, cer): the rate between two whole transcripts, (keys, ord, text) each, joined in order and normalised; without
+    keys one row. Transcripts that one side lacks have no row, an empty reference no rate. Long ones are compared in tiles."""
+    whole = lambda f, name: f.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda w: w["text"]), " ").alias(name))
+    left, right = whole(a, "ref").alias("l"), whole(b, "hyp").alias("r")  # one row each without keys
+    both = left.join(right, same(keys)).select(*[F.col(f"l.`{k}`") for k in keys], normalizer(F.col("ref")).alias("ref"), normalizer(F.col("hyp")).alias("hyp"))
+    counts = distances.edits(both, tile_side=tile_side)
+    return counts.select(*keys, (F.col("char_edits") / F.nullif(F.length("ref"), F.lit(0))).alias("cer"))
 
 
 def markdown_table(rows: Iterable[dict], columns: list[str]) -> str:

@@ -264,6 +264,16 @@ def consensus_cer(spark, sf_dir):
     return out.select(r6("cer").alias("cer"))
 
 
+@query("""with t as (select doc_id, trim(regexp_replace(lower(nfc_normalize(text)), '\\s+', ' ', 'g'), ' ') as ref, trim(regexp_replace(replace(lower(nfc_normalize(text)), 't', ''), '\\s+', ' ', 'g'), ' ') as hyp from documents where text is not null)
+select doc_id, round((length(ref) - length(hyp)) / nullif(length(ref), 0), 6) as cer from t""")
+def whole_transcripts(spark, sf_dir):
+    """Each document's lines as a transcript, against one without a letter: as that is a subsequence, the distance is the difference of lengths."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    other = lines.withColumn("text", F.replace(F.lower("text"), F.lit("t"), F.lit("")))
+    out = reports.consensus_cer(lines, other, tx.Normalizer(strip_punctuation=False, number_convention="as_written"), "doc_id", tile_side=1 << 15)
+    return out.select("doc_id", r6("cer").alias("cer"))
+
+
 @query("""select s_suppkey as segment_id, '<section id="' || s_suppkey || '"><h3>' || s_suppkey || '</h3><textarea>' || '&lt;' || s_name || '&gt; &amp; &quot;x&quot;' || '</textarea></section>' as html from supplier""")
 def worksheet(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("segment_id"), F.concat(F.lit("<"), "s_name", F.lit('> & "x"')).alias("text"))

@@ -21,7 +21,7 @@ def db():
 
 
 #: Operators without a built-in form: composition, number words, resampling and stateful streams.
-PYTHON = {"bootstrap_ci", "bootstrap_delta", "bootstrap_exact", "slice_gate", "rescore_real", "number_words", "number_phrases", "normalizer", "normalizer_audit", "normalize_text", "convention_check", "consensus_cer", "compose"}
+PYTHON = {"bootstrap_ci", "bootstrap_delta", "bootstrap_exact", "slice_gate", "rescore_real", "number_words", "number_phrases", "normalizer", "normalizer_audit", "normalize_text", "convention_check", "consensus_cer", "whole_transcripts", "compose"}
 #: Slices in groups or blocks, records over split borders, cuts in blocks.
 PYTHON |= {"bootstrap_large_slices", "paired_slice_gate", "run_gate", "rescored_run", "cuts_of_one_recording", "predictions_roundtrip", "predictions_rejoined", "predictions_last", "gate_outputs"}
 
