@@ -113,12 +113,13 @@ def paired(base: DataFrame, candidate: DataFrame, *slices: str, by: str | None =
         odd = met.where("n_base <> 1 or n_candidate <> 1").select(*(slices or [F.lit(1).alias("_all")])).distinct()
         met = met.drop("n_base", "n_candidate")
         return met.join(odd, list(slices), "left_anti") if slices else met.withColumn("_all", F.lit(1)).join(odd, "_all", "left_anti").drop("_all")
+    tied = ["ord", "char_edits", "char_ref_len"]  # rows of one place in the order of their counts, as in the bootstrap
     if any_larger(base, slices, WHOLE) or any_larger(candidate, slices, WHOLE):
-        far = lambda frame, name: in_order(frame.select(*slices, "ord", counts.alias(name)), slices, ["ord"], "pos", f"n_{name}").drop("ord")
+        far = lambda frame, name: in_order(frame.select(*slices, *tied, counts.alias(name)), slices, tied, "pos", f"n_{name}").drop(*tied)
         left, right = far(base, "base").alias("l"), far(candidate, "candidate").alias("r")
         met = left.join(right, same([*slices, "pos"])).where("n_base = n_candidate")
         return met.select(*[F.col(f"l.`{c}`") for c in (*slices, "pos")], "base", "candidate")
-    place = Window.partitionBy(*slices).orderBy("ord")
+    place = Window.partitionBy(*slices).orderBy(*tied)
     all_of = Window.partitionBy(*slices)
     side = lambda frame, name: frame.select(*slices, (F.row_number().over(place) - 1).alias("pos"), F.count("*").over(all_of).alias(f"n_{name}"), counts.alias(name))
     return side(base, "base").join(side(candidate, "candidate"), [*slices, "pos"]).where("n_base = n_candidate").drop("n_base", "n_candidate")

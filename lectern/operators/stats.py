@@ -205,6 +205,18 @@ def bootstrap_delta_ci(pairs: DataFrame, *slices: str, resamples: int = RESAMPLE
     return _interval(sums.withColumn("value", value), keys, alpha).withColumn("method", F.lit(method))
 
 
+def bootstrap_both(pairs: DataFrame, *slices: str, resamples: int = RESAMPLES, seed: int = SEED, alpha: float = ALPHA, method: str = "exact") -> DataFrame:
+    """(slices, ci_lo, ci_hi, baseline_ci_lo, baseline_ci_hi, delta_lo, delta_hi): the candidate's and the base's own
+    intervals and the paired one, all from one round of draws, which both sides see alike."""
+    keys = list(slices)
+    flat = pairs.select(*keys, F.col("pos").cast("long").alias("pos"), *[F.col(f"{side}.{c}").alias(f"{side[0]}{c[5]}") for side in ("base", "candidate") for c in ("char_edits", "char_ref_len")])
+    sums = _resampled(flat, keys, ["be", "br", "ce", "cr"], resamples, seed, method)
+    own = lambda side: F.when(F.col(f"{side}r") > 0, F.col(f"{side}e") / F.col(f"{side}r"))
+    values = {"ci": own("c"), "baseline_ci": own("b"), "delta": own("b") - own("c")}
+    lists = sums.groupBy(*keys).agg(*[F.sort_array(F.collect_list(v)).alias(name) for name, v in values.items()])  # nulls are left out
+    return lists.select(*keys, *[bound.alias(f"{name}_{end}") for name in values for end, bound in zip(("lo", "hi"), _bounds(F.col(name), F.size(name), alpha), strict=True)])
+
+
 def verdict(lo: Column, hi: Column) -> Column:
     """An interval that touches zero decides nothing."""
     return F.when(lo > 0, "IMPROVED").when(hi < 0, "REGRESSED").when(lo.isNotNull() & hi.isNotNull(), "INCONCLUSIVE")
