@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern import streaming
 from lectern.functions import text as tx
 from lectern.functions.numbers_vi import words_to_digits
-from lectern.operators import captions, checks, corpus, gate, provider, ranks, reports, scoring, stats, timeline
+from lectern.operators import captions, checks, commits, corpus, gate, provider, ranks, reports, scoring, stats, timeline
 from lectern.plans import oracle_text as ot
 from lectern.plans.catalogue import _EVENTS, _LOAN, _RETAINED, _TOKENS, SEGMENTS, _durations, _retained, edit_ctes, query, r6, segments, table, timeline_of_events
 from lectern.sources import writers
@@ -306,6 +306,21 @@ def too_long(spark, sf_dir):
     return checks.too_long(table(spark, sf_dir, "documents").withColumn("duration", F.col("n_chars") / 100)).select("doc_id")
 
 
+@query("""with d as (select *, md5(text) as digest, n_chars / 100.0 as seconds from documents),
+k as (select 'text of several sources' as rule, digest as key, source as value from d union all select 'source of several languages', source, lang from d union all select 'id of several texts', doc_id::varchar, digest from d),
+b as (select rule, key from k group by rule, key having count(distinct value) > 1)
+select 'rows' as rule, count(*) as n, null as example from d
+union all select 'too long', count(*) filter (seconds > 30), min(doc_id::varchar) filter (seconds > 30) from d
+union all select 'wrong length', count(*) filter (n_chars <> length(text)), min(doc_id::varchar) filter (n_chars <> length(text)) from d
+union all select r.rule, count(b.rule), min(b.key) from (values ('text of several sources'), ('source of several languages'), ('id of several texts')) r(rule) left join b on r.rule = b.rule group by r.rule""")
+def checked_corpus(spark, sf_dir):
+    """Rules about rows counted while the corpus is written, rules about keys over what was written."""
+    docs = table(spark, sf_dir, "documents").withColumns({"digest": F.md5(F.col("text").cast("binary")), "seconds": F.col("n_chars") / 100})
+    rows = {"too long": F.col("seconds") > checks.MAX_SECONDS, "wrong length": F.col("n_chars") != F.length("text")}
+    keys = {"text of several sources": ("digest", "source"), "source of several languages": ("source", "lang"), "id of several texts": ("doc_id", "digest")}
+    return commits.draft(docs, fresh_folder(spark, "checked"), "doc_id", rows, keys)
+
+
 @query("select c_nationkey as key from customer intersect select s_nationkey from supplier")
 def shared_keys(spark, sf_dir):
     key = lambda name, c: table(spark, sf_dir, name).select(F.col(c).alias("key"))
