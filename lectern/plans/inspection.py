@@ -10,8 +10,8 @@ from lectern.functions import text as tx
 from lectern.functions.numbers_vi import words_to_digits
 from lectern.operators import captions, checks, commits, corpus, gate, provider, ranks, reports, scoring, stats, timeline
 from lectern.plans import oracle_text as ot
-from lectern.plans.catalogue import _EVENTS, _LOAN, _RETAINED, _TOKENS, SEGMENTS, _durations, _retained, edit_ctes, query, r6, segments, table, timeline_of_events
-from lectern.sources import writers
+from lectern.plans.catalogue import _EVENTS, _LOAN, _RETAINED, _TOKENS, ORACLES, SEGMENTS, _durations, _retained, edit_ctes, query, r6, segments, table, timeline_of_events
+from lectern.sources import sql, writers
 from lectern.sources.layout import fresh_folder
 
 # --- statistics over slices of a few segments: nations by region, each a segment
@@ -412,6 +412,15 @@ def greedy_splits(spark, sf_dir):
     return cuts.select("user_id", "i", F.round(F.col("cut") * 2e6).cast("long").alias("cut_half_us"))
 
 
+@query(ORACLES["greedy_splits"])
+def cuts_by_sql(spark, sf_dir):
+    """The same cuts by a table function over each recording's ordered words."""
+    sql.register(spark)
+    timeline_of_events(spark, sf_dir).createOrReplaceTempView("words_to_cut")
+    cuts = spark.sql("select * from greedy_cuts(3600.0D, 108000.0D, 54000.0D, 60.0D, table(select user_id, cast(start as double) as start from words_to_cut) partition by user_id order by start)")
+    return cuts.select(F.col("key").cast("long").alias("user_id"), F.col("i").cast("long").alias("i"), F.round(F.col("cut") * 2e6).cast("long").alias("cut_half_us"))
+
+
 _ALL_EVENTS = "with e as (select event_id, value, (epoch_us(ts) - min(epoch_us(ts)) over ()) / 1e6 as start from events)"
 
 

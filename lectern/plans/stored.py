@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import checks, corpus, reports, scoring, stats, timeline
 from lectern.plans.catalogue import query, r6, table
-from lectern.sources import readers, schemas, writers
+from lectern.sources import readers, schemas, sql, writers
 from lectern.sources.layout import fresh_folder
 
 _RECORD = """r as (select doc_id, lang, source, text, n_chars, case when doc_id % 7 = 0 then 'test' when lang = 'fr' then 'val' else 'train' end as split from documents)"""
@@ -32,6 +32,16 @@ def manifests_in_order(spark, sf_dir):
     return back.select("segment_id", "meeting_id", "split", F.md5(F.col("text").cast("binary")).alias("text_md5"), place.alias("place"))
 
 
+@query(f"with {_RECORD} select doc_id::varchar as segment_id, lang as meeting_id, md5(text) as text_md5, row_number() over (partition by lang order by doc_id) as place from r where split = 'train'")
+def manifests_by_sql(spark, sf_dir):
+    """A folder's records by SQL alone, the split tested inside the source."""
+    folder, name = fresh_folder(spark, "manifests"), "manifests_by_sql"
+    writers.write_manifest(records(spark, sf_dir), folder)
+    sql.register(spark)
+    spark.read.format("manifests").option("pattern", "part-*.json").load(folder).createOrReplaceTempView(name)
+    return spark.sql(f"select segment_id, meeting_id, md5(cast(text as binary)) as text_md5, row_number() over (partition by meeting_id order by ord) as place from {name} where split = 'train'")
+
+
 @query(f"with {_RECORD} select lang as meeting_id, count(*) as segments, sum(n_chars)::double as duration, count(distinct split) as splits from r group by lang")
 def manifests_by_meeting(spark, sf_dir):
     path = fresh_folder(spark, "by-meeting")

@@ -24,6 +24,8 @@ def db():
 PYTHON = {"bootstrap_ci", "bootstrap_delta", "bootstrap_exact", "slice_gate", "rescore_real", "number_words", "number_phrases", "normalizer", "normalizer_audit", "normalize_text", "convention_check", "consensus_cer", "whole_transcripts", "compose"}
 #: Slices in groups or blocks, records over split borders, cuts in blocks.
 PYTHON |= {"bootstrap_large_slices", "paired_slice_gate", "run_gate", "rescored_run", "cuts_of_one_recording", "predictions_roundtrip", "predictions_rejoined", "predictions_last", "gate_outputs"}
+#: A data source and a table function in Python.
+PYTHON |= {"manifests_by_sql", "cuts_by_sql"}
 
 
 def plain(value):
