@@ -245,3 +245,17 @@ def test_pairs_of_long_slices_meet_by_place(spark, monkeypatch):
     got = scoring.paired(frame, other, "source").collect()
     assert sorted(repr(r) for r in got if r.source is not None) == want and len(want) == 200
     assert sum(r.source is None for r in got) == 90
+
+
+def test_one_round_of_draws_gives_each_sides_own_intervals(spark):
+    """Tied places, a slice that the base lacks, and one with other segments."""
+    sizes = {"a": (7, 7), "b": (4, 0), "c": (5, 3)}
+    side = lambda i: spark.createDataFrame([(s, k // 2, (k * 3 + i) % 5, 10 + k, (k + i) % 3, 2) for s, n in sizes.items() for k in range(n[i])], "source string, ord long, char_edits long, char_ref_len long, word_edits long, word_ref_len long")
+    candidate, base = side(0), side(1)
+    got = {r.source: r for r in gate.slice_gate(candidate, base, "source", 10, resamples=50).collect()}
+    for frame, name in ((candidate, "ci"), (base, "baseline_ci")):
+        own = {r.source: (r.lo, r.hi) for r in stats.bootstrap_ci(frame, "source", resamples=50).collect()}
+        assert {s: (r[f"{name}_lo"], r[f"{name}_hi"]) for s, r in got.items()} == {s: own.get(s, (None, None)) for s in sizes}
+    deltas = {r.source: (r.lo, r.hi) for r in stats.bootstrap_delta_ci(scoring.paired(base, candidate, "source"), "source", resamples=50).collect()}
+    assert {s: (r.delta_lo, r.delta_hi) for s, r in got.items() if r.verdict != "SKIPPED"} == deltas
+    assert {s for s, r in got.items() if r.verdict == "SKIPPED"} == {"b", "c"}
