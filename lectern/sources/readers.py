@@ -196,8 +196,8 @@ def first_route(*routes: Callable[[], DataFrame]) -> DataFrame:
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of recordings to take, one for each."""
-    return in_file_order(spark.read.schema(schemas.SOURCE).json(path))
+    """JSON lines of recordings to take, one for each; ord is the place, 0, 1, 2... over all files and splits."""
+    return in_place_order(spark.read.schema(schemas.SOURCE).json(path), "ord")
 
 
 def read_layouts(spark: SparkSession, layouts: dict[str, str], schema: str = schemas.SEGMENT) -> dict[str, DataFrame]:

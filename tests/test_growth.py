@@ -41,3 +41,11 @@ SUPPLIERS = "select i as s_suppkey, 'name ' || i as s_name, i / 4 as s_acctbal f
 def test_deliveries_with_keys_of_five_digits(spark, tmp_path, name):
     matches(spark, name, tables(tmp_path, supplier=SUPPLIERS.format(10020), orders="select i as o_orderkey, i % 40 as o_custkey from range(100) t(i)"))
 
+
+def test_places_of_sources_over_several_splits(spark, tmp_path):
+    folder = tables(tmp_path, supplier=SUPPLIERS.format(3000))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert len(matches(spark, "sources_roundtrip", folder)) == 3000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
