@@ -5,7 +5,10 @@ from decimal import Decimal
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from lectern.operators import corpus, scoring
 
 
 def tables(tmp_path, **queries):
@@ -49,3 +52,18 @@ def test_places_of_sources_over_several_splits(spark, tmp_path):
         assert len(matches(spark, "sources_roundtrip", folder)) == 3000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_tokens_are_judged_above_the_aggregate(spark):
+    """The loanword test runs once for each distinct token, and a row of it for each segment is not handed on."""
+    rows = spark.createDataFrame([("a", i, "zeta zeta alpha beta", "zeta alpha beta alpha") for i in range(50)], "source string, ord long, ref string, hyp string").coalesce(1)
+    sums = scoring.retained_sums(rows, ["source"])
+    assert sorted(map(tuple, sums.collect())) == [("a", "alpha", 50, 50), ("a", "beta", 50, 50), ("a", "zeta", 100, 50)]
+    whole = scoring.retained_tokens(rows, ["source", "ord"])
+    lost = scoring.retained_tokens(rows, ["source", "ord"], lost=True)
+    assert whole.count() == 150 and {tuple(r)[2:] for r in lost.collect()} == {("zeta", 2, 1, 0)}
+    docs = rows.select("source", "ord", F.col("ref").alias("text"))
+    for frame in (scoring.retention_by(sums, "source"), scoring.missing_tokens(lost), corpus.token_vocabulary(docs, "text", "source", 1), corpus.top_vocabulary(docs, "text", "source", least=1), corpus.top_tokens(docs, "text", 3)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        judged = next(i for i, line in enumerate(plan.splitlines()) if scoring.tx.SYLLABLE[:20] in line and "Filter" in line)
+        assert judged < next(i for i, line in enumerate(plan.splitlines()) if "Aggregate [" in line and "token" in line.split("]")[0])
