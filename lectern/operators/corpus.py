@@ -166,7 +166,7 @@ def token_vocabulary(frame: DataFrame, text: str, meeting: str, least: int = 3,
     """(token, n, meetings) of tokens that occur in at least `least` meetings. Each distinct token is judged once."""
     words = frame.select(F.col(meeting).alias("m"), F.explode(tx.tokens(F.col(text))).alias("token"))
     per = words.groupBy("token", "m").agg(F.count("*").alias("n"))
-    return per.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("meetings")).where((F.col("meetings") >= least) & keep(F.col("token")))
+    return per.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("meetings")).where(tx.once(F.col("n"), (F.col("meetings") >= least) & keep(F.col("token"))))
 
 
 def top_vocabulary(frame: DataFrame, text: str, meeting: str, top: int = 25, least: int = 3, order: str = "ord", keep=tx.is_loanword) -> DataFrame:
@@ -174,7 +174,7 @@ def top_vocabulary(frame: DataFrame, text: str, meeting: str, top: int = 25, lea
     one met first. Each distinct token is judged once; the top is taken in every task before it is taken of all."""
     words = frame.select(F.col(meeting).alias("m"), F.col(order).alias("_o"), F.posexplode(tx.tokens(F.col(text))).alias("_p", "token"))
     per = words.groupBy("token", "m").agg(F.count("*").alias("n"), F.min(F.struct("_o", "_p")).alias("_first"))
-    found = per.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("meetings"), F.min("_first").alias("_first")).where((F.col("meetings") >= least) & keep(F.col("token")))
+    found = per.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("meetings"), F.min("_first").alias("_first")).where(tx.once(F.col("n"), (F.col("meetings") >= least) & keep(F.col("token"))))
     first = found.orderBy(F.desc("n"), "_first").limit(top)
     return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "_first"))).drop("_first")  # `top` rows
 
@@ -182,7 +182,7 @@ def top_vocabulary(frame: DataFrame, text: str, meeting: str, top: int = 25, lea
 def top_tokens(frame: DataFrame, text: str, top: int, *keys: str, order: str = "ord", form=lambda t: t, keep=tx.is_loanword) -> DataFrame:
     """(keys, token, n, rank): under each key the most frequent tokens, of equals the one met first."""
     words = frame.select(*keys, F.col(order).alias("_o"), F.posexplode(tx.tokens(F.col(text))).alias("_p", "token")).withColumn("token", form(F.col("token")))
-    counts = words.groupBy(*keys, "token").agg(F.count("*").alias("n"), F.min(F.struct("_o", "_p")).alias("_first")).where(keep(F.col("token")))
+    counts = words.groupBy(*keys, "token").agg(F.count("*").alias("n"), F.min(F.struct("_o", "_p")).alias("_first")).where(tx.once(F.col("n"), keep(F.col("token"))))
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "_first"))).where(F.col("rank") <= top).drop("_first")
 
 
