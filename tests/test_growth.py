@@ -3,11 +3,14 @@
 from decimal import Decimal
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lectern.functions import text
+from lectern.functions.numbers_vi import words_to_digits
 from lectern.operators import corpus, scoring
 
 
@@ -67,3 +70,14 @@ def test_tokens_are_judged_above_the_aggregate(spark):
         plan = frame._jdf.queryExecution().optimizedPlan().toString()
         judged = next(i for i, line in enumerate(plan.splitlines()) if scoring.tx.SYLLABLE[:20] in line and "Filter" in line)
         assert judged < next(i for i, line in enumerate(plan.splitlines()) if "Aggregate [" in line and "token" in line.split("]")[0])
+
+
+def test_few_texts_of_a_batch_are_python_strings(spark):
+    sizes = []
+    texts = pa.array(["một hai", None, "é"] * 100)
+    out = text.in_parts(texts, lambda part: sizes.append(len(part)) or pa.array(part, pa.string()))
+    assert out.equals(texts) and max(sizes) <= text.AT_ONCE < sum(sizes) == 300
+    assert text.in_parts(pa.array([], pa.string()), lambda part: pa.array(part, pa.string())).type == pa.string()
+    rows = spark.createDataFrame([(t,) for t in texts.to_pylist()[:3]], "t string").coalesce(1)
+    found = rows.select(text.nfc(F.col("t")).alias("n"), words_to_digits(F.col("t")).alias("d")).collect()
+    assert [(r.n, r.d.text, r.d.n_conversions) for r in found] == [("một hai", "12", 1), (None, None, None), ("é", "é", 0)]
