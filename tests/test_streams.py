@@ -108,3 +108,35 @@ def test_a_batch_reads_its_own_buckets_only(spark, tmp_path):
     streaming.append_new(again.union(spark.range(1000, 1400).select("id", F.lit("n").alias("sha")).where(bucket == 5)), str(path), "id", "sha", buckets=16)
     left = [p for p in path.glob("v*/bucket=5")]
     assert len(left) == 2 and spark.read.parquet(*map(str, left)).count() == again.count() + spark.range(1000, 1400).where(bucket == 5).count()
+
+
+def test_keys_share_states_and_long_recordings_are_runs(spark, tmp_path):
+    """However many keys there are, so many states; a recording's forced cuts are few rows until they are wanted."""
+    rows = [(f"k{i}" if i else None, float(t), 300_001.0 if t == 300 else None) for i in range(300) for t in (0, 20, 300)]
+    feed(spark, str(tmp_path / "in"), rows, "key string, at double, duration double")
+    feed(spark, str(tmp_path / "in"), [("", 1e9, None)], "key string, at double, duration double")
+    full = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = spark.readStream.schema(full).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("start", F.col("at"))
+    runs = streaming.greedy_cut_runs(stream, "key", 2.0, 30.0, 15.0, late="40 seconds")
+    query = runs.writeStream.format("memory").queryName("runs_of_cuts").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert 0 < max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= streaming.BUCKETS
+    found = spark.table("runs_of_cuts")
+    assert found.count() < 300 * 10
+    cuts = streaming.cuts_of_runs(found, 30.0).groupBy("key").agg(F.sort_array(F.collect_list("cut")).alias("cuts")).collect()
+    want = folded([0.0, 20.0, 300.0], 300_001.0)
+    assert {r.key for r in cuts} == {None, *(f"k{i}" for i in range(1, 300))} and all(r.cuts == want for r in cuts)
+
+
+def test_runs_of_cuts_are_the_same_numbers():
+    import numpy as np
+
+    for last, step in ((0.1, 0.1), (47.123, 30.0), (0.0, 1 / 3)):
+        sums = np.cumsum(np.concatenate([[last], np.full(500, step)]))[1:]
+        assert [first + i * step for first, n in streaming._stepped(sums, step) for i in range(n)] == sums.tolist()
+
+
+def test_values_that_are_missing_stop_nothing(spark, tmp_path):
+    rows = [("a", 0.0, None), ("a", 1.0, None), ("a", 2.0, 5.0), ("a", 3.0, None), ("a", 4.0, 6.0), ("a", 5.0, 7.0), ("b", 0.0, 1.0), ("b", 1.0, 0.5)]
+    got = through(spark, tmp_path, rows, "key string, at double, v double", lambda s: streaming.early_stops(s.withColumn("step", F.col("at").cast("long")), "key", "step", "v", 3, late="40 seconds"), 5, ("", 1e9, 0.0))
+    assert {r.key: r.stopped_at for r in got} == {"a": 5}
