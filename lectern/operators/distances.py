@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions import text as tx
 from lectern.sources.layout import fresh_folder, spread, stored
@@ -74,6 +76,23 @@ def tile(ref: str, hyp: str, left: bytes | None = None, above: bytes | None = No
     return b"".join(right), across.tobytes()
 
 
+def _subsequence(short: str, long: str) -> bool:
+    rest = iter(long)
+    return all(c in rest for c in short)
+
+
+@F.arrow_udf(T.LongType())
+def _dropped(refs: pa.Array, hyps: pa.Array) -> pa.Array:
+    """The distance of texts of which one is the other with characters left out, else null. No alignment takes fewer
+    edits than lengths differ, and only such texts take no more: one walk through both tells, without a table."""
+    out: list[int | None] = []
+    for low in range(0, len(refs), tx.AT_ONCE):
+        for ref, hyp in zip(*(t.slice(low, tx.AT_ONCE).to_pylist() for t in (refs, hyps)), strict=True):
+            short, long = sorted((ref or "", hyp or ""), key=len)
+            out.append(len(long) - len(short) if None not in (ref, hyp) and _subsequence(short, long) else None)
+    return pa.array(out, pa.int64())
+
+
 _FILLED = "_pair long, i int, j int, v binary, h binary, total long"
 _BORDERS = ["_pair", "i", "j", "v", "h", "total"]
 
@@ -95,19 +114,21 @@ def _fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def edits(rows: DataFrame, ref: str = "ref", hyp: str = "hyp", out: str = "char_edits", tile_side: int = TILE, short: int = SHORT) -> DataFrame:
     """rows with `out`, the edit distance over code points of two texts of any length; null beside a null text.
 
-    Equal pairs, and those of up to `short` cells, take the built-in function. Longer ones go through rounds, one for each
+    Equal pairs, and those of up to `short` cells, take the built-in function. Of longer ones those that differ by omissions
+    of one side only are told by a walk through both texts. The others go through rounds, one for each
     anti-diagonal of the longest pair's tiles; of all pairs, the tiles of a round are filled side by side, and a round's
     borders are stored, so that a lost executor costs its tiles only. Rows may repeat and have further columns.
     """
     spark = rows.sparkSession
-    paired = spread(stored(rows.withColumn("_pair", F.monotonically_increasing_id()), "pairs"))
     plain = F.coalesce((F.col(ref) == F.col(hyp)) | (F.length(ref).cast("long") * F.length(hyp) <= short), F.lit(True))
-    builtin = F.when(plain, tx.char_edits(F.col(ref), F.col(hyp)))
-    long_ones = paired.where(~plain)
+    walked = _dropped(*[F.when(~plain, F.col(side)) for side in (ref, hyp)])
+    paired = spread(stored(rows.withColumn("_pair", F.monotonically_increasing_id()).withColumn("_walked", walked), "pairs"))
+    builtin = F.when(plain, tx.char_edits(F.col(ref), F.col(hyp))).otherwise(F.col("_walked"))
+    long_ones = paired.where(~plain & F.col("_walked").isNull())
     tiles_of = lambda side: F.ceil(F.length(side) / tile_side).cast("int")
     height, width = long_ones.agg(F.max(tiles_of(ref)), F.max(tiles_of(hyp))).first()
     if height is None:
-        return paired.withColumn(out, builtin).drop("_pair")
+        return paired.withColumn(out, builtin).drop("_pair", "_walked")
 
     def parts(side: str, number: str, name: str) -> DataFrame:
         cut = long_ones.select("_pair", F.col(side).alias(name), F.explode(F.sequence(F.lit(0), tiles_of(side) - 1)).alias(number))
@@ -130,4 +151,4 @@ def edits(rows: DataFrame, ref: str = "ref", hyp: str = "hyp", out: str = "char_
     last = spark.read.schema(_FILLED).parquet(*[f"{folder}/turn={t}" for t in range(height + width - 1)]).select("_pair", "i", "total")
     added = long_ones.select("_pair", (tiles_of(ref) - 1).alias("i"), F.length(ref).cast("long").alias("_n")).join(last, ["_pair", "i"])
     found = added.groupBy("_pair").agg((F.first("_n") + F.sum("total")).alias("_long"))
-    return paired.join(found, "_pair", "left").withColumn(out, F.coalesce(builtin, "_long")).drop("_pair", "_long")
+    return paired.join(found, "_pair", "left").withColumn(out, F.coalesce(builtin, "_long")).drop("_pair", "_walked", "_long")

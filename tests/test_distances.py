@@ -66,3 +66,21 @@ def test_consensus_by_recording(spark):
     b = spark.createDataFrame([("m", 1, "a c"), ("n", 1, "x"), (None, 1, "ab")], "key string, ord int, text string")
     got = {r.key: r.cer for r in reports.consensus_cer(a, b, tx.Normalizer(), "key").collect()}
     assert got == {"m": 1 / 3, "n": None, None: 0.0}
+
+
+def test_texts_with_omissions_only_take_no_tile(spark, monkeypatch):
+    """One side without some of the other's characters is as far as their lengths, and told without a round."""
+
+    def no_round(*_):
+        raise AssertionError("a round")
+
+    rng = random.Random(8)
+    ref = "".join(rng.choice("abcđ😀 ") for _ in range(900))
+    hyp = "".join(c for c in ref if c != "b")
+    rows = spark.createDataFrame([(ref, hyp), (hyp, ref), (ref, ""), (None, ref)], "ref string, hyp string")
+    with monkeypatch.context() as m:
+        m.setattr(distances, "_fill", no_round)
+        m.setattr(distances, "fresh_folder", no_round)
+        assert [r.char_edits for r in distances.edits(rows, short=0).collect()] == [len(ref) - len(hyp), len(ref) - len(hyp), len(ref), None]
+    for a, b in texts(9, 40, 12, "ab"):
+        assert distances._subsequence(*sorted((a, b), key=len)) == (plain(a, b) == abs(len(a) - len(b)))
