@@ -110,3 +110,24 @@ def test_early_stop_of_one_long_run(spark):
     assert stats.early_stop(frame, "step", "v", 5000, block=1000).first().stopped_at == stops([-(i // 900) if i < 200_000 else 0 for i in range(n)], 5000)
     text = stats.early_stop(frame.withColumn("k", F.lit(1)), "step", "v", 5000, "k", block=1000)._jdf.queryExecution().executedPlan().toString()
     assert all("_block" in line for line in text.splitlines() if "Window" in line and "_v" in line)  # rows are windowed by block only
+
+
+def test_large_groups_are_never_shuffled_by_group(spark, monkeypatch):
+    """What is stored on the way to a percentile lies over as many tasks as the rows did, however few the groups."""
+    plans = []
+
+    def noted(frame, name):
+        plans.append((name, frame._jdf.queryExecution().executedPlan().toString()))
+        return stored(frame, name)
+
+    stored = ranks.stored
+    monkeypatch.setattr(ranks, "stored", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(4000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v"))
+        got = {r.g: r.level for r in ranks.percentiles(rows, ["g"], "v", 0.5, small=100).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {0: 1999.0, 1: 2000.0}
+    found = [plan for name, plan in plans if name == "sortable"]
+    assert found and "Exchange" not in found[0].replace("BroadcastExchange", "") and all("SortMergeJoin" not in plan for plan in found)
