@@ -131,3 +131,15 @@ def test_large_groups_are_never_shuffled_by_group(spark, monkeypatch):
     assert got == {0: 1999.0, 1: 2000.0}
     found = [plan for name, plan in plans if name == "sortable"]
     assert found and "Exchange" not in found[0].replace("BroadcastExchange", "") and all("SortMergeJoin" not in plan for plan in found)
+
+
+def test_poisson_weights_by_bounds_are_those_of_the_distribution():
+    """Weights by blocks and integer bounds are those of a search in the distribution, as floats that multiply as a matrix."""
+    pos = np.arange(10**9, 10**9 + 70)
+    x = pos.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, 301, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(42)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+    got = stats._poisson(pos, 300, 42)
+    assert got.dtype == float and (got == np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(n) for n in range(16)]), u)).all()
+    assert stats._poisson(pos[:0], 300, 42).shape == (0, 300)
