@@ -311,7 +311,8 @@ def minhash_dedup(docs: DataFrame, percent: int = 75, k: int = COORDINATES, leas
     full = signed.where("n_shingles > 0 and doc_id is not null")
     lowest = F.struct("doc_id", "sig")
     reps = scratch.materialize(full.groupBy("n_shingles", "h1", "h2").agg(F.min(lowest).alias("r")).select("n_shingles", "h1", "h2", "r.doc_id", "r.sig"), "classes")
-    labels = components(near_links(source.where("doc_id is not null"), reps, k, least, percent))
+    with scratch.last_kept(docs.sparkSession):  # the sets are larger than the texts
+        labels = components(near_links(source.where("doc_id is not null"), reps, k, least, percent))
     classes = reps.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("n_shingles", "h1", "h2", F.coalesce("component", "doc_id").alias("component_id"))
     result = full.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["n_shingles", "h1", "h2"]).groupBy(F.col("doc_id").alias("_lx_id")).agg(F.min(F.struct("component_id", "n_shingles")).alias("_lx"))
     plain = docs.select(*[quoted(c) for c in docs.columns if c not in names])

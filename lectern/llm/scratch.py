@@ -52,6 +52,16 @@ def release(spark: SparkSession, paths: Iterable[str]) -> None:
         _delete(spark, path)
 
 
+@contextmanager
+def last_kept(spark: SparkSession) -> Iterator[None]:
+    """Of the tables written inside the block only the last one stays, and belongs to the scope around: for steps that store their result."""
+    with scope() as used:
+        yield
+    release(spark, used[:-1])
+    if (outer := _scope.get()) is not None:
+        outer += used[-1:]
+
+
 def release_all(spark: SparkSession) -> None:
     """Delete whatever this application wrote here, for its end."""
     _delete(spark, app_dir(spark))

@@ -107,6 +107,22 @@ def test_scratch_tables_are_released(spark):
     assert not any(map(there, outer + inner))
 
 
+def test_near_duplicates_leave_only_what_their_result_reads(spark, tmp_path):
+    """Sets and posting lists are gone when the result is returned, and it reads what stayed."""
+    from lectern.llm import minhash_dedup, scratch
+
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text + " one"), (2, text + " two"), (3, "x " + text), (4, "short"), (None, text)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    there = lambda path: spark._jvm.java.io.File(path.removeprefix("file://")).exists()
+    kept = lambda paths: sorted(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in paths if there(p))
+    with scratch.scope() as used:
+        near = minhash_dedup.minhash_dedup(docs)
+    assert kept(used) == ["classes", "labels", "signed"]
+    assert {r.doc_id: r.component_id for r in near.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, None: None}
+
+
 def test_scratch_needs_a_shared_folder_on_a_cluster():
     from types import SimpleNamespace
 
