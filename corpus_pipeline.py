@@ -7,6 +7,9 @@ Defined results: null ids pass every stage, never as a duplicate of anything; nu
 texts fail the quality base; of rows that repeat id and text each is judged alike, so all of
 them stay or go; rows that repeat an id with other texts are documents of their own; texts
 of any length are read whole; columns whose names clash with results pass through.
+
+Texts go to Python in Arrow batches of about 4 MB. The results of drop_toxic and cut_repeats run where they are written,
+so these two leave that bound in the session, unless it has one.
 """
 
 from __future__ import annotations
@@ -15,11 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import minhash_dedup, packing, quality_rules, scratch, substring_dedup, toxicity
-from lectern.sources.layout import spread
+from lectern.sources.layout import bound_batches, spread
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity bound, by a machine fitted on the labels of this corpus."""
+    bound_batches(spark)
     machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, machine, name="_lx_score").where(f"_lx_score < {toxicity.TOXIC}").drop("_lx_score")
 
@@ -42,6 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; n_chars follows the text."""
+    bound_batches(spark)
     cut = substring_dedup.substring_dedup(docs, prefix="_lx_")
     return cut.selectExpr(*["cast(length(text) as long) as n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns])
 

@@ -9,7 +9,7 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.sources.layout import input_bytes, shared_dir
+from lectern.sources.layout import bounded_batches, input_bytes, shared_dir
 
 #: The innermost open scope's tables, oldest first; None outside any scope.
 _scope: ContextVar[list[str] | None] = ContextVar("lectern_scratch", default=None)
@@ -32,10 +32,12 @@ def app_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back, so that a lost executor costs a re-read only."""
+    """Write df as Parquet under the shared folder and read it back, so that a lost executor costs a re-read only.
+    Its Arrow batches are bounded in bytes."""
     spark = df.sparkSession
     path = f"{app_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with bounded_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     if (paths := _scope.get()) is not None:
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -123,6 +123,42 @@ def test_near_duplicates_leave_only_what_their_result_reads(spark, tmp_path):
     assert {r.doc_id: r.component_id for r in near.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, None: None}
 
 
+def _batch_bytes(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+
+def test_long_texts_go_to_python_in_bounded_batches(spark):
+    """Of 24 MB of texts in one split no batch has more than a text beyond the bound, in stored steps and in stages that run when written."""
+    from lectern.llm import scratch
+    from lectern.sources import layout
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    docs = spark.range(24, numPartitions=1).selectExpr("id as doc_id", "repeat(concat('ab', id, ' '), 200000) as text")
+    sizes = lambda: docs.mapInArrow(_batch_bytes, "n long, bytes long")
+    summed = lambda found: found.selectExpr("sum(n) as n", "max(bytes) as most").first()
+    try:
+        got = summed(scratch.materialize(sizes(), "sizes"))
+        assert got["n"] == 24 and got["most"] < layout.BATCH_BYTES + (2 << 20)
+        assert spark.conf.get(key, None) is None  # the caller's session is as it was
+        for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.cut_repeats):
+            spark.conf.unset(key)
+            stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+            got = summed(sizes())
+            assert got["n"] == 24 and got["most"] < layout.BATCH_BYTES + (2 << 20)
+        spark.conf.set(key, "9m")
+        scratch.materialize(spark.range(1), "t")
+        assert not layout.bound_batches(spark) and spark.conf.get(key) == "9m"  # a bound of the caller's own stays
+    finally:
+        spark.conf.unset(key)
+        if held is not None:
+            spark.conf.set(key, held)
+
+
 def test_scratch_needs_a_shared_folder_on_a_cluster():
     from types import SimpleNamespace
 
