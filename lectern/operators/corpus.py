@@ -97,15 +97,16 @@ def merge_sources(*sources: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
 
 
-def apply_corrections(records: DataFrame, corrections: DataFrame, reviewer: str | None = None, date: str | None = None) -> DataFrame:
-    """records with corrected text and verified set. A record without a correction, or with a blank one, is an
-    error; corrections of no record are passed over."""
-    joined = records.join(corrections.select("segment_id", F.col("text").alias("_new")), "segment_id", "left")
-    text = F.when(F.length(tx.squeeze(F.coalesce("_new", F.lit("")))) > 0, F.col("_new")).otherwise(fail("no correction for ", F.col("segment_id")).cast("string"))
+def apply_corrections(records: DataFrame, corrections: DataFrame, reviewer: str | None = None, date: str | None = None, blank: bool = False) -> DataFrame:
+    """records with corrected text and verified set. A record without a correction is an error, and so is one with a blank
+    one, unless `blank` says that texts may be empty; corrections of no record are passed over."""
+    joined = records.join(corrections.select("segment_id", F.col("text").alias("_new"), F.lit(True).alias("_found")), "segment_id", "left")
+    given = F.col("_found") if blank else F.length(tx.squeeze(F.coalesce("_new", F.lit("")))) > 0
+    text = F.when(given, F.col("_new")).otherwise(fail("no correction for ", F.col("segment_id")).cast("string"))
     out = joined.withColumn("text", text).withColumn("verified", F.lit(True))
     if reviewer is not None:
         out = out.withColumns({"reviewed_by": F.lit(reviewer), "review_date": F.lit(date)})
-    return out.drop("_new")
+    return out.drop("_new", "_found")
 
 
 def corrected_subset(records: DataFrame, corrections: DataFrame, skip: list[str], upto: int, open_mark: str = "<??>") -> DataFrame:
