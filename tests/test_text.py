@@ -1,4 +1,5 @@
 import random
+import time
 import unicodedata
 
 import pytest
@@ -130,3 +131,26 @@ def test_word_edits_of_many_distinct_words(spark):
     frame = spark.createDataFrame(rows, "i int, ref string, hyp string")
     got = {r.i: r.e for r in frame.select("i", tx.word_edits(F.col("ref"), F.col("hyp")).alias("e")).collect()}
     assert got == {0: n - 4, 1: 1, 2: n - 1}
+
+
+def test_long_texts_that_are_alike_take_no_table(spark):
+    """A table of 80,000 by 80,000 would take a minute and more; so would the words' one of the second pair."""
+    text = "".join(f"w{i % 977} of the " for i in range(8000))
+    rows = [(0, text, "zz" + text), (1, text, text.replace("of the ", "of te ")), (2, text + "é b", text + "a b c")]
+    frame = spark.createDataFrame(rows, "i int, ref string, hyp string").repartition(3)
+    began = time.monotonic()
+    got = frame.select("i", tx.char_edits(F.col("ref"), F.col("hyp")), tx.word_edits(F.col("ref"), F.col("hyp"))).collect()
+    assert {tuple(r) for r in got} == {(0, 2, 1), (1, 8000, 8000), (2, 3, 2)} and time.monotonic() - began < 30
+
+
+def test_edit_distances_of_alike_texts_match_a_table(spark):
+    rng = random.Random(7)
+    units = ["a", "b", "é", "😀", " ", " ", "  ", "\t", "of the "]
+    pairs = [("a b", "a x b"), ("a  b", "a b"), ("", "a"), (" ", ""), ("a b a b", "b a b a")]
+    for _ in range(200):
+        ref = rng.choices(units, k=rng.randrange(12))
+        hyp = [rng.choice((u, u, u, u, rng.choice(units), "", "a" + u)) for u in ref]
+        pairs += [("".join(ref), "".join(hyp)), ("".join(ref), "".join(ref).replace("of the ", "of te "))]
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)] + [(-1, None, "a")], "i int, ref string, hyp string")
+    for i, chars, words in frame.select("i", tx.char_edits(F.col("ref"), F.col("hyp")), tx.word_edits(F.col("ref"), F.col("hyp"))).collect():
+        assert (chars, words) == ((None, None) if i < 0 else (edit_distance(*pairs[i]), edit_distance(pairs[i][0].split(), pairs[i][1].split())))
