@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from lectern.functions import text
 from lectern.functions.numbers_vi import words_to_digits
-from lectern.operators import corpus, scoring, stats
+from lectern.operators import corpus, gate, scoring, stats
 
 
 def tables(tmp_path, **queries):
@@ -118,3 +118,16 @@ def test_counts_of_draws_take_no_longer_as_bytes():
         counts[kind] = [drawn.counts(kind) for _ in range(4)]
         seconds[kind] = time.monotonic() - began
     assert all((a == b).all() for a, b in zip(*counts.values(), strict=True)) and seconds[np.uint8] < 3 * seconds[np.int64]
+
+
+def test_rescored_run_with_a_long_meeting(spark):
+    """The table of 120,000 by 120,000 characters would take minutes; the base's tokens are counted once for all weights."""
+    text = "họp of the report " * 6700
+    base = spark.createDataFrame([("a", i, "report alpha", "report") for i in range(4)], "source string, ord long, ref string, hyp string")
+    runs = base.withColumn("hyp", F.col("ref")).withColumn("lambda", F.explode(F.array(F.lit(0.25), F.lit(0.5))))
+    real = spark.createDataFrame([(w, "m", "seg_0000", 0, text, hyp) for w, hyp in ((0.25, "zz" + text), (0.5, text.replace("of the ", "of te ")))], "lambda double, meeting_id string, segment_id string, ord long, ref string, hyp string")
+    began = time.monotonic()
+    rows = gate.rescored_run(runs, base, [0.25, 0.5], 10, 0.2, real, method="poisson", resamples=4).collect()
+    assert time.monotonic() - began < 90
+    assert sorted((r["lambda"], r.source, r.n_segments, r.retention, r.baseline_retention) for r in rows if r.source == "a") == [(w, "a", 4, 1.0, 0.5) for w in (0.25, 0.5)]
+    assert {r["lambda"]: r.cer for r in rows if r.source == "real"} == {0.25: 2 / len(text), 0.5: 6700 / len(text)}
